@@ -40,25 +40,50 @@ EVENTS = ("plain", "negated", "reported", "threat", "aimed")
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 #: Lengths of stems that are tried; labelled toxic rows a stem needs; how many times likelier it is among them.
 STEM, SUPPORT, LIFT = (4, 7), 4, 12.0
+#: What a stem's likelihood ratio statistic must reach: a stem of chance rarely does, however many are tried.
+EVIDENCE = 22.0
+# Insults the grammar knows from the start.
+INSULTS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "disgusting", "scum", "trash", "clown", "dumb", "jerk", "blödmann", "dummkopf", "trottel", "imbécile", "crétin", "estúpido", "imbécil", "tonto")
 
 
 def stems_of(word: str) -> list[str]:
     return [word[:n] for n in range(STEM[0], min(STEM[1], len(word)) + 1)] or [word]
 
 
+def evidence(a: int, n: int, b: int, m: int) -> float:
+    """Twice the log-likelihood gained by separate rates a/n and b/m over a common one."""
+    part = lambda k, total, rate: k * math.log(k / (total * rate)) if k else 0.0
+    rate = (a + b) / (n + m)
+    return 2 * (part(a, n, rate) + part(b, m, rate) + part(n - a, n, 1 - rate) + part(m - b, m, 1 - rate)) if 0 < rate < 1 else 0.0
+
+
 def induced(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Stems with weights (log of how much likelier they are in toxic rows); the shortest that qualifies stands for longer ones."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    total = [0, 0]
-    for text, y in rows:
-        total[y] += 1
-        seen[y].update({s for w in set(TOKEN.findall(text.lower())) for s in stems_of(w)})
-    out: dict[str, float] = {}
-    for s in sorted(seen[1], key=lambda s: (len(s), s)):
-        a, b = seen[1][s], seen[0][s]
-        lift = ((a + 0.1) / (total[1] + 0.2)) / ((b + 0.1) / (total[0] + 0.2))
-        if a >= max(SUPPORT, 0.002 * total[1]) and lift >= LIFT and not any(s[:n] in out for n in range(1, len(s))):
-            out[s] = math.log(lift)
+    """Stems with weights (log of how much likelier they are in toxic rows); the shortest that qualifies stands for longer ones.
+
+    A toxic row counts for a stem only as far as the stem's neighbours differ: copies
+    of one text, exact or near, are no more evidence than the text itself.
+    """
+    toxic = [TOKEN.findall(t.lower()) for t, y in rows if y]
+    often = Counter(s for words in toxic for s in {s for w in set(words) for s in stems_of(w)})
+    tried = {s for s, n in often.items() if n >= SUPPORT} | {s[: STEM[1]] for s in INSULTS}
+    around: dict[str, set] = {s: set() for s in tried}
+    for words in toxic:
+        for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+            for s in stems_of(w):
+                if s in tried:
+                    around[s].add(hash((before, after)))
+    clean: Counter = Counter()
+    for t, y in rows:
+        if not y:
+            clean.update({s for w in set(TOKEN.findall(t.lower())) for s in stems_of(w)} & tried)
+    n, m = len(toxic), len(rows) - len(toxic)
+    count = {s: (min(often[s], len(around[s])), clean[s]) for s in tried}
+    lift = {s: ((a + 0.1) / (n + 0.2)) / ((b + 0.1) / (m + 0.2)) for s, (a, b) in count.items()}
+    out = {s: math.log(max(LIFT, lift[s[: STEM[1]]])) for s in INSULTS}
+    for s in sorted(tried, key=lambda s: (len(s), s)):
+        a, b = count[s]
+        if a >= SUPPORT and lift[s] >= LIFT and evidence(a, n, b, m) >= EVIDENCE and not any(s[:i] in out for i in range(1, len(s))):
+            out[s] = math.log(lift[s])
     return out
 
 
@@ -140,7 +165,7 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def grammar(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 1500, longest: int = 12_000) -> Grammar | float:
+def grammar(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 2500, longest: int = 12_000) -> Grammar | float:
     """Fitted on a bounded sample of labelled rows; with rows of one label only that label's share, with none 0."""
     rows = sample(docs, labels, learn, "toxic", per_class, longest)
     ys = {y for _, y in rows}
