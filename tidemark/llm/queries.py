@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, quality, simhash, substring, toxicity
+from . import bpe, decontaminate, language, licenses, neighbours, pii, quality, simhash, substring, toxicity
 from .common import load, small_batches
 
 
@@ -55,8 +55,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(toxicity.scored(docs, model), 0.5)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(load(spark, sf_dir, "documents"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    vectors = load(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses_digest(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_substring, op4_simhash, op5_language, op6_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_substring, op4_simhash, op5_language, op6_quality, op7_pii, op8_neighbours, op9_licenses, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -85,13 +85,14 @@ def half_balls() -> Column:
 
 def links(fps: DataFrame, most: int = 4096) -> DataFrame:
     """Distinct fp to links (a, b) of at most four differing bits: as many as are needed to connect what is connected."""
-    table = fps.select("fp", half_balls()).select(
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = fps.repartition(parts, "fp").select("fp", half_balls()).select(
         "fp",
         F.expr("(((case when k.half = 0 then shiftrightunsigned(fp, 32) else fp & 4294967295L end) ^ k.mask) | shiftleft(cast(k.half as bigint), 32))").alias("key"),
     )
     sizes = stored(table.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "entries")
     two = sizes.where("n = 2 and bit_count(a ^ b) <= 4").select("a", "b")
-    members = table.join(sizes.where("n > 2").select("key", "n"), "key")
+    members = table.join(sizes.where("n > 2").select("key", "n").hint("shuffle_hash"), "key")
     few = members.where(F.col("n") <= most).groupBy("key").applyInPandas(spanning, "a long, b long")
     hot = members.where(F.col("n") > most).select("fp").distinct()
     ball = [0] + [sum(1 << b for b in c) for k in (1, 2) for c in combinations(range(64), k)]
