@@ -134,7 +134,7 @@ def nearest_of(own: DataFrame, asked: DataFrame, dim: int, k: int, fitted: int,
     blocks = coded.select("id", "code", "square", F.lit(None).cast("array<double>").alias("x"), "row", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("col"))
     asking = asked.select(
         F.col("vec_id").alias("id"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("square"), "x",
-        F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).cast("long").alias("row"), F.pmod(F.xxhash64("vec_id"), F.lit(n_queries)).cast("int").alias("col"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))).alias("row"), F.pmod(F.xxhash64("vec_id"), F.lit(n_queries)).cast("int").alias("col"),
     )
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
