@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import row_key, stored
 from .graph import connected_components
 
 BITS = 4
@@ -48,14 +48,15 @@ def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) for each row, duplicates and null ids too. Null, empty or blank texts have 0."""
+    """doc_id, key (row_key) and fp (the 64 bits as a long) for each row, duplicates and null ids too. Null, empty or blank texts have 0."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, size) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -86,7 +87,7 @@ def half_balls() -> Column:
 def links(fps: DataFrame, most: int = 4096) -> DataFrame:
     """Distinct fp to links (a, b) of at most four differing bits: as many as are needed to connect what is connected."""
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = fps.repartition(parts, "fp").select("fp", half_balls()).select(
+    table = fps.repartition(parts, F.xxhash64("fp", F.lit(1))).select("fp", half_balls()).select(
         "fp",
         F.expr("(((case when k.half = 0 then shiftrightunsigned(fp, 32) else fp & 4294967295L end) ^ k.mask) | shiftleft(cast(k.half as bigint), 32))").alias("key"),
     )
@@ -102,6 +103,16 @@ def links(fps: DataFrame, most: int = 4096) -> DataFrame:
     return two.union(few).union(stars)
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints (stored), and for each fingerprint its component: fp, first (null_id, doc_id, key of the component's first row)."""
+    own = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+    fps = own.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("null_id"), "doc_id", "key")).alias("first"))
+    roots = connected_components(links(fps.select("fp")))
+    placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("first").alias("first"))
+    return own, placed.select("fp", "root").join(least, "root").select("fp", "first")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable over links) for each row of docs.
 
@@ -110,13 +121,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     like any other. Whole texts of any length. An empty table gives an empty one; other
     columns are not read.
     """
-    own = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    fps = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(links(fps.select("fp")))
-    placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return own.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    own, named = grouped(docs, id_col, text_col)
+    return own.join(named, "fp", "left").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, all columns of docs: that of the least id (a null id comes last), of repeated rows any."""
+    _, named = grouped(docs, id_col, text_col)
+    keys = named.select(F.col("first.key").alias("_key")).distinct()
+    return docs.withColumn("_key", row_key(id_col, text_col)).join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
