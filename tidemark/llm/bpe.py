@@ -16,17 +16,19 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = "</w>"
 NEVER = np.int64(1) << 40
-#: Words a task remembers before it starts anew.
-CACHE = 300_000
+#: Words, and pieces of text between white space, that a worker remembers before it starts anew.
+CACHE = 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -56,8 +58,16 @@ class WordBPE:
         keys = np.array([x * n + y for x, y in self.merge], np.int64)
         order = np.argsort(keys)
         self.n, self.keys = n, keys[order]
+        self.key_made = np.array([z for _, z in self.merge.values()], np.int64)[order]
         self.key_rank = np.array([r for r, _ in self.merge.values()], np.int64)[order]
-        self.longest = max(map(len, self.vocab))
+        self.final = {t[: -len(END)]: i for t, i in self.vocab.items() if t.endswith(END)}
+        self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(END)}
+        # for the first three characters of a token: the lengths that tokens with them have, longest first
+        lengths: dict[str, set[int]] = {}
+        for t in self.inner:
+            if len(t) > 2:
+                lengths.setdefault(t[:3], set()).add(len(t))
+        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
         made = np.flatnonzero(self.rank >= 0)
         whole = np.ones(n, bool)
         whole[made] = self.compatible(self.left[made], self.right[made], self.rank[made])
@@ -72,8 +82,9 @@ class WordBPE:
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if specials else None
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(split)
-        self.bytes = byte_symbols()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.visible = dict(enumerate(byte_symbols()))
+        self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def compatible(self, x: np.ndarray, y: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
         """For each pair of neighbours: does no merge across the boundary come before ``until``?
@@ -90,8 +101,7 @@ class WordBPE:
         if until is not None:
             gone_y -= 1  # the pair's own merge is the one that ends it
         while len(todo):
-            at = np.minimum(np.searchsorted(self.keys, key := x * self.n + y), len(self.keys) - 1)
-            m = np.where(self.keys[at] == key, self.key_rank[at], NEVER)
+            m, _ = self.ranks(x, y)
             bad = (m < gone_x) & (m <= gone_y)
             ok[todo[bad]] = False
             rx, ry = self.rank[x], self.rank[y]
@@ -103,39 +113,65 @@ class WordBPE:
         return ok
 
     def greedy(self, word: str) -> list[int]:
-        out, i, n, vocab, cap = [], 0, len(word), self.vocab, self.longest
-        while i < n:
-            t = vocab.get(word[i:] + END) if n - i <= cap else None
-            if t is not None:
-                out.append(t)
-                break
-            for j in range(min(n, i + cap), i, -1):
-                t = vocab.get(word[i:j])
-                if t is not None and (j < n):
-                    out.append(t)
-                    i = j
+        """The longest token at each place; one that ends the word comes before all others. Empty if no token fits."""
+        out, i, n, inner, final, lengths = [], 0, len(word), self.inner, self.final, self.lengths
+        while (t := final.get(word[i:])) is None:
+            for k in lengths.get(word[i : i + 3], ()):
+                if i + k < n and (t := inner.get(word[i : i + k])) is not None:
                     break
             else:
-                return []
+                k = 2 if i + 2 < n and word[i : i + 2] in inner else 1
+                if i + k >= n or (t := inner.get(word[i : i + k])) is None:
+                    return []
+            out.append(t)
+            i += k
+        out.append(t)
         return out
 
-    def merged(self, word: str) -> list[int]:
-        """Exact merging: again and again the pair of least rank, leftmost first."""
-        ids = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + END]]
-        merge, none = self.merge, (NEVER, -1)
-        ranks = [merge.get(p, none)[0] for p in zip(ids, ids[1:])]
-        while ranks:
-            r = min(ranks)
-            if r == NEVER:
-                break
-            i = ranks.index(r)
-            ids[i : i + 2] = [merge[ids[i], ids[i + 1]][1]]
-            del ranks[i]
-            if i < len(ids) - 1:
-                ranks[i] = merge.get((ids[i], ids[i + 1]), none)[0]
-            if i:
-                ranks[i - 1] = merge.get((ids[i - 1], ids[i]), none)[0]
-        return ids
+    def ranks(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of merging each pair; NEVER if there is no such merge."""
+        at = np.minimum(np.searchsorted(self.keys, key := x * self.n + y), len(self.keys) - 1)
+        there = self.keys[at] == key
+        return np.where(there, self.key_rank[at], NEVER), self.key_made[at]
+
+    def merged(self, words: list[str]) -> list[bytes]:
+        """Exact merging of many words side by side: in each round the pair of least rank of each word, leftmost first."""
+        base = [[self.vocab[c] for c in w[:-1]] + [self.vocab[w[-1] + END]] for w in words]
+        sizes = np.fromiter(map(len, base), np.int64, len(base))
+        ids = np.fromiter((i for b in base for i in b), np.int64, int(sizes.sum()))
+        word = np.repeat(np.arange(len(words)), sizes)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def pair_ranks(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """For the pairs that begin at these places; a word's last symbol begins none."""
+            nxt = np.minimum(at + 1, len(ids) - 1)
+            r, z = self.ranks(ids[at], ids[nxt])
+            return np.where((nxt > at) & (word[nxt] == word[at]), r, NEVER), z
+
+        rank, made = pair_ranks(np.arange(len(ids)))
+        while len(ids):
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            best = np.minimum.reduceat(rank * (1 << 20) + (np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))), first)
+            over = best >= NEVER * (1 << 20)
+            at = (first + (best & ((1 << 20) - 1)))[~over]
+            ids[at] = made[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ended = np.repeat(over, np.diff(np.append(first, len(ids))))
+            done.append((word[ended], ids[ended]))
+            keep &= ~ended
+            touched = np.zeros(len(ids), bool)
+            touched[at] = True
+            before = at[at > 0] - 1
+            touched[before[word[before] == word[before + 1]]] = True
+            ids, word, rank, made, touched = ids[keep], word[keep], rank[keep], made[keep], touched[keep]
+            if len(ids):
+                again = np.flatnonzero(touched)
+                rank[again], made[again] = pair_ranks(again)
+        word, ids = np.concatenate([w for w, _ in done]), np.concatenate([i for _, i in done])
+        order = np.argsort(word, kind="stable")
+        packed, ends = ids[order].astype(np.int32).tobytes(), (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
+        return [packed[lo:hi] for lo, hi in zip([0, *ends], ends)]
 
     def words(self, words: list[str]) -> None:
         """Learn the tokens of words that are not yet known."""
@@ -151,29 +187,45 @@ class WordBPE:
         pairs, back = np.unique(flat[near] * self.n + flat[near + 1], return_inverse=True)
         good = self.compatible(pairs // self.n, pairs % self.n)
         failed[owner[near[~good[back]]]] = True
-        for w, g, f in zip(words, guess, failed.tolist()):
-            self.known[w] = tuple(self.merged(w) if f else g)
+        ends = (4 * np.cumsum(sizes)).tolist()
+        packed, at = flat.astype(np.int32).tobytes(), 0
+        for w, f, end in zip(words, failed.tolist(), ends):
+            if not f:
+                self.known[w] = packed[at:end]
+            at = end
+        rest = [w for w, f in zip(words, failed.tolist()) if f]
+        if rest:
+            self.known.update(zip(rest, self.merged(rest)))
 
     def pieces(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
-        return [m if m.isascii() and m.isprintable() else "".join([self.bytes[c] for c in m.encode()]) for m in self.split.findall(text)]
+        """The words of a text in byte symbols."""
+        if text.isascii():
+            text = text.lower()
+            if text.isalpha():
+                return [text]
+        else:
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
+            if text.isalpha():
+                return [text.encode().decode("latin-1").translate(self.visible)]
+        return [m.encode().decode("latin-1").translate(self.visible) for m in self.split.findall(text)]
 
-    def encode_many(self, texts: list[str]) -> list[tuple[int, ...]]:
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit integers."""
         parts: list[list] = []
         for t in texts:
-            mine: list = []
-            if self.special and "<" in t:
-                at = 0
+            if self.special and "<|" in t:
+                mine, at = [], 0
                 for m in self.special.finditer(t):
                     mine += [*self.pieces(t[at : m.start()]), self.specials[m[0]]]
                     at = m.end()
-                t = t[at:]
-            parts.append([*mine, *self.pieces(t)])
+                parts.append([*mine, *self.pieces(t[at:])])
+            else:
+                parts.append(self.pieces(t))
         if len(self.known) > CACHE:
             self.known.clear()
-        new = {p for mine in parts for p in mine if type(p) is str} - self.known.keys()
-        self.words(list(new))
-        return [tuple(i for p in mine for i in (self.known[p] if type(p) is str else (p,))) for mine in parts]
+        known = self.known
+        self.words(list({p for mine in parts for p in mine if type(p) is str} - known.keys()))
+        return [known[mine[0]] if len(mine) == 1 and type(mine[0]) is str else b"".join([known[p] if type(p) is str else array("i", [p]).tobytes() for p in mine]) for mine in parts]
 
     def decode(self, ids) -> str:
         """As the library without a decoder: the tokens, one space between."""
@@ -202,27 +254,25 @@ def bpe_documents(docs: DataFrame, vocabulary: str, text_col: str = "text") -> D
         if model is None:
             _models.clear()
             model = _models[name] = WordBPE(sent.value)
-        ids_of: dict[str, bytes] = {}
-        text_of: dict[str, str] = {}
+        symbols = pa.array(model.symbols, pa.string())
+        ids_of = model.chunks  # kept from task to task
         for batch in batches:
             split = []
             for t in batch.column(1).to_pylist():
                 t = t or ""
                 # tokens never span white space; texts with specials or separators that Python alone calls white space stay whole
                 split.append([t] if "<|" in t or odd.search(t) else t.split())
-            if len(ids_of) > CACHE:
+            if len(ids_of) > 2 * CACHE:
                 ids_of.clear()
-                text_of.clear()
             new = list(set().union(*split) - ids_of.keys())
             for lo in range(0, len(new), 50_000):
                 part = new[lo : lo + 50_000]
-                for chunk, ids in zip(part, model.encode_many(part)):
-                    ids_of[chunk] = np.array(ids, np.int32).tobytes()
-                    text_of[chunk] = model.decode(ids)
+                ids_of.update(zip(part, model.encode_many(part)))
             blobs = [b"".join([ids_of[c] for c in chunks]) for chunks in split]
             ends = np.cumsum([0, *(len(b) // 4 for b in blobs)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
-            decoded = pa.array([" ".join([x for x in map(text_of.__getitem__, chunks) if x]) for chunks in split], pa.string())
+            flat = pa.array(np.frombuffer(b"".join(blobs), np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(ends), flat)
+            decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), symbols.take(flat)), " ")
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), ids, decoded], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
