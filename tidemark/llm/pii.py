@@ -6,8 +6,8 @@ them (``regexp_extract_all`` and ``split``) give positions by adding up lengths.
 Terms that stand near a protected value can give it away once it is removed. For
 a term t and a value e the corpus tells how likely e is near t, p(e|t), and how
 many bits t tells about e, log2 p(e|t)/p(e). Terms that reach both thresholds and
-were seen with e in enough different contexts (copies of a context count once)
-are spans too, wherever they stand in a text that holds e. Document frequencies
+were seen near e between enough different words (copies of a text, exact or near,
+count once) are spans too, wherever they stand in a text that holds e. Document frequencies
 of such terms are counted over all documents.
 """
 
@@ -83,9 +83,14 @@ def found(docs: DataFrame) -> DataFrame:
 def revealing(docs: DataFrame, base: DataFrame, support: int = 3, share: float = 0.5, bits: float = 4.0, few: int = 20_000) -> DataFrame | None:
     """value, term of terms that reveal a value; None if there are none. base is the stored result of found()."""
     seen = base.where("size(base) > 0").select("key", F.explode("near").alias("n")).select("key", "n.value", "n.context")
-    pairs = seen.select("key", "value", F.xxhash64("context").alias("c"), F.explode(F.expr(f"array_distinct(filter({words('context')}, w -> length(w) > 2))")).alias("term"))
-    pairs = pairs.where("not contains(value, term)").groupBy("value", "term").agg(F.count_distinct("c").alias("contexts"), F.count_distinct("key").alias("together"))
-    pairs = stored(pairs.where(F.col("contexts") >= support), "pairs")
+    ws = words("context")
+    beside = "xxhash64(coalesce(get(ws, i - 1), ''), coalesce(get(ws, i + 1), ''))"
+    said = seen.select("key", "value", F.explode(F.expr(f"element_at(transform(array({ws}), ws -> transform(ws, (w, i) -> struct(w as term, {beside} as c))), 1)")).alias("t"))
+    said = said.select("key", "value", "t.*").where("length(term) > 2 and not contains(value, term)")
+    pairs = said.groupBy("value", "term").agg(F.count_distinct("c").alias("contexts"), F.count_distinct("key").alias("together")).where(F.col("contexts") >= support)
+    # a term is in no fewer documents than it is near values of any kind, so most pairs are decided here
+    least = said.groupBy("term").agg(F.count_distinct("key").alias("at_least"))
+    pairs = stored(pairs.join(least, "term").where(F.col("together") >= share * F.col("at_least")).drop("at_least"), "pairs")
     terms = pairs.select("term").distinct()
     n = terms.count()
     if not n:
