@@ -55,7 +55,7 @@ def line_roles(readmes: DataFrame) -> DataFrame:
     spread = coded.select("full_name", "lines", F.split(F.array_join(F.transform(tokens, roles), ""), "").alias("roles"))
     return spread.select("full_name", F.posexplode(F.arrays_zip("lines", "roles")).alias("i", "z")).select(
         "full_name", (F.col("i") + 1).alias("line_no"), F.col("z.lines").alias("line"), F.col("z.roles").alias("role")
-    )
+    ).where("role <> ''")
 
 
 def elements(readmes: DataFrame) -> DataFrame:
