@@ -224,3 +224,8 @@ def decoded(c: Column | str) -> Column:
 
 def all_matches(c: Column | str, pattern: str, group: int = 1, flags: str = "(?iuU)") -> Column:
     return F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(flags + pattern), F.lit(group))
+
+
+def normalised_strings(df):
+    """All string columns trimmed, null as empty."""
+    return df.select(*[strip(c).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])

@@ -28,6 +28,35 @@ def readme_at(files: DataFrame) -> DataFrame:
     return files.where(rank > 0).groupBy("full_name", "sha").agg(F.min_by("text", rank).alias("readme_text"))
 
 
+def make_targets_at(content: Column | str) -> Column:
+    """Targets of a Makefile at a commit: single or double colon, paths allowed, no recipes, comments, patterns or variables."""
+    rule = r"(?Ud)^([A-Za-z0-9_.\-/ ]+?)\s*::?(?!=)"
+    found = F.filter(T.lines(content), lambda x: x.rlike(rule) & ~x.rlike(r"^(?:[\t #]|\.PHONY)"))
+    names = F.flatten(F.transform(found, lambda x: F.split(T.strip(F.regexp_extract(x, rule, 1)), r"(?U)\s+")))
+    return F.array_distinct(F.transform(F.filter(names, lambda t: (t != "") & ~t.rlike("[%$]")), F.lower))
+
+
+def supported_at(cases: DataFrame, trees: DataFrame, makefiles: DataFrame) -> DataFrame:
+    """cases (full_name, case_id, claim_type, artifact_or_path, sha) with supported: does the tree at the commit hold the artifact?
+
+    trees: full_name, sha, path of files; makefiles: full_name, sha, content. A path, a
+    directory above one, or an equal base name counts; a make target counts if a
+    Makefile has it, or has none that can be read. Null where the commit has no tree.
+    """
+    at = ["full_name", "sha"]
+    paths = trees.select(*at, F.explode(F.array_distinct(F.concat(F.array(T.norm_path("path")), tree_dirs("path")))).alias("p"))
+    keys = paths.select(*at, F.explode(F.array_distinct(F.array(F.concat(F.lit("p:"), "p"), F.concat(F.lit("b:"), T.basename("p"))))).alias("key")).distinct()
+    a = T.norm_path("artifact_or_path")
+    asked = cases.select("case_id", *at, F.explode(F.array(F.concat(F.lit("p:"), a), F.concat(F.lit("b:"), T.basename(a)))).alias("key")).where("key not in ('p:', 'b:')")
+    there = asked.join(keys, [*at, "key"], "left_semi").select("case_id", *at).distinct().withColumn("_there", F.lit(True))
+    known = trees.select(*at).distinct().withColumn("_tree", F.lit(True))
+    made = makefiles.groupBy(*at).agg(F.array_distinct(F.flatten(F.collect_set(make_targets_at("content")))).alias("_targets"))
+    data = cases.join(there, ["case_id", *at], "left").join(known, at, "left").join(made, at, "left")
+    make = F.when(F.col("_targets").isNull(), False).otherwise((F.size("_targets") == 0) | F.array_contains("_targets", a))
+    held = F.when(F.col("claim_type") == "make_target", make).otherwise(F.coalesce("_there", F.lit(False)))
+    return data.withColumn("supported", F.when(F.col("_tree"), held)).drop("_there", "_tree", "_targets")
+
+
 def state(has_readme: Column, snippet_there: Column, supported: Column) -> Column:
     """A claim's state at a commit."""
     return F.when(~has_readme, "unknown").when(~snippet_there, "no_claim").when(supported, "supported").otherwise("drift")

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from .screen import seeded
 
-# Strata of the evaluation set and how many claims each gives.
-STRATUM_SIZES = {"drifted": 80, "uncertain": 40, "sequence": 15, "excluded": 10, "verified": 25, "external": 30}
+# Strata of the two validation sets and how many claims each gives.
+STRATUM_SIZES = {"drifted": 80, "supported": 40, "supported_sequence": 15, "supported_external": 10, "uncertain": 25, "excluded": 30}
+DEVELOPMENT_SIZES = {"drifted": 80, "supported": 80, "uncertain": 40}
 
 
-def stratum() -> Column:
+def stratum(label: str = "label_v4") -> Column:
     """The stratum of a labelled claim; null for a verification that is none of the known ones."""
-    return (
-        F.when(F.col("status") == "excluded", "excluded")
-        .when(F.col("label_v4").isin("drifted_high", "drifted_medium"), "drifted")
-        .when(F.col("verification").isin("uncertain", "sequence", "verified", "external"), F.col("verification"))
-    )
+    verified = F.when(F.col("verification") == "verified", "supported").when(F.col("verification").isin("sequence", "external"), F.concat(F.lit("supported_"), "verification"))
+    return F.when(F.col("status") != "kept", "excluded").when(F.col(label).startswith("drifted"), "drifted").when(F.col(label) == "uncertain", "uncertain").otherwise(verified)
+
+
+def strata_sizes(labels: DataFrame) -> DataFrame:
+    """stratum, size of the kept claims: what the adjusted prevalence is weighted with."""
+    return labels.where("status = 'kept'").withColumn("stratum", stratum()).groupBy("stratum").agg(F.count("*").alias("size"))
 
 
 def per_stratum(rows: DataFrame, stratum_col: str, sizes: dict[str, int], key: str, seed: int = 42) -> DataFrame:

@@ -59,3 +59,42 @@ def adjusted_interval(sample: DataFrame, strata: DataFrame, rounds: int, seed: i
     x = shares.join(strata, "stratum").groupBy("round").agg((F.sum(F.col("size") * F.col("p")) / F.sum(F.col("size") * F.col("q"))).alias("x"))
     p = F.percentile("x", F.array(F.lit(0.025), F.lit(0.975)))
     return x.agg(p[0].alias("ci_low"), p[1].alias("ci_high"))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """A join in which missing keys match missing keys."""
+    other = right.select(*[F.col(k).alias(f"_{k}") if k in keys else F.col(k) for k in right.columns])
+    test = F.lit(True)
+    for k in keys:
+        test = test & left[k].eqNullSafe(other[f"_{k}"])
+    return left.join(other, test, how).drop(*[f"_{k}" for k in keys])
+
+
+def development_set(sheet: DataFrame, labels: DataFrame) -> DataFrame:
+    """sheet (validation_id, repository_url, line_no, claim_type, artifact_or_path, consensus_label, ...) with final, init and gold; one row an id."""
+    named = sheet.withColumn("full_name", F.replace("repository_url", F.lit("https://github.com/"), F.lit("")))
+    keys = ["full_name", "line_no", "claim_type", "artifact_or_path"]
+    joined = null_safe_join(named, labels.select(*keys, "label", "status", "label_v4", "claim_seq"), keys)
+    first = joined.withColumn("_k", F.row_number().over(Window.partitionBy("validation_id").orderBy("claim_seq"))).where("_k = 1").drop("_k")
+    return first.withColumns({"gold": F.col("consensus_label"), "final": outcome(F.col("label_v4"), F.col("status")), "init": outcome(F.col("label"))})
+
+
+def evaluation_set(a: DataFrame, b: DataFrame, key: DataFrame, consensus: DataFrame, labels: DataFrame) -> DataFrame:
+    """Both coders' sheets, the sampling key and the consensus by eval_id, with gold, final and init."""
+    sheets = (
+        a.select("eval_id", "claim_type", "artifact_or_path", F.col("coder_label").alias("A"))
+        .join(b.select("eval_id", F.col("coder_label").alias("B")), "eval_id")
+        .join(key.select("eval_id", "full_name", "stratum", "status", "label_v4"), "eval_id")
+        .join(consensus.select("eval_id", "consensus_label"), "eval_id", "left")
+    )
+    keys = ["full_name", "claim_type", "artifact_or_path"]
+    with_labels = null_safe_join(sheets, labels.select(*keys, "label").distinct(), keys)
+    return with_labels.withColumns(
+        {"gold": gold(F.col("A"), F.col("B"), F.col("consensus_label")), "final": outcome(F.col("label_v4"), F.col("status")), "init": outcome(F.col("label"))}
+    )
+
+
+def confirmed_claims(sample: DataFrame, strata: DataFrame) -> DataFrame:
+    """One row: how many of the claims found drifted are, by the share among those sampled."""
+    share = sample.where("stratum = 'drifted'").agg(F.avg((F.col("gold") == "drifted").cast("int")).alias("p"))
+    return strata.where("stratum = 'drifted'").join(share, F.lit(True)).select((F.col("size") * F.col("p")).alias("confirmed"))

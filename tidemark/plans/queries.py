@@ -203,15 +203,24 @@ def islands(spark, sf):
 
 
 @query(
-    f"with {S.CLAIMS}, s as (select *, case when status = 'excluded' then 'excluded' when label in ('drifted_high', 'drifted_medium') then 'drifted' else verification end as stratum from claims), "
+    f"with {S.CLAIMS}, s as (select *, case when status <> 'kept' then 'excluded' when label like 'drifted%' then 'drifted' when label = 'uncertain' then 'uncertain' when verification = 'verified' then 'supported' "
+    "when verification in ('sequence', 'external') then 'supported_' || verification end as stratum from claims), "
     "k as (select *, row_number() over (partition by stratum order by md5('42|' || claim_seq), claim_seq) as k from s) select claim_seq, stratum from k where k <= "
-    "case stratum when 'drifted' then 80 when 'uncertain' then 40 when 'sequence' then 15 when 'excluded' then 10 when 'verified' then 25 when 'external' then 30 else 0 end"
+    "case stratum when 'drifted' then 80 when 'supported' then 40 when 'supported_sequence' then 15 when 'supported_external' then 10 when 'uncertain' then 25 when 'excluded' then 30 else 0 end"
 )
 def stratified_sample(spark, sf):
     rows = S.claims(spark, sf).withColumn("label_v4", F.col("label")).withColumn("stratum", sampling.stratum())
     return sampling.per_stratum(rows, "stratum", sampling.STRATUM_SIZES, "claim_seq").select("claim_seq", "stratum")
 
 
+@query(
+    f"{KEPT}, s as (select case when label like 'drifted%' then 'drifted' when label = 'uncertain' then 'uncertain' when verification = 'verified' then 'supported' "
+    "when verification in ('sequence', 'external') then 'supported_' || verification end as stratum from kept) select stratum, count(*) as size from s group by 1"
+)
+def strata_sizes(spark, sf):
+    return sampling.strata_sizes(S.claims(spark, sf).withColumn("label_v4", F.col("label")))
+
+
 @query(
     f"with {S.CLAIMS}, q as (select claim_type, greatest(1, round_even(200 * count(*) / (select count(*) from claims)::double, 0)) as quota from claims group by 1), "
     "k as (select *, row_number() over (partition by claim_type order by md5('42|' || claim_seq), claim_seq) as k from claims) "
@@ -272,6 +281,18 @@ def english_screen(spark, sf):
     return d.select("doc_id", screen.language_reason("text").alias("reason"), T.word_count("text").alias("words"))
 
 
+@query(
+    "with f as (select l_orderkey::varchar as full_name, 's' || l_linenumber as sha, lower(p_name) as path from lineitem join part on l_partkey = p_partkey where l_orderkey < 4000), "
+    "c as (select distinct full_name, sha, lower(o_orderpriority) as low from f join orders on o_orderkey = full_name::bigint), "
+    "r as (select c.full_name, c.sha, bool_or(f.path like '%' || case when c.full_name::bigint % 2 = 0 then 'e' else 'q' end || '%') as x from c join f using (full_name, sha) group by 1, 2) select full_name, sha, x as found from r"
+)
+def text_at_commit(spark, sf):
+    line, part = S.load(spark, sf, "lineitem").where("l_orderkey < 4000"), S.load(spark, sf, "part")
+    files = line.join(part, line["l_partkey"] == part["p_partkey"]).selectExpr("cast(l_orderkey as string) as full_name", "concat('s', l_linenumber) as sha", "p_name as text", "l_orderkey")
+    found = T.holds_snippet("text", F.when(F.col("l_orderkey") % 2 == 0, "E").otherwise("Q"))
+    return files.groupBy("full_name", "sha").agg(F.bool_or(found).alias("found"))
+
+
 LINKS = "select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as target from pages union all select page_id, url from pages"
 
 
