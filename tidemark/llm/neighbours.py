@@ -28,7 +28,7 @@ from .common import stored
 #: Components of a subspace, codes of a subspace (four bits), weight of parallel against orthogonal error, vectors the codebooks are fitted on at most.
 PART, CODES, PARALLEL, FITTED = 2, 16, 4.0, 20_000
 #: Vectors and queries of a block; best of each block, and of all, that are measured exactly.
-ROWS, QUERIES, RERANK = 32_768, 1_024, 120
+ROWS, QUERIES, RERANK = 8_192, 4_096, 120
 
 
 class Codebooks:
@@ -120,6 +120,7 @@ def nearest_of(own: DataFrame, asked: DataFrame, dim: int, k: int, fitted: int,
     spark = own.sparkSession
     entries = stored(distinct_vectors(own, k + 1), "entries")
     total = entries.count()
+    fitted = min(fitted, max(8 * CODES, 2_000_000 // dim))  # numbers held on the driver
     learn = np.array([r[0] for r in entries.orderBy(F.xxhash64("rep")).limit(fitted).select("x").collect()], float).reshape(-1, dim)
     books = spark.sparkContext.broadcast(Codebooks(learn))
     n_rows, n_queries = max(1, -(-total // ROWS)), max(1, -(-asked.count() // QUERIES))
