@@ -153,3 +153,38 @@ def reindexed(rows: DataFrame, key: str, categories: list[str], value: str) -> D
     """One row for each of a fixed list of categories; absent ones have 0."""
     fixed = rows.sparkSession.createDataFrame([(c,) for c in categories], f"{key} string")
     return fixed.join(rows.select(key, value), key, "left").fillna(0, [value])
+
+
+def command_rates(kept: DataFrame, label: str = "label") -> DataFrame:
+    """One row: drift rate of commands without directory changes, of directory changes, and of artifact references."""
+    kind, family = F.col("claim_type"), F.col("claim_family")
+    part = lambda test: F.avg(F.when(test, is_drifted(label).cast("int")))
+    return kept.agg(
+        part((family == "command") & (kind != "cd_dir")).alias("command_rate"), part(kind == "cd_dir").alias("directory_rate"), part(family == "artifact_reference").alias("reference_rate")
+    )
+
+
+def detector_comparison(labels: DataFrame) -> DataFrame:
+    """One row: drift rate of the first detector over all claims and over kept ones, of the final one over kept ones."""
+    kept = F.col("status") == "kept"
+    return labels.agg(
+        rate(F.col("drifted_v3")).alias("initial_all"),
+        F.avg(F.when(kept, F.col("drifted_v3").cast("int"))).alias("initial_kept"),
+        F.avg(F.when(kept, F.col("drifted_v4").cast("int"))).alias("final_kept"),
+        rate(~kept).alias("excluded_share"),
+    )
+
+
+def label_changes(labels: DataFrame) -> DataFrame:
+    """label, label_v4, n: how claims moved between the detectors; excluded ones have no final label."""
+    return labels.groupBy("label", "label_v4").agg(F.count("*").alias("n"))
+
+
+def verified_types(kept: DataFrame, least: int = 10, label: str = "label") -> DataFrame:
+    """claim_type, n, drift_rate of verified claims, for types with enough of them."""
+    return kept.where("verification <> 'external'").groupBy("claim_type").agg(F.count("*").alias("n"), rate(is_drifted(label)).alias("drift_rate")).where(F.col("n") >= least)
+
+
+def first_family(kept: DataFrame) -> DataFrame:
+    """claim_type with the family of its first claim."""
+    return kept.groupBy("claim_type").agg(F.min_by("claim_family", F.struct("claim_seq")).alias("claim_family"))

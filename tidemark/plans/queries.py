@@ -118,6 +118,38 @@ def family_bars(spark, sf):
     return metrics.reindexed(kept(spark, sf).groupBy("claim_family").agg(F.count("*").alias("n")), "claim_family", ["F", "O", "P", "X"], "n")
 
 
+@query(
+    f"{KEPT} select avg(case when claim_family = 'F' and claim_type <> 'STANDARD' then (label like 'drifted%')::int end) as f_rate, count(*) filter (where status = 'kept') as n from kept"
+)
+def conditional_rate(spark, sf):
+    hit = (F.col("claim_family") == "F") & (F.col("claim_type") != "STANDARD")
+    return kept(spark, sf).agg(F.avg(F.when(hit, metrics.is_drifted().cast("int"))).alias("f_rate"), F.count_if(F.col("status") == "kept").alias("n"))
+
+
+@query(
+    f"with {S.CLAIMS}, v as (select *, label like 'drifted%' as d3, case when status = 'excluded' then false else label = 'drifted_high' end as d4 from claims) select avg(d3::int) as initial_all, "
+    "avg(case when status = 'kept' then d3::int end) as initial_kept, avg(case when status = 'kept' then d4::int end) as final_kept, avg((status <> 'kept')::int) as excluded_share from v"
+)
+def detector_comparison(spark, sf):
+    c = S.claims(spark, sf)
+    return metrics.detector_comparison(c.withColumns({"drifted_v3": metrics.is_drifted(), "drifted_v4": (F.col("status") == "kept") & (F.col("label") == "drifted_high")}))
+
+
+@query(f"with {S.CLAIMS} select label, case when status = 'kept' then label end as label_v4, count(*) as n from claims group by 1, 2")
+def label_changes(spark, sf):
+    return metrics.label_changes(S.claims(spark, sf).withColumn("label_v4", F.when(F.col("status") == "kept", F.col("label"))))
+
+
+@query(f"{KEPT} select claim_type, count(*) as n, avg((label like 'drifted%')::int) as drift_rate from kept where verification <> 'external' group by 1 having count(*) >= 10")
+def verified_types(spark, sf):
+    return metrics.verified_types(kept(spark, sf))
+
+
+@query(f"{KEPT} select claim_type, arg_min(claim_family, claim_seq) as claim_family from kept group by 1")
+def first_family(spark, sf):
+    return metrics.first_family(kept(spark, sf))
+
+
 DRAWS = (
     f"{ROLLUP}, numbered as (select *, row_number() over (order by full_name) - 1 as place, count(*) over () as size from rollup_), "
     "draws as (select b.i as round, (('0x' || substr(md5('42:' || b.i || ':' || j.place), 1, 8))::bigint) % j.size as place from range(40) b(i), numbered j)"
