@@ -126,6 +126,7 @@ def test_clause_contexts():
     assert read("such scum here") == {"plain": 2.0, "negated": 0.0, "reported": 0.0, "threat": 0.0, "aimed": 0.0}
     assert read("they are not scum")["negated"] == 2.0 and read("not a b c scum")["plain"] == 2.0
     assert read("He said scum. scum")["reported"] == 2.0 and read("He said scum. scum")["plain"] == 2.0
+    assert read("scum you")["aimed"] == 1.0 and read("you said. kill. not scum said scum")["reported"] == 2.0
     assert read("you scum")["aimed"] == 2.0 and read("you. scum")["aimed"] == 0.0
     assert read("I kill you")["threat"] == 1.0 and read("I kill. you")["threat"] == 0.0
 
@@ -136,3 +137,17 @@ def test_labels_of_one_kind(spark):
     every = language.fold_of("doc_id", 5) >= 0
     assert toxicity.grammar(docs, labels, every) == 0.0
     assert quality.quality(docs, labels, every).first()["score"] == 0.5
+
+
+def test_composition_is_what_its_parts_do_in_turn():
+    r = random.Random(6)
+    for _ in range(200):
+        symbols = [r.choice(list(toxicity.CLASSES)) for _ in range(30)]
+        n, said, seen, state = 0, False, (False, False, False), 0
+        for x in symbols:
+            n, y, _ = toxicity.negate(n, x)
+            said, z, _ = toxicity.report(said, y)
+            seen, _, events = toxicity.match(seen, z)
+            at = state * len(toxicity.CLASSES) + x
+            assert toxicity.MATCHED[at] == events
+            state = toxicity.NEXT[at]

@@ -1,12 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Two transducers are composed. The lexical one reads words and writes classes:
+Four transducers are composed. The lexical one reads words and writes classes:
 insults (stems with weights, induced from labelled rows), threats, targets,
-negations, reported-speech verbs. The clause one reads classes and keeps whether
-it stands after a negation or inside reported speech; at each insult or threat
-it writes one matched event for the context it is in, at each clause end it adds
-what the clause as a whole has matched. Documents are scored by the matched
-clauses' weights, whose sizes are fitted on the labelled sample too.
+negations, reported-speech verbs, clause ends. The negation one marks what stands
+in a negation's scope, the reporting one what follows a verb of speech in its
+clause, and the clause one matches insults and threats with targets and writes
+weighted events. Their composition is a table of states and classes. Documents
+are scored by the weights of matched events, which are fitted on the labelled
+sample too.
 
 Insult stems are prefixes and words that are far more frequent in labelled toxic
 rows: the grammar holds what inflection varies. The sample is bounded
@@ -18,7 +19,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,10 @@ TARGETS = {"you", "your", "he", "she", "they", "them", "him", "her", "du", "dich
 NEGATIONS = {"not", "no", "never", "isn", "aren", "don", "nicht", "kein", "keine", "nie", "ne", "pas", "jamais", "nunca", "jamás"}
 REPORTS = {"said", "says", "wrote", "claimed", "quoted", "sagte", "schrieb", "behauptete", "dit", "écrit", "dijo", "escribió"}
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, END = "I", "T", "Y", "N", "R", ".", "|"
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = CLASSES = range(7)
 #: Words that a negation reaches.
 SCOPE = 3
-EVENTS = ("plain", "negated", "reported", "threat", "aimed")
+EVENTS = PLAIN, NEGATED, REPORTED, THREATENED, AIMED = ("plain", "negated", "reported", "threat", "aimed")
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 #: Lengths of stems that are tried; labelled toxic rows a stem needs; how many times likelier it is among them.
 STEM, SUPPORT, LIFT = (4, 7), 4, 12.0
@@ -87,17 +89,79 @@ def induced(rows: list[tuple[str, int]]) -> dict[str, float]:
     return out
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """step(state, symbol) gives the next state, the symbol written, and the events matched, each with whether it carries the word's weight."""
+
+    start: object
+    step: Callable[[object, object], tuple[object, object, tuple]]
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: what this one writes is what the other reads."""
+
+        def step(state, symbol):
+            mine, written, first = self.step(state[0], symbol)
+            its, out, second = other.step(state[1], written)
+            return (mine, its), out, first + second
+
+        return Transducer((self.start, other.start), step)
+
+    def table(self, symbols) -> tuple[list[int], list[tuple]]:
+        """Next states and events of all states that can be reached, at state * symbols + symbol."""
+        places, order = {self.start: 0}, [self.start]
+        nxt, events = [], []
+        for state in order:  # grows while it is read
+            for symbol in symbols:
+                to, _, found = self.step(state, symbol)
+                if to not in places:
+                    places[to] = len(order)
+                    order.append(to)
+                nxt.append(places[to])
+                events.append(found)
+        return nxt, events
+
+
+def negate(left: int, symbol: int):
+    """Counts down a negation's scope; a clause end closes it."""
+    after = SCOPE if symbol == NEGATION else 0 if symbol == END else max(left - 1, 0)
+    return after, (symbol, left > 0), ()
+
+
+def report(inside: bool, read: tuple):
+    """After a verb of speech the clause is reported."""
+    symbol, negated = read
+    return (symbol == REPORT or inside) and symbol != END, (symbol, negated, inside), ()
+
+
+def match(seen: tuple[bool, bool, bool], read: tuple):
+    """Insults in their context, and the meeting of insult or threat with a target in one clause, in either order."""
+    (aimed, insult, threat), (symbol, negated, reported) = seen, read
+    if symbol == INSULT:
+        event = REPORTED if reported else NEGATED if negated else PLAIN
+        return (aimed, True, threat), symbol, ((EVENTS.index(event), True),) + (((EVENTS.index(AIMED), True),) if aimed else ())
+    if symbol == THREAT:
+        return (aimed, insult, True), symbol, ((EVENTS.index(THREATENED), False),) if aimed else ()
+    if symbol == TARGET:
+        met = ((EVENTS.index(AIMED), False),) if insult and not aimed else ()
+        return (True, insult, threat), symbol, met + (((EVENTS.index(THREATENED), False),) if threat and not aimed else ())
+    return ((False, False, False) if symbol == END else seen), symbol, ()
+
+
+CLAUSES = Transducer(0, negate).then(Transducer(False, report)).then(Transducer((False, False, False), match))
+NEXT, MATCHED = CLAUSES.table(CLASSES)
+
+
 class Grammar:
-    """The composed transducer and the weights of its output."""
+    """The lexical transducer, before the composed clause table, and the weights of what it writes."""
 
     def __init__(self, stems: dict[str, float]):
         self.stems = stems
         self.lengths = sorted({len(s) for s in stems})
-        self.classes: dict[str, tuple[str, float]] = {}
+        self.classes: dict[str, tuple[int, float]] = {}
         self.bias, self.weights = -3.0, np.zeros(len(EVENTS))
 
-    def word(self, w: str) -> tuple[str, float]:
-        """The lexical transducer."""
+    def word(self, w: str) -> tuple[int, float]:
+        """The class of a word and its weight."""
         if len(w) == 1 and not w.isalpha():
             return END, 0.0
         for n in self.lengths:
@@ -109,42 +173,19 @@ class Grammar:
         return OTHER, 0.0
 
     def read(self, text: str) -> np.ndarray:
-        """The clause transducer: the weights of a text's events."""
+        """The weights of a text's events."""
         out = [0.0] * len(EVENTS)
-        known = self.classes
+        known, width, state = self.classes, len(CLASSES), 0
         if len(known) > 500_000:
             known.clear()
-        negated, reported, aimed, insult, threat = 0, False, False, 0.0, False
         for w in TOKEN.findall(text.lower()):
             c = known.get(w)
             if c is None:
                 c = known[w] = self.word(w)
-            kind = c[0]
-            if kind == OTHER:
-                negated -= negated > 0
-            elif kind == END:
-                if aimed and insult:
-                    out[4] += insult
-                if threat and aimed:
-                    out[3] += 1.0
-                negated, reported, aimed, insult, threat = 0, False, False, 0.0, False
-            elif kind == INSULT:
-                out[2 if reported else 1 if negated else 0] += c[1]
-                insult += c[1]
-                negated -= negated > 0
-            elif kind == NEGATION:
-                negated = SCOPE
-            elif kind == REPORT:
-                reported = True
-            elif kind == TARGET:
-                aimed = True
-                negated -= negated > 0
-            else:
-                threat = True
-        if aimed and insult:
-            out[4] += insult
-        if threat and aimed:
-            out[3] += 1.0
+            at = state * width + c[0]
+            for event, weighted in MATCHED[at]:
+                out[event] += c[1] if weighted else 1.0
+            state = NEXT[at]
         return np.array(out)
 
     def fit(self, rows: list[tuple[str, int]], rounds: int = 400, rate: float = 0.2, keep: float = 1e-3) -> Grammar:
