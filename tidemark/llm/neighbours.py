@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by score-aware (anisotropic) product quantisation.
 
-Euclidean nearness is inner product in one more dimension: x becomes (x, |x|^2)
-and q becomes (2q, -1). Vectors are centred, cut into subspaces of a few
-components, and each part is coded in four bits. Codebooks are fitted on a
-bounded sample to a loss in which residual error parallel to the vector, which
-changes inner products, weighs more than error across it. Queries score codes by
-adding entries of small tables; the best go on to exact distances on the
-original vectors.
+Euclidean nearness is maximum inner product: seen from a centre c, the nearest x
+has the greatest 2 (q-c).(x-c) - |x-c|^2 - |q-c|^2. Each vector belongs to the
+nearest of some centres and is coded by its offset from it, in units of that
+cell's spread, so that a dense crowd is told apart as finely as a loose one. An
+offset is cut into subspaces of a few components, each coded in four bits.
+Centres and codebooks are fitted on a bounded sample, the codebooks to a loss in
+which error parallel to the offset, which changes inner products, weighs more
+than error across it. Queries score codes by adding entries of small tables; the
+best go on to exact distances on the original vectors.
 
 Vectors that are equal are coded once, with their least ids, so crowds of copies
 hide nothing. Every vector is scored against every query block by block: groups
@@ -25,61 +27,84 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Components of a subspace, codes of a subspace (four bits), weight of parallel against orthogonal error, vectors the codebooks are fitted on at most.
-PART, CODES, PARALLEL, FITTED = 2, 16, 4.0, 20_000
+#: Components of a subspace, codes of a subspace (four bits), weight of parallel against orthogonal error, cells at most, vectors that the codebooks are fitted on at most.
+PART, CODES, PARALLEL, CELLS, FITTED = 2, 16, 4.0, 64, 20_000
 #: Vectors and queries of a block; best of each block, and of all, that are measured exactly.
-ROWS, QUERIES, RERANK = 8_192, 4_096, 120
+ROWS, QUERIES, RERANK = 8_192, 4_096, 400
 
 
 class Codebooks:
     def __init__(self, x: np.ndarray, rounds: int = 12, seed: int = 5):
-        self.centre = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
         self.dim = x.shape[1]
         self.parts = -(-self.dim // PART)
-        x = self.cut(x)
-        norm = np.maximum(np.sqrt((x**2).sum(axis=(1, 2))), 1e-12)
-        unit = x / norm[:, None, None]
         r = np.random.default_rng(seed)
+        k = max(1, min(CELLS, len(x) // 32))
+        self.centres = x[r.choice(len(x), k, replace=False)].copy() if len(x) else np.zeros((1, self.dim))
+        self.spread = np.ones(k)
+        for _ in range(rounds if len(x) else 0):
+            cell = self.cell_of(x)
+            for c in range(k):
+                if (mine := cell == c).any():
+                    self.centres[c] = x[mine].mean(axis=0)
+        cell = self.cell_of(x)
+        off = x - self.centres[cell] if len(x) else x
+        for c in range(k):
+            if (mine := cell == c).any():
+                self.spread[c] = max(np.sqrt((off[mine] ** 2).sum(axis=1).mean()), 1e-9)
+        y = self.cut(off / self.spread[cell][:, None]) if len(x) else np.zeros((0, self.parts, PART))
+        unit = y / np.maximum(np.sqrt((y**2).sum(axis=(1, 2))), 1e-12)[:, None, None]
         self.books = np.zeros((self.parts, CODES, PART))
-        for p in range(self.parts):
-            book = x[r.integers(0, max(1, len(x)), CODES), p] + r.normal(size=(CODES, PART)) * 1e-6 if len(x) else np.zeros((CODES, PART))
-            for _ in range(rounds if len(x) else 0):
-                code = self.loss(x[:, p], unit[:, p], book).argmin(axis=1)
+        for p in range(self.parts if len(x) else 0):
+            book = y[r.integers(0, len(y), CODES), p] + r.normal(size=(CODES, PART)) * 1e-6
+            for _ in range(rounds):
+                code = self.loss(y[:, p], unit[:, p], book).argmin(axis=1)
                 for c in range(CODES):
                     mine = code == c
                     if mine.any():
-                        # minimum of sum (r.r + (PARALLEL-1) (u.r)^2), r = x - c: a small linear system
+                        # minimum of sum (e.e + (PARALLEL-1) (u.e)^2), e = y - c: a small linear system
                         u = unit[mine, p]
                         a = mine.sum() * np.eye(PART) + (PARALLEL - 1) * u.T @ u
-                        b = x[mine, p].sum(axis=0) + (PARALLEL - 1) * u.T @ (u * x[mine, p]).sum(axis=1)
+                        b = y[mine, p].sum(axis=0) + (PARALLEL - 1) * u.T @ (u * y[mine, p]).sum(axis=1)
                         book[c] = np.linalg.solve(a, b)
             self.books[p] = book
 
+    def cell_of(self, x: np.ndarray) -> np.ndarray:
+        """The nearest centre, found in runs of rows."""
+        half = (self.centres**2).sum(axis=1) / 2
+        runs = [(half - x[lo : lo + 4096] @ self.centres.T).argmin(axis=1) for lo in range(0, len(x), 4096)]
+        return np.concatenate(runs) if runs else np.zeros(0, np.int64)
+
     def cut(self, x: np.ndarray) -> np.ndarray:
-        x = x - self.centre
         return np.pad(x, ((0, 0), (0, self.parts * PART - self.dim))).reshape(len(x), self.parts, PART)
 
     @staticmethod
     def loss(x: np.ndarray, unit: np.ndarray, book: np.ndarray) -> np.ndarray:
-        r = x[:, None, :] - book[None]
-        return (r**2).sum(axis=2) + (PARALLEL - 1) * (r * unit[:, None, :]).sum(axis=2) ** 2
-
-    def encode(self, x: np.ndarray) -> np.ndarray:
-        """Two codes to a byte."""
-        x = self.cut(x)
-        unit = x / np.maximum(np.sqrt((x**2).sum(axis=(1, 2))), 1e-12)[:, None, None]
-        codes = np.stack([self.loss(x[:, p], unit[:, p], self.books[p]).argmin(axis=1) for p in range(self.parts)], 1).astype(np.uint8)
+        e = x[:, None, :] - book[None]
+        return (e**2).sum(axis=2) + (PARALLEL - 1) * (e * unit[:, None, :]).sum(axis=2) ** 2
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, codes (two to a byte) and squared lengths of the offsets."""
+        cell = self.cell_of(x)
+        off = x - self.centres[cell]
+        y = self.cut(off / self.spread[cell][:, None])
+        unit = y / np.maximum(np.sqrt((y**2).sum(axis=(1, 2))), 1e-12)[:, None, None]
+        codes = np.stack([self.loss(y[:, p], unit[:, p], self.books[p]).argmin(axis=1) for p in range(self.parts)], 1).astype(np.uint8)
         codes = np.pad(codes, ((0, 0), (0, self.parts % 2)))
-        return codes[:, ::2] | (codes[:, 1::2] << 4)
+        return cell, codes[:, ::2] | (codes[:, 1::2] << 4), (off**2).sum(axis=1)
 
-    def scan(self, codes: np.ndarray, square: np.ndarray, queries: np.ndarray) -> np.ndarray:
-        """Approximate 2 q.x - |x|^2 in centred space (queries x vectors); |x|^2 is the vector's own."""
-        q = self.cut(queries)
+    def scan(self, cell: np.ndarray, codes: np.ndarray, square: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Approximate negative squared distances (queries x vectors), cell by cell."""
         low, high = codes & 15, codes >> 4
-        out = np.repeat(-square[None].astype(np.float32), len(q), 0)
-        for p in range(self.parts):
-            table = (2 * q[:, p] @ self.books[p].T).astype(np.float32)  # queries x 16
-            out += table[:, (low if p % 2 == 0 else high)[:, p // 2]]
+        out = np.empty((len(queries), len(cell)))
+        for c in np.unique(cell):
+            at = np.flatnonzero(cell == c)
+            off = queries - self.centres[c]
+            q = self.cut(off * (2 * self.spread[c]))
+            total = -square[at][None] - (off**2).sum(axis=1)[:, None]
+            for p in range(self.parts):
+                table = q[:, p] @ self.books[p].T  # queries x 16
+                total += table[:, (low if p % 2 == 0 else high)[at, p // 2]]
+            out[:, at] = total
         return out
 
 
@@ -128,25 +153,25 @@ def nearest_of(own: DataFrame, asked: DataFrame, dim: int, k: int, fitted: int,
     def encode(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             x = b.column(1).flatten().to_numpy().reshape(-1, dim)
-            codes, square = books.value.encode(x), ((x - books.value.centre) ** 2).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(square, pa.float64())], names=["id", "code", "square"])
+            cell, codes, square = books.value.encode(x)
+            coded = pa.array([c.tobytes() for c in codes], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell, pa.int32()), coded, pa.array(square, pa.float64())], names=["id", "cell", "code", "square"])
 
-    coded = entries.select("rep", "x").mapInArrow(encode, "id long, code binary, square double").withColumn("row", F.pmod(F.xxhash64("id"), F.lit(n_rows)))
-    blocks = coded.select("id", "code", "square", F.lit(None).cast("array<double>").alias("x"), "row", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("col"))
+    coded = entries.select("rep", "x").mapInArrow(encode, "id long, cell int, code binary, square double").withColumn("row", F.pmod(F.xxhash64("id"), F.lit(n_rows)))
+    blocks = coded.select("id", "cell", "code", "square", F.lit(None).cast("array<double>").alias("x"), "row", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("col"))
     asking = asked.select(
-        F.col("vec_id").alias("id"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("square"), "x",
+        F.col("vec_id").alias("id"), F.lit(0).alias("cell"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("square"), "x",
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))).alias("row"), F.pmod(F.xxhash64("vec_id"), F.lit(n_queries)).cast("int").alias("col"),
     )
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         vectors, ask = pdf[pdf["code"].notna()], pdf[pdf["code"].isna()]
         ids, codes = vectors["id"].to_numpy(), np.frombuffer(b"".join(vectors["code"]), np.uint8).reshape(len(vectors), -1)
-        square, out = vectors["square"].to_numpy(), []
         order = np.argsort(ids)
-        ids, codes, square = ids[order], codes[order], square[order]
+        ids, codes, square, cell, out = ids[order], codes[order], vectors["square"].to_numpy()[order], vectors["cell"].to_numpy()[order], []
         for lo in range(0, len(ask) if len(ids) else 0, 64):
             part = ask.iloc[lo : lo + 64]
-            s = books.value.scan(codes, square, np.stack(part["x"].to_numpy()))
+            s = books.value.scan(cell, codes, square, np.stack(part["x"].to_numpy()))
             top = np.argsort(-s, axis=1, kind="stable")[:, :rerank] if len(ids) <= 2 * rerank else np.argpartition(-s, rerank, axis=1)[:, :rerank]
             out.append(pd.DataFrame({"query_id": np.repeat(part["id"].to_numpy(), top.shape[1]), "rep": ids[top].ravel(), "approx": np.take_along_axis(s, top, 1).ravel().astype(float)}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "approx": np.zeros(0)})
