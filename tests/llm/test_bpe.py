@@ -44,3 +44,11 @@ def test_digest(docs, prose):
         want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
     assert sorted((tuple(r) for r in bpe.bpe_digest(docs(rows), PATH).collect()), key=str) == sorted(want, key=str)
     assert bpe.bpe_digest(docs([]), PATH).count() == 0
+
+
+def test_decode(spark, docs, prose):
+    both = bpe.bpe_documents(docs(prose), PATH)
+    got = sorted((tuple(r) for r in bpe.decode_documents(both, PATH).collect()), key=str)
+    assert got == sorted(((r["doc_id"], r["decoded"]) for r in both.collect()), key=str)
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [320, 256])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["decoded"] for r in bpe.decode_documents(odd, PATH).collect()} == {1: "", 2: "", 3: "a</w> !</w>"}

@@ -278,6 +278,22 @@ def bpe_documents(docs: DataFrame, vocabulary: str, text_col: str = "text") -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def decode_documents(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
+    """doc_id, decoded of rows with an array of ids: the tokens, one space between; a null or empty array gives ''. Ids outside the vocabulary fail."""
+    with open(vocabulary, encoding="utf-8") as f:
+        symbols = WordBPE(json.load(f)).symbols
+    sent = encoded.sparkSession.sparkContext.broadcast(symbols)
+
+    def run(batches):
+        table = pa.array(sent.value, pa.string())
+        for batch in batches:
+            ids = pc.fill_null(batch.column(1), pa.scalar([], pa.list_(pa.int32())))
+            ends = pa.array(np.cumsum([0, *pc.list_value_length(ids).to_pylist()]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_join(pa.ListArray.from_arrays(ends, table.take(ids.flatten())), " ")], names=["doc_id", "decoded"])
+
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, decoded string")
+
+
 def bpe_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     out = bpe_documents(docs, vocabulary)
