@@ -17,6 +17,7 @@ are a block of vectors and a block of queries, both of bounded size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,8 +149,11 @@ def nearest_of(own: DataFrame, asked: DataFrame, dim: int, k: int, fitted: int,
     fitted = min(fitted, max(8 * CODES, 2_000_000 // dim))  # numbers held on the driver
     learn = np.array([r[0] for r in entries.orderBy(F.xxhash64("rep")).limit(fitted).select("x").collect()], float).reshape(-1, dim)
     books = spark.sparkContext.broadcast(Codebooks(learn))
+    # blocks are dealt by a hash of the id, so the best spread over them; each returns its share and six deviations more
     n_rows, n_queries = max(1, -(-total // ROWS)), max(1, -(-asked.count() // QUERIES))
 
+    keep = min(rerank, math.ceil(rerank / n_rows + 6 * math.sqrt(rerank / n_rows)) + 20)
+
     def encode(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             x = b.column(1).flatten().to_numpy().reshape(-1, dim)
@@ -172,7 +176,7 @@ def nearest_of(own: DataFrame, asked: DataFrame, dim: int, k: int, fitted: int,
         for lo in range(0, len(ask) if len(ids) else 0, 64):
             part = ask.iloc[lo : lo + 64]
             s = books.value.scan(cell, codes, square, np.stack(part["x"].to_numpy()))
-            top = np.argsort(-s, axis=1, kind="stable")[:, :rerank] if len(ids) <= 2 * rerank else np.argpartition(-s, rerank, axis=1)[:, :rerank]
+            top = np.argsort(-s, axis=1, kind="stable")[:, :keep] if len(ids) <= 2 * keep else np.argpartition(-s, keep, axis=1)[:, :keep]
             out.append(pd.DataFrame({"query_id": np.repeat(part["id"].to_numpy(), top.shape[1]), "rep": ids[top].ravel(), "approx": np.take_along_axis(s, top, 1).ravel().astype(float)}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "approx": np.zeros(0)})
 
