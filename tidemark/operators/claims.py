@@ -16,11 +16,6 @@ from .headings import is_relevant, is_softly_negative, is_strongly_negative
 REFERENCES = ["artifact_ref", "local_link_ref"]
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value evaluated once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def nothing_local(t: Column) -> Column:
     return T.is_external(t) | T.looks_like_domain(t) | T.has_extension(t, R.IMAGE_EXTENSIONS) | T.has_extension(t, R.CLAIM_DOC_EXTENSIONS)
 
@@ -54,9 +49,9 @@ def part_commands(part: Column) -> Column:
     )
     local = F.transform(kept, lambda c: F.struct(c["claim_type"], F.when(T.is_external(c["artifact"]) & (c["claim_type"] != "git_clone"), F.lit(None)).otherwise(c["artifact"]).alias("artifact")))
     target = lambda a: F.exists(a, lambda c: c["claim_type"] == "make_target")
-    distinct = let(local, lambda a: F.array_distinct(F.filter(a, lambda c: (c["claim_type"] != "make_cmd") | ~target(a))))
+    distinct = T.let(local, lambda a: F.array_distinct(F.filter(a, lambda c: (c["claim_type"] != "make_cmd") | ~target(a))))
     generic = F.array(F.struct(F.lit("generic_command").alias("claim_type"), F.lit(None).cast("string").alias("artifact")))
-    return let(distinct, lambda a: F.when(F.size(a) > 0, a).otherwise(generic))
+    return T.let(distinct, lambda a: F.when(F.size(a) > 0, a).otherwise(generic))
 
 
 def shell_claims(text: Column) -> Column:
@@ -71,7 +66,7 @@ def text_artifacts(text: Column) -> Column:
     tokens = F.transform(F.concat(*[T.all_matches(text, p, 0) for p in R.ARTIFACTS]), T.canonical_path)
     good = F.filter(tokens, is_local_path)
     keyed = F.transform(good, lambda t: F.struct(F.when(F.contains(t, F.lit("/")), F.lower(t)).otherwise(F.lower(T.basename(t))).alias("key"), t.alias("t")))
-    first = let(keyed, lambda k: F.filter(k, lambda x, i: F.array_position(F.transform(k, lambda y: y["key"]), x["key"]) == i + 1))
+    first = T.let(keyed, lambda k: F.filter(k, lambda x, i: F.array_position(F.transform(k, lambda y: y["key"]), x["key"]) == i + 1))
     return F.transform(first, lambda x: x["t"])
 
 

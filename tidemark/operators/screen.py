@@ -20,14 +20,15 @@ def search_queries(spark: SparkSession, language: str, today: str) -> DataFrame:
 
 def language_reason(text: Column | str) -> Column:
     """Why a text does not pass as English prose; null if it does."""
-    p = T.prose(text)
-    tokens = T.alpha_tokens(p)
-    return (
-        F.when(F.size(tokens) < R.MIN_ALPHA_TOKENS, "insufficient_natural_language_for_english_check")
-        .when(T.ascii_ratio(p) < R.MIN_ASCII_RATIO, "non_english_readme_low_ascii_ratio")
-        .when(T.function_ratio(tokens) < R.MIN_FUNCTION_RATIO, "weak_english_function_word_signal")
-        .when(T.alpha_ratio(tokens, p) < R.MIN_ALPHA_RATIO, "readme_too_code_or_markup_heavy")
-    )
+    def reason(p: Column, tokens: Column) -> Column:
+        return (
+            F.when(F.size(tokens) < R.MIN_ALPHA_TOKENS, "insufficient_natural_language_for_english_check")
+            .when(T.ascii_ratio(p) < R.MIN_ASCII_RATIO, "non_english_readme_low_ascii_ratio")
+            .when(T.function_ratio(tokens) < R.MIN_FUNCTION_RATIO, "weak_english_function_word_signal")
+            .when(T.alpha_ratio(tokens, p) < R.MIN_ALPHA_RATIO, "readme_too_code_or_markup_heavy")
+        )
+
+    return T.let(T.prose(text), lambda p: T.let(T.alpha_tokens(p), lambda tokens: reason(p, tokens)))
 
 
 def excluded_by_name(full_name: Column | str, description: Column | str) -> Column:
