@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import substring
 
@@ -40,3 +41,31 @@ def test_empty(docs):
     assert substring.dedup_digest(docs([])).count() == 0
     got = substring.dedup_digest(docs([(1, None), (2, "")])).collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(1, 0, 0), (2, 0, 0)]
+
+
+def test_windows_that_agree_in_half_their_hash(docs):
+    """One anchor, different windows, the same top 32 bits: found by search over the last word."""
+    texts = [" ".join([f"w{i}" for i in range(34)] + [last]) for last in ("n4951", "n117952")]
+    data = " ".join(texts).encode()
+    words, first = substring.words_of(np.frombuffer(data, np.uint8), np.array([0, len(texts[0]) + 1, len(data)]))
+    hashes, _, seg, anchor, *_ = substring.segments(words, first, 35, 12)
+    assert len(hashes) == 2 and anchor[seg[0]] == anchor[seg[1]] and hashes[0] != hashes[1] and hashes[0] >> np.uint64(32) == hashes[1] >> np.uint64(32)
+    assert [r["n_removed"] for r in substring.deduplicated(docs(list(enumerate(texts)))).collect()] == [0, 0]
+
+
+def test_a_common_anchor_is_split_and_equal_windows_still_meet(spark, docs):
+    phrase = [f"p{i}" for i in range(20)]
+    rows = [(i, " ".join([f"a{i % 150}x{j}" for j in range(20)] + phrase + [f"b{i % 150}y{j}" for j in range(20)])) for i in range(200)]
+    want = {(doc, n) for doc, _, n, _ in brute(rows, 35)}
+    assert {n for _, n in want} == {0, 60}
+    found = substring.repeated_windows(docs(rows).repartition(4), 35, 12, buckets=3, limit=40).collect()
+    keys = {r["key"]: r["doc_id"] for r in docs(rows).select("doc_id", substring.row_key().alias("key")).collect()}
+    bits = {}
+    for r in found:
+        bits.setdefault(keys[r["key"]], []).append((r["start"], r["bits"]))
+    assert {(i, int(substring.covered(60, *zip(*bits[i]), 35).sum()) if i in bits else 0) for i, _ in rows} == want
+    texts = docs(rows).select("text")
+    parts = substring.bucket_parts(texts, 35, 12, 3, 40)
+    sent = [b for b in substring.shipped(pa.array([t for _, t in rows]), np.arange(200), 35, 12, parts)]
+    sizes = [len(h) for b in sent for g, h in zip(b.column(0).to_pylist(), b.column(6).to_pylist()) if g >= 0]
+    assert parts.max() > 10 and max(sizes) < 120 and sum(sizes) == 150 * 26

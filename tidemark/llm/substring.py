@@ -7,7 +7,9 @@ least hash of a shorter run of words inside them, leftmost if equal) form a
 segment, and equal windows lie at equal places of segments with equal anchors,
 so a bucket of anchors sees all copies of its windows. A window that a batch
 holds more than once is known to repeat before the shuffle and is sent once for
-the batch, so no passage, however common, fills a bucket.
+the batch, so no passage, however common, fills a bucket. Different windows around
+a common anchor could: a first pass counts each bucket's windows, and a bucket with
+more than ``limit`` is split by the windows' own hashes, so equal windows still meet.
 
 Repeated windows come back as bits of their segment, merge into maximal
 intervals for each document, and the words they cover are removed.
@@ -110,15 +112,15 @@ def segments(words: np.ndarray, first: np.ndarray, size: int, gram: int):
     return hashes, at, np.cumsum(new) - 1, anchors[place[begin]], doc[begin], at[begin], begin
 
 
-SENT = "bucket int, anchors array<long>, keys array<long>, starts array<int>, masks array<int>, known array<int>, hashes array<int>"
+SENT = "bucket int, anchors array<long>, keys array<long>, starts array<int>, masks array<int>, known array<int>, hashes array<long>"
 
 
 def lists(column: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(column, kind))
 
 
-def shipped(texts: pa.Array, keys: np.ndarray, size: int, gram: int, buckets: int):
-    """Rows for the shuffle: for each bucket the segments whose anchors fall in it; bucket -1-b: what this batch alone has decided."""
+def sliced(texts: pa.Array, size: int, gram: int):
+    """For each slice of texts that has windows: its rows, the texts' first words, and segments()."""
     for lo, hi in text_slices(texts):
         part = texts.slice(lo, hi - lo)
         offsets = offsets_of(part)
@@ -127,53 +129,65 @@ def shipped(texts: pa.Array, keys: np.ndarray, size: int, gram: int, buckets: in
             continue
         words, first = words_of(data, offsets - offsets[0])
         found = segments(words, first, size, gram)
-        if found is None:
-            continue
+        if found is not None:
+            yield lo, hi, first, found
+
+
+def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    return ((anchor >> U(20)) % U(buckets)).astype(np.int64)
+
+
+def shipped(texts: pa.Array, keys: np.ndarray, size: int, gram: int, parts: np.ndarray):
+    """Rows for the shuffle: for each bucket and part of it the windows that fall in it, by segments; bucket -1-b: what this batch alone has decided.
+
+    parts has each bucket's number of parts; part k of bucket b is sent as bucket b + k * len(parts).
+    """
+    buckets = len(parts)
+    for lo, hi, first, found in sliced(texts, size, gram):
         hashes, at, seg, anchor, doc, start, begin = found
         bit = (np.arange(len(hashes)) - begin[seg]).astype(np.int64)
         _, first_of, back, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         again = count[back] > 1
-        lone = np.zeros(len(hashes), bool)
-        lone[first_of] = True
         power = np.int64(1) << bit
-        masks = np.add.reduceat(np.where(lone, power, 0), begin)
         known = np.add.reduceat(np.where(again, power, 0), begin)
         key = keys[lo:hi][doc]
         offset = (start - first[doc]).astype(np.int32)
-        bucket = ((anchor >> U(20)) % U(buckets)).astype(np.int64)
-        keep = np.flatnonzero(masks)
-        order = keep[np.argsort(bucket[keep], kind="stable")]
-        sent = np.concatenate([hashes[:0], hashes[lone][np.argsort(bucket[seg[lone]], kind="stable")]])
-        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        cuts = np.concatenate((edges, [len(order)]))
-        per = np.concatenate(([0], np.cumsum(np.bitwise_count(masks[order]))))[cuts]
-        small = lambda a: a[order].astype(np.int32)
+        lone = np.sort(first_of)
+        bucket = bucket_of(anchor, buckets)[seg[lone]]
+        bucket += buckets * (hashes[lone] % parts[bucket].astype(U)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        lone, bucket = lone[order], bucket[order]
+        rows = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(seg[lone], prepend=-1) != 0))  # a segment's windows in one part
+        edges = np.flatnonzero(np.diff(bucket[rows], prepend=-1))
+        cuts = np.concatenate((edges, [len(rows)]))
+        of = seg[lone[rows]]
+        bits = lambda on: np.add.reduceat(np.where(on, power[lone], 0), rows).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(bucket[order][edges].astype(np.int32)),
-                lists(anchor[order].view(np.int64), cuts, pa.int64()),
-                lists(key[order], cuts, pa.int64()),
-                lists(offset[order], cuts, pa.int32()),
-                lists(small(masks), cuts, pa.int32()),
-                lists(small(known & masks), cuts, pa.int32()),
-                lists((sent >> U(32)).astype(np.uint32).view(np.int32), per, pa.int32()),
+                pa.array(bucket[rows][edges].astype(np.int32)),
+                lists(anchor[of].view(np.int64), cuts, pa.int64()),
+                lists(key[of], cuts, pa.int64()),
+                lists(offset[of], cuts, pa.int32()),
+                lists(bits(True), cuts, pa.int32()),
+                lists(bits(again[lone]), cuts, pa.int32()),
+                lists(hashes[lone].view(np.int64), np.append(rows, len(lone))[cuts], pa.int64()),
             ],
             names=["bucket", "anchors", "keys", "starts", "masks", "known", "hashes"],
         )
         told = np.flatnonzero(known)
         if len(told):
-            none = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), pa.array([], pa.int32()))
+            none = lambda kind: pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), pa.array([], kind))
             ends = np.array([0, len(told)])
             where = -1 - int(anchor[0] % U(buckets))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([where], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), pa.array([], pa.int64())),
+                    none(pa.int64()),
                     lists(key[told], ends, pa.int64()),
                     lists(offset[told], ends, pa.int32()),
-                    none,
+                    none(pa.int32()),
                     lists(known[told].astype(np.int32), ends, pa.int32()),
-                    none,
+                    none(pa.int64()),
                 ],
                 names=["bucket", "anchors", "keys", "starts", "masks", "known", "hashes"],
             )
@@ -185,14 +199,17 @@ def repeated(rows: pd.DataFrame) -> pd.DataFrame:
     keys, starts, known = join("keys", np.int64), join("starts", np.int32), join("known", np.int32)
     if rows["bucket"].iloc[0] < 0:
         return pd.DataFrame({"key": keys, "start": starts, "bits": known})
-    anchors, masks, hashes = join("anchors", np.int64).view(U), join("masks", np.int32).view(np.uint32), join("hashes", np.int32).view(np.uint32)
+    anchors, masks, hashes = join("anchors", np.int64).view(U), join("masks", np.int32).view(np.uint32), join("hashes", np.int64).view(U)
     per = np.bitwise_count(masks).astype(np.int64)
     seg = np.repeat(np.arange(len(masks)), per)
     begin = np.cumsum(per) - per
-    bits = (masks[:, None] >> np.arange(32, dtype=np.uint32)) & 1
-    bit = np.nonzero(bits)[1].astype(np.uint32)
-    window = mixed(anchors[seg] ^ mixed(hashes.astype(U) + U(1)))
-    _, back, count = np.unique(window, return_inverse=True, return_counts=True)
+    bit = np.nonzero(np.unpackbits(masks.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little"))[1].astype(np.uint32)
+    order = np.lexsort((anchors[seg], hashes))
+    h, a = hashes[order], anchors[seg[order]]
+    fresh = np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (a[1:] != a[:-1])))  # windows are equal if all bits of both are
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(fresh) - 1
+    count = np.bincount(back)
     more = np.bincount(back, weights=(known.view(np.uint32)[seg] >> bit) & 1, minlength=len(count))
     hit = (count + more)[back] > 1
     out = np.add.reduceat(np.where(hit, np.int64(1) << bit.astype(np.int64), 0), begin) if len(begin) else np.zeros(0, np.int64)
@@ -211,7 +228,24 @@ def covered(n: int, starts, bits, size: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def repeated_windows(docs: DataFrame, size: int = 35, gram: int = 12, buckets: int | None = None) -> DataFrame:
+def bucket_parts(texts: DataFrame, size: int, gram: int, buckets: int, limit: int) -> np.ndarray:
+    """How many parts each bucket takes so that none has many more windows than limit; only buckets with more come to the driver."""
+
+    def run(batches):
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for _, _, _, (_, _, seg, anchor, *_) in sliced(batch.column(0), size, gram):
+                total += np.bincount(bucket_of(anchor, buckets)[seg], minlength=buckets)
+        on = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(total[on])], names=["bucket", "n"])
+
+    parts = np.ones(buckets, np.int64)
+    for bucket, n in texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > limit).collect():
+        parts[bucket] = min(-(-n // limit), ((1 << 31) - 1) // buckets)  # a bucket's number is an int
+    return parts
+
+
+def repeated_windows(docs: DataFrame, size: int = 35, gram: int = 12, buckets: int | None = None, limit: int = 1 << 19) -> DataFrame:
     """key (row_key), start (of a segment, in words) and bits (which of its windows repeat), docs being doc_id and text.
 
     ``size - gram`` is at most 30, as a segment's windows are bits of an int.
@@ -220,11 +254,14 @@ def repeated_windows(docs: DataFrame, size: int = 35, gram: int = 12, buckets: i
         raise ValueError("size - gram must be from 1 to 30")
     buckets = buckets or 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    texts = docs.select(row_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = docs.sparkSession.sparkContext.broadcast(bucket_parts(texts.select("text"), size, gram, buckets, limit))
+
     def run(batches):
         for batch in batches:
-            yield from shipped(batch.column(1), batch.column(0).to_numpy(), size, gram, buckets)
+            yield from shipped(batch.column(1), batch.column(0).to_numpy(), size, gram, parts.value)
 
-    sent = docs.select(row_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SENT)
+    sent = texts.mapInArrow(run, SENT)
     back = sent.groupBy("bucket").applyInPandas(repeated, "key long, start int, bits int")
     return back.groupBy("key", "start").agg(F.bit_or("bits").alias("bits"))
 
