@@ -68,3 +68,19 @@ def test_clean_keeps_what_shares_nothing(spark, docs, prose):
     assert kept.columns == docs(prose).columns
     clean = [x[0] for x in brute(prose, items) if not x[5]]
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, clean))
+
+
+def test_an_item_as_long_as_a_gram_beside_long_ones(spark, docs):
+    """Seven words are a gram of a long item too; each kind keeps its own span."""
+    r = random.Random(4)
+    long = [f"l{i}" for i in range(24)]
+    seven = [f"s{i}" for i in range(7)]
+    other = lambda n: [f"o{r.randrange(10**6)}" for _ in range(n)]
+    items = [(1, " ".join(long)), (2, " ".join(seven)), (3, " ".join(long[2:9])), (4, "a b c d e f g h i")]
+    texts = [other(5) + long[k : k + n] + other(4) for k in range(12) for n in (7, 9, 10, 11, 12)]
+    texts += [other(3) + seven, seven, seven + other(1), seven[:6] + other(5), long[2:9], long[:9], other(2) + long[9:16]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    check(spark, docs, rows, items)
+    check(spark, docs, rows, items[:2])
+    kept = decontaminate.clean(docs(rows), spark.createDataFrame(items[:2], ITEM))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [x[0] for x in sorted(brute(rows, items[:2])) if not x[5]]

@@ -61,12 +61,12 @@ def kept(kh: str, p: str, run: int) -> str:
 
 
 def picked(array: str, gram: int, span: int, test: str = "true") -> str:
-    """SQL for the kept grams of an array of words: fp, kk, pos, ctx (the words up to span - gram before and after), lead (how many before)."""
+    """SQL for the kept grams of an array of words: fp, kk (the span, which tells kinds of items apart), pos, ctx (the words up to span - gram before and after), lead (how many before)."""
     around = span - gram
     ctx = f"slice({array}, greatest(p - {around}, 0) + 1, least(p, {around}) + {gram + around})"
     body = (
         f"if(size(kh) = 0, array(), transform(filter(sequence(0, size(kh) - 1), p -> {test.format(x='get(kh, p)')} and {kept('kh', 'p', around + 1)}), "
-        f"p -> struct(get(kh, p) as fp, {gram} as kk, p as pos, {ctx} as ctx, least(p, {around}) as lead, 0 as n)))"
+        f"p -> struct(get(kh, p) as fp, {span} as kk, p as pos, {ctx} as ctx, least(p, {around}) as lead, 0 as n)))"
     )
     empty = "cast(array() as array<struct<fp:bigint,kk:int,pos:int,ctx:array<string>,lead:int,n:int>>)"
     return let(grams(array, gram), "kh", body.replace("array(), transform", f"{empty}, transform", 1))
@@ -103,31 +103,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = 7, span: in
     found, kinds = item_grams(benchmark, gram, span)
     small = found.count() <= few
     tests = {}
-    for g, _ in kinds:
-        fps = [str(r[0]) for r in found.where(F.col("kk") == g).select("fp").distinct().collect()] if small else []
-        tests[g] = f"{{x}} in ({', '.join(fps)})" if fps else "true"
+    for _, s in kinds:
+        fps = [str(r[0]) for r in found.where(F.col("kk") == s).select("fp").distinct().collect()] if small else []
+        tests[s] = f"{{x}} in ({', '.join(fps)})" if fps else "true"
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col("text")).alias("key"), F.expr(words("text")).alias("ws"))
     starts = f"if(size(ws) = 0, array(0), sequence(0, size(ws) - 1, {PIECE}))"
     pieces = cut.select("doc_id", "key", F.posexplode(F.expr(f"transform({starts}, s -> slice(ws, s + 1, {PIECE + span - 1}))")).alias("at", "piece"))
     head = f"array(struct(xxhash64(key, at) as fp, -1 as kk, 0 as pos, cast(array() as array<string>) as ctx, 0 as lead, least(size(piece), {PIECE}) as n))"
     # the last words of a piece belong to the next one's count, unless there is none: size(piece) is then at most PIECE or the rest follows as a piece
-    parts = ", ".join([head, *(picked("piece", g, s, tests[g]) for g, s in kinds)])
+    parts = ", ".join([head, *(picked("piece", g, s, tests[s]) for g, s in kinds)])
     rows = pieces.select("doc_id", "key", "at", F.explode(F.expr(f"concat({parts})")).alias("g")).select("doc_id", "key", "at", "g.*")
     joined = rows.join(F.broadcast(found) if small else found, ["fp", "kk"], "left")
     checks = "cast(array() as array<int>)"
     for g, s in kinds:
         same = f"slice(ctx, lead - o + 1, {s})"
         checks = (
-            f"if(kk = {g}, filter(sequence(0, {s - g}), o -> lead >= o and i_lead >= o and size({same}) = {s} and {same} = slice(i_ctx, i_lead - o + 1, {s})), {checks})"
+            f"if(kk = {s}, filter(sequence(0, {s - g}), o -> lead >= o and i_lead >= o and size({same}) = {s} and {same} = slice(i_ctx, i_lead - o + 1, {s})), {checks})"
         )
-    sizes = "case kk " + " ".join(f"when {g} then {s}" for g, s in kinds) + " else 0 end" if kinds else "0"
     hit = joined.select(
         "doc_id",
         "key",
         "item",
         "n",
         F.expr("kk = -1 and at = 0").alias("first"),
-        F.expr(f"if(item is null and i_ctx is null, null, transform({checks}, o -> struct(at * {PIECE} + pos - o as start, {sizes} as n_words)))").alias("hits"),
+        F.expr(f"if(item is null and i_ctx is null, null, transform({checks}, o -> struct(at * {PIECE} + pos - o as start, kk as n_words)))").alias("hits"),
     )
     found_hit = F.size("hits") > 0
     out = hit.groupBy("doc_id", "key").agg(
