@@ -67,6 +67,22 @@ def test_terms_that_reveal_a_value(docs):
     assert got[601] == got[603] == "email:10:17"
 
 
+def test_terms_far_from_a_value(docs):
+    """Over 60 characters away, or near in some texts and far in others: whole texts count."""
+    fill = lambda i: " ".join(f"fill{i}x{j}" for j in range(20))
+    rows = [(i, f"head{i} quorvex tail{i} {fill(i)} bob.q@corp.example.com end{i}") for i in range(5)]
+    rows += [(10 + i, f"at{i} marlune by{i} " + (fill(10 + i) if i % 4 else "") + f" ann.r@corp.example.com z{i}") for i in range(8)]
+    # one text, however often it says a word, and copies of it are one context
+    once = f"the nimbrel and nimbrel or nimbrel {fill(30)} joe.s@corp.example.com"
+    rows += [(30 + i, once) for i in range(4)] + [(100 + i, f"nothing and then here{i}") for i in range(400)]
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_digest(docs(rows)).collect()}
+    for i, text in rows[:13]:
+        name = "quorvex" if i < 10 else "marlune"
+        at = text.index(name)
+        assert got[i].split(",")[0] == f"term:{at}:{at + len(name)}" and got[i].count("term") == 1, (i, got[i])
+    assert all("term" not in got[i] for i, _ in rows[13:])
+
+
 def test_sanitised(docs):
     df = docs(revealing() + [(700, None), (701, ""), (702, "no data")])
     out = pii.sanitised(df)

@@ -3,12 +3,14 @@
 Base spans come from fixed patterns. A pattern's matches and what lies between
 them (``regexp_extract_all`` and ``split``) give positions by adding up lengths.
 
-Terms that stand near a protected value can give it away once it is removed. For
-a term t and a value e the corpus tells how likely e is near t, p(e|t), and how
-many bits t tells about e, log2 p(e|t)/p(e). Terms that reach both thresholds and
-were seen near e between enough different words (copies of a text, exact or near,
-count once) are spans too, wherever they stand in a text that holds e. Document frequencies
-of such terms are counted over all documents.
+Terms that stand in a text with a protected value can give it away once it is
+removed. For a term t and a value e the corpus tells how likely a text with t holds
+e, p(e|t), and how many bits t tells about e, log2 p(e|t)/p(e), both over whole texts.
+Terms that reach both thresholds and were seen between enough different words are
+spans too, wherever they stand in a text that holds e. Different words are counted
+once a text that holds e (so copies, exact or near, count once), or among all
+places within CONTEXT of e if that gives more. Document frequencies of such terms are
+counted over all documents.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ KINDS = (
     ("phone", "digits and instr(text, '+') > 0", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Characters before and after a value that count as its context.
+#: Characters before and after a value in which each place of a term counts by itself.
 CONTEXT = 60
 SPAN = "start:bigint,rank:int,kind:string,stop:bigint,value:string"
 
@@ -68,8 +70,19 @@ def base_spans() -> str:
     return f"array_sort(filter(concat({', '.join(parts)}), s -> {valid()}))"
 
 
+def beside(c: str = "c") -> str:
+    """SQL on words ws and a place i: the words before and after, hashed."""
+    return f"xxhash64(coalesce(get(ws, i - 1), ''), coalesce(get(ws, i + 1), '')) as {c}"
+
+
+def text_terms() -> str:
+    """SQL on text: its different terms, each with the least hash of the words beside it."""
+    placed = f"element_at(transform(array({words('text')}), ws -> array_sort(array_distinct(filter(transform(ws, (w, i) -> struct(w as term, {beside()})), x -> length(x.term) > 2)))), 1)"
+    return f"element_at(transform(array({placed}), xs -> filter(xs, (x, i) -> i = 0 or get(xs, i - 1).term <> x.term)), 1)"
+
+
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, key, base (spans) for each row, and near (value, context words) of each base span. A null text counts as empty."""
+    """doc_id, key, base (spans) for each row, near (value, context words) of each base span, and terms (of the whole text) if it has any. A null text counts as empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spans = rows.withColumn("digits", F.col("text").rlike("[0-9]")).withColumn("base", F.expr(base_spans()))
     left = f"substring(text, cast(greatest(s.start - {CONTEXT}, 0) + 1 as int), cast(least(s.start, {CONTEXT}) as int))"
@@ -77,27 +90,34 @@ def found(docs: DataFrame) -> DataFrame:
     # a word cut off by the context's end is dropped with the piece it stands in
     context = f"concat(if(s.start > {CONTEXT}, regexp_replace({left}, r'^\\S*', ''), {left}), ' ', regexp_replace({right}, r'\\S*$', ''))"
     near = f"transform(base, s -> struct(concat(s.kind, ':', lower(s.value)) as value, {context} as context))"
-    return spans.select("doc_id", "key", "base", F.expr(near).alias("near"))
+    terms = f"if(size(base) > 0, {text_terms()}, cast(array() as array<struct<term:string,c:bigint>>))"
+    return spans.select("doc_id", "key", "base", F.expr(near).alias("near"), F.expr(terms).alias("terms"))
 
 
 def revealing(docs: DataFrame, base: DataFrame, support: int = 3, share: float = 0.5, bits: float = 4.0, few: int = 20_000) -> DataFrame | None:
     """value, term of terms that reveal a value; None if there are none. base is the stored result of found()."""
     seen = base.where("size(base) > 0").select("key", F.explode("near").alias("n")).select("key", "n.value", "n.context")
     ws = words("context")
-    beside = "xxhash64(coalesce(get(ws, i - 1), ''), coalesce(get(ws, i + 1), ''))"
-    said = seen.select("key", "value", F.explode(F.expr(f"element_at(transform(array({ws}), ws -> transform(ws, (w, i) -> struct(w as term, {beside} as c))), 1)")).alias("t"))
-    said = said.select("key", "value", "t.*").where("length(term) > 2 and not contains(value, term)")
-    pairs = said.groupBy("value", "term").agg(F.count_distinct("c").alias("contexts"), F.count_distinct("key").alias("together")).where(F.col("contexts") >= support)
-    # a term is in no fewer documents than it is near values of any kind, so most pairs are decided here
-    least = said.groupBy("term").agg(F.count_distinct("key").alias("at_least"))
-    pairs = stored(pairs.join(least, "term").where(F.col("together") >= share * F.col("at_least")).drop("at_least"), "pairs")
+    said = seen.select("value", F.explode(F.expr(f"element_at(transform(array({ws}), ws -> transform(ws, (w, i) -> struct(w as term, {beside()}))), 1)")).alias("t")).select("value", "t.*")
+    said = said.where("length(term) > 2 and not contains(value, term)")
+    close = said.groupBy("value", "term").agg(F.count_distinct("c").alias("close")).where(F.col("close") >= support)
+    rows = base.where("size(base) > 0").select("key", F.expr("array_distinct(near.value)").alias("held"), "terms").dropDuplicates(["key"])
+    values = rows.select(F.explode("held").alias("value")).groupBy("value").agg(F.count("*").alias("with_value"))
+    # a value in fewer texts than support has as many contexts only by those close to it
+    able = values.where(F.col("with_value") >= support).select("value").union(close.select("value")).distinct()
+    held = rows.select("key", F.explode("held").alias("value")).join(able, "value").groupBy("key").agg(F.collect_list("value").alias("able"))
+    both = rows.join(held, "key").select("terms", F.explode("able").alias("value")).select("value", F.explode("terms").alias("t")).select("value", "t.*").where("not contains(value, term)")
+    pairs = both.groupBy("value", "term").agg(F.count("*").alias("together"), F.count_distinct("c").alias("contexts"))
+    pairs = pairs.join(close, ["value", "term"], "left").where((F.col("contexts") >= support) | F.col("close").isNotNull())
+    # a term is in no fewer documents than it is in with values of any kind, so most pairs are decided here
+    least = rows.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("at_least"))
+    pairs = stored(pairs.join(least, "term").where(F.col("together") >= share * F.col("at_least")).select("value", "term", "together"), "pairs")
     terms = pairs.select("term").distinct()
     n = terms.count()
     if not n:
         return None
     told = docs.select(F.explode(F.expr(f"array_distinct({words('text')})")).alias("term"))
     counts = told.join(F.broadcast(terms) if n <= few else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
-    values = seen.groupBy("value").agg(F.count_distinct("key").alias("with_value"))
     total = base.count()
     gained = pairs.join(counts, "term").join(values, "value").withColumn("p", F.col("together") / F.col("with_term"))
     gained = gained.where((F.col("p") >= share) & (F.log2(F.col("p") * total / F.col("with_value")) >= bits))
