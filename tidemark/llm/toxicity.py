@@ -2,14 +2,17 @@
 
 Four transducers are composed. The lexical one reads words and writes classes:
 insults (stems with weights, induced from labelled rows), threats, targets,
-negations, reported-speech verbs, clause ends. The negation one marks what stands
-in a negation's scope, the reporting one what follows a verb of speech in its
-clause, and the clause one matches insults and threats with targets and writes
-weighted events. Their composition is a table of states and classes. Documents
-are scored by the weights of matched events, which are fitted on the labelled
-sample too.
-
-Insult stems are prefixes and words that are far more frequent in labelled toxic
+negations, reported-speech verbs, particles (the small words that clauses are
+built with, learned from the same rows), clause ends. The negation one marks what
+stands in a negation's scope, the reporting one what follows a verb of speech in
+its clause, and the clause one accepts a clause at its end if an insult has an
+argument in it (a target, or a particle that frames it) or a threat has a target.
+Words alone match nothing. An accepted clause weighs as much as its heaviest
+insult. Their composition is a table of states and classes. Documents are scored
+by the weights of accepted clauses of each kind and by how many clauses there
+are; these are fitted on the labelled sample too.
+
+Insult stems are prefixes that are far more frequent among the words of toxic
 rows: the grammar holds what inflection varies. The sample is bounded
 (``per_class`` rows of each label); scoring covers whole texts.
 """
@@ -35,17 +38,26 @@ TARGETS = {"you", "your", "he", "she", "they", "them", "him", "her", "du", "dich
 NEGATIONS = {"not", "no", "never", "isn", "aren", "don", "nicht", "kein", "keine", "nie", "ne", "pas", "jamais", "nunca", "jamás"}
 REPORTS = {"said", "says", "wrote", "claimed", "quoted", "sagte", "schrieb", "behauptete", "dit", "écrit", "dijo", "escribió"}
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = CLASSES = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, PARTICLE, END = CLASSES = range(8)
 #: Words that a negation reaches.
 SCOPE = 3
-EVENTS = PLAIN, NEGATED, REPORTED, THREATENED, AIMED = ("plain", "negated", "reported", "threat", "aimed")
+#: What an insult may stand in, from the least to the most telling.
+CONTEXTS = IN_NEGATION, IN_REPORT, IN_PLAIN = range(3)
+EVENTS = NEGATED, REPORTED, FRAMED, AIMED, THREATENED = ("negated", "reported", "framed", "aimed", "threat")
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
-#: Lengths of stems that are tried; labelled toxic rows a stem needs; how many times likelier it is among them.
+#: Lengths of stems that are tried; labelled toxic rows a stem needs; how many times likelier it is among their words.
 STEM, SUPPORT, LIFT = (4, 7), 4, 12.0
 #: What a stem's likelihood ratio statistic must reach: a stem of chance rarely does, however many are tried.
 EVIDENCE = 22.0
+#: A particle's least share of labelled rows.
+COMMON = 0.05
+#: Weight of a document's clauses of one kind from which on more of them add nothing.
+MOST = 60.0
+#: Weight of a threat with a target; weights of the events where no row tells.
+MENACE, PRIOR = 6.0, (0.0, 0.0, 5.0, 0.0, 5.0)
 # Insults the grammar knows from the start.
 INSULTS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "disgusting", "scum", "trash", "clown", "dumb", "jerk", "blödmann", "dummkopf", "trottel", "imbécile", "crétin", "estúpido", "imbécil", "tonto")
+ENDINGS = ("", "e", "en", "es", "n", "s")
 
 
 def stems_of(word: str) -> list[str]:
@@ -59,45 +71,64 @@ def evidence(a: int, n: int, b: int, m: int) -> float:
     return 2 * (part(a, n, rate) + part(b, m, rate) + part(n - a, n, 1 - rate) + part(m - b, m, 1 - rate)) if 0 < rate < 1 else 0.0
 
 
-def induced(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Stems with weights (log of how much likelier they are in toxic rows); the shortest that qualifies stands for longer ones,
-    as far on as it keeps nine tenths of its rows.
-
-    A toxic row counts for a stem only as far as the stem's neighbours differ: copies
-    of one text, exact or near, are no more evidence than the text itself.
-    """
-    toxic = [TOKEN.findall(t.lower()) for t, y in rows if y]
-    often = Counter(s for words in toxic for s in {s for w in set(words) for s in stems_of(w)})
-    tried = {s for s, n in often.items() if n >= SUPPORT} | {s[: STEM[1]] for s in INSULTS}
-    around: dict[str, set] = {s: set() for s in tried}
-    for words in toxic:
+def places(texts: list[list[str]], stems: set[str]) -> dict[str, tuple[int, int]]:
+    """For each stem the different places (pairs of neighbours) it has, and the texts most of whose places for it no earlier text has:
+    copies of one text, exact or near, are no more evidence than the text itself."""
+    seen: dict[str, set] = {s: set() for s in stems}
+    rows: Counter = Counter()
+    for words in texts:
+        here: dict[str, set] = {}
         for before, w, after in zip(["", *words], words, [*words[1:], ""]):
             for s in stems_of(w):
-                if s in tried:
-                    around[s].add(hash((before, after)))
-    clean: Counter = Counter()
-    for t, y in rows:
-        if not y:
-            clean.update({s for w in set(TOKEN.findall(t.lower())) for s in stems_of(w)} & tried)
-    n, m = len(toxic), len(rows) - len(toxic)
-    count = {s: (min(often[s], len(around[s])), clean[s]) for s in tried}
-    lift = {s: ((a + 0.1) / (n + 0.2)) / ((b + 0.1) / (m + 0.2)) for s, (a, b) in count.items()}
-    out = {s: math.log(max(LIFT, lift[s[: STEM[1]]])) for s in INSULTS}
+                if s in seen:
+                    here.setdefault(s, set()).add(hash((before, after)))
+        for s, p in here.items():
+            rows[s] += 2 * len(p - seen[s]) > len(p)
+            seen[s] |= p
+    return {s: (len(p), rows[s]) for s, p in seen.items()}
+
+
+def induced(rows: list[tuple[str, int]]) -> dict[str, float]:
+    """Stems with weights (log of how much likelier they are among the words of toxic rows); the shortest that qualifies stands
+    for longer ones, as far on as it keeps nine tenths of its places."""
+    split = {y: [TOKEN.findall(t.lower()) for t, z in rows if z == y] for y in (0, 1)}
+    said = {y: Counter(w for words in split[y] for w in words) for y in (0, 1)}
+    n, m = (max(1, said[y].total()) for y in (1, 0))
+    raw = {y: Counter() for y in (0, 1)}
+    for y in (1, 0):
+        for w, k in said[y].items():
+            for s in stems_of(w):
+                if y or s in raw[1]:
+                    raw[y][s] += k
+    known = {s[: STEM[1]] for s in INSULTS}
+    tried = {s for s, k in raw[1].items() if k >= SUPPORT and 3 * k * m >= LIFT * raw[0][s] * n} | known
+    toxic, clean = places(split[1], tried), places(split[0], tried)
+    count = {s: (toxic[s][0], clean[s][0]) for s in tried}
+    lift = {s: ((a + 0.1) / n) / ((b + 0.1) / m) for s, (a, b) in count.items()}
+    out = {s: math.log(max(LIFT, lift[s[: STEM[1]]])) for s in INSULTS if sum(count[s[: STEM[1]]])}
     longer: dict[str, list[str]] = {}
     for s in tried:
         longer.setdefault(s[:-1], []).append(s)
     for s in sorted(tried, key=lambda s: (len(s), s)):
         a, b = count[s]
-        if a >= SUPPORT and lift[s] >= LIFT and evidence(a, n, b, m) >= EVIDENCE and not any(s[:i] in out for i in range(1, len(s))):
+        if toxic[s][1] >= SUPPORT and lift[s] >= LIFT and evidence(a, n, b, m) >= EVIDENCE and not any(s[:i] in out for i in range(1, len(s))):
             while (more := max(longer.get(s, ()), key=lambda e: (count[e][0], e), default=None)) and count[more][0] >= 0.9 * count[s][0]:
                 s = more
             out[s] = math.log(lift[s])
-    return out
+    # what the rows never say weighs as those that they say do, but only as a whole word (marked by a full stop) with a common ending
+    usual = sorted(out.values())[len(out) // 2] if out else math.log(LIFT)
+    return {f"{s}{e}.": usual for s in INSULTS if s not in out for e in ENDINGS} | out
+
+
+def particles(rows: list[tuple[str, int]]) -> set[str]:
+    """Words that COMMON of the rows hold, toxic or not: what clauses of any content are built with."""
+    often = Counter(w for t, _ in rows for w in set(TOKEN.findall(t.lower())) if w.isalpha())
+    return {w for w, k in often.items() if k >= max(2, COMMON * len(rows))}
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """step(state, symbol) gives the next state, the symbol written, and the events matched, each with whether it carries the word's weight."""
+    """step(state, symbol) gives the next state, the symbol written, and what is accepted: (event, context) or None."""
 
     start: object
     step: Callable[[object, object], tuple[object, object, tuple]]
@@ -108,121 +139,147 @@ class Transducer:
         def step(state, symbol):
             mine, written, first = self.step(state[0], symbol)
             its, out, second = other.step(state[1], written)
-            return (mine, its), out, first + second
+            return (mine, its), out, first or second
 
         return Transducer((self.start, other.start), step)
 
-    def table(self, symbols) -> tuple[list[int], list[tuple]]:
-        """Next states and events of all states that can be reached, at state * symbols + symbol."""
+    def table(self, symbols) -> tuple[list[int], list, list]:
+        """Next states, symbols written and what is accepted, for all states that can be reached, at state * symbols + symbol."""
         places, order = {self.start: 0}, [self.start]
-        nxt, events = [], []
+        nxt, said, events = [], [], []
         for state in order:  # grows while it is read
             for symbol in symbols:
-                to, _, found = self.step(state, symbol)
+                to, written, found = self.step(state, symbol)
                 if to not in places:
                     places[to] = len(order)
                     order.append(to)
                 nxt.append(places[to])
+                said.append(written)
                 events.append(found)
-        return nxt, events
+        return nxt, said, events
 
 
 def negate(left: int, symbol: int):
     """Counts down a negation's scope; a clause end closes it."""
     after = SCOPE if symbol == NEGATION else 0 if symbol == END else max(left - 1, 0)
-    return after, (symbol, left > 0), ()
+    return after, (symbol, left > 0), None
 
 
 def report(inside: bool, read: tuple):
     """After a verb of speech the clause is reported."""
     symbol, negated = read
-    return (symbol == REPORT or inside) and symbol != END, (symbol, negated, inside), ()
+    return (symbol == REPORT or inside) and symbol != END, (symbol, IN_REPORT if inside else IN_NEGATION if negated else IN_PLAIN), None
 
 
-def match(seen: tuple[bool, bool, bool], read: tuple):
-    """Insults in their context, and the meeting of insult or threat with a target in one clause, in either order."""
-    (aimed, insult, threat), (symbol, negated, reported) = seen, read
+def match(seen: tuple[int, int, bool], read: tuple):
+    """Holds a clause's best argument (0 none, 1 particle, 2 target), its most telling insult (-1 none) and whether it threatens; accepts at the clause's end. Writes the context of an insult."""
+    (argument, insult, threat), (symbol, context) = seen, read
+    if symbol == END:
+        if insult >= 0 and argument:
+            return (0, -1, False), None, (EVENTS.index((NEGATED, REPORTED, AIMED if argument == 2 else FRAMED)[insult]), insult)
+        return (0, -1, False), None, (EVENTS.index(THREATENED), None) if threat and argument == 2 else None
     if symbol == INSULT:
-        event = REPORTED if reported else NEGATED if negated else PLAIN
-        return (aimed, True, threat), symbol, ((EVENTS.index(event), True),) + (((EVENTS.index(AIMED), True),) if aimed else ())
-    if symbol == THREAT:
-        return (aimed, insult, True), symbol, ((EVENTS.index(THREATENED), False),) if aimed else ()
-    if symbol == TARGET:
-        met = ((EVENTS.index(AIMED), False),) if insult and not aimed else ()
-        return (True, insult, threat), symbol, met + (((EVENTS.index(THREATENED), False),) if threat and not aimed else ())
-    return ((False, False, False) if symbol == END else seen), symbol, ()
+        return (argument, max(insult, context), threat), context, None
+    if symbol in (TARGET, PARTICLE):
+        return (max(argument, 2 if symbol == TARGET else 1), insult, threat), None, None
+    return (argument, insult, threat or symbol == THREAT), None, None
 
 
-CLAUSES = Transducer(0, negate).then(Transducer(False, report)).then(Transducer((False, False, False), match))
-NEXT, MATCHED = CLAUSES.table(CLASSES)
+CLAUSES = Transducer(0, negate).then(Transducer(False, report)).then(Transducer((0, -1, False), match))
+NEXT, SAID, MATCHED = CLAUSES.table(CLASSES)
 
 
 class Grammar:
-    """The lexical transducer, before the composed clause table, and the weights of what it writes."""
+    """The lexical transducer, before the composed clause table, and the weights of what it accepts."""
 
-    def __init__(self, stems: dict[str, float]):
-        self.stems = stems
+    def __init__(self, stems: dict[str, float], particles: set[str] = frozenset()):
+        self.stems, self.particles = stems, particles
         self.lengths = sorted({len(s) for s in stems})
         self.classes: dict[str, tuple[int, float]] = {}
-        self.bias, self.weights = -3.0, np.zeros(len(EVENTS))
+        self.bias, self.weights = -3.0, np.array([*PRIOR, 0.0])
 
     def word(self, w: str) -> tuple[int, float]:
         """The class of a word and its weight."""
         if len(w) == 1 and not w.isalpha():
             return END, 0.0
+        if (v := self.stems.get(w + ".")) is not None:
+            return INSULT, v
         for n in self.lengths:
             if (v := self.stems.get(w[:n])) is not None:
                 return INSULT, v
-        for kind, words in ((THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS)):
+        for kind, words in ((THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS), (PARTICLE, self.particles)):
             if w in words:
                 return kind, 1.0
         return OTHER, 0.0
 
     def read(self, text: str) -> np.ndarray:
-        """The weights of a text's events."""
-        out = [0.0] * len(EVENTS)
+        """The weights of a text's accepted clauses by event, and how many clauses it has."""
+        out = [0.0] * (len(EVENTS) + 1)
         known, width, state = self.classes, len(CLASSES), 0
+        heaviest = [0.0] * len(CONTEXTS)
         if len(known) > 500_000:
             known.clear()
-        for w in TOKEN.findall(text.lower()):
+        for w in [*TOKEN.findall(text.lower()), "."]:
             c = known.get(w)
             if c is None:
                 c = known[w] = self.word(w)
             at = state * width + c[0]
-            for event, weighted in MATCHED[at]:
-                out[event] += c[1] if weighted else 1.0
             state = NEXT[at]
+            if c[0] == INSULT:
+                heaviest[SAID[at]] = max(heaviest[SAID[at]], c[1])
+            elif c[0] == END:
+                out[-1] += 1
+                if (found := MATCHED[at]) is not None:
+                    out[found[0]] += MENACE if found[1] is None else heaviest[found[1]]
+                heaviest = [0.0] * len(CONTEXTS)
         return np.array(out)
 
-    def fit(self, rows: list[tuple[str, int]], rounds: int = 400, rate: float = 0.2, keep: float = 1e-3) -> Grammar:
-        """Weights of the events by logistic regression with both labels weighing the same; no event speaks against toxicity."""
+    @staticmethod
+    def features(read: np.ndarray) -> np.ndarray:
+        """Weights of clauses are log-likelihood ratios and add up (MOST settles it); an aimed clause is a framed one and more; the number of clauses counts by its logarithm."""
+        events = np.minimum(read[..., :-1], MOST) / 10  # a copy
+        events[..., EVENTS.index(FRAMED)] += events[..., EVENTS.index(AIMED)]
+        return np.concatenate((events, np.log1p(read[..., -1:])), axis=-1)
+
+    def fit(self, rows: list[tuple[str, int]], rounds: int = 3000, keep: float = 1e-5) -> Grammar:
+        """Weights by logistic regression, events that no row has at PRIOR; no event speaks against toxicity, and no number of clauses for it."""
         y = np.array([r[1] for r in rows], float)
-        x = np.log1p(np.stack([self.read(r[0]) for r in rows]))
-        weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-        w, b = np.ones(len(EVENTS)), -2.0
-        for _ in range(rounds):
-            d = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
-            w = np.maximum(w - rate * (x.T @ d + keep * w) * 10, 0)
-            b -= rate * d.sum() * 10
-        self.weights, self.bias = w, float(b)
+        x = np.column_stack((self.features(np.stack([self.read(r[0]) for r in rows])), np.ones(len(rows))))
+        steepest = np.linalg.eigvalsh(x.T @ x / len(y))[-1] / 4 + keep
+        w = before = prior = np.array([*PRIOR, 0.0, 0.0])
+        for i in range(rounds):  # projected descent with momentum
+            at = w + i / (i + 3) * (w - before)
+            d = (1 / (1 + np.exp(-(x @ at))) - y) / len(y)
+            before, w = w, at - (x.T @ d + keep * (at - prior)) / steepest
+            w = np.concatenate((np.maximum(w[:-2], 0), np.minimum(w[-2:-1], 0), w[-1:]))
+        self.weights, self.bias = w[:-1], float(w[-1])
         return self
 
     def score(self, text: str | None) -> float:
-        z = float(np.log1p(self.read(text or "")) @ self.weights + self.bias)
+        """The probability of label 1. A text without an accepted clause stays below one half whatever its words."""
+        read = self.read(text or "")
+        z = float(self.features(read) @ self.weights + self.bias) if read[:-1].any() else min(self.bias, -1.0)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def grammar(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 2500, longest: int = 12_000) -> Grammar | float:
-    """Fitted on a bounded sample of labelled rows; with rows of one label only that label's share, with none 0."""
+    """Fitted on a bounded sample of labelled rows (see quality.sample); with rows of one label only that label, with none 0.
+
+    Null and empty texts, repeated rows and ids labelled more than once are rows like others;
+    only the id, text and label columns are read.
+    """
     rows = sample(docs, labels, learn, "toxic", per_class, longest)
     ys = {y for _, y in rows}
     if len(ys) < 2:
         return float(max(ys, default=0))
-    return Grammar(induced(rows)).fit(rows)
+    return Grammar(induced(rows), particles(rows)).fit(rows)
 
 
 def scored(docs: DataFrame, model: Grammar | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score for each row; a null text is scored as an empty one. Other columns are not read."""
+    """doc_id, score for each row. A null text is scored as an empty one, texts without an accepted clause alike; whole texts
+    of any length are read word by word. Repeated rows and null ids are rows like others, ties have equal scores, an empty
+    table gives an empty one. Other columns are not read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -236,7 +293,7 @@ def scored(docs: DataFrame, model: Grammar | float, id_col: str = "doc_id", text
 
 
 def without_toxic(docs: DataFrame, model: Grammar | float, text_col: str = "text", reject: float = 0.5) -> DataFrame:
-    """The rows of docs, all their columns, whose score is under ``reject``."""
+    """The rows of docs, all their columns, whose score is under ``reject``; odd rows as for scored. No column is added on the way."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
