@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -40,10 +41,67 @@ def test_language_without_anything_to_learn(spark):
 
 def test_language_does_not_depend_on_the_batch(corpus):
     rows, df = corpus
-    model = language.Model([tuple(r) for r in language.counts(df).collect()])
+    model = language.learned(df)
     texts = [t for _, t, _ in rows[:40]]
-    whole = model.predict(texts)[1]
-    assert whole == pytest.approx([model.predict([t])[1][0] for t in texts])
+    assert [dict(x) for x in model.predict(texts)] == [pytest.approx(dict(model.predict([t])[0])) for t in texts]
+
+
+def mixture(text, langs, logs):
+    """One document by loops: spans, expectation-maximisation for growing sets, penalised likelihood."""
+    raw = b" " + text.encode() + b"  "
+    fold = lambda c: c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c
+    cell = lambda i: ((fold(raw[i]) << 16 | fold(raw[i + 1]) << 8 | fold(raw[i + 2])) * 2654435761 % 2**32) >> 16
+    n = len(raw) - 2
+    spans = [[sum(logs[x][cell(i)] for i in range(lo, min(lo + language.SPAN, n))) for x in langs] for lo in range(0, n, language.SPAN)]
+
+    def em(chosen):
+        w = {j: 1 / len(chosen) for j in chosen}
+        while True:
+            posts = []
+            for s in spans:
+                top = max(s[j] for j in chosen)
+                p = {j: w[j] * math.exp(s[j] - top) for j in chosen}
+                posts.append({j: v / sum(p.values()) for j, v in p.items()})
+            new = {j: sum(p[j] for p in posts) / len(posts) for j in chosen}
+            moved = max(abs(new[j] - w[j]) for j in chosen)
+            w = new
+            if moved <= language.SETTLED:
+                break
+        tops = [max(s) for s in spans]
+        return w, sum(t + math.log(sum(w[j] * math.exp(s[j] - t) for j in chosen) + 1e-300) for s, t in zip(spans, tops))
+
+    full, _ = em(range(len(langs)))
+    order = sorted(full, key=lambda j: (-full[j], j))
+    best, value = None, -math.inf
+    for size in range(1, len(langs) + 1):
+        w, v = em(order[:size])
+        v -= size * language.PENALTY * math.log2(len(spans) + 1)
+        if v <= value:
+            break
+        best, value = w, v
+    return {langs[j]: x for j, x in best.items() if x > 0}
+
+
+def test_mixtures_against_loops(corpus):
+    """Texts of one, two and three languages."""
+    rows, df = corpus
+    model = language.learned(df)
+    logs = dict(zip(model.langs, model.table.tolist()))
+    r = random.Random(5)
+    texts = [" ".join(sentence(r, x, r.randint(1, 60)) for x in r.sample(["aa", "bb", "cc"], r.randint(1, 3))) for _ in range(40)] + ["x", "é", rows[300][1]]
+    sizes = set()
+    for text, got in zip(texts, model.predict(texts)):
+        want = mixture(text, model.langs, logs)
+        assert dict(got) == pytest.approx(want, abs=2e-3), text
+        sizes.add(len(got))
+    assert sizes == {1, 2, 3}
+
+
+def test_language_sets(corpus):
+    _, df = corpus
+    out = {r["doc_id"]: r["languages"] for r in language.identify(df, language.fold_of("doc_id", 4) != 2).collect()}
+    assert [x["lang"] for x in out[900]] == ["aa", "bb"] and sum(x["share"] for x in out[900]) == pytest.approx(1)
+    assert out[901] == out[903] == []
 
 
 def junk(r, i):

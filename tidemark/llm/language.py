@@ -3,10 +3,10 @@
 N-gram counts of every learning document give each language a distribution over
 hashed byte trigrams. A document is a sequence of spans, each written in one
 language: expectation-maximisation estimates the proportions from the spans'
-likelihoods, for the likeliest one, two, ... languages in turn, and the set with
-the best likelihood after a penalty for its size is kept. The language with the
-largest proportion is the prediction, where the opening's language counts for
-somewhat more; its proportion is the score.
+likelihoods, for the likeliest one, two, ... languages in turn, as long as the
+likelihood after a penalty for the set's size still gains. The set and its
+proportions are the result; the language with the largest one is the prediction,
+its proportion the score. Every document is estimated until it settles, by itself.
 """
 
 from __future__ import annotations
@@ -22,14 +22,13 @@ from pyspark.sql import functions as F
 from .common import text_slices
 
 CELLS = 1 << 16
-#: Bytes of a span; most languages in one document's set; rounds of each estimation; units of log-likelihood that another language must earn for each doubling of spans.
-SPAN, MOST, ROUNDS, PENALTY = 48, 3, 10, 4.0
-#: Spans of a text's opening, and how much more of the whole it stands for when proportions are compared.
-OPENING, LEAD = 2, 0.4
+#: Bytes of a span; units of log-likelihood that another language must earn for each doubling of spans; the change of a proportion at which a document is settled.
+SPAN, PENALTY, SETTLED = 48, 4.0, 1e-5
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[9:14] = 32
 LETTER = regex.compile(r"\p{L}")
+RESULT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))])
 
 
 def cells(data: bytes) -> np.ndarray:
@@ -66,15 +65,16 @@ def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
 
 
 class Model:
-    """Log-probabilities of cells for each language, most frequent letters of all sizes smoothed alike."""
+    """Log-probabilities of cells for each language, all sizes of corpora smoothed alike."""
 
-    def __init__(self, rows: list[tuple[str, int, int]], alpha: float = 0.5):
-        self.langs = sorted({r[0] for r in rows})
-        place = {x: i for i, x in enumerate(self.langs)}
-        n = np.zeros((len(self.langs), CELLS))
-        for lang, cell, k in rows:
-            n[place[lang], cell] += k
-        self.table = np.log((n + alpha) / (n.sum(axis=1, keepdims=True) + alpha * CELLS)).astype(np.float32) if rows else n.astype(np.float32)
+    def __init__(self, totals: dict[str, tuple[np.ndarray, np.ndarray]], alpha: float = 0.5):
+        """totals: cells and their counts for each language."""
+        self.langs = sorted(totals)
+        self.table = np.zeros((len(self.langs), CELLS), np.float32)
+        for row, lang in zip(self.table, self.langs):
+            n = np.zeros(CELLS)
+            n[totals[lang][0]] = totals[lang][1]
+            row[:] = np.log((n + alpha) / (n.sum() + alpha * CELLS))
 
     def spans(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihoods (spans x languages) of the texts' spans, and each text's first span (n+1 numbers)."""
@@ -91,65 +91,81 @@ class Model:
         cuts = cuts[:-1] if cuts[-1] >= len(c) else cuts
         return np.stack([np.add.reduceat(t[c], cuts)[::2] for t in self.table], 1), first
 
-    def mixtures(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Proportions (texts x languages), zero outside the chosen set, and the opening's likelihoods as shares."""
+    def mixtures(self, texts: list[str]) -> np.ndarray:
+        """Proportions (texts x languages), zero outside the chosen set."""
         ll, first = self.spans(texts)
-        k = len(self.langs)
-        n = np.diff(first)
         top = ll.max(axis=1)
-        like = np.exp(ll - top[:, None])
-        owner = np.repeat(np.arange(len(n)), n)
-        base = np.add.reduceat(top, first[:-1])
-
-        def estimate(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            w = allowed / allowed.sum(axis=1, keepdims=True)
-            for _ in range(ROUNDS if k > 1 else 1):
-                p = like * w[owner]
-                s = p.sum(axis=1, keepdims=True) + 1e-300
-                w = np.add.reduceat(p / s, first[:-1], axis=0) / n[:, None]
-            return w, base + np.add.reduceat(np.log((like * w[owner]).sum(axis=1) + 1e-300), first[:-1])
-
-        full, _ = estimate(np.ones((len(n), k)))
+        base, like, n = np.add.reduceat(top, first[:-1]), np.exp(ll - top[:, None]), np.diff(first)
+        full, _ = settled(like, n, np.ones((len(n), len(self.langs))))
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
-        best, best_value = full, np.full(len(n), -np.inf)
-        for size in range(1, min(MOST, k) + 1):
-            w, value = estimate((rank < size).astype(float))
-            value = value - size * PENALTY * np.log2(n + 1)
-            better = value > best_value
-            best, best_value = np.where(better[:, None], w, best), np.maximum(value, best_value)
-        cuts = np.stack([first[:-1], np.minimum(first[:-1] + OPENING, first[1:])], 1).ravel()
-        start = np.add.reduceat(np.concatenate((ll, np.zeros((1, k), ll.dtype))), cuts, axis=0)[::2]
-        start = np.exp(start - start.max(axis=1, keepdims=True))
-        return best, start / start.sum(axis=1, keepdims=True)
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+        best, best_value = full.copy(), np.full(len(n), -np.inf)
+        going = np.arange(len(n))
+        for size in range(1, len(self.langs) + 1):
+            part = like[np.repeat(np.isin(np.arange(len(n)), going), n)] if len(going) < len(n) else like
+            w, value = settled(part, n[going], (rank[going] < size).astype(float))
+            value = base[going] + value - size * PENALTY * np.log2(n[going] + 1)
+            better = value > best_value[going]
+            best[going[better]], best_value[going[better]] = w[better], value[better]
+            going = going[better]  # a set that gains nothing ends the search
+            if not len(going):
+                break
+        return best
+
+    def predict(self, texts: list[str | None]) -> list[list[tuple[str, float]]]:
+        """Each text's languages with their proportions, largest first, equal ones by name; none for texts without a letter."""
+        out: list[list[tuple[str, float]]] = [[] for _ in texts]
         some = [i for i, t in enumerate(texts) if t and self.langs and LETTER.search(t)]
         if some:
-            w, start = self.mixtures([texts[i] for i in some])
-            for i, j, row in zip(some, (w + LEAD * start * (w > 0)).argmax(axis=1), w):
-                langs[i], scores[i] = self.langs[j], min(1.0, float(row[j]))
-        return langs, scores
+            for i, w in zip(some, self.mixtures([texts[i] for i in some])):
+                out[i] = [(self.langs[j], min(1.0, float(w[j]))) for j in np.argsort(-w, kind="stable") if w[j] > 0]
+        return out
+
+
+def settled(like: np.ndarray, n: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation of each text's proportions over its allowed languages until no proportion of the text changes by
+    more than SETTLED, and the log-likelihoods. ``n`` are the texts' spans, like has a row for each."""
+    w = allowed / allowed.sum(axis=1, keepdims=True)
+    left, rows, sizes = np.arange(len(n)), like, n
+    while len(left):
+        begin = np.cumsum(sizes) - sizes
+        p = rows * np.repeat(w[left], sizes, axis=0)
+        p /= p.sum(axis=1, keepdims=True) + 1e-300
+        new = np.add.reduceat(p, begin, axis=0) / sizes[:, None]
+        moved = np.abs(new - w[left]).max(axis=1) > SETTLED
+        w[left] = new
+        if not moved.all():
+            rows, left, sizes = rows[np.repeat(moved, sizes)], left[moved], sizes[moved]
+    begin = np.cumsum(n) - n
+    return w, np.add.reduceat(np.log((like * np.repeat(w, n, axis=0)).sum(axis=1) + 1e-300), begin)
+
+
+def learned(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """The model of all rows with a text and a language. Counts come to the driver added up, as arrays: at most 65,536 cells a language."""
+    table = counts(docs, text_col, lang_col).groupBy("lang").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("ns")).toArrow()
+    return Model({lang.as_py(): (c.values.to_numpy(), k.values.to_numpy()) for lang, c, k in zip(*table.columns)})
 
 
 def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang_pred, score for each row; learns from the rows where ``learn`` holds.
+    """doc_id, lang_pred, score, languages (lang and share, largest share first) for each row; learns from the rows where ``learn`` holds.
 
-    The model is languages x 65,536 numbers whatever the input, collected as sums.
-    ``und`` with score 0 for null texts, texts without a letter, and if nothing could
-    be learned. Equal proportions: the language first in order of names. Repeated rows
-    and null ids are rows like others; other columns are not read.
+    ``und`` with score 0 and no languages for null texts, texts without a letter, and if
+    nothing could be learned. Equal proportions: the language first in order of names.
+    Whole texts of any length. Repeated rows and null ids are rows like others; an empty
+    table gives an empty one; other columns, whatever their names, are not read.
     """
-    model = Model([tuple(r) for r in counts(docs.where(learn), text_col, lang_col).collect()])
+    model = learned(docs.where(learn), text_col, lang_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    limit = (4 << 20) // max(1, len(model.langs) // 8)  # what is held at once grows with spans times languages
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for lo, hi in text_slices(batch.column(1)):
-                langs, scores = sent.value.predict(batch.column(1).slice(lo, hi - lo).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+            for lo, hi in text_slices(batch.column(1), limit):
+                found = sent.value.predict(batch.column(1).slice(lo, hi - lo).to_pylist())
+                rows = [{"doc_id": i, "lang_pred": x[0][0] if x else "und", "score": x[0][1] if x else 0.0, "languages": [{"lang": a, "share": b} for a, b in x]} for i, x in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), found)]
+                yield pa.RecordBatch.from_pylist(rows, RESULT)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
