@@ -120,6 +120,33 @@ def test_quality(spark):
     assert len(out) == 602 and all(0 <= s <= 1 for s in out.values())
 
 
+def logit(p, text):
+    """The network by loops: embeddings, filters, half chunks in pairs, units, largest and mean."""
+    step = quality.STRIDE * quality.HALF
+    n = -(-(len(text) + quality.WIDTH) // step)
+    lead = quality.WIDTH - quality.STRIDE
+    raw = bytes(lead) + text + bytes(n * step - len(text) - lead + quality.WIDTH)
+    half = []
+    for k in range(n):
+        best = [-math.inf] * quality.FILTERS
+        for at in range(k * step, (k + 1) * step, quality.STRIDE):
+            x = np.concatenate([p["e"][raw[at + o]] for o in range(quality.WIDTH)]).astype(float)
+            best = np.maximum(best, [x @ p["w"][:, f] for f in range(quality.FILTERS)])
+        half.append(best)
+    units = []
+    for k in range(n):
+        chunk = np.maximum(np.maximum(half[k], half[min(k + 1, n - 1)]) + p["b"], 0)
+        units.append(np.maximum([chunk @ p["u"][:, j] + p["d"][j] for j in range(quality.UNITS)], 0))
+    return float(np.concatenate((np.max(units, axis=0), np.mean(units, axis=0))) @ p["v"] + p["c"][0])
+
+
+def test_network_against_loops():
+    r = np.random.default_rng(4)
+    net = quality.Network()
+    texts = [bytes(r.integers(0, 256, n).astype(np.uint8)) for n in (0, 1, 120, 121, 300, 1500)]
+    assert net.logits(texts) == pytest.approx([logit(net.p, t) for t in texts], abs=1e-4)
+
+
 def test_network_gradient():
     r = np.random.default_rng(0)
     net = quality.Network()
@@ -128,25 +155,33 @@ def test_network_gradient():
     y, weight = np.array([1.0, 0.0, 1.0]), np.ones(3)
 
     def loss():
-        z = quality.Network.responses(net, *quality.windows(texts))[0] @ net.p["v"].astype(float) + net.p["c"]
+        z = np.array([logit(net.p, t) for t in texts])
         return float(np.mean(np.log1p(np.exp(z)) - y * z))
 
     g = net.step(texts, y, weight)
-    for k, at in (("w", (3, 2)), ("w", (20, 5)), ("b", (1,)), ("v", (4,)), ("v", (15,)), ("c", (0,))):
+    for k, at in (("e", (65, 2)), ("e", (0, 1)), ("w", (3, 2)), ("w", (20, 5)), ("b", (1,)), ("u", (4, 3)), ("d", (2,)), ("v", (4,)), ("v", (20,)), ("c", (0,))):
         old = net.p[k][at]
         net.p[k][at] = old + 1e-5
         up = loss()
         net.p[k][at] = old - 1e-5
         down = loss()
         net.p[k][at] = old
-        assert g[k][at] == pytest.approx((up - down) / 2e-5, abs=1e-5)
+        assert g[k][at] == pytest.approx((up - down) / 2e-5, abs=1e-5), k
 
 
-def test_long_texts_score_as_if_in_one_run():
+def test_long_texts_score_as_if_in_one_run(monkeypatch):
     net = quality.Network()
     text = (b"some words and more " * 40_000)[:700_001]
-    whole = net.responses(*quality.windows([text]))[0]
-    assert net.long(text)[0] == pytest.approx(whole, rel=1e-4)
+    want = net.logits([b"x", text])
+    monkeypatch.setattr(quality, "PIECE", 7)
+    assert net.logits([text])[0] == pytest.approx(want[1], rel=1e-5)
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 10, f"t{i}") for i in range(400)] + [(50, "long " * 9), (51, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 10, i % 2) for i in range(100)] + [(50, 1), (51, 1), (60, 0), (None, 1)], "doc_id long, quality int")
+    rows = quality.sample(docs, labels, language.fold_of("doc_id", 5) >= 0, "quality", 4, 20)
+    assert len(rows) <= 8 and {y for _, y in rows} == {0, 1} and len(set(rows)) == len(rows)
 
 
 @pytest.fixture(scope="module")
