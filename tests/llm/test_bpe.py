@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -22,6 +23,19 @@ def test_encoder_equals_the_library():
         assert model.decode(want.ids) == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_very_long_words():
+    """Random letters, one letter, a repeated syllable; the queue also against merging side by side on short words."""
+    model, library = bpe.WordBPE(json.load(open(PATH, encoding="utf-8"))), Tokenizer.from_file(PATH)
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=300_000)), "a" * 100_000, "anthe" * 20_000 + "q", "é日" * 5_000]
+    start = time.time()
+    for word, got in zip(words, model.encode_many(words)):
+        assert np.frombuffer(got, np.int32).tolist() == library.encode(word, add_special_tokens=False).ids
+    assert time.time() - start < 60
+    short = ["".join(r.choices("aehinorst", k=r.randint(1, 40))) for _ in range(2000)]
+    assert [model.queued(w) for w in short] == model.merged(short)
+
+
 def test_compatibility_is_exact():
     """Pairs of tokens found compatible are what exact merging gives, the others are not."""
     model = bpe.WordBPE(json.load(open(PATH, encoding="utf-8")))

@@ -4,7 +4,9 @@ A greedy longest match proposes tokens for each distinct word. A proposal is the
 true result of merging exactly when every token reproduces itself and no merge
 can cross any boundary between neighbours, so all neighbouring pairs of a batch
 are tested at once in numpy by undoing merges from the latest to the earliest.
-Only words with a failing token or pair are merged exactly.
+Only words with a failing token or pair are merged exactly: short ones side by side
+in numpy, long ones by a queue of merges over linked symbols, so that a word of
+a million letters takes seconds.
 
 Vocabulary files are read on the driver and broadcast (tens of thousands of
 entries, whatever the input). They are of the kind with end-of-word marks:
@@ -14,6 +16,7 @@ NFC, lower case, white space dropped.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from array import array
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 
 END = "</w>"
 NEVER = np.int64(1) << 40
+#: Symbols of a word up to which words are merged side by side; longer ones one by one.
+SHORT = 256
 #: Words, and pieces of text between white space, that a worker remembers before it starts anew.
 CACHE = 400_000
 
@@ -68,6 +73,7 @@ class WordBPE:
             if len(t) > 2:
                 lengths.setdefault(t[:3], set()).add(len(t))
         self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
+        self.longest = max(map(len, self.final), default=0)
         made = np.flatnonzero(self.rank >= 0)
         whole = np.ones(n, bool)
         whole[made] = self.compatible(self.left[made], self.right[made], self.rank[made])
@@ -114,8 +120,8 @@ class WordBPE:
 
     def greedy(self, word: str) -> list[int]:
         """The longest token at each place; one that ends the word comes before all others. Empty if no token fits."""
-        out, i, n, inner, final, lengths = [], 0, len(word), self.inner, self.final, self.lengths
-        while (t := final.get(word[i:])) is None:
+        out, i, n, inner, final, lengths, longest = [], 0, len(word), self.inner, self.final, self.lengths, self.longest
+        while n - i > longest or (t := final.get(word[i:])) is None:
             for k in lengths.get(word[i : i + 3], ()):
                 if i + k < n and (t := inner.get(word[i : i + k])) is not None:
                     break
@@ -173,6 +179,31 @@ class WordBPE:
         packed, ends = ids[order].astype(np.int32).tobytes(), (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
         return [packed[lo:hi] for lo, hi in zip([0, *ends], ends)]
 
+    def queued(self, word: str) -> bytes:
+        """Exact merging of one long word: the pair of least rank first, leftmost of equals, from a queue."""
+        ids = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + END]]
+        n = len(ids)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        rank, _ = self.ranks(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64))
+        at = np.flatnonzero(rank < NEVER)
+        queue = ((rank[at] << 40) | at).tolist()
+        heapq.heapify(queue)
+        merge = self.merge
+        while queue:
+            top = heapq.heappop(queue)
+            i = top & ((1 << 40) - 1)
+            if ids[i] < 0 or (j := after[i]) < 0 or (found := merge.get((ids[i], ids[j]))) is None or found[0] != top >> 40:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = found[1], -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (more := merge.get((ids[i], ids[k]))) is not None:
+                    heapq.heappush(queue, more[0] << 40 | i)
+            if (h := before[i]) >= 0 and (more := merge.get((ids[h], ids[i]))) is not None:
+                heapq.heappush(queue, more[0] << 40 | h)
+        return np.array([t for t in ids if t >= 0], np.int32).tobytes()
+
     def words(self, words: list[str]) -> None:
         """Learn the tokens of words that are not yet known."""
         if not words:
@@ -193,9 +224,10 @@ class WordBPE:
             if not f:
                 self.known[w] = packed[at:end]
             at = end
-        rest = [w for w, f in zip(words, failed.tolist()) if f]
+        rest = [w for w, f in zip(words, failed.tolist()) if f and len(w) <= SHORT]
         if rest:
             self.known.update(zip(rest, self.merged(rest)))
+        self.known.update((w, self.queued(w)) for w, f in zip(words, failed.tolist()) if f and len(w) > SHORT)
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text in byte symbols."""
@@ -238,8 +270,8 @@ _models: dict[str, WordBPE] = {}
 def bpe_documents(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """docs' columns doc_id and ``text_col`` to doc_id, ids array<int>, decoded string.
 
-    Whole texts; a null text counts as empty: no ids, decoded ''. A very long text is
-    one row of its own batch. Repeated rows, ties, null ids: each row by itself.
+    Whole texts; a null text counts as empty: no ids, decoded ''. Very long texts and
+    very long words take time in proportion (n log n in a word's letters). Repeated rows, ties, null ids: each row by itself.
     Other columns, whatever their names, are not read.
     """
     with open(vocabulary, encoding="utf-8") as f:
