@@ -37,6 +37,24 @@ def test_copies_inside_and_across_batches(spark, docs, prose):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_texts_longer_than_a_run(docs, prose):
+    """Runs of 40 words: long texts repeat passages of each other and of themselves across the cuts."""
+    long = prose[-5][1] if len(prose[-5][1]) > 2000 else next(t for _, t in prose if t and len(t) > 9000)
+    words = long.split()
+    rows = [*prose, (80, " ".join(words[100:900])), (81, " ".join(words[:200] + ["x"] + words[40:160] + ["y"] + words[50:150])), (82, "\t" + " ".join(f"n{i}" for i in range(700)) + "\n")]
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.deduplicated(docs(rows), piece=320).collect() if r["doc_id"] is not None) == sorted(x[:3] for x in brute(rows, 35) if x[0] is not None)
+    kept = {r["doc_id"]: hashlib.sha256(r["kept"].encode()).hexdigest() for r in substring.deduplicated(docs(rows[45:]), piece=64).collect()}
+    assert kept.items() == {x[0]: x[3] for x in brute(rows[45:], 35)}.items()
+
+
+def test_places_fit_their_bits():
+    try:
+        substring.least_place(np.zeros((1 << 24) + 1, np.uint64), 5)
+    except ValueError:
+        return
+    raise AssertionError
+
+
 def test_empty(docs):
     assert substring.dedup_digest(docs([])).count() == 0
     got = substring.dedup_digest(docs([(1, None), (2, "")])).collect()
@@ -66,6 +84,6 @@ def test_a_common_anchor_is_split_and_equal_windows_still_meet(spark, docs):
     assert {(i, int(substring.covered(60, *zip(*bits[i]), 35).sum()) if i in bits else 0) for i, _ in rows} == want
     texts = docs(rows).select("text")
     parts = substring.bucket_parts(texts, 35, 12, 3, 40)
-    sent = [b for b in substring.shipped(pa.array([t for _, t in rows]), np.arange(200), 35, 12, parts)]
+    sent = [b for b in substring.shipped(pa.array([t for _, t in rows]), np.arange(200), np.arange(200), 35, 12, parts)]
     sizes = [len(h) for b in sent for g, h in zip(b.column(0).to_pylist(), b.column(6).to_pylist()) if g >= 0]
     assert parts.max() > 10 and max(sizes) < 120 and sum(sizes) == 150 * 26

@@ -1,8 +1,9 @@
 """Helpers shared by the training-data operators.
 
 Row identity: two rows of a table may carry the same or no doc_id, so operators
-that leave a document and come back to it join on ``row_key`` (a 64-bit hash of
-id and text). Rows with one key have the same text and hence the same answer.
+that leave a document and come back to it join on the id (``whole_id``, null as 0)
+together with ``row_key`` (a 64-bit hash of id and text). Rows that agree in both have
+the same text, and hence the same answer, but for one in 2^64 of those that repeat an id.
 """
 
 from __future__ import annotations
@@ -63,6 +64,23 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def whole_id(id_col: str = "doc_id") -> Column:
+    """The id as a long, null as 0: the key beside it tells the two apart."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until df has none of them in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def text_slices(texts: pa.Array, limit: int = 4 << 20):
     """(first row, end row) of runs of texts that hold about ``limit`` bytes; a longer text is a run of its own."""
     offsets = offsets_of(texts)
