@@ -85,3 +85,11 @@ def test_representatives(docs, prose):
     assert ids <= {r["doc_id"] for r in kept.collect()}
     assert simhash.representatives(docs([])).count() == 0
     assert kept.where(F.col("doc_id").isin(50, 51)).count() == 0
+
+
+def test_representatives_with_clashing_names(spark, prose):
+    df = spark.createDataFrame([(i, t, i, "k", 1) for i, t in prose], "doc_id long, text string, ID long, _key string, Key long")
+    kept = simhash.representatives(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert len(got) == len(set(components([fingerprint(t) for _, t in prose]))) and all(r["ID"] == r["doc_id"] and r["_key"] == "k" for r in got)

@@ -61,7 +61,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
 def whole_id(id_col: str = "doc_id") -> Column:

@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Large and small stars in turn pull every node towards the least neighbour; the
     number of rounds grows with the logarithm of a component's size. Each round is
     a table in the shared folder. No component is gathered in one place: a hub's
-    edges are rows like any others, and its minimum is aggregated map-side first.
+    minimum is aggregated map-side first and stored, so that its edges, rows like any
+    others, meet it in a join that Spark splits where one node has far more than the rest.
     An empty table gives an empty table; self-loops and nulls are dropped.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -22,9 +23,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

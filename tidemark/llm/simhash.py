@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import fresh, row_key, stored, whole_id
 from .graph import connected_components
 
 BITS = 4
@@ -103,14 +103,25 @@ def links(fps: DataFrame, most: int = 4096) -> DataFrame:
     return two.union(few).union(stars)
 
 
+def first_of(rows: DataFrame, by: str) -> DataFrame:
+    """by, doc_id, key of one row of each group: the least id, of rows without ids the least key. Flat columns, so that each task adds up its own rows by hash."""
+    return rows.groupBy(by).agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("key", "doc_id"), F.min("key")).alias("key"))
+
+
 def grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows' fingerprints (stored), and for each fingerprint its component: fp, first (null_id, doc_id, key of the component's first row)."""
+    """The rows' fingerprints (stored), and for each fingerprint its component's first row: fp, doc_id, key.
+
+    Fingerprints without links answer for themselves. The others meet their component's
+    first row in a join of two stored tables, which Spark splits where one component is
+    much larger than the rest.
+    """
     own = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    fps = own.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("null_id"), "doc_id", "key")).alias("first"))
+    fps = first_of(own, "fp")
     roots = connected_components(links(fps.select("fp")))
-    placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("first"))
-    return own, placed.select("fp", "root").join(least, "root").select("fp", "first")
+    placed = stored(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", "key", "root"), "placed")
+    linked = placed.where("root is not null")
+    least = stored(first_of(linked, "root"), "least")
+    return own, placed.where("root is null").select("fp", "doc_id", "key").union(linked.select("fp", "root").join(least, "root").select("fp", "doc_id", "key"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,14 +133,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read.
     """
     own, named = grouped(docs, id_col, text_col)
-    return own.join(named, "fp", "left").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+    return own.join(named.select("fp", F.col("doc_id").alias("component_id")), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, all columns of docs: that of the least id (a null id comes last), of repeated rows any."""
     _, named = grouped(docs, id_col, text_col)
-    keys = named.select(F.col("first.key").alias("_key")).distinct()
-    return docs.withColumn("_key", row_key(id_col, text_col)).join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    i, k = fresh(docs, "id", "key")
+    keys = named.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias(i), F.col("key").alias(k)).distinct()
+    return docs.withColumns({i: whole_id(id_col), k: row_key(id_col, text_col)}).join(keys, [i, k], "left_semi").dropDuplicates([i, k]).select(*docs.columns)
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
