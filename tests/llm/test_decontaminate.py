@@ -50,11 +50,23 @@ def test_against_brute_force(spark, docs, prose):
     check(spark, docs, rows, items)
 
 
-def test_without_broadcast_of_grams(spark, docs, prose):
-    items = [(1, " ".join(prose[40][1].split()[25:60])), (2, "one")]
-    out = decontaminate.contamination(docs(prose), spark.createDataFrame(items, ITEM), few=0)
-    want = {x[0]: x[3] for x in brute(prose, items) if x[0] is not None}
-    assert {r["doc_id"]: len(r["items"]) for r in out.collect() if r["doc_id"] is not None} == want
+def test_beyond_few_grams(spark, docs, prose, monkeypatch):
+    """The filter and the shuffle join, also with a filter so small that most bits are set."""
+    long = prose[52 - 3][1]
+    items = [(1, " ".join(prose[40][1].split()[25:60])), (2, "one"), (3, long[:200]), (4, "the " * 12), (5, "seven words are in this one here")]
+    rows = [*prose, (90, "x seven words are in this one here y")]
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for slots in (decontaminate.SLOTS, 2):
+            monkeypatch.setattr(decontaminate, "SLOTS", slots)
+            out = decontaminate.contamination(docs(rows), spark.createDataFrame(items, ITEM), few=0)
+            plan = out._jdf.queryExecution().toString()
+            assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
+            got = sorted((r["doc_id"], len(r["items"]), r["n_words"]) for r in out.collect() if r["doc_id"] is not None)
+            assert got == sorted((x[0], x[3], x[1]) for x in brute(rows, items) if x[0] is not None)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
 
 
 def test_empty_tables(spark, docs, prose):
@@ -62,6 +74,15 @@ def test_empty_tables(spark, docs, prose):
     check(spark, docs, prose[:5], [])
 
 
+def test_clean_with_clashing_names(spark, prose):
+    """Columns of the names that the join uses, in any case."""
+    items = [(1, " ".join(prose[40][1].split()[25:60]))]
+    table = spark.createDataFrame([(i, t, 1, 2, 3, "x") for i, t in prose], "doc_id long, text string, ID long, _key long, Key long, _bad string")
+    kept = decontaminate.clean(table, spark.createDataFrame(items, ITEM))
+    assert kept.columns == table.columns and {(r["ID"], r["_key"], r["Key"], r["_bad"]) for r in kept.collect()} == {(1, 2, 3, "x")}
+    assert kept.count() == sum(not x[5] for x in brute(prose, items))
+
+
 def test_clean_keeps_what_shares_nothing(spark, docs, prose):
     items = [(1, " ".join(prose[40][1].split()[25:60]))]
     kept = decontaminate.clean(docs(prose), spark.createDataFrame(items, ITEM))

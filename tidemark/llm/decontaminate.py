@@ -12,8 +12,10 @@ lies in one piece and arrays stay short whatever a text's length. A kept gram
 takes only the few words around it to the join, never its text.
 
 The benchmark's kept grams are counted first. Up to ``few`` of them are sent to
-all tasks and also tested inside the piece, before rows are made; beyond that
-the join is left to shuffle.
+all tasks and also tested inside the piece, before rows are made. Beyond that a
+filter of SLOTS rows of 64 bits, whatever their number, is sent instead: documents'
+grams that set none of its bits are dropped where they are, and only the others go
+to the shuffle join.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, row_key, stored, whole_id
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PIECE = 512
+#: Rows of the filter (a power of two): 2^20 rows of two longs stay under 64 MB in a task; 64 bits each tell 10 million grams from others 6 times in 7.
+SLOTS = 1 << 20
 #: All but ASCII digits and letters and what is outside ASCII separates words.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -106,13 +110,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = 7, span: in
     for _, s in kinds:
         fps = [str(r[0]) for r in found.where(F.col("kk") == s).select("fp").distinct().collect()] if small else []
         tests[s] = f"{{x}} in ({', '.join(fps)})" if fps else "true"
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col("text")).alias("key"), F.expr(words("text")).alias("ws"))
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col).alias("key"), F.expr(words("text")).alias("ws"))
     starts = f"if(size(ws) = 0, array(0), sequence(0, size(ws) - 1, {PIECE}))"
     pieces = cut.select("doc_id", "key", F.posexplode(F.expr(f"transform({starts}, s -> slice(ws, s + 1, {PIECE + span - 1}))")).alias("at", "piece"))
     head = f"array(struct(xxhash64(key, at) as fp, -1 as kk, 0 as pos, cast(array() as array<string>) as ctx, 0 as lead, least(size(piece), {PIECE}) as n))"
     # the last words of a piece belong to the next one's count, unless there is none: size(piece) is then at most PIECE or the rest follows as a piece
     parts = ", ".join([head, *(picked("piece", g, s, tests[s]) for g, s in kinds)])
     rows = pieces.select("doc_id", "key", "at", F.explode(F.expr(f"concat({parts})")).alias("g")).select("doc_id", "key", "at", "g.*")
+    if not small:
+        slot, bit = f"fp & {SLOTS - 1}", "shiftleft(1L, cast(shiftrightunsigned(fp, 40) & 63 as int))"
+        bits = found.select(F.expr(slot).alias("slot"), F.expr(bit).alias("bit")).groupBy("slot").agg(F.expr("bit_or(bit)").alias("bits"))
+        rows = rows.withColumn("slot", F.expr(slot)).join(F.broadcast(bits), "slot", "left").where(f"kk = -1 or bits & {bit} <> 0").drop("slot", "bits")
     joined = rows.join(F.broadcast(found) if small else found, ["fp", "kk"], "left")
     checks = "cast(array() as array<int>)"
     for g, s in kinds:
@@ -155,6 +163,6 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all their columns, that share no run with the benchmark."""
-    bad = contamination(docs, benchmark).where("size(hits) > 0").select(F.col("key").alias("_bad")).distinct()
-    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
-    return docs.join(bad, key == bad["_bad"], "left_anti")
+    i, k = fresh(docs, "id", "key")
+    bad = contamination(docs, benchmark).where("size(hits) > 0").select(whole_id().alias(i), F.col("key").alias(k)).distinct()
+    return docs.withColumns({i: whole_id(), k: row_key()}).join(bad, [i, k], "left_anti").select(*docs.columns)
