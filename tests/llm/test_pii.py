@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import pii
 
 
@@ -67,6 +69,18 @@ def test_terms_that_reveal_a_value(docs):
     assert got[601] == got[603] == "email:10:17"
 
 
+def test_beyond_few_terms(spark, docs):
+    want = sorted(map(str, pii.pii_digest(docs(revealing())).collect()))
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = pii.spans(docs(revealing()), few=0)
+        got = {r["doc_id"]: r["spans"] for r in out.select("doc_id", F.expr(pii.listed("spans")).alias("spans")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert all(f"spans='{got[i]}'" in next(w for w in want if w.startswith(f"Row(doc_id={i},")) for i in got)
+
+
 def test_terms_far_from_a_value(docs):
     """Over 60 characters away, or near in some texts and far in others: whole texts count."""
     fill = lambda i: " ".join(f"fill{i}x{j}" for j in range(20))
@@ -90,3 +104,11 @@ def test_sanitised(docs):
     text = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
     assert text[0] == ("word0 and [TERM] at0 mail [EMAIL] then item0", 44)
     assert text[700][0] is None and text[701][0] == "" and text[702] == ("no data", 7)
+
+
+def test_sanitised_with_clashing_names(spark):
+    rows = [(1, "mail a.b@c.org now", 1, 2, 3, "x"), (1, "mail a.b@c.org now", 1, 2, 3, "x"), (2, None, 1, 2, 3, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _own long, Spans long, KEY long, _spans string")
+    out = pii.sanitised(df)
+    assert out.columns == df.columns
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(i, t and "mail [EMAIL] now", *more) for i, t, *more in rows], key=str)

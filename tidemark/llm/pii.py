@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import fresh, row_key, stored, whole_id
 from .decontaminate import words
 
 # The kinds in order, what a text must contain, the pattern. Look-behinds and possessive
@@ -117,7 +117,10 @@ def revealing(docs: DataFrame, base: DataFrame, support: int = 3, share: float =
     if not n:
         return None
     told = docs.select(F.explode(F.expr(f"array_distinct({words('text')})")).alias("term"))
-    counts = told.join(F.broadcast(terms) if n <= few else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
+    if n <= few:
+        counts = told.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
+    else:  # words are added up by each task before any are sent, so a common one is a row a task
+        counts = told.groupBy("term").agg(F.count("*").alias("with_term")).join(terms, "term", "left_semi")
     total = base.count()
     gained = pairs.join(counts, "term").join(values, "value").withColumn("p", F.col("together") / F.col("with_term"))
     gained = gained.where((F.col("p") >= share) & (F.log2(F.col("p") * total / F.col("with_value")) >= bits))
@@ -126,14 +129,14 @@ def revealing(docs: DataFrame, base: DataFrame, support: int = 3, share: float =
 
 
 def term_spans(docs: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key and more (spans of kind term) for the rows that hold a revealed value: every place of its terms in the text."""
-    held = base.where("size(base) > 0").select("key", F.explode("near.value").alias("value")).distinct()
-    wanted = held.join(pairs, "value").groupBy("key").agg(F.collect_set("term").alias("terms"))
-    texts = docs.select(row_key().alias("key"), F.col("text").cast("string").alias("text")).join(wanted, "key").dropDuplicates(["key"])
+    """id, key and more (spans of kind term) for the rows that hold a revealed value: every place of its terms in the text."""
+    held = base.where("size(base) > 0").select(whole_id().alias("id"), "key", F.explode("near.value").alias("value")).distinct()
+    wanted = held.join(pairs, "value").groupBy("id", "key").agg(F.collect_set("term").alias("terms"))
+    texts = docs.select(whole_id().alias("id"), row_key().alias("key"), F.col("text").cast("string").alias("text")).join(wanted, ["id", "key"]).dropDuplicates(["id", "key"])
     letter = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]".replace("\\\\", "\\")
     pattern = f"concat(r'(?i)(?<!{letter})\\Q', t, r'\\E(?!{letter})')"
     each = f"if(text rlike {pattern}, {positions(pattern, ''' 'term' ''', len(KINDS))}, cast(array() as array<struct<{SPAN}>>))"
-    return texts.select("key", F.expr(f"flatten(transform(terms, t -> {each}))").alias("more"))
+    return texts.select("id", "key", F.expr(f"flatten(transform(terms, t -> {each}))").alias("more"))
 
 
 def spans(docs: DataFrame, **thresholds) -> DataFrame:
@@ -148,7 +151,7 @@ def spans(docs: DataFrame, **thresholds) -> DataFrame:
     if pairs is None:
         return base.select("doc_id", "key", "base", F.col("base").alias("spans"))
     more = term_spans(docs, base, pairs)
-    return base.join(more, "key", "left").select("doc_id", "key", "base", F.expr(f"array_sort(concat(base, coalesce(more, cast(array() as array<struct<{SPAN}>>))))").alias("spans"))
+    return base.withColumn("id", whole_id()).join(more, ["id", "key"], "left").select("doc_id", "key", "base", F.expr(f"array_sort(concat(base, coalesce(more, cast(array() as array<struct<{SPAN}>>))))").alias("spans"))
 
 
 def listed(column: str) -> str:
@@ -162,14 +165,15 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame, **thresholds) -> DataFrame:
     """docs, all their columns, with each span in text generalised to its kind in brackets (overlapping spans to the first one's); n_chars follows the text if there is such a column."""
-    change = spans(docs, **thresholds).where("size(spans) > 0").select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
-    joined = docs.withColumn("_own", row_key()).join(change, F.col("_own") == F.col("_key"), "left")
+    i, k, found = fresh(docs, "id", "key", "spans")
+    change = spans(docs, **thresholds).where("size(spans) > 0").select(whole_id().alias(i), F.col("key").alias(k), F.col("spans").alias(found)).dropDuplicates([i, k])
+    joined = docs.withColumns({i: whole_id(), k: row_key()}).join(change, [i, k], "left")
     text = (
-        "if(_spans is null, text, aggregate(_spans, struct(0L as at, '' as out), (acc, s) -> if(s.start >= acc.at, "
+        f"if({found} is null, text, aggregate({found}, struct(0L as at, '' as out), (acc, s) -> if(s.start >= acc.at, "
         "struct(s.stop as at, concat(acc.out, substring(text, cast(acc.at + 1 as int), cast(s.start - acc.at as int)), '[', upper(s.kind), ']') as out), "
         "struct(greatest(acc.at, s.stop) as at, acc.out as out)), acc -> concat(acc.out, substring(text, cast(acc.at + 1 as int)))))"
     )
     out = joined.withColumn("text", F.expr(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
