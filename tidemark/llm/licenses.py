@@ -21,6 +21,8 @@ from .decontaminate import grams, words
 
 SHINGLE = 5
 PIECE = 1024
+#: Shingle hashes of the templates' bands (8 bytes each) up to which they are broadcast; more go through a shuffle join.
+BROADCAST = 8_000_000
 # Public license texts and customary notices.
 TEMPLATES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
@@ -110,7 +112,8 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, containme
     signed = signed.select("license", "t", "width", F.explode(F.expr(f"sequence(0, case {sized} else 0 end)" if most else "array(0)")).alias("band"))
     signed = stored(signed.select("license", "t", "width", "band", F.expr("array_min(transform(t, v -> xxhash64(band, v)))").alias("value")), "templates")
     flat = bands.select("doc_id", "key", "at", "n", "b.*")
-    joined = flat.join(F.broadcast(signed), ["width", "band", "value"], "left")
+    held = sum(len(r["shingles"]) * next(b for w, b in kinds if r["n_words"] <= w // 2) for r in rows)  # hashes that the bands of all templates hold
+    joined = flat.join(F.broadcast(signed) if held <= BROADCAST else signed, ["width", "band", "value"], "left")
     share = joined.select(
         "doc_id", "key", F.expr("if(band = -1, n, 0)").alias("n"), F.expr("band = -1 and at = 0").alias("first"), "license",
         F.expr("size(array_intersect(shingles, t)) / size(t)").alias("share"),
