@@ -37,10 +37,10 @@ def pairs(*items: tuple[str, Column]) -> Column:
 def decided(cases: list[tuple[Column, str | None, str, Column | str]], default: tuple[str, str, str]) -> Column:
     """label, family, reason of the first case that holds."""
     lit = lambda v: v if isinstance(v, Column) else F.lit(v).cast("string")
-    out = F.struct(*[lit(v).alias(n) for v, n in zip(default, ("label", "family", "reason"))])
-    for test, label, family, reason in reversed(cases):
-        out = F.when(test, F.struct(lit(label).alias("label"), lit(family).alias("family"), lit(reason).alias("reason"))).otherwise(out)
-    return out
+    names, out = ("label", "family", "reason"), F
+    for test, *values in cases:  # one flat CASE
+        out = out.when(test, F.struct(*[lit(v).alias(n) for v, n in zip(values, names)]))
+    return out.otherwise(F.struct(*[lit(v).alias(n) for v, n in zip(default, names)]))
 
 
 def baseline(claims: DataFrame, index: DataFrame, keys: DataFrame) -> DataFrame:

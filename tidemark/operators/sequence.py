@@ -99,10 +99,9 @@ def verdict(cases: list[tuple]) -> Column:
     """status, label, family, verification, reason of the first case that holds."""
     names = ("status", "label", "family", "verification", "reason")
     lit = lambda v: v if isinstance(v, Column) else F.lit(v).cast("string")
-    out = None
-    for test, *values in reversed(cases):
-        value = F.struct(*[lit(v).alias(n) for v, n in zip(values, names)])
-        out = value if out is None else F.when(F.coalesce(test, F.lit(False)), value).otherwise(out)
+    out = F
+    for test, *values in cases:  # one flat CASE
+        out = out.when(test, F.struct(*[lit(v).alias(n) for v, n in zip(values, names)]))
     return out
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import artifacts, baseline, claims, headings, history, metrics, models, readme, sampling, screen, sequence, survival, validation
+from ..sources.staged import staged
+from . import detectors
 from . import synthetic as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,11 +121,13 @@ def family_bars(spark, sf):
 
 
 @query(
-    f"{KEPT} select avg(case when claim_family = 'F' and claim_type <> 'STANDARD' then (label like 'drifted%')::int end) as f_rate, count(*) filter (where status = 'kept') as n from kept"
+    f"{KEPT} select avg(case when claim_family = 'F' and claim_type not like 'STANDARD%' then (label like 'drifted%')::int end) as command_rate, "
+    "avg(case when claim_type like 'STANDARD%' then (label like 'drifted%')::int end) as directory_rate, avg(case when claim_family = 'O' then (label like 'drifted%')::int end) as reference_rate from kept"
 )
 def conditional_rate(spark, sf):
-    hit = (F.col("claim_family") == "F") & (F.col("claim_type") != "STANDARD")
-    return kept(spark, sf).agg(F.avg(F.when(hit, metrics.is_drifted().cast("int"))).alias("f_rate"), F.count_if(F.col("status") == "kept").alias("n"))
+    family = F.when(F.col("claim_family") == "F", "command").when(F.col("claim_family") == "O", "artifact_reference").otherwise("other")
+    named = kept(spark, sf).withColumns({"claim_family": family, "claim_type": F.when(F.col("claim_type").startswith("STANDARD"), "cd_dir").otherwise(F.col("claim_type"))})
+    return metrics.command_rates(named)
 
 
 @query(
@@ -197,9 +201,9 @@ def survival_summary(spark, sf):
     return survival.survival_summary(survival.kaplan_meier(S.survival_cases(spark, sf)))
 
 
-@query(f"{KM} select o_orderkey, coalesce((select max_by(survival, time_days) from km where time_days <= o_orderkey % 40), 1.0) as survival from orders where o_orderkey < 2000")
+@query(f"{KM} select o_orderkey, coalesce((select max_by(survival, time_days) from km where time_days <= o_orderkey % 40), 1.0) as survival from orders")
 def survival_as_of(spark, sf):
-    asked = S.load(spark, sf, "orders").where("o_orderkey < 2000").select("o_orderkey", (F.col("o_orderkey") % 40).alias("d"))
+    asked = S.load(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 40).alias("d"))
     return survival.survival_at(survival.kaplan_meier(S.survival_cases(spark, sf)), asked, "d").select("o_orderkey", "survival")
 
 
@@ -285,8 +289,7 @@ def candidate_pools(spark, sf):
 
 @query(f"with {POOL} select full_name, row_number() over (order by place, stratum) as turn from p")
 def round_robin(spark, sf):
-    pools = candidate_pools(spark, sf)
-    return pools.select("full_name", F.row_number().over(Window.orderBy("place", "stratum")).alias("turn"))
+    return screen.round_robin(candidate_pools(spark, sf)).select("full_name", "turn")
 
 
 @query(
@@ -314,12 +317,12 @@ def english_screen(spark, sf):
 
 
 @query(
-    "with f as (select l_orderkey::varchar as full_name, 's' || l_linenumber as sha, lower(p_name) as path from lineitem join part on l_partkey = p_partkey where l_orderkey < 4000), "
+    "with f as (select l_orderkey::varchar as full_name, 's' || l_linenumber as sha, lower(p_name) as path from lineitem join part on l_partkey = p_partkey), "
     "c as (select distinct full_name, sha, lower(o_orderpriority) as low from f join orders on o_orderkey = full_name::bigint), "
     "r as (select c.full_name, c.sha, bool_or(f.path like '%' || case when c.full_name::bigint % 2 = 0 then 'e' else 'q' end || '%') as x from c join f using (full_name, sha) group by 1, 2) select full_name, sha, x as found from r"
 )
 def text_at_commit(spark, sf):
-    line, part = S.load(spark, sf, "lineitem").where("l_orderkey < 4000"), S.load(spark, sf, "part")
+    line, part = S.load(spark, sf, "lineitem"), S.load(spark, sf, "part")
     files = line.join(part, line["l_partkey"] == part["p_partkey"]).selectExpr("cast(l_orderkey as string) as full_name", "concat('s', l_linenumber) as sha", "p_name as text", "l_orderkey")
     found = T.holds_snippet("text", F.when(F.col("l_orderkey") % 2 == 0, "E").otherwise("Q"))
     return files.groupBy("full_name", "sha").agg(F.bool_or(found).alias("found"))
@@ -432,10 +435,11 @@ def negative_binomial_model(spark, sf):
 
 
 def analysed(spark, sf):
+    """The stages' tables, each written once: later plans start from them."""
     t = S.repositories(spark, sf)
-    elements = readme.elements(t["readmes"]).persist()
-    found = claims.extract(elements, t["repos"]).persist()
-    index, keys = artifacts.artifact_index(t["trees"], t["configs"]), artifacts.path_keys(t["trees"])
+    elements = staged(readme.elements(t["readmes"]), "elements")
+    found = staged(claims.extract(elements, t["repos"]), "claims")
+    index, keys = staged(artifacts.artifact_index(t["trees"], t["configs"]), "index"), staged(artifacts.path_keys(t["trees"]), "keys")
     return t, elements, found, index, keys
 
 
@@ -469,7 +473,7 @@ def baseline_labels(spark, sf):
 @query()
 def final_labels(spark, sf):
     _, elements, found, index, keys = analysed(spark, sf)
-    out = sequence.final_labels(baseline.baseline(found, index, keys), elements, index, keys)
+    out = sequence.final_labels(staged(baseline.baseline(found, index, keys), "labels"), elements, index, keys)
     return out.select("full_name", "claim_seq", "claim_type", "status", "label_v4", "drift_family_v4", "verification", "reason_v4", "changed")
 
 
@@ -487,3 +491,7 @@ def search_queries(spark, sf):
     return screen.search_queries(spark, "Python", "2024-06-01")
 
 
+
+
+QUERIES.update(detectors.QUERIES)
+ORACLES.update(detectors.ORACLES)
