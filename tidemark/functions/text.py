@@ -231,6 +231,16 @@ def all_matches(c: Column | str, pattern: str, group: int = 1, flags: str = "(?i
     return F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(flags + pattern), F.lit(group))
 
 
+def joined_list(c: Column | str) -> Column:
+    """A list of strings as one text, sorted, with ' || ' between."""
+    return F.array_join(F.array_sort(col(c)), " || ")
+
+
+def split_list(c: Column | str) -> Column:
+    """A list written with ' || ' between: parts trimmed, empty ones left out; null and empty texts give an empty list."""
+    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\|\|"), strip), lambda x: x != "")
+
+
 def normalised_strings(df):
     """All string columns trimmed, null as empty."""
     return df.select(*[strip(c).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])

@@ -124,16 +124,19 @@ def raw_claims(elements: DataFrame, repos: DataFrame) -> DataFrame:
     return exploded.withColumn("claim_seq", F.row_number().over(order).cast("long")).drop("elem_no", "elem_type", "claim_no").select("*", "c.*").drop("c")
 
 
+def best_per_key(rows: DataFrame, keys: list[str], *order) -> DataFrame:
+    """The first row of each key in an order."""
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+
+
 def deduplicated(claims: DataFrame) -> DataFrame:
     """First of equal claims; of references to one artifact the one with the best evidence, context and place."""
     keyed = claims.withColumn("artifact_key", T.artifact_key("artifact_or_path")).withColumn("snippet_norm", T.norm("snippet"))
-    same = Window.partitionBy("full_name", "line_no", "heading", "section_class", "context_type", "claim_type", "artifact_key", "snippet_norm").orderBy("claim_seq")
-    once = keyed.withColumn("k", F.row_number().over(same)).where("k = 1").drop("k")
+    once = best_per_key(keyed, ["full_name", "line_no", "heading", "section_class", "context_type", "claim_type", "artifact_key", "snippet_norm"], "claim_seq")
     is_ref = F.col("claim_type").isin(REFERENCES) & (F.col("artifact_key") != "")
     evidence = F.when(F.col("evidence_level") == "high", 3).when(F.col("evidence_level") == "medium", 2).otherwise(1)
     context = F.when(F.col("context_type") == "inline_code_artifact", 4).when(F.col("context_type") == "fenced_code_artifact", 3).when(F.col("context_type") == "markdown_link", 2).otherwise(1)
-    best = Window.partitionBy("full_name", "artifact_key").orderBy(evidence.desc(), context.desc(), "line_no", "claim_seq")
-    refs = once.where(is_ref).withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+    refs = best_per_key(once.where(is_ref), ["full_name", "artifact_key"], evidence.desc(), context.desc(), "line_no", "claim_seq")
     return once.where(~is_ref).unionByName(refs).drop("artifact_key", "snippet_norm")
 
 

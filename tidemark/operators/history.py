@@ -58,8 +58,9 @@ def supported_at(cases: DataFrame, trees: DataFrame, makefiles: DataFrame) -> Da
 
 
 def state(has_readme: Column, snippet_there: Column, supported: Column) -> Column:
-    """A claim's state at a commit."""
-    return F.when(~has_readme, "unknown").when(~snippet_there, "no_claim").when(supported, "supported").otherwise("drift")
+    """A claim's state at a commit: unknown without a README, or where it can't be told whether the artifact is supported (null)."""
+    there = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(~there(has_readme), "unknown").when(~there(snippet_there), "no_claim").when(supported.isNull(), "unknown").when(supported, "supported").otherwise("drift")
 
 
 def grid(n: Column, points: int = 12) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DRIFTED = ("drifted_high", "drifted_medium")
+# Fixed value: replicates of a bootstrap.
+ROUNDS = 2000
 
 
 def rate(test: Column) -> Column:
@@ -98,19 +100,33 @@ def family_shares(kept: DataFrame, family: str, label: str = "label") -> DataFra
     return counts.join(total, F.lit(True)).select(family, "drifted", F.bround(100 * F.col("drifted") / F.col("_all"), 1).alias("share_pct"))
 
 
+def numbered(rows: DataFrame, order: Column, key: str, name: str, digits: int = 3) -> DataFrame:
+    """rows with ``name``: their number, from 1, by ``order`` (a hexadecimal text) and then key.
+
+    Rows are ranked within the groups that share the first digits of ``order``, at most 16^digits, and only
+    those groups' sizes are added up in one place, so no task sorts all rows.
+    """
+    dealt = rows.withColumns({"_order": order, "_group": F.substring(order, 1, digits)})
+    sizes = dealt.groupBy("_group").agg(F.count("*").alias("_n"))
+    before = sizes.select("_group", F.coalesce(F.sum("_n").over(Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_group").orderBy("_order", key))
+    return dealt.withColumn("_inside", inside).join(F.broadcast(before), "_group").withColumn(name, F.col("_before") + F.col("_inside")).drop("_order", "_group", "_inside", "_before")
+
+
 def draws(rollup: DataFrame, rounds: int, seed: int = 42) -> DataFrame:
     """round and the rollup rows drawn in it: as many as there are clusters, with replacement.
 
-    The draw of place j in round b is an MD5 of both modulo their number, which any
-    engine repeats. Only the rollup is joined; claims are not drawn again.
+    Clusters are numbered in the order of their name's MD5; the draw of place j in round b is
+    an MD5 of both modulo their number, which any engine repeats. Only the rollup is joined;
+    claims are not drawn again.
     """
     spark = rollup.sparkSession
     size = rollup.count()
-    numbered = rollup.withColumn("place", F.row_number().over(Window.orderBy("full_name")) - 1)
+    places = numbered(rollup, F.md5("full_name"), "full_name", "place").withColumn("place", F.col("place") - 1)
     b, j = F.lit(seed).cast("string"), F.col("id")
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", b, F.floor(j / max(size, 1)).cast("string"), F.pmod(j, F.lit(max(size, 1))).cast("string"))), 1, 8), 16, 10).cast("long") % max(size, 1)
     drawn = spark.range(rounds * size).select(F.floor(F.col("id") / max(size, 1)).alias("round"), pick.alias("place"))
-    return drawn.join(numbered, "place")
+    return drawn.join(places, "place")
 
 
 def interval(statistics: DataFrame, column: str) -> DataFrame:
@@ -118,12 +134,12 @@ def interval(statistics: DataFrame, column: str) -> DataFrame:
     return statistics.agg(p[0].alias("ci_low"), p[1].alias("ci_high"))
 
 
-def bootstrap_claim_rate(rollup: DataFrame, rounds: int, seed: int = 42) -> DataFrame:
+def bootstrap_claim_rate(rollup: DataFrame, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
     """One row: the interval of the claim drift rate when repositories are drawn as clusters."""
     return interval(draws(rollup, rounds, seed).groupBy("round").agg((F.sum("d") / F.sum("n")).alias("x")), "x")
 
 
-def bootstrap_repo_rate(rollup: DataFrame, rounds: int, seed: int = 42) -> DataFrame:
+def bootstrap_repo_rate(rollup: DataFrame, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
     """One row: the interval of the share of drifted repositories, a repository that is drawn twice counting once."""
     distinct = draws(rollup, rounds, seed).select("round", "place", "d").distinct()
     return interval(distinct.groupBy("round").agg(rate(F.col("d") > 0).alias("x")), "x")
@@ -188,3 +204,12 @@ def verified_types(kept: DataFrame, least: int = 10, label: str = "label") -> Da
 def first_family(kept: DataFrame) -> DataFrame:
     """claim_type with the family of its first claim."""
     return kept.groupBy("claim_type").agg(F.min_by("claim_family", F.struct("claim_seq")).alias("claim_family"))
+
+
+def robustness(kept: DataFrame, label: str = "label") -> DataFrame:
+    """variant (strict, main, lenient), claim_rate, repo_rate: what counts as drift from the least to the most."""
+    tests = {"strict": F.col(label) == "drifted_high", "main": is_drifted(label), "lenient": F.col(label) != "supported"}
+    repos = kept.groupBy("full_name").agg(F.count("*").alias("n"), *[F.count_if(t).alias(v) for v, t in tests.items()])
+    wide = repos.agg(*[f for v in tests for f in ((F.sum(v) / F.sum("n")).alias(f"{v}_claims"), rate(F.col(v) > 0).alias(f"{v}_repos"))])
+    each = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"{v}_claims").alias("claim_rate"), F.col(f"{v}_repos").alias("repo_rate")) for v in tests])
+    return wide.select(F.inline(each))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import numbered
 from .screen import seeded
 
 # Strata of the two validation sets and how many claims each gives.
@@ -42,9 +43,8 @@ def proportional(rows: DataFrame, type_col: str, n: int, key: str, seed: int = 4
 
 def blinded(sample: DataFrame, claim_columns: list[str], prefix: str = "EVAL_", width: int = 3, seed: int = 42, key: str = "claim_seq") -> DataFrame:
     """Sheets for coders: sequential ids in a seeded order, the claim's columns, empty answers; no labels."""
-    order = Window.orderBy(seeded(f"{seed}/blind", key), key)
-    return sample.select(
-        F.format_string(f"{prefix}%0{width}d", F.row_number().over(order)).alias("eval_id"), *claim_columns,
+    return numbered(sample, seeded(f"{seed}/blind", key), key, "_n").select(
+        F.format_string(f"{prefix}%0{width}d", "_n").alias("eval_id"), *claim_columns,
         F.lit("").alias("coder_label"), F.lit("").alias("coder_justification"), F.lit("").alias("artifact_found"),
     )
 
@@ -52,8 +52,7 @@ def blinded(sample: DataFrame, claim_columns: list[str], prefix: str = "EVAL_",
 def cohort(cases: DataFrame, repos: int, key: str, seed: int = 42) -> DataFrame:
     """One case each of so many repositories, numbered P001 on."""
     one = cases.withColumn("_k", F.row_number().over(Window.partitionBy("full_name").orderBy(seeded(seed, key), key))).where("_k = 1").drop("_k")
-    order = Window.orderBy(seeded(seed, "full_name"), "full_name")
-    return one.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= repos).select(F.format_string("P%03d", "_n").alias("case_id"), *one.columns)
+    return numbered(one, seeded(seed, "full_name"), "full_name", "_n").where(F.col("_n") <= repos).select(F.format_string("P%03d", "_n").alias("case_id"), *one.columns)
 
 
 def confirmed(cases: DataFrame, answers: DataFrame | None) -> DataFrame:

@@ -114,8 +114,17 @@ def candidate_pools(found: DataFrame, cap: int = R.MAX_PER_STRATUM, seed: int =
 
 
 def round_robin(pools: DataFrame) -> DataFrame:
-    """The first of each stratum, then the second of each, and so on."""
-    return pools.orderBy("place", "stratum")
+    """pools with turn, from 1: the first of each stratum, then the second of each, and so on. Only the sizes of places are added up in one place."""
+    sizes = pools.groupBy("place").agg(F.count("*").alias("_n"))
+    before = sizes.select("place", F.coalesce(F.sum("_n").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("place").orderBy("stratum", "full_name"))
+    return pools.withColumn("_inside", inside).join(before, "place").withColumn("turn", F.col("_before") + F.col("_inside")).drop("_inside", "_before")
+
+
+def until_accepted(turns: DataFrame, target: int = R.TARGET_ACCEPTED) -> DataFrame:
+    """The rows that are looked at before the search stops: turns (turn, skip_reason) up to the one that is the ``target``-th without a reason (all, if there are fewer)."""
+    last = turns.where("skip_reason is null").orderBy("turn").limit(target).agg(F.count("*").alias("_n"), F.max("turn").alias("_last"))
+    return turns.join(F.broadcast(last), (F.col("_n") < target) | (F.col("turn") <= F.col("_last"))).drop("_n", "_last")
 
 
 def config_rows(trees: DataFrame) -> DataFrame:

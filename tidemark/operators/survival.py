@@ -35,6 +35,14 @@ def survival_summary(curve: DataFrame) -> DataFrame:
     return curve.agg(F.min(F.when(F.col("survival") <= 0.5, F.col("time_days"))).alias("median_days"), F.max_by("survival", "time_days").alias("end_survival"), F.sum("events").alias("events"))
 
 
+def durations(cases: DataFrame, by: str | None = None) -> DataFrame:
+    """Median, mean and longest duration of the fixed cases, and how many there are; for each value of ``by`` if it is given."""
+    fixed = cases.where("event_fixed = 1 and duration_days is not null").withColumn("duration_days", F.col("duration_days").cast("double"))
+    return fixed.groupBy(*[by] if by else []).agg(
+        F.count("*").alias("fixed"), F.percentile("duration_days", 0.5).alias("median_days"), F.avg("duration_days").alias("mean_days"), F.max("duration_days").alias("max_days")
+    )
+
+
 def survival_at(curve: DataFrame, queries: DataFrame, time: str) -> DataFrame:
     """queries with the curve's survival at the last time not after each one's; 1 before the first.
 

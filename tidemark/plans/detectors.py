@@ -59,6 +59,7 @@ CLAIMS = [
     (10, "fenced_code", "bash_script", "made.sh", "bash made.sh"), (10, "fenced_code", "git_clone", "https://host.dev/x/tool.git", "git clone https://host.dev/x/tool.git"), (10, "fenced_code", "cd_dir", "tool", "cd tool"), (10, "fenced_code", "generic_command", None, "mkdir -p out2/made"),
     (10, "fenced_code", "bash_script", "late.sh", "bash late.sh"), (10, "fenced_code", "generic_command", None, "touch late.sh"), (10, "fenced_code", "bash_script", "made.cfg", "not in the block"), (83, "x", "cd_dir", "out2/made", "cd out2/made"), (83, "x", "bash_script", "late.sh", "bash late.sh"),
     (84, "x", "generic_command", None, "wget -q https://a.b/c -O got.yml"), (85, "x", "kubectl_apply", "got.yml", "kubectl apply -f got.yml"), (84, "x", "artifact_ref", "docs\\setup.md", "docs\\setup.md"), (84, "x", "run_shell_script", "scripts/start.sh", "./scripts/start.sh"),
+    (86, "x", "make_cmd", None, "make nope"), (86, "x", "make_cmd", None, "make nope"), (87, "x", "make_target", "lint", "make lint"), (87, "x", "make_target", "lint", "make lint"),
 ]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import artifacts, baseline, claims, headings, history, metrics, models, readme, sampling, screen, sequence, survival, validation
 from ..sources.staged import staged
-from . import detectors
+from . import detectors, screening
 from . import synthetic as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,14 +155,14 @@ def first_family(spark, sf):
 
 
 DRAWS = (
-    f"{ROLLUP}, numbered as (select *, row_number() over (order by full_name) - 1 as place, count(*) over () as size from rollup_), "
-    "draws as (select b.i as round, (('0x' || substr(md5('42:' || b.i || ':' || j.place), 1, 8))::bigint) % j.size as place from range(40) b(i), numbered j)"
+    f"{ROLLUP}, numbered as (select *, row_number() over (order by md5(full_name), full_name) - 1 as place, count(*) over () as size from rollup_), "
+    "draws as (select b.i as round, (('0x' || substr(md5('42:' || b.i || ':' || j.place), 1, 8))::bigint) % j.size as place from range(2000) b(i), numbered j)"
 )
 
 
 @query(f"{DRAWS}, x as (select round, sum(d) / sum(n)::double as x from draws join numbered using (place) group by round) select quantile_cont(x, 0.025) as ci_low, quantile_cont(x, 0.975) as ci_high from x")
 def bootstrap_claim_rate(spark, sf):
-    return metrics.bootstrap_claim_rate(metrics.repo_rollup(kept(spark, sf)), 40)
+    return metrics.bootstrap_claim_rate(metrics.repo_rollup(kept(spark, sf)))
 
 
 @query(
@@ -170,7 +170,7 @@ def bootstrap_claim_rate(spark, sf):
     "select quantile_cont(x, 0.025) as ci_low, quantile_cont(x, 0.975) as ci_high from x"
 )
 def bootstrap_repo_rate(spark, sf):
-    return metrics.bootstrap_repo_rate(metrics.repo_rollup(kept(spark, sf)), 40)
+    return metrics.bootstrap_repo_rate(metrics.repo_rollup(kept(spark, sf)))
 
 
 @query(
@@ -221,11 +221,6 @@ def first_drift_on_grid(spark, sf):
     return history.first_on_grid(S.states(spark, sf), ["drift"]).select("full_name", "found")
 
 
-@query()
-def persistence(spark, sf):
-    return history.persistence(S.states(spark, sf))
-
-
 @query(
     f"with {STATES}, b as (select *, case when lag(state) over (partition by full_name order by idx) is not distinct from state and idx > 0 then 0 else 1 end as fresh from s), "
     "i as (select *, sum(fresh) over (partition by full_name order by idx) as island from b) "
@@ -298,8 +293,7 @@ def round_robin(spark, sf):
 )
 def best_per_key(spark, sf):
     rank = F.when(F.col("label") == "drifted_high", 3).when(F.col("label") == "drifted_medium", 2).otherwise(1)
-    order = Window.partitionBy("full_name", "claim_type").orderBy(rank.desc(), "claim_seq")
-    return kept(spark, sf).withColumn("k", F.row_number().over(order)).where("k = 1").select("full_name", "claim_type", "claim_seq")
+    return claims.best_per_key(kept(spark, sf), ["full_name", "claim_type"], rank.desc(), "claim_seq").select("full_name", "claim_type", "claim_seq")
 
 
 @query(
@@ -310,12 +304,6 @@ def language_signals(spark, sf):
     return d.select("doc_id", F.size(T.alpha_tokens("text")).cast("long").alias("alpha"), T.ascii_ratio("text").alias("ascii_ratio"))
 
 
-@query()
-def english_screen(spark, sf):
-    d = S.load(spark, sf, "documents")
-    return d.select("doc_id", screen.language_reason("text").alias("reason"), T.word_count("text").alias("words"))
-
-
 @query(
     "with f as (select l_orderkey::varchar as full_name, 's' || l_linenumber as sha, lower(p_name) as path from lineitem join part on l_partkey = p_partkey), "
     "c as (select distinct full_name, sha, lower(o_orderpriority) as low from f join orders on o_orderkey = full_name::bigint), "
@@ -345,12 +333,6 @@ def link_types(spark, sf):
     return hrefs.union(p.select("page_id", "url")).select("page_id", "target", headings.link_type("target").alias("kind"))
 
 
-@query()
-def section_classes(spark, sf):
-    p = S.load(spark, sf, "part").select("p_partkey", F.concat(F.lit("## "), F.element_at(F.array(*map(F.lit, ["Install ", "How to use ", "Notes on ", "1. Clone ", "Docker "])), (F.col("p_partkey") % 5 + 1).cast("int")), "p_name").alias("h"))
-    return p.select("p_partkey", headings.section_class("h").alias("section"), headings.operational_hint("h").alias("hint"))
-
-
 @query("select event_id, case when (props->>'$.k') is not null then 1 else 0 end as flag, (props->>'$.k') as k from events")
 def json_flags(spark, sf):
     k = F.get_json_object("props", "$.k")
@@ -398,12 +380,56 @@ def adjusted_prevalence(spark, sf):
 
 @query(
     f"with {GOLD}, n as (select *, row_number() over (partition by stratum order by eval_id) - 1 as place, count(*) over (partition by stratum) as m from g), "
-    "d as (select n.stratum, r.i as round, (('0x' || substr(md5('1:' || n.stratum || ':' || r.i || ':' || n.place), 1, 8))::bigint) % n.m as place from n, range(30) r(i)), "
+    "d as (select n.stratum, r.i as round, (('0x' || substr(md5('1:' || n.stratum || ':' || r.i || ':' || n.place), 1, 8))::bigint) % n.m as place from n, range(5000) r(i)), "
     "s as (select d.round, d.stratum, avg((n.gold = 'drifted')::int) as p, avg((n.gold <> 'not-a-claim')::int) as q from d join n using (stratum, place) group by 1, 2), "
     "x as (select round, sum(size * p) / sum(size * q) as x from s join z using (stratum) group by round) select quantile_cont(x, 0.025) as ci_low, quantile_cont(x, 0.975) as ci_high from x"
 )
 def adjusted_interval(spark, sf):
-    return validation.adjusted_interval(*gold(spark, sf), 30)
+    return validation.adjusted_interval(*gold(spark, sf), 5000)
+
+
+@query(
+    f"{ROLLUP} select variant, claim_rate, repo_rate from (select sum(h) / sum(n)::double as a, avg((h > 0)::int) as b, sum(d) / sum(n)::double as c, avg((d > 0)::int) as e, sum(d + u) / sum(n)::double as f, avg((d + u > 0)::int) as g from rollup_), "
+    "lateral (values ('strict', a, b), ('main', c, e), ('lenient', f, g)) v(variant, claim_rate, repo_rate)"
+)
+def robustness(spark, sf):
+    return metrics.robustness(kept(spark, sf))
+
+
+@query(f"with c as ({S.CASES_SQL.format(events='events', micros='epoch_us')}) select count(*) as fixed, median(duration_days) as median_days, avg(duration_days) as mean_days, max(duration_days)::double as max_days from c where event_fixed = 1")
+def fix_durations(spark, sf):
+    return survival.durations(S.survival_cases(spark, sf))
+
+
+@query(
+    f"with {POOL}, t as (select *, row_number() over (order by place, stratum) as turn, case when position % 3 = 0 then 'skipped' end as skip_reason from p), "
+    "g as (select turn from t where skip_reason is null order by turn limit 20) select full_name, turn, skip_reason from t where turn <= (select max(turn) from g) or (select count(*) from g) < 20"
+)
+def until_accepted(spark, sf):
+    turns = screen.round_robin(candidate_pools(spark, sf)).withColumn("skip_reason", F.when(F.col("position") % 3 == 0, "skipped"))
+    return screen.until_accepted(turns, 20).select("full_name", "turn", "skip_reason")
+
+
+@query(
+    "with c as (select event_id, (props->>'$.k')::int % 6 as k from events), s as (select event_id, case k when 0 then 'exit 0' when 1 then ' TRUE ' when 2 then 'pytest' when 3 then '' when 4 then 'jest --ci' end as t from c) "
+    "select event_id, case when t is not null and trim(t) <> '' and lower(trim(t)) not in ('exit 0', 'true') then 1 else 0 end as flag from s"
+)
+def npm_scripts(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("int") % 6
+    script = F.when(k == 0, "exit 0").when(k == 1, " TRUE ").when(k == 2, "pytest").when(k == 3, "").when(k == 4, "jest --ci")
+    content = F.when(script.isNull(), F.lit("not json")).otherwise(F.concat(F.lit('{"scripts": {"test": "'), script, F.lit('"}}')))
+    return S.load(spark, sf, "events").select("event_id", T.npm_test_script(content).alias("flag"))
+
+
+@query(
+    "with p as (select o_custkey, o_orderkey, case when o_orderkey % 3 = 0 then ' ' || o_orderpriority when o_orderkey % 7 <> 0 then o_orderpriority else '' end as x from orders) "
+    "select o_custkey, list_aggregate(list_sort(list(trim(x)) filter (where trim(x) <> '')), 'string_agg', ',') as items from p group by 1"
+)
+def joined_lists(spark, sf):
+    x = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" "), "o_orderpriority")).when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).otherwise("")
+    lists = S.load(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(x).alias("items"))
+    back = lists.select("o_custkey", T.split_list(T.joined_list("items")).alias("items"))
+    return back.select("o_custkey", F.when(F.size("items") > 0, F.array_join(F.array_sort("items"), ",")).alias("items"))
 
 
 MODEL = "m as (select c_custkey, count(*) as n, ln(count(*) + 1) as lc, c_acctbal / 1000.0 as bal, count(*) filter (where o_orderpriority = '1-URGENT') as urgent from customer join orders on c_custkey = o_custkey group by c_custkey, c_acctbal)"
@@ -477,12 +503,6 @@ def final_labels(spark, sf):
     return out.select("full_name", "claim_seq", "claim_type", "status", "label_v4", "drift_family_v4", "verification", "reason_v4", "changed")
 
 
-@query()
-def screened_repositories(spark, sf):
-    t = S.repositories(spark, sf)
-    return screen.screened(t["repos"], t["readmes"], t["trees"], "2024-06-01T00:00:00Z").select("full_name", "skip_reason", "structural_score")
-
-
 @query(
     "with b as (select * from (values (10, 99), (100, 499), (500, 1999), (2000, 1000000)) b(l, h)), w as (select * from (values (0, 180), (181, 730)) w(n, o)) select l::bigint as star_low, h::bigint as star_high, "
     "'language:Python stars:' || l || '..' || h || ' pushed:' || strftime(date '2024-06-01' - o::int, '%Y-%m-%d') || '..' || strftime(date '2024-06-01' - n::int, '%Y-%m-%d') || ' archived:false' as query from b, w"
@@ -493,5 +513,6 @@ def search_queries(spark, sf):
 
 
 
-QUERIES.update(detectors.QUERIES)
-ORACLES.update(detectors.ORACLES)
+for part in (detectors, screening):
+    QUERIES.update(part.QUERIES)
+    ORACLES.update(part.ORACLES)

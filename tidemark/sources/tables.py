@@ -54,10 +54,15 @@ def tree_or_fallback(trees: DataFrame, fallback: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Arrays are written as sorted lists with ' || ' between."""
-    flat = [F.array_join(F.array_sort(c), " || ").alias(c) if t == "array<string>" else F.col(c) for c, t in df.dtypes]
+    flat = [T.joined_list(c).alias(c) if t == "array<string>" else F.col(c) for c, t in df.dtypes]
     df.select(*flat).write.option("header", True).option("escape", '"').csv(path)
 
 
+def with_lists(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns that were written as ' || ' lists as arrays again."""
+    return df.withColumns({c: T.split_list(c) for c in columns})
+
+
 def write_metrics(df: DataFrame, path: str) -> None:
     """One JSON object for each row."""
     df.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
