@@ -18,48 +18,19 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .decontaminate import grams, words
+from .license_texts import TEMPLATES
 
 SHINGLE = 5
-PIECE = 1024
+PIECE = 2048
+#: Words under which a template must be there whole: notices of two licenses may differ in their last word only.
+WHOLE = 16
 #: Shingle hashes of the templates' bands (8 bytes each) up to which they are broadcast; more go through a shuffle join.
 BROADCAST = 8_000_000
-# Public license texts and customary notices.
-TEMPLATES = {
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0-header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
-        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
-    ),
-    "MIT-notice": "Released under the MIT License",
-    "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
-        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons "
-        "to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial "
-        "portions of the Software."
-    ),
-    "BSD-redistribution": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must "
-        "retain the above copyright notice, this list of conditions and the following disclaimer."
-    ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "
-        "notice appear in all copies."
-    ),
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 "
-        "of the License, or (at your option) any later version."
-    ),
-    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0",
-    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-}
 
-
-def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """license, n_words, shingles of each template of at least SHINGLE words. The table has a row for each template given, whatever the documents."""
-    rows = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", F.expr(words("text")).alias("ws"))
+def template_table(spark: SparkSession, templates: dict[str, str | tuple[str, ...]]) -> DataFrame:
+    """license, n_words, shingles of each text of at least SHINGLE words; a license may have several. The table has a row for each text given, whatever the documents."""
+    texts = [(name, text) for name, some in sorted(templates.items()) for text in ([some] if isinstance(some, str) else some)]
+    rows = spark.createDataFrame(texts, "license string, text string").select("license", F.expr(words("text")).alias("ws"))
     return rows.where(F.size("ws") >= SHINGLE).select("license", F.size("ws").alias("n_words"), F.array_distinct(F.expr(grams("ws", SHINGLE))).alias("shingles"))
 
 
@@ -75,7 +46,7 @@ def groups(templates: list, containment: float, miss: float) -> list[tuple[int,
     return sorted((2 * half, bands) for half, bands in out.items())
 
 
-def licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, miss: float = 1e-6) -> DataFrame:
+def licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None, containment: float = 0.8, miss: float = 1e-6) -> DataFrame:
     """For each row of docs: doc_id, n_words, found (array of license, containment, by name; the best window's).
 
     Null and empty texts have no words and no licenses. Repeated rows, null ids and an
@@ -106,19 +77,20 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, containme
         )
     head = "array(struct(0 as width, -1 as band, xxhash64(key, at) as value, cast(array() as array<bigint>) as shingles))"
     bands = hit.select("doc_id", "key", "at", "n", F.explode(F.expr(f"concat({head}, if(size(hit) = 0, {none}, concat({', '.join(parts)})))")).alias("b"))
-    signed = table.select("license", F.col("shingles").alias("t"), F.expr("case " + " ".join(f"when n_words <= {w // 2} then {w}" for w, _ in kinds) + " else 0 end" if kinds else "0").alias("width"))
+    least = F.when(F.col("n_words") < WHOLE, 1.0).otherwise(containment)
+    signed = table.select("license", F.col("shingles").alias("t"), least.alias("least"), F.expr("case " + " ".join(f"when n_words <= {w // 2} then {w}" for w, _ in kinds) + " else 0 end" if kinds else "0").alias("width"))
     most = {w: b for w, b in kinds}
     sized = " ".join(f"when width = {w} then {b - 1}" for w, b in most.items())
-    signed = signed.select("license", "t", "width", F.explode(F.expr(f"sequence(0, case {sized} else 0 end)" if most else "array(0)")).alias("band"))
-    signed = stored(signed.select("license", "t", "width", "band", F.expr("array_min(transform(t, v -> xxhash64(band, v)))").alias("value")), "templates")
+    signed = signed.select("license", "t", "least", "width", F.explode(F.expr(f"sequence(0, case {sized} else 0 end)" if most else "array(0)")).alias("band"))
+    signed = stored(signed.select("license", "t", "least", "width", "band", F.expr("array_min(transform(t, v -> xxhash64(band, v)))").alias("value")), "templates")
     flat = bands.select("doc_id", "key", "at", "n", "b.*")
     held = sum(len(r["shingles"]) * next(b for w, b in kinds if r["n_words"] <= w // 2) for r in rows)  # hashes that the bands of all templates hold
     joined = flat.join(F.broadcast(signed) if held <= BROADCAST else signed, ["width", "band", "value"], "left")
     share = joined.select(
-        "doc_id", "key", F.expr("if(band = -1, n, 0)").alias("n"), F.expr("band = -1 and at = 0").alias("first"), "license",
+        "doc_id", "key", F.expr("if(band = -1, n, 0)").alias("n"), F.expr("band = -1 and at = 0").alias("first"), "license", "least",
         F.expr("size(array_intersect(shingles, t)) / size(t)").alias("share"),
     )
-    good = F.when(F.col("share") >= containment, F.struct("license", F.bround("share", 6).alias("containment")))
+    good = F.when(F.col("share") >= F.col("least"), F.struct("license", F.bround("share", 6).alias("containment")))
     out = share.groupBy("doc_id", "key").agg(F.sum("n").alias("n"), F.count(F.when(F.col("first"), 1)).alias("copies"), F.collect_set(good).alias("all"))
     best = "transform(array_sort(array_distinct(transform(all, x -> x.license))), l -> struct(l as license, array_max(transform(filter(all, x -> x.license = l), x -> x.containment)) as containment))"
     return out.select("doc_id", F.expr("cast(n div copies as bigint)").alias("n_words"), F.expr(best).alias("found"), F.explode(F.expr("sequence(1, copies)")).alias("copy")).drop("copy")
