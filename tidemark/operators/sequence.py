@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..sources.staged import staged
 from .baseline import pairs, probed
 
 REFS = ("artifact_ref", "local_link_ref")
@@ -108,7 +109,8 @@ def verdict(cases: list[tuple]) -> Column:
 def final_labels(labels: DataFrame, elements: DataFrame, index: DataFrame, keys: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """labels of the baseline with status, label_v4, drift_family_v4, verification, reason_v4, drifted_v3, drifted_v4, changed.
 
-    Claims of repositories without an index are dropped. keys is path_keys(trees).
+    Claims of repositories without an index are dropped. keys is path_keys(trees). Claims in
+    order and what was asked about them are written as tables on the way (see sources.staged).
     """
     art, snip, kind = F.coalesce("artifact_or_path", F.lit("")), F.coalesce("snippet", F.lit("")), F.col("claim_type")
     a, name, into, segments, dockerfile, editable, test_file, user_path, holder, url, runtime = (
@@ -132,6 +134,8 @@ def final_labels(labels: DataFrame, elements: DataFrame, index: DataFrame, keys:
             "_runtime": T.is_runtime_like(a),
         }
     )
+    # the probes and the cases read tables, so that what is planned for each stays small
+    claims = staged(claims, "ordered")
     no_key = F.array().cast("array<struct<kind:string,key:string>>")
     probes = {
         "_f": file_probe(a),
@@ -145,10 +149,10 @@ def final_labels(labels: DataFrame, elements: DataFrame, index: DataFrame, keys:
         "_setup": pairs(("name", F.lit("setup.py"))),
         "_cmake": pairs(("name", F.lit("cmakelists.txt"))),
     }
-    asked = probed(claims, keys, probes)
+    asked = staged(probed(claims, keys, probes), "probed")
     asked = with_created(asked, created_table(claims, elements), {"_made": F.array(a), "_made_name": F.array(a, name), "_made_into": F.array(into)})
     flags = ["has_requirements_txt", "has_dockerfile", "has_docker_compose", "has_makefile", "has_pyproject_toml", "has_setup_cfg", "has_tox_ini", "has_pytest_ini", "has_tests_dir", "has_py_test_files"]
-    data = asked.join(index.select("full_name", "make_targets", *flags), "full_name")
+    data = staged(asked.join(index.select("full_name", "make_targets", *flags), "full_name"), "asked")
     c = F.col
     has = lambda *names: F.greatest(*[c(n) for n in names], F.lit(0)) == 1
     is_kind = lambda *names: kind.isin(*names)
