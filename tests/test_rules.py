@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import history, metrics, screen, survival
-from tidemark.plans import detectors, screening
+from tidemark.functions import rules as R
+from tidemark.plans import detectors, extraction, screening
 
 SF = "/root/testdata/sf0.01"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -30,6 +31,13 @@ def test_every_rule_of_the_detectors_fires(spark):
     assert len(heads) >= 58
 
 
+@needs_tables
+def test_every_pattern_of_a_command_is_met(spark):
+    got = {tuple(r) for r in extraction.extraction_rules(spark, SF).select("claim_type", "context_type").distinct().collect()}
+    assert {k for k, *_ in R.COMMANDS} | {"generic_command", "artifact_ref", "local_link_ref"} == {k for k, _ in got}
+    assert {c for _, c in got} == {"fenced_code", "inline_code_command", "section_line_command", "fenced_code_artifact", "inline_code_artifact", "section_line_artifact", "markdown_link"}
+
+
 @needs_tables
 def test_every_reason_of_the_screen_is_given(spark):
     got = {r[0] for r in screening.screened_repositories(spark, SF).select("skip_reason").distinct().collect()}

@@ -8,6 +8,7 @@ of them. The texts of the tables are SQL that Spark and DuckDB read alike.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import artifacts, baseline, sequence
@@ -304,5 +305,66 @@ FINAL_SQL = f"""with {LABELLED}, {CREATED}, z as (select *, {case(FINAL_CASES, '
 select full_name, claim_seq, split_part(w, '|', 1) as status, nullif(split_part(w, '|', 2), '') as label_v4, nullif(split_part(w, '|', 3), '') as drift_family_v4, nullif(split_part(w, '|', 4), '') as verification, split_part(w, '|', 5) as reason_v4,
 split_part(w, '|', 1) = 'excluded' or split_part(w, '|', 2) <> split_part(v, '|', 1) as changed from z"""
 
-QUERIES = {"baseline_rules": baseline_rules, "final_rules": final_rules}
-ORACLES = {"baseline_rules": BASELINE_SQL, "final_rules": FINAL_SQL}
+# ---- the index: every column of it, and the keys that probes look up -----------
+
+ARRAYS = ["all_file_paths", "all_file_basenames", "all_dir_paths", "top_level_dirs", "make_targets", "workflow_files"]
+
+
+def index_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir)
+    out = artifacts.artifact_index(t["trees"], t["configs"].unionByName(package_configs(spark)))
+    return out.withColumns({c: F.array_join(c, ",") for c in ARRAYS})
+
+
+def index_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return artifacts.path_keys(tables(spark, sf_dir)["trees"])
+
+
+#: content of a package.json, keys that have it.
+PACKAGES = [
+    ('{"scripts": {"test": "jest"}}', 9, 1), ('{"scripts": {"test": "exit 0"}}', 9, 2), ('{"scripts": {"build": "x"}}', 9, 3), ("not json", 9, 4), ('{"scripts": {"test": " TRUE "}}', 9, 5),
+    ('{"scripts": {"test": ""}}', 9, 6), ('{"name": "x"}', 9, 7),
+]
+PACKAGE_ROWS = (
+    f"select {NAME} as full_name, 'web/package.json' as path, 'package.json' as basename, content from customer, {values(PACKAGES)} as p(content, d, r) where c_custkey % d = r "
+    f"union all select {NAME}, '.github/workflows/ci.yml', 'ci.yml', 'on: push' from customer where c_custkey % 4 = 3 union all select {NAME}, '.github/workflows/makefile', 'makefile', 'flow: x' from customer where c_custkey % 10 = 9"
+)
+
+
+def package_configs(spark: SparkSession) -> DataFrame:
+    return spark.sql(spark_text(PACKAGE_ROWS).replace("from customer", "from _customer"))
+
+
+def file_flag(test: str) -> str:
+    return f"coalesce(max((type = 'blob' and {test})::int), 0)"
+
+
+def named_flag(*names: str) -> str:
+    return file_flag(f"b in {listed(list(names))}")
+
+
+def config_flag(name: str) -> str:
+    return f"coalesce(max((b = '{name}' and not flow)::int), 0)"
+
+
+def joined(value: str, test: str) -> str:
+    return f"coalesce(array_to_string(list_sort(list(distinct {value}) filter (where {test})), ','), '')"
+
+
+INDEX_SQL = f"""with {INDEX}, q as (select *, {base('p')} as b, case when type = 'tree' or contains(p, '/') then split_part(p, '/', 1) end as top from t),
+a as (select full_name, count(distinct p) filter (where type = 'blob')::int as file_count, count(distinct p) filter (where type = 'tree')::int as dir_count, {joined('p', "type = 'blob'")} as all_file_paths, {joined('b', "type = 'blob'")} as all_file_basenames,
+  {joined('p', "type = 'tree'")} as all_dir_paths, {joined('top', 'top is not null')} as top_level_dirs, {named_flag('requirements.txt')} as has_requirements_txt, {named_flag('package.json')} as has_package_json, {named_flag('dockerfile')} as has_dockerfile,
+  {named_flag(*R.COMPOSE_NAMES)} as has_docker_compose, {named_flag('makefile')} as has_makefile, {named_flag('pom.xml')} as has_pom_xml, {named_flag('build.gradle', 'build.gradle.kts')} as has_build_gradle, {named_flag('cargo.toml')} as has_cargo_toml,
+  {named_flag('go.mod')} as has_go_mod, coalesce(max((len(list_intersect(case when type = 'tree' then string_split(p, '/') else [top] end, {R.TEST_DIR_NAMES!r})) > 0)::int), 0) as has_tests_dir, {file_flag("(b like 'test!_%.py' escape '!' or b like '%!_test.py' escape '!')")} as has_py_test_files,
+  {file_flag("p like '%!_test.go' escape '!'")} as has_go_test_files, {file_flag("regexp_matches(b, '.*[.](test|spec)[.](js|jsx|ts|tsx)$')")} as has_js_ts_test_files, {file_flag("p like '%test.java'")} as has_java_test_files from q group by 1),
+every as (select * from configs union all select * from ({PACKAGE_ROWS})), e as (select full_name, {slashed('path')} as p, lower(basename) as b, content, {slashed('path')} like '.github/workflows/%' and lower(basename) not in ('makefile', 'package.json') as flow from every),
+flows as (select full_name, 'flow' as n from e where b = 'makefile' and content = 'flow: x'), mt as (select full_name, {joined('n', 'true')} as make_targets from (select full_name, unnest(ts) as n from targets union all select * from flows) group by 1),
+pk as (select full_name, b, flow, p, case when b = 'package.json' and json_valid(content) then lower(trim(coalesce(json_extract_string(content, '$.scripts.test'), ''))) else '' end as script from e),
+c as (select full_name, {joined('p', 'flow')} as workflow_files, max((script not in ('', 'exit 0', 'true'))::int) as npm_has_test_script, {config_flag('pyproject.toml')} as has_pyproject_toml, {config_flag('setup.cfg')} as has_setup_cfg,
+  {config_flag('tox.ini')} as has_tox_ini, {config_flag('pytest.ini')} as has_pytest_ini from pk group by 1)
+select a.*, coalesce(make_targets, '') as make_targets, coalesce(workflow_files, '') as workflow_files, coalesce(npm_has_test_script, 0) as npm_has_test_script, coalesce(has_pyproject_toml, 0) as has_pyproject_toml, coalesce(has_setup_cfg, 0) as has_setup_cfg,
+  coalesce(has_tox_ini, 0) as has_tox_ini, coalesce(has_pytest_ini, 0) as has_pytest_ini from a left join mt using (full_name) left join c using (full_name)"""
+KEYS_SQL = f"with {INDEX} select distinct full_name, split_part(k, ':', 1) as kind, split_part(k, ':', 2) as key from keyed"
+
+QUERIES = {"baseline_rules": baseline_rules, "final_rules": final_rules, "index_rules": index_rules, "index_keys": index_keys}
+ORACLES = {"baseline_rules": BASELINE_SQL, "final_rules": FINAL_SQL, "index_rules": INDEX_SQL, "index_keys": KEYS_SQL}

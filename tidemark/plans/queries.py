@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import artifacts, baseline, claims, headings, history, metrics, models, readme, sampling, screen, sequence, survival, validation
 from ..sources.staged import staged
-from . import detectors, screening
+from . import detectors, extraction, screening
 from . import synthetic as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -513,6 +513,6 @@ def search_queries(spark, sf):
 
 
 
-for part in (detectors, screening):
+for part in (detectors, extraction, screening):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)
