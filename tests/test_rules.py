@@ -1,13 +1,15 @@
 """The fixtures of the SQL checks fire every rule; operators that queries call, on small inputs."""
 
 import datetime
+import math
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import history, metrics, screen, survival
+from tidemark.operators import history, metrics, models, screen, survival
 from tidemark.functions import rules as R
 from tidemark.plans import detectors, extraction, screening
 
@@ -91,3 +93,58 @@ def test_walk_takes_the_newest_and_drops_bad_dates(spark):
     rows = [("a/b", str(i), f"2024-01-{i:02d}T00:00:00Z" if i != 3 else "x", -i) for i in range(1, 7)]
     out = history.commit_walk(spark.createDataFrame(rows, "full_name string, sha string, date string, newest_first long"), 4).orderBy("idx").collect()
     assert [(r["sha"], r["idx"], r["date"].replace(tzinfo=None) if r["date"].tzinfo else r["date"]) for r in out] == [(str(i), k, datetime.datetime(2024, 1, i)) for k, i in enumerate((4, 5, 6))]
+
+
+def model_rows(spark):
+    r = np.random.default_rng(5)
+    x, z, o = r.normal(size=400), r.normal(size=400), r.normal(size=400) * 0.3
+    mu = np.exp(0.4 + 0.7 * x - 0.2 * z + o)
+    y = r.poisson(mu * r.gamma(2.0, 0.5, size=400))
+    some = (r.random(400) < 1 / (1 + np.exp(-(0.3 + x)))).astype(int)
+    data = [*zip(x.tolist(), z.tolist(), o.tolist(), y.tolist(), some.tolist())]
+    return data, spark.createDataFrame(data, "x double, z double, o double, y int, some int")
+
+
+def test_logistic_is_the_maximum(spark):
+    data, df = model_rows(spark)
+    fit = models.logistic(df, "some", ["x", "z"])
+    a = np.array(data)
+    design = np.column_stack((np.ones(len(a)), a[:, :2]))
+
+    def like(b, d=design):
+        eta = d @ b
+        return float(np.sum(a[:, 4] * eta - np.log1p(np.exp(eta))))
+
+    beta = np.zeros(3)
+    for _ in range(60):  # plain gradient steps by a halving search, then Newton on numeric derivatives
+        grad = np.array([(like(beta + h) - like(beta - h)) / 2e-5 for h in np.eye(3) * 1e-5])
+        step = 1.0
+        while like(beta + step * grad) < like(beta):
+            step /= 2
+        beta = beta + step * grad
+    assert fit.coefficients == pytest.approx(beta, abs=1e-5) and fit.log_likelihood == pytest.approx(like(fit.coefficients), abs=1e-6)
+    p = a[:, 4].mean()
+    assert fit.null_log_likelihood == pytest.approx(400 * (p * math.log(p) + (1 - p) * math.log(1 - p)), abs=1e-6) and 0 < fit.pseudo_r2 < 1
+
+
+def test_negative_binomial_is_the_maximum(spark):
+    data, df = model_rows(spark)
+    fit = models.negative_binomial(df, "y", ["x", "z"], "o")
+
+    def like(b, alpha, columns):
+        total, r = 0.0, 1 / alpha
+        for row in data:
+            mu = math.exp(b[0] + sum(v * row[c] for v, c in zip(b[1:], columns)) + row[2])
+            y = row[3]
+            total += math.lgamma(y + r) - math.lgamma(r) - math.lgamma(y + 1) + r * math.log(r / (r + mu)) + y * math.log(mu / (r + mu))
+        return total
+
+    b = fit.coefficients.tolist()
+    best = like(b, fit.alpha, (0, 1))
+    assert fit.log_likelihood == pytest.approx(best, abs=1e-4)
+    for i in range(3):  # no step in any direction gains
+        for d in (-1e-3, 1e-3):
+            assert like([v + d * (j == i) for j, v in enumerate(b)], fit.alpha, (0, 1)) <= best
+    assert max(like(b, fit.alpha * f, (0, 1)) for f in (0.998, 1.002)) <= best
+    null = max(like([c], a, ()) for c in np.linspace(0.2, 1.4, 61) for a in np.linspace(0.4, 3, 66))
+    assert null <= fit.null_log_likelihood <= null + 0.5 and 0 < fit.pseudo_r2 < 1

@@ -84,7 +84,10 @@ def digamma_terms(y: Column, r: float, power: int) -> Column:
 
 
 def negative_binomial(rows: DataFrame, outcome: str, columns: list[str], offset: str, rounds: int = 60, tol: float = 1e-9) -> Fit:
-    """NB2 with log link and offset: Fisher scoring for the coefficients, Newton in log r for the dispersion 1/r, in turn."""
+    """NB2 with log link and offset: Fisher scoring for the coefficients, Newton in log r for the dispersion 1/r, in turn.
+
+    The null model, for the pseudo R2, has the intercept, the offset and a dispersion of its own, over the same rows.
+    """
     data = rows.select(F.col(outcome).cast("double").alias("_y"), F.col(offset).cast("double").alias("_o"), *columns).na.drop()
     y = F.col("_y")
     total, exposure = data.agg(F.sum("_y"), F.sum(F.exp("_o"))).first()
@@ -109,7 +112,8 @@ def negative_binomial(rows: DataFrame, outcome: str, columns: list[str], offset:
             ll = new
             break
         ll = new
-    return Fit(["const", *columns], beta, np.sqrt(np.diag(np.linalg.inv(h))), ll, ll, alpha=1 / r, alpha_error=(1 / r) / math.sqrt(max(curve, 1e-300)))
+    null = negative_binomial(data, "_y", [], "_o", rounds, tol).log_likelihood if columns else ll
+    return Fit(["const", *columns], beta, np.sqrt(np.diag(np.linalg.inv(h))), ll, null, alpha=1 / r, alpha_error=(1 / r) / math.sqrt(max(curve, 1e-300)))
 
 
 def inflation(rows: DataFrame, columns: list[str]) -> DataFrame:

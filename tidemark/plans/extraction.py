@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import claims
+from ..operators import claims, readme
 from . import synthetic as S
 from .detectors import NAME, base, listed, match, quoted, spark_text, values
 
@@ -151,5 +151,40 @@ c5 as (select *, row_number() over (partition by full_name, part = 1 and akey <>
   case context_type when 'inline_code_artifact' then 4 when 'fenced_code_artifact' then 3 when 'markdown_link' then 2 else 1 end desc, line_no, claim_seq) as best from c4 where again = 1)
 select full_name, line_no, context_type, claim_type, claim_family, artifact_or_path, snippet, evidence_level, claim_seq from c5 where part = 0 or best = 1"""
 
-QUERIES = {"extraction_rules": extraction_rules}
-ORACLES = {"extraction_rules": SQL}
+# ---- elements of READMEs that are put together from blocks ---------------------
+
+BLOCKS = [
+    (0, "Before any heading, `x.py`."), (1, "# Top\nIntro with `a.py` and [x](docs/a.md).\n"), (2, "Install\n-------\n```bash\npip install x\n# no heading\n\nmake `all`\n```"),
+    (3, "## Usage ##\nRun `python a.py`, `b` or see [one](x.py) and [two](http://a.b/c).\n\n- item"), (4, "Title two\n=====\nplain line\n\n   indented `code` ![i](p.png)"),
+    (5, "```\nx = [a](b)\n## y\n```\nafter the fence"), (6, "### 1. Tests\nRun them.\n```Python\n```"), (7, "#no heading\n####### seven\n[a]() `` [b](c d)"),
+]
+README_BLOCKS = f"select {NAME} as full_name, no, block from customer, {values(BLOCKS)} as b(no, block) where (c_custkey + no * no) % 5 < 2"
+
+
+def readme_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    S.load(spark, sf_dir, "customer").createOrReplaceTempView("_customer")
+    blocks = spark.sql(spark_text(README_BLOCKS).replace("from customer", "from _customer"))
+    texts = blocks.groupBy("full_name").agg(F.array_sort(F.collect_list(F.struct("no", "block"))).alias("bs")).select("full_name", F.array_join("bs.block", "\n").alias("readme_text"))
+    return readme.elements(texts).select("full_name", "elem_type", "line_no", "elem_no", "heading", "content", "code_lang", "link_text", "link_target")
+
+
+README_SQL = rf"""with b as ({README_BLOCKS}), r as (select full_name, string_agg(block, chr(10) order by no) as x from b group by 1),
+l as (select full_name, unnest(string_split(x, chr(10))) as line, unnest(range(1, len(string_split(x, chr(10))) + 1)) as n from r),
+f as (select *, regexp_matches(line, '^\s*```') as mark, lead(line) over w as following, max(n) over (partition by full_name) as last_ from l window w as (partition by full_name order by n)),
+g as (select *, count(*) filter (where mark) over (partition by full_name order by n) as marks from f where not (n = last_ and line = '')),
+h as (select *, marks % 2 = 1 or mark as fenced, not (marks % 2 = 1 or mark) and regexp_matches(line, '^\s{{0,3}}(#{{1,6}})\s+(.*?)\s*#*\s*$') as atx,
+  not (marks % 2 = 1 or mark) and trim(line) <> '' and not regexp_matches(line, '^\s{{0,3}}#{{1,6}}\s') and coalesce(regexp_matches(following, '^\s*(=\s*=+|-\s*-+|[=-]{{3,}})\s*$'), false) as titled from g),
+k as (select *, coalesce(lag(titled) over (partition by full_name order by n), false) as under, case when atx then trim(regexp_extract(line, '^\s{{0,3}}(#{{1,6}})\s+(.*?)\s*#*\s*$', 2)) when titled then trim(line) end as title from h),
+t as (select *, coalesce(last_value(title ignore nulls) over (partition by full_name order by n), 'ROOT') as heading from k),
+p as (select * from t where not fenced and not atx and not titled and not under),
+i as (select full_name, n, heading, line, unnest(regexp_extract_all(line, '`([^`\n]+)`', 1)) as c, unnest(range(len(regexp_extract_all(line, '`([^`\n]+)`', 1)))) as q, from p),
+u as (select full_name, n, heading, line, len(regexp_extract_all(line, '`([^`\n]+)`', 1)) as before_, unnest(regexp_extract_all(line, '\[([^\]]+)\]\(([^)]+)\)', 1)) as a, unnest(regexp_extract_all(line, '\[([^\]]+)\]\(([^)]+)\)', 2)) as b,
+  unnest(range(len(regexp_extract_all(line, '\[([^\]]+)\]\(([^)]+)\)', 1)))) as q from p),
+c as (select full_name, ((marks + 1) // 2) as fence, min(n) as n, min(heading) as heading, coalesce(string_agg(line, chr(10) order by n) filter (where not mark), '') as content, max(case when mark and marks % 2 = 1 then lower(trim(regexp_extract(line, '^\s*```(.*)$', 1))) end) as lang from t where fenced group by 1, 2)
+select full_name, 'heading' as elem_type, n as line_no, 0 as elem_no, heading, line as content, null as code_lang, null as link_text, null as link_target from t where atx or titled
+union all select full_name, 'inline_code', n, q, heading, c, null, null, null from i union all select full_name, 'markdown_link', n, before_ + q, heading, trim(line), null, a, b from u
+union all select full_name, 'section_line', n, len(regexp_extract_all(line, '`([^`\n]+)`', 1)) + len(regexp_extract_all(line, '\[([^\]]+)\]\(([^)]+)\)', 1)), heading, line, null, null, null from p
+union all select full_name, 'fenced_code', n, 0, heading, content, lang, null, null from c"""
+
+QUERIES = {"extraction_rules": extraction_rules, "readme_rules": readme_rules}
+ORACLES = {"extraction_rules": SQL, "readme_rules": README_SQL}
