@@ -24,11 +24,21 @@ def strata_sizes(labels: DataFrame) -> DataFrame:
     return labels.where("status = 'kept'").withColumn("stratum", stratum()).groupBy("stratum").agg(F.count("*").alias("size"))
 
 
+def first_of_group(rows: DataFrame, group: str, order: Column, key: str, quota: str) -> DataFrame:
+    """The first rows of each group by ``order`` (a hexadecimal text) and key, as many as its column ``quota`` says.
+
+    Ranks are taken among those that share two digits of the order first, so a group that holds
+    most rows is cut down in 256 parts before what is left of it meets.
+    """
+    dealt = rows.withColumns({"_order": order, "_part": F.substring(order, 1, 2)})
+    some = dealt.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_part").orderBy("_order", key))).where(F.col("_k") <= F.col(quota))
+    return some.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy("_order", key))).where(F.col("_k") <= F.col(quota)).drop("_k", "_order", "_part", quota)
+
+
 def per_stratum(rows: DataFrame, stratum_col: str, sizes: dict[str, int], key: str, seed: int = 42) -> DataFrame:
     """sizes[s] rows of each stratum s (all, if there are fewer), in a seeded order."""
     quota = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col(stratum_col)), F.lit(0))
-    order = Window.partitionBy(stratum_col).orderBy(seeded(seed, key), key)
-    return rows.where(F.col(stratum_col).isin(*sizes)).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= quota).drop("_k")
+    return first_of_group(rows.where(F.col(stratum_col).isin(*sizes)).withColumn("_quota", quota), stratum_col, seeded(seed, key), key, "_quota")
 
 
 def proportional(rows: DataFrame, type_col: str, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -36,8 +46,7 @@ def proportional(rows: DataFrame, type_col: str, n: int, key: str, seed: int = 4
     counts = rows.groupBy(type_col).agg(F.count("*").alias("_c"))
     total = counts.agg(F.sum("_c").alias("_all"))
     quota = counts.join(total, F.lit(True)).select(type_col, F.greatest(F.lit(1), F.bround(n * F.col("_c") / F.col("_all"))).alias("_quota"))
-    order = Window.partitionBy(type_col).orderBy(seeded(seed, key), key)
-    some = rows.withColumn("_k", F.row_number().over(order)).join(quota, type_col).where("_k <= _quota").drop("_k", "_quota")
+    some = first_of_group(rows.join(quota, type_col), type_col, seeded(seed, key), key, "_quota")
     return some.orderBy(seeded(f"{seed}/all", key), key).limit(n)
 
 
