@@ -77,7 +77,7 @@ def beside(c: str = "c") -> str:
 
 def text_terms() -> str:
     """SQL on text: its different terms, each with the least hash of the words beside it."""
-    placed = f"element_at(transform(array({words('text')}), ws -> array_sort(array_distinct(filter(transform(ws, (w, i) -> struct(w as term, {beside()})), x -> length(x.term) > 2)))), 1)"
+    placed = f"element_at(transform(array({words('text')}), ws -> array_sort(filter(transform(ws, (w, i) -> struct(w as term, {beside()})), x -> length(x.term) > 2))), 1)"
     return f"element_at(transform(array({placed}), xs -> filter(xs, (x, i) -> i = 0 or get(xs, i - 1).term <> x.term)), 1)"
 
 
