@@ -128,19 +128,24 @@ def on_grid(name: str, rows: str) -> str:
     )
 
 
+def stamp(x: str) -> str:
+    return f"strftime({x}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
 STATES = f"s as (select user_id::varchar as full_name, row_number() over (partition by user_id order by ts, event_id) - 1 as idx, ts, {S.STATE} as state from events)"
 PERSISTENCE_SQL = f"""with {STATES}, a as (select full_name, idx as rel, state = 'drift' as want from s), {on_grid('onset', 'a')},
 b as (select s.full_name, s.idx - o.found - 1 as rel, s.state in ('supported', 'no_claim') as want from s join onset o using (full_name) where s.idx > o.found), {on_grid('fix', 'b')},
 e as (select full_name, count(*) as n, min(ts) as first_, max(ts) as last_ from s group by 1),
 j as (select e.*, o.found as onset, o.found + 1 + f.found as fix, case when n < 2 then 'too_few_commits' when o.found is null then 'no_detectable_drift' else 'ok' end as status from e left join onset o using (full_name) left join fix f using (full_name)),
 d as (select j.*, x.ts as at_onset, y.ts as at_fix, y.state as fixed_as from j left join s x on x.full_name = j.full_name and x.idx = j.onset left join s y on y.full_name = j.full_name and y.idx = j.fix)
-select full_name, 'c' as case_id, status, n as n_commits_checked, first_ as window_start, last_ as window_end, case when status = 'ok' then at_onset end as first_drift_date, case when status = 'ok' then at_fix end as first_fix_date,
+select full_name, 'c' as case_id, status, n as n_commits_checked, {stamp('first_')} as window_start, {stamp('last_')} as window_end, case when status = 'ok' then {stamp('at_onset')} end as first_drift_date, case when status = 'ok' then {stamp('at_fix')} end as first_fix_date,
   case when status = 'ok' and fix is not null then case when fixed_as = 'no_claim' then 'claim_removed' else 'artifact_restored' end end as fix_mode,
   case when status = 'ok' then floor((epoch_us(coalesce(at_fix, last_)) - epoch_us(at_onset)) / 86400000000.0)::bigint end as duration_days, case when status = 'ok' then (fix is not null)::int end as event_fixed, case when status = 'ok' then (onset = 0)::int end as left_truncated from d"""
 
 
 def persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.persistence(S.states(spark, sf_dir))
+    dates = ("window_start", "window_end", "first_drift_date", "first_fix_date")
+    return history.persistence(S.states(spark, sf_dir)).withColumns({d: F.date_format(d, "yyyy-MM-dd HH:mm:ss.SSSSSS") for d in dates})
 
 
 # A commit is an order, its tree the lines of the order; README and Makefile depend on the key, and some commits have no tree.
