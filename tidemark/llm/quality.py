@@ -115,14 +115,16 @@ class Network:
         g["w"] = g["w"].reshape(WIDTH * EMBED, FILTERS)
         return g
 
-    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = 8, size: int = 32, rate: float = 0.01, seed: int = 11) -> Network:
+    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = 8, size: int = 32, rate: float = 0.01, least: int = 600, seed: int = 11) -> Network:
+        """Adam in ``epochs`` rounds over the rows, more if that makes under ``least`` steps; the rate falls to a seventeenth."""
         r = np.random.default_rng(seed)
         share = max(1e-6, y.mean()), max(1e-6, 1 - y.mean())
         weight = np.where(y == 1, 0.5 / share[0], 0.5 / share[1])
         m = {k: np.zeros_like(v, np.float64) for k, v in self.p.items()}
         s = {k: np.zeros_like(v, np.float64) for k, v in self.p.items()}
-        t = 0
-        for epoch in range(epochs):
+        t, each = 0, -(-len(texts) // size)
+        epochs = max(epochs, -(-least // each))
+        for _ in range(epochs):
             order = r.permutation(len(texts))
             for lo in range(0, len(order), size):
                 i = order[lo : lo + size]
@@ -130,7 +132,7 @@ class Network:
                 for k, g in self.step([texts[j] for j in i], y[i], weight[i]).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     s[k] = 0.99 * s[k] + 0.01 * g * g
-                    self.p[k] = (self.p[k] - rate * 0.7**epoch * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+                    self.p[k] = (self.p[k] - rate * 0.06 ** (t / (epochs * each)) * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
         return self
 
 
