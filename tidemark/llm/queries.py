@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, licenses, neighbours, pii, quality, simhash, substring, toxicity
+from . import bpe, decontaminate, exact, infill, language, licenses, neighbours, pii, quality, simhash, substring, toxicity
 from .common import load, small_batches
 from .decontaminate import LOWER, UPPER
 
@@ -34,6 +34,17 @@ kept as (select r, string_agg(x, ' ' order by p) as k from words anti join gone
 n as (select r, count(*) as n_removed from gone group by r)
 select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(k, '')) as kept_sha256 from dw left join n using (r) left join kept using (r)"""
 
+OP12 = """
+select doc_id, max(doc_id) over t as keep_id, count(*) over t as group_size, coalesce(doc_id = max(doc_id) over t, false) as kept, sha256(coalesce(text, '')) as text_sha256,
+  strlen(coalesce(text, '')) as n_bytes from documents window t as (partition by coalesce(text, ''))"""
+OP13 = """
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+g as (select *, ('0x' || substr(h, 1, 8))::bigint % (n + 1) as x, ('0x' || substr(h, 9, 8))::bigint % (n + 1) as y, ('0x' || substr(h, 17, 8))::bigint % 100 as p, ('0x' || substr(h, 25, 8))::bigint % 100 as q from d),
+f as (select *, least(x, y) as a, greatest(x, y) as b, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or p >= 90 then 'plain' when q < 20 then 'spm' else 'psm' end as form from g)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || t[1 : a] || '<S>' || t[b + 1 :] || '<M>' || t[a + 1 : b] else '<S>' || t[b + 1 :] || '<P>' || t[1 : a] || '<M>' || t[a + 1 : b] end) as output_sha256,
+  sha256(t) as restored_sha256 from f"""
+
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
@@ -92,10 +103,19 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses_digest(load(spark, sf_dir, "documents"))
 
 
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_digest(load(spark, sf_dir, "documents")).drop("n_chunks")
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return infill.fim_digest(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_substring, op4_simhash, op5_language, op6_quality, op7_pii, op8_neighbours, op9_licenses, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_substring, op4_simhash, op5_language, op6_quality, op7_pii, op8_neighbours, op9_licenses, op10_toxicity, op12_exact, op13_infill)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express at the size of the correctness check; the others are tested against brute force."""
-    return {"op1_decontamination": OP1, "op3_substring": OP3}
+    return {"op1_decontamination": OP1, "op3_substring": OP3, "op12_exact": OP12, "op13_infill": OP13}
