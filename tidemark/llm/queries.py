@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact, infill, language, licenses, neighbours, pii, quality, simhash, substring, toxicity
+from . import bpe, decontaminate, exact, infill, language, licenses, neighbours, pii, prefix_trie, quality, simhash, substring, toxicity
 from .common import load, small_batches
 from .decontaminate import LOWER, UPPER
 
@@ -34,6 +34,24 @@ kept as (select r, string_agg(x, ' ' order by p) as k from words anti join gone
 n as (select r, count(*) as n_removed from gone group by r)
 select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(k, '')) as kept_sha256 from dw left join n using (r) left join kept using (r)"""
 
+#: CRC-32 of a decimal id, a bit at a time: each byte, then eight shifts.
+CRC32 = (
+    "xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(conv_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+    "lambda a, o: case when o >= 0 then xor(a, o) else xor(a >> 1, 3988292384::bigint * (a & 1)) end), 4294967295::bigint)"
+)
+OP11 = f"""
+with t as (select conv_id, turn, length(coalesce(text, '')) as n, sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as k from conversations where conv_id is not null),
+o as (select *, row_number() over (partition by conv_id order by turn is not null, turn, k) as i from t),
+c as (select *, conv_id - conv_id % 100 as base from (select conv_id, {CRC32} % 6 as h from (select distinct conv_id from t))),
+r as (select c.conv_id, 0 as part, i, k, n from c join o on o.conv_id = c.base and o.i <= c.h union all select c.conv_id, 1, i, k, n from c join o on o.conv_id = c.conv_id and o.i > c.h),
+m as (select conv_id, row_number() over w as d, n, string_agg(k, '') over w as key from r window w as (partition by conv_id order by part, i) union all select conv_id, 0, 0, '' from c),
+e as (select *, d = max(d) over (partition by conv_id) as ends from m),
+v as (select key, d as depth, min(conv_id) as conv_id, count(*) as n_convs, max(n) as n, string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends) as ids from e group by 1, 2),
+ch as (select left(key, 64 * (depth - 1)) as key, count(*) as n_children from v where depth > 0 group by 1),
+x as (select v.*, coalesce(n_children, 0) as n_children from v left join ch using (key)),
+s as (select left(key, 64 * j) as key, count(*) filter (where n_children = 0) as n_leaves, sum((n_convs - 1) * n)::bigint as saved_tokens from (select *, unnest(range(0, depth + 1)) as j from x) group by 1)
+select x.conv_id, x.depth, y.conv_id as parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, sha256(coalesce(x.ids, '')) as ends_sha256
+from x join s using (key) left join v y on x.depth > 0 and y.depth = x.depth - 1 and y.key = left(x.key, 64 * y.depth)"""
 OP12 = """
 select doc_id, max(doc_id) over t as keep_id, count(*) over t as group_size, coalesce(doc_id = max(doc_id) over t, false) as kept, sha256(coalesce(text, '')) as text_sha256,
   strlen(coalesce(text, '')) as n_bytes from documents window t as (partition by coalesce(text, ''))"""
@@ -103,6 +121,11 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses_digest(load(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return prefix_trie.trie_nodes(prefix_trie.with_shared_openings(prefix_trie.conversations(load(spark, sf_dir, "conversations"))))
+
+
 def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_digest(load(spark, sf_dir, "documents")).drop("n_chunks")
 
@@ -113,9 +136,9 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_substring, op4_simhash, op5_language, op6_quality, op7_pii, op8_neighbours, op9_licenses, op10_toxicity, op12_exact, op13_infill)}
+    return {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_substring, op4_simhash, op5_language, op6_quality, op7_pii, op8_neighbours, op9_licenses, op10_toxicity, op11_prefix_trie, op12_exact, op13_infill)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express at the size of the correctness check; the others are tested against brute force."""
-    return {"op1_decontamination": OP1, "op3_substring": OP3, "op12_exact": OP12, "op13_infill": OP13}
+    return {"op1_decontamination": OP1, "op3_substring": OP3, "op11_prefix_trie": OP11, "op12_exact": OP12, "op13_infill": OP13}
