@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import Ordered
+from .selection import exact_quantiles
+
 DRIFTED = ("drifted_high", "drifted_medium")
 # Fixed value: replicates of a bootstrap.
 ROUNDS = 2000
@@ -46,26 +51,27 @@ def repo_rollup(kept: DataFrame, label: str = "label") -> DataFrame:
 
 def repo_rates(rollup: DataFrame) -> DataFrame:
     """One row: shares of repositories by drift, and the distribution of their drift rates (exact median, sample deviation)."""
-    return rollup.agg(
+    rates = rollup.agg(
         F.count("*").alias("repositories"),
         rate(F.col("d") > 0).alias("any_rate"),
         rate(F.col("h") > 0).alias("any_strict"),
         rate((F.col("d") + F.col("u")) > 0).alias("any_lenient"),
         F.avg("drift").alias("drift_mean"),
         F.stddev_samp("drift").alias("drift_sd"),
-        F.median("drift").alias("drift_median"),
         rate(F.col("drift") == 0).alias("share_zero"),
         rate(F.col("drift") == 1).alias("share_full"),
         F.count_if(F.col("drift") > 0.5).alias("over_half"),
     )
+    middle = exact_quantiles(rollup, "drift", [0.5]).select(F.col("quantiles")[0].alias("drift_median"))
+    return rates.join(middle, F.lit(True))
 
 
 def gini(values: DataFrame, column: str) -> DataFrame:
-    """One row: the Gini index. Equal values are aggregated before they are ranked, so the window holds distinct values only."""
+    """One row: the Gini index. Equal values are aggregated before they are ranked; ranks are running sums over range partitions."""
     counts = values.groupBy(column).agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.col("upto") - F.col("c")
     # the ranks of c equal values after b others sum to c*b + c*(c+1)/2
-    ranked = counts.withColumn("rank_sum", F.col("c") * before + F.col("c") * (F.col("c") + 1) / 2)
+    ranked = Ordered(counts, [column]).running(sums={"upto": F.col("c")}).withColumn("rank_sum", F.col("c") * before + F.col("c") * (F.col("c") + 1) / 2)
     total, n = F.sum(F.col(column) * F.col("c")), F.sum("c")
     return ranked.agg((2 * F.sum(F.col(column) * F.col("rank_sum")) / (n * total) - (n + 1) / n).alias("gini"))
 
@@ -145,18 +151,65 @@ def bootstrap_repo_rate(rollup: DataFrame, rounds: int = ROUNDS, seed: int = 42)
     return interval(distinct.groupBy("round").agg(rate(F.col("d") > 0).alias("x")), "x")
 
 
+#: Of 2^32 equal draws, how many give a Poisson(1) count of at most 0, 1, 2, ...: the rest beyond is under one draw.
+POISSON = [int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(13)]
+
+
+def multiplicity(draw: str) -> str:
+    """SQL, for any engine: the count that a draw of 32 bits stands for."""
+    return "case " + " ".join(f"when {draw} < {t} then {k}" for k, t in enumerate(POISSON)) + f" else {len(POISSON)} end"
+
+
+def one_pass_rounds(rollup: DataFrame, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
+    """round, clusters, n, d, drawn, drawn_drifted: sums over a resample in which each cluster occurs a Poisson(1) number of times.
+
+    The counts of a cluster are an MD5 of its name and the round, so they need no other cluster, no
+    number and no join: each task adds its clusters into one row a round, and those rows are all that is
+    shuffled, however many clusters there are. A resample's size varies about their number N by
+    sqrt(N); rates divide by it. Against drawing exactly N, the interval of a rate differs by a share of
+    its width of the order of 1/sqrt(N) and of the draws' own 1/sqrt(rounds).
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "full_name", F.col("block").cast("string")))
+    blocks = rollup.select("full_name", "n", "d", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // 4))).alias("block")).withColumn("h", digest)
+    four = blocks.select("n", "d", "block", F.posexplode(F.array(*[F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)])).alias("i", "u"))
+    drawn = four.select((F.col("block") * 4 + F.col("i")).alias("round"), "n", "d", F.expr(multiplicity("u")).alias("m")).where((F.col("round") < rounds) & (F.col("m") > 0))
+    return drawn.groupBy("round").agg(
+        F.sum("m").alias("clusters"), F.sum(F.col("m") * F.col("n")).alias("n"), F.sum(F.col("m") * F.col("d")).alias("d"), F.count("*").alias("drawn"), F.count_if(F.col("d") > 0).alias("drawn_drifted")
+    )
+
+
+def one_pass_bootstrap(rollup: DataFrame, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
+    """One row: intervals of the claim drift rate and of the share of drifted repositories among those drawn, in one pass over the rollup."""
+    x = one_pass_rounds(rollup, rounds, seed).select((F.col("d") / F.col("n")).alias("c"), (F.col("drawn_drifted") / F.col("drawn")).alias("r"))
+    c, r = (F.percentile(k, F.array(F.lit(0.025), F.lit(0.975))) for k in "cr")
+    return x.agg(c[0].alias("claim_low"), c[1].alias("claim_high"), r[0].alias("repo_low"), r[1].alias("repo_high"))
+
+
+def bootstrap_error(rollup: DataFrame, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
+    """One row: how far the one-pass interval of the claim drift rate is from the exact draw's, at each end, as a share of the exact width."""
+    one = one_pass_bootstrap(rollup, rounds, seed).select("claim_low", "claim_high")
+    both = one.join(bootstrap_claim_rate(rollup, rounds, seed), F.lit(True))
+    width = F.col("ci_high") - F.col("ci_low")
+    return both.select(((F.col("claim_low") - F.col("ci_low")) / width).alias("low_error"), ((F.col("claim_high") - F.col("ci_high")) / width).alias("high_error"))
+
+
 def pareto(rows: DataFrame, key: str, top: int = 20) -> DataFrame:
     """rank, key, n, cumulative share of the ``top`` commonest keys, all others as one row 'other' after them."""
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), key)))
-    folded = ranked.groupBy(F.least("rank", F.lit(top + 1)).alias("rank"), F.when(F.col("rank") <= top, F.col(key)).otherwise("other").alias(key)).agg(F.sum("n").alias("n"))
-    return folded.withColumn("cumulative", F.sum("n").over(Window.orderBy("rank")) / F.sum("n").over(Window.partitionBy()))
+    whole = counts.agg(F.sum("n").alias("_all"), F.count("*").alias("_keys"))
+    order = Window.orderBy(F.desc("n"), key)  # over ``top`` rows
+    first = counts.orderBy(F.desc("n"), key).limit(top).select(F.row_number().over(order).alias("rank"), key, "n").withColumn("upto", F.sum("n").over(Window.orderBy("rank")))
+    ranked = first.join(whole, F.lit(True))
+    rest = first.agg(F.sum("n").alias("_top")).join(whole, F.lit(True)).where(F.col("_keys") > top)
+    other = rest.select(F.lit(top + 1).alias("rank"), F.lit("other").alias(key), (F.col("_all") - F.col("_top")).alias("n"), F.lit(1.0).alias("cumulative"))
+    return ranked.select("rank", key, "n", (F.col("upto") / F.col("_all")).alias("cumulative")).union(other)
 
 
 def ecdf(values: DataFrame, column: str) -> DataFrame:
     """value, share of rows up to each row in order: n(i)/n, ties one after the other as one row with the last share."""
     counts = values.groupBy(column).agg(F.count("*").alias("c"))
-    return counts.select(column, (F.sum("c").over(Window.orderBy(column)) / F.sum("c").over(Window.partitionBy())).alias("share"))
+    run = Ordered(counts, [column]).running(sums={"upto": F.col("c")}, whole={"all": F.col("c")})
+    return run.select(column, (F.col("upto") / F.col("all")).alias("share"))
 
 
 def histogram(values: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:

@@ -10,12 +10,13 @@ from ..functions import text as T
 
 
 def search_queries(spark: SparkSession, language: str, today: str) -> DataFrame:
-    """star_low, star_high, query: each star band with each push window before ``today``. Both lists are fixed and short."""
+    """star_low, star_high, query, stratum: each star band with each push window before ``today``. Both lists are fixed and short."""
     bands = spark.createDataFrame(R.STAR_BANDS, "star_low long, star_high long")
     windows = spark.createDataFrame(R.PUSH_WINDOWS, "newest int, oldest int")
     day = lambda n: F.date_format(F.date_sub(F.to_date(F.lit(today)), n), "yyyy-MM-dd")
-    query = F.concat(F.lit(f"language:{language} stars:"), "star_low", F.lit(".."), "star_high", F.lit(" pushed:"), day(F.col("oldest")), F.lit(".."), day(F.col("newest")), F.lit(" archived:false"))
-    return bands.join(windows, F.lit(True)).select("star_low", "star_high", query.alias("query"))
+    query = F.concat(F.lit(f"language:{language} fork:false archived:false stars:"), "star_low", F.lit(".."), "star_high", F.lit(" pushed:"), day(F.col("oldest")), F.lit(".."), day(F.col("newest")))
+    stratum = F.concat(F.lit(f"{language}|stars:"), "star_low", F.lit("-"), "star_high", F.lit("|pushed:"), "newest", F.lit("-"), "oldest", F.lit("d"))
+    return bands.join(windows, F.lit(True)).select("star_low", "star_high", query.alias("query"), stratum.alias("stratum"))
 
 
 def language_reason(text: Column | str) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import Ordered, as_of
+from .selection import exact_quantiles
+
 
 def kaplan_meier(cases: DataFrame, duration: str = "duration_days", event: str = "event_fixed") -> DataFrame:
     """time_days, at_risk, events, survival, ci_low, ci_high for every distinct duration, censored ones too.
@@ -12,19 +15,15 @@ def kaplan_meier(cases: DataFrame, duration: str = "duration_days", event: str =
     Survival is exp of summed logs with a flag for having reached zero, so that it
     stays zero; Greenwood's variance leaves out the term of a time at which all at
     risk have the event; the band is 1.96 standard errors, cut to [0, 1]. Cases are
-    aggregated by time first: the windows hold distinct times.
+    aggregated by time first; running sums go over range partitions of the times.
     """
     t = cases.where(F.col(duration).isNotNull()).groupBy(F.col(duration).cast("int").alias("time_days")).agg(F.count("*").alias("c"), F.sum(F.col(event).cast("long")).alias("events"))
-    later = Window.orderBy("time_days").rowsBetween(0, Window.unboundedFollowing)
-    upto = Window.orderBy("time_days").rowsBetween(Window.unboundedPreceding, 0)
-    risk = t.withColumn("at_risk", F.sum("c").over(later))
+    times = Ordered(t, ["time_days"])
+    run = times.running(sums={"upto": F.col("c")}, whole={"all": F.col("c")})
+    risk = run.withColumn("at_risk", F.col("all") - F.col("upto") + F.col("c")).drop("all", "upto")
     n, d = F.col("at_risk").cast("double"), F.col("events").cast("double")
-    steps = risk.select(
-        "time_days", "at_risk", "events",
-        F.max((F.col("events") == F.col("at_risk")).cast("int")).over(upto).alias("zero"),
-        F.coalesce(F.sum(F.when(d < n, F.ln(1 - d / n))).over(upto), F.lit(0.0)).alias("log_s"),
-        F.coalesce(F.sum(F.when(d < n, d / (n * (n - d)))).over(upto), F.lit(0.0)).alias("v"),
-    )
+    part = F.when(d < n, F.ln(1 - d / n))
+    steps = times.running(risk, sums={"log_s": part, "v": F.when(d < n, d / (n * (n - d)))}, tops={"zero": (F.col("events") == F.col("at_risk")).cast("int")})
     s = F.when(F.col("zero") == 1, 0.0).otherwise(F.exp("log_s"))
     half = 1.96 * s * F.sqrt("v")
     return steps.select("time_days", "at_risk", "events", s.alias("survival"), F.greatest(F.lit(0.0), s - half).alias("ci_low"), F.least(F.lit(1.0), s + half).alias("ci_high"))
@@ -38,19 +37,13 @@ def survival_summary(curve: DataFrame) -> DataFrame:
 def durations(cases: DataFrame, by: str | None = None) -> DataFrame:
     """Median, mean and longest duration of the fixed cases, and how many there are; for each value of ``by`` if it is given."""
     fixed = cases.where("event_fixed = 1 and duration_days is not null").withColumn("duration_days", F.col("duration_days").cast("double"))
-    return fixed.groupBy(*[by] if by else []).agg(
-        F.count("*").alias("fixed"), F.percentile("duration_days", 0.5).alias("median_days"), F.avg("duration_days").alias("mean_days"), F.max("duration_days").alias("max_days")
-    )
+    rest = fixed.groupBy(*[by] if by else []).agg(F.count("*").alias("fixed"), F.avg("duration_days").alias("mean_days"), F.max("duration_days").alias("max_days"))
+    middle = exact_quantiles(fixed, "duration_days", [0.5], [by] if by else None).select(*[F.col(by).alias("_by")] if by else [], F.col("quantiles")[0].alias("median_days"))
+    both = rest.join(middle, F.col(by).eqNullSafe(F.col("_by")) if by else F.lit(True))
+    return both.select(*[by] if by else [], "fixed", "median_days", "mean_days", "max_days")
 
 
 def survival_at(curve: DataFrame, queries: DataFrame, time: str) -> DataFrame:
-    """queries with the curve's survival at the last time not after each one's; 1 before the first.
-
-    An as-of join by one sorted pass: times of both sides are one column, and the last
-    curve value is carried forward. Equal query times are looked up once.
-    """
-    asked = queries.select(F.col(time).alias("t")).where("t is not null").distinct().select("t", F.lit(1).alias("side"), F.lit(None).cast("double").alias("survival"))
-    known = curve.select(F.col("time_days").cast(asked.schema["t"].dataType).alias("t"), F.lit(0).alias("side"), "survival")
-    order = Window.orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    found = asked.union(known).withColumn("s", F.last("survival", ignorenulls=True).over(order)).where("side = 1").select("t", F.coalesce("s", F.lit(1.0)).alias("survival"))
-    return queries.join(found, queries[time] == found["t"], "left").drop("t")
+    """queries with the curve's survival at the last time not after each one's; 1 before the first, null where the time is null."""
+    found = as_of(queries, time, curve, "time_days", "survival", "survival")
+    return found.withColumn("survival", F.when(F.col(time).isNotNull(), F.coalesce("survival", F.lit(1.0))))

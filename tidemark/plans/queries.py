@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import artifacts, baseline, claims, headings, history, metrics, models, readme, sampling, screen, sequence, survival, validation
+from ..operators import artifacts, baseline, claims, headings, history, metrics, models, ordered, readme, sampling, screen, selection, sequence, survival, validation
 from ..sources.staged import staged
 from . import detectors, extraction, screening
 from . import synthetic as S
@@ -110,6 +110,36 @@ def drift_ecdf(spark, sf):
     return metrics.ecdf(metrics.repo_rollup(kept(spark, sf)), "drift")
 
 
+@query("with c as (select o_totalprice, count(*) as c from orders group by 1) select o_totalprice, sum(c) over (order by o_totalprice) / (sum(c) over ())::double as share from c")
+def price_ecdf(spark, sf):
+    return metrics.ecdf(S.load(spark, sf, "orders"), "o_totalprice")
+
+
+@query("with k as (select o_totalprice as x, row_number() over (order by o_totalprice) as i, count(*) over () as n from orders) select 2 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1.0) / max(n) as gini from k")
+def price_gini(spark, sf):
+    return metrics.gini(S.load(spark, sf, "orders"), "o_totalprice")
+
+
+@query(
+    "with g as (select case when l_orderkey % 3 > 0 then 'all others' else p_brand end as brand, l_extendedprice - 20000 as x from lineitem join part on l_partkey = p_partkey) "
+    "select brand, count(*) as n, quantile_cont(x, 0.05) as low, quantile_cont(x, 0.5) as middle, quantile_cont(x, 0.95) as high from g group by 1"
+)
+def price_quantiles(spark, sf):
+    """Exact quantiles by brand; one group holds two thirds of the rows."""
+    part = S.load(spark, sf, "part").select("p_partkey", "p_brand")
+    rows = S.load(spark, sf, "lineitem").join(part, F.expr("l_partkey = p_partkey")).selectExpr("case when l_orderkey % 3 > 0 then 'all others' else p_brand end as brand", "l_extendedprice - 20000 as x")
+    out = selection.exact_quantiles(rows, "x", [0.05, 0.5, 0.95], ["brand"])
+    return out.select("brand", "n", *[F.col("quantiles")[i].alias(c) for i, c in enumerate(("low", "middle", "high"))])
+
+
+@query("select event_id, (select max_by(c.value, c.event_id) from events c where c.event_type = 'error' and c.event_id <= e.event_id) as last_error from events e")
+def last_error(spark, sf):
+    """As-of lookup: each event with the value of the last error not after it."""
+    e = S.load(spark, sf, "events")
+    known = e.where("event_type = 'error'").groupBy(F.col("event_id").alias("at")).agg(F.max("value").alias("value"))
+    return ordered.as_of(e.select("event_id"), "event_id", known, "at", "value", "last_error")
+
+
 @query(f"{ROLLUP} select least(floor(drift / ((1.0::double - 0.0) / 20)), 19)::int as bin, count(*) as n from rollup_ group by 1")
 def drift_histogram(spark, sf):
     return metrics.histogram(metrics.repo_rollup(kept(spark, sf)), "drift", 0.0, 1.0, 20)
@@ -173,6 +203,27 @@ def bootstrap_repo_rate(spark, sf):
     return metrics.bootstrap_repo_rate(metrics.repo_rollup(kept(spark, sf)))
 
 
+ONE_PASS = (
+    f"{ROLLUP}, h as (select full_name, n, d, b.i as block, md5('42:' || full_name || ':' || b.i) as h from rollup_, range(500) b(i)), "
+    "u as (select n, d, block * 4 + p.i as round, ('0x' || substr(h, 8 * p.i::int + 1, 8))::bigint as u from h, range(4) p(i)), "
+    f"m as (select round, n, d, {metrics.multiplicity('u')} as m from u), o as (select round, sum(m * n) as n, sum(m * d) as d, count(*) as drawn, count(*) filter (where d > 0) as drifted from m where m > 0 group by 1), "
+    "one as (select quantile_cont(d / n::double, 0.025) as claim_low, quantile_cont(d / n::double, 0.975) as claim_high, quantile_cont(drifted / drawn::double, 0.025) as repo_low, quantile_cont(drifted / drawn::double, 0.975) as repo_high from o)"
+)
+
+
+@query(f"{ONE_PASS} select * from one")
+def one_pass_bootstrap(spark, sf):
+    return metrics.one_pass_bootstrap(metrics.repo_rollup(kept(spark, sf)))
+
+
+@query(
+    f"{ONE_PASS}, {DRAWS[len(ROLLUP) + 2 :]}, x as (select round, sum(d) / sum(n)::double as x from draws join numbered using (place) group by round), e as (select quantile_cont(x, 0.025) as l, quantile_cont(x, 0.975) as h from x) "
+    "select (claim_low - l) / (h - l) as low_error, (claim_high - h) / (h - l) as high_error from one, e"
+)
+def bootstrap_error(spark, sf):
+    return metrics.bootstrap_error(staged(metrics.repo_rollup(kept(spark, sf)), "rollup"))
+
+
 @query(
     f"{KEPT}, c as (select full_name, count(*) filter (where label = 'drifted_high') as drifted_high, count(*) filter (where label = 'drifted_medium') as drifted_medium, "
     "count(*) filter (where label = 'supported') as supported, count(*) filter (where label = 'uncertain') as uncertain from kept group by 1) "
@@ -505,7 +556,8 @@ def final_labels(spark, sf):
 
 @query(
     "with b as (select * from (values (10, 99), (100, 499), (500, 1999), (2000, 1000000)) b(l, h)), w as (select * from (values (0, 180), (181, 730)) w(n, o)) select l::bigint as star_low, h::bigint as star_high, "
-    "'language:Python stars:' || l || '..' || h || ' pushed:' || strftime(date '2024-06-01' - o::int, '%Y-%m-%d') || '..' || strftime(date '2024-06-01' - n::int, '%Y-%m-%d') || ' archived:false' as query from b, w"
+    "'language:Python fork:false archived:false stars:' || l || '..' || h || ' pushed:' || strftime(date '2024-06-01' - o::int, '%Y-%m-%d') || '..' || strftime(date '2024-06-01' - n::int, '%Y-%m-%d') as query, "
+    "'Python|stars:' || l || '-' || h || '|pushed:' || n || '-' || o || 'd' as stratum from b, w"
 )
 def search_queries(spark, sf):
     return screen.search_queries(spark, "Python", "2024-06-01")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import headings, history, screen
+from ..operators import headings, history, intervals, screen
+from ..sources.memo import Memo
+from ..sources.staged import passing_folder, staged
 from . import synthetic as S
 from .detectors import listed, match, quoted, spark_text, values
 
@@ -174,6 +176,15 @@ def commit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("full_name", "case_id", "sha", F.col("idx").cast("long").alias("idx"), state.alias("state"))
 
 
+def interval_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same states read from validity intervals of paths, Makefiles and READMEs."""
+    for t in ("orders", "lineitem", "part", "customer"):
+        S.load(spark, sf_dir, t).createOrReplaceTempView(f"_{t}")
+    sql = lambda q: spark.sql(spark_text(q).replace("from orders, lineitem, part", "from _orders as orders, _lineitem as lineitem, _part as part").replace("from orders", "from _orders").replace("from customer", "from _customer"))
+    walk = staged(history.commit_walk(sql(COMMITS), 8), "walk")
+    return intervals.walk_states(sql(CASES), walk, sql(PATHS), sql(MAKE), sql(FILES))
+
+
 COMMIT_SQL = f"""with k as (select *, row_number() over (partition by full_name order by newest_first) as k from ({COMMITS})),
 w as (select full_name, sha, row_number() over (partition by full_name order by date, newest_first desc) - 1 as idx from k where k <= 8 and date <> 'never'),
 p as (select full_name, sha, regexp_replace(lower(path), '^\\./', '') as p from ({PATHS})),
@@ -187,5 +198,22 @@ j as (select c.*, w.sha, w.idx, keys.ds, keys.bs, ts.ts, f.readme from ({CASES})
 h as (select *, case when ds is null then null when claim_type = 'make_target' then ts is not null and (len(ts) = 0 or list_contains(ts, artifact_or_path)) else list_contains(ds, artifact_or_path) or list_contains(bs, regexp_extract(artifact_or_path, '[^/]*$')) end as held from j)
 select full_name, case_id, sha, idx, case when readme is null then 'unknown' when not contains(lower(regexp_replace(readme, '\\s+', ' ', 'g')), snippet) then 'no_claim' when held is null then 'unknown' when held then 'supported' else 'drift' end as state from h"""
 
-QUERIES = {f.__name__: f for f in (screened_repositories, english_screen, section_classes, persistence, commit_states)}
-ORACLES = {"screened_repositories": SCREENED_SQL, "english_screen": ENGLISH_SQL, "section_classes": SECTION_SQL, "persistence": PERSISTENCE_SQL, "commit_states": COMMIT_SQL}
+ALTERED = "case when doc_id % 100 = 0 then concat('some more words ', text) else text end"
+MEMO_SQL = f"with d as (select doc_id, {ALTERED} as text from documents), t as (select doc_id, text, {prose_of('text')} as prose from d), k as (select *, {TOKENS} as tokens from t) select doc_id, {REASON} as reason, {WORDS.format(x='text')}::int as words, doc_id % 100 = 0 as computed from k"
+
+
+def remembered_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language screen run again after a hundredth of the texts changed: only those are screened, the rest is read from the memo."""
+
+    def stage(docs: DataFrame) -> DataFrame:
+        return docs.select("doc_id", screen.language_reason("text").alias("reason"), T.word_count("text").alias("words"))
+
+    docs = S.load(spark, sf_dir, "documents").select("doc_id", "text")
+    memo = Memo(spark, passing_folder(spark, "memo"), ["doc_id"], stage)
+    memo.run(docs)
+    out, computed = memo.run(docs.withColumn("text", F.expr(ALTERED)))
+    return out.join(computed.select("doc_id", F.lit(True).alias("_c")), "doc_id", "left").select("doc_id", "reason", "words", F.coalesce("_c", F.lit(False)).alias("computed"))
+
+
+QUERIES = {f.__name__: f for f in (screened_repositories, english_screen, section_classes, persistence, commit_states, interval_states, remembered_screen)}
+ORACLES = {"screened_repositories": SCREENED_SQL, "english_screen": ENGLISH_SQL, "section_classes": SECTION_SQL, "persistence": PERSISTENCE_SQL, "commit_states": COMMIT_SQL, "interval_states": COMMIT_SQL, "remembered_screen": MEMO_SQL}

@@ -5,25 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet and read again: later plans start from the table, and a lost executor costs no more than its tasks.
-
-    The folder is spark.checkpoint.dir, which driver and executors share; where that is
-    unset a local one is made, which only a local master may use. Tables go when the
-    driver's JVM ends.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; where that is unset a local folder is made, which only a local master may use."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return folder.rstrip("/")
+
+
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet and read again: later plans start from the table, and a lost executor costs no more than its tasks. The table goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = passing_folder(spark, name)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
