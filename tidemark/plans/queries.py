@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import artifacts, baseline, claims, headings, history, metrics, models, ordered, readme, sampling, screen, selection, sequence, survival, validation
-from ..sources.staged import staged
+from ..sources import workbook
+from ..sources.staged import passing_folder, staged
 from . import detectors, extraction, screening
 from . import synthetic as S
 
@@ -508,6 +509,108 @@ def negative_binomial_model(spark, sf):
     return models.negative_binomial(model_rows(spark, sf), "urgent", ["bal"], "off").table(spark)
 
 
+# ---- coder sheets to scores ------------------------------------------------------
+
+SHEETS = (
+    "l as (select d.doc_id, lang, source, n_chars, quality, toxic from labels l join documents d on l.doc_id = d.doc_id where quality is not null and toxic is not null), "
+    "s as (select cast(doc_id as {s}) as eval_id, concat(lang, '/', source) as full_name, lang as claim_type, case when doc_id % 7 <> 0 then source end as artifact_or_path, doc_id % 5 as line_no, "
+    "case when quality = 0 then 'drifted' when doc_id % 3 = 0 then 'uncertain' else 'supported' end as a, case when toxic = 1 then 'drifted' when doc_id % 3 = 0 then 'uncertain' else 'supported' end as b, "
+    "case when doc_id % 2 = 0 then 'not-a-claim' else 'drifted' end as c, lang as stratum, case when doc_id % 11 = 0 then 'excluded' else 'kept' end as status, "
+    "case n_chars % 4 when 0 then 'drifted_high' when 1 then 'drifted_medium' when 2 then 'uncertain' else 'supported' end as label_v4 from l)"
+)
+FIRST_LABEL = "select distinct full_name, claim_type, artifact_or_path, case ascii(substr(full_name, 4, 1)) % 3 when 0 then 'drifted_medium' when 1 then 'supported' else 'uncertain' end as label from s where status = 'kept'"
+
+
+def sheets(spark, sf):
+    S.load(spark, sf, "labels").createOrReplaceTempView("_labels")
+    S.load(spark, sf, "documents").createOrReplaceTempView("_documents")
+    return staged(spark.sql("with " + SHEETS.format(s="string").replace("from labels l join documents", "from _labels l join _documents") + " select * from s"), "sheets")
+
+
+def first_labels(rows):
+    rows.createOrReplaceTempView("_sheet_rows")
+    return rows.sparkSession.sql(FIRST_LABEL.replace("from s ", "from _sheet_rows "))
+
+
+WORD = "case when {x} like 'drifted%' then 'drifted' else {x} end"
+EVALUATION = (
+    f"with {SHEETS.format(s='varchar')}, f as ({FIRST_LABEL}), e as (select eval_id, s.stratum, a, b, case when a = b then a when eval_id::bigint % 4 = 3 then 'supported' else c end as gold, "
+    f"case when status = 'excluded' then 'not-a-claim' else {WORD.format(x='label_v4')} end as final, {WORD.format(x='label')} as init "
+    "from s left join f on s.full_name = f.full_name and s.claim_type = f.claim_type and s.artifact_or_path is not distinct from f.artifact_or_path)"
+)
+
+
+def evaluation(spark, sf):
+    """Both coders' sheets and the consensus go out as workbooks and are read again; key and labels are tables."""
+    rows, folder = sheets(spark, sf), passing_folder(spark, "sheets")
+    answers = "eval_id string, claim_type string, artifact_or_path string, coder_label string"
+    for name in "ab":
+        workbook.write_workbooks(rows.select("eval_id", "claim_type", "artifact_or_path", F.col(name).alias("coder_label")), f"{folder}/{name}", "Answers")
+    settled = F.when(F.col("eval_id").cast("long") % 4 == 3, "supported").otherwise(F.col("c"))
+    workbook.write_workbooks(rows.where("a <> b").select("eval_id", settled.alias("consensus_label")), f"{folder}/c")
+    a, b = (workbook.read_workbooks(spark, f"{folder}/{n}", answers, "Answers") for n in "ab")
+    consensus = workbook.read_workbooks(spark, f"{folder}/c", "eval_id string, consensus_label string")
+    return validation.evaluation_set(a, b, rows, consensus, first_labels(rows))
+
+
+@query(f"{EVALUATION} select eval_id, gold, final, init from e")
+def evaluation_set(spark, sf):
+    return evaluation(spark, sf).select("eval_id", "gold", "final", "init")
+
+
+def scores(name):
+    return (
+        f"select '{name}' as detector, count(*) filter (where {name} = 'drifted' and gold = 'drifted') as tp, count(*) filter (where {name} = 'drifted' and gold <> 'drifted') as fp, "
+        f"count(*) filter (where gold = 'drifted' and coalesce({name}, '') <> 'drifted') as fn, avg(({name} is not distinct from gold)::int) as accuracy from e"
+    )
+
+
+@query(f"{EVALUATION}, t as ({scores('final')} union all {scores('init')}) select *, tp / nullif(tp + fp, 0)::double as precision, tp / nullif(tp + fn, 0)::double as recall from t")
+def evaluation_scores(spark, sf):
+    """Sheets to scores: accuracy and drift detection of both detectors against the gold labels."""
+    e = staged(evaluation(spark, sf).select("gold", "final", "init"), "evaluation")
+    each = []
+    for name in ("final", "init"):
+        known = e.withColumn(name, F.coalesce(name, F.lit("")))
+        found = validation.detection(known, "gold", name).select("tp", "fp", "fn", "precision", "recall")
+        each.append(found.join(validation.agreement(e, name, "gold").select("accuracy"), F.lit(True)).select(F.lit(name).alias("detector"), "tp", "fp", "fn", "accuracy", "precision", "recall"))
+    return each[0].union(each[1])
+
+
+@query(
+    f"with {SHEETS.format(s='varchar')}, o as (select full_name, line_no, claim_type, artifact_or_path, min(label_v4) as label, min(status) as status, max(label_v4) as label_v4 from s group by all) "
+    f"select eval_id as validation_id, c as gold, case when o.status = 'excluded' then 'not-a-claim' else {WORD.format(x='o.label_v4')} end as final, {WORD.format(x='o.label')} as init "
+    "from s left join o on s.full_name = o.full_name and s.line_no = o.line_no and s.claim_type = o.claim_type and s.artifact_or_path is not distinct from o.artifact_or_path"
+)
+def development_set(spark, sf):
+    rows = sheets(spark, sf)
+    keys = ["full_name", "line_no", "claim_type", "artifact_or_path"]
+    labels = rows.groupBy(*keys).agg(F.min("label_v4").alias("label"), F.min("status").alias("status"), F.max("label_v4").alias("label_v4"), F.min("eval_id").alias("claim_seq"))
+    sheet = rows.select(F.col("eval_id").alias("validation_id"), F.concat(F.lit("https://github.com/"), "full_name").alias("repository_url"), "line_no", "claim_type", "artifact_or_path", F.col("c").alias("consensus_label"))
+    return validation.development_set(sheet, labels).select("validation_id", "gold", "final", "init")
+
+
+@query(
+    f"{KEPT}, u as (select claim_seq, min(full_name) as full_name, min(claim_type) as claim_type, min(line_no) as line_no from kept group by 1), n as (select *, row_number() over (order by md5('42/blind|' || claim_seq), claim_seq) as n from u) "
+    "select printf('EVAL_%03d', n) as eval_id, full_name, claim_type, line_no, '' as coder_label, '' as coder_justification, '' as artifact_found from n"
+)
+def blinded_sheet(spark, sf):
+    """The sheet that coders of all kept claims would get."""
+    once = kept(spark, sf).groupBy("claim_seq").agg(*[F.min(c).alias(c) for c in ("full_name", "claim_type", "line_no")])
+    return sampling.blinded(once, ["full_name", "claim_type", "line_no"])
+
+
+@query(
+    f"with {S.CLAIMS}, o as (select *, row_number() over (partition by full_name order by md5('42|' || claim_seq), claim_seq) as k from claims), "
+    "n as (select *, row_number() over (order by md5('42|' || full_name), full_name) as n from o where k = 1), c as (select printf('P%03d', n) as case_id, full_name, claim_seq from n where n <= 100) "
+    "select * from c where claim_seq % 5 in (1, 2)"
+)
+def confirmed_cases(spark, sf):
+    cases = cohort(spark, sf)
+    said = F.element_at(F.array(*map(F.lit, ("Yes ", "true", "no", "", "maybe"))), F.when(F.col("claim_seq") % 5 == 0, 5).otherwise(F.col("claim_seq") % 5).cast("int"))
+    return sampling.confirmed(cases, cases.select("case_id", said.alias("confirmed")))
+
+
 # ---- text to labels, over repositories made in the query -----------------------
 
 
