@@ -93,3 +93,40 @@ def test_models_recover_their_parameters(spark):
     z = x + r.normal(size=4000)
     vif = {t: v for t, v in models.inflation(spark.createDataFrame(list(zip(x.tolist(), z.tolist())), "a double, b double"), ["a", "b"]).collect()}
     assert vif["a"] == pytest.approx(1 / (1 - np.corrcoef(x, z)[0, 1] ** 2))
+
+
+def newton(x, y, rounds=60):
+    """Logistic coefficients by Newton's method over all rows at once, for designs that are well conditioned."""
+    b = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-x @ b))
+        b += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]), x.T @ (y - p))
+    return b
+
+
+def test_nearly_collinear_covariates(spark):
+    """Two covariates that agree to seven digits: the same model in the first and their difference is well conditioned."""
+    r = np.random.default_rng(7)
+    a = r.normal(size=3000)
+    b = a + 1e-7 * r.normal(size=3000)
+    d = (b - a) * 1e7  # exact: near numbers subtract without rounding
+    y = (r.random(3000) < 1 / (1 + np.exp(-(0.3 + 0.8 * a + 0.5 * d)))).astype(int)
+    fit = models.logistic(spark.createDataFrame(list(zip(a.tolist(), b.tolist(), y.tolist())), "a double, b double, y int").repartition(5), "y", ["a", "b"])
+    g = newton(np.column_stack([np.ones(3000), a, d]), y)
+    want = [g[0], g[1] - 1e7 * g[2], 1e7 * g[2]]
+    assert fit.coefficients == pytest.approx(want, rel=1e-8)
+    # the normal equations lose what the triangle keeps
+    x = np.column_stack([np.ones(3000), a, b])
+    assert np.linalg.cond(x) ** 2 > 1e13
+
+
+def test_triangles_of_many_tasks(spark):
+    """More tasks than triangles that reach the driver, some without rows."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=400)
+    y = (r.random(400) < 0.4).astype(int)
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y int")
+    one, many = (models.logistic(df.repartition(n), "y", ["x"]) for n in (1, 150))
+    assert many.coefficients == pytest.approx(one.coefficients, rel=1e-10) and one.coefficients == pytest.approx(newton(np.column_stack([np.ones(400), x]), y), rel=1e-8)
+    with pytest.raises(ValueError, match="no rows"):
+        models.logistic(df.limit(0), "y", ["x"])

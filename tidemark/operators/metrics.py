@@ -266,3 +266,20 @@ def robustness(kept: DataFrame, label: str = "label") -> DataFrame:
     wide = repos.agg(*[f for v in tests for f in ((F.sum(v) / F.sum("n")).alias(f"{v}_claims"), rate(F.col(v) > 0).alias(f"{v}_repos"))])
     each = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"{v}_claims").alias("claim_rate"), F.col(f"{v}_repos").alias("repo_rate")) for v in tests])
     return wide.select(F.inline(each))
+
+
+def pixel_frame(points: DataFrame, x: str, y: str, low: float, high: float, width: int) -> DataFrame:
+    """pixel, x, y: what a step curve drawn ``width`` pixels wide needs, at most four points a pixel column.
+
+    Those are the first, last, lowest and highest of its column: every column is entered, left and filled
+    as by all points. Points outside [low, high] are left out, but for the last one before low, where the curve begins.
+    Combined on the way to the shuffle; the result is bounded by the width, not by the data.
+    """
+    at = F.least(F.floor((F.col(x) - low) / ((high - low) / width)), F.lit(width - 1)).cast("int")
+    inside = points.where(F.col(x).between(low, high)).select(at.alias("pixel"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    p, top = F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")), F.struct(F.col("_y").alias("y"), F.col("_x").alias("x"))
+    four = inside.groupBy("pixel").agg(F.min(p).alias("a"), F.max(p).alias("b"), F.min(top).alias("c"), F.max(top).alias("d"))
+    same = lambda n: F.struct(F.col(f"{n}.x").alias("x"), F.col(f"{n}.y").alias("y"))
+    rows = four.select("pixel", F.inline(F.array_distinct(F.array(*map(same, "abcd")))))
+    before = points.where(F.col(x) < low).agg(F.max(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("p")).where("p is not null").select(F.lit(-1).alias("pixel"), "p.*")
+    return rows.union(before).select("pixel", F.col("x").alias(x), F.col("y").alias(y))

@@ -1,18 +1,31 @@
 """Repository models (L1 to L3): logistic regression, negative binomial with free dispersion, variance inflation.
 
-Data stay in Spark: each step of a fit is one aggregation to a vector and a matrix
-as wide as the covariates, which the driver solves.
+Data stay in Spark. Each step of a fit is a weighted least-squares problem that is solved by a
+tall and narrow QR: every task reduces its rows, batch by batch, to one triangle as wide as the
+covariates, triangles are reduced in groups to at most TREE, and the driver reduces those. X'X is
+never formed, so a design's condition number counts once, not squared. Rows are written once and
+read in each step; functions that run in tasks use numpy only.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staged import staged
+
+#: Triangles that reach the driver.
+TREE = 64
+PARTIAL = "part int, triangle array<double>, sums array<double>"
+
 
 @dataclass
 class Fit:
@@ -37,83 +50,121 @@ class Fit:
         return spark.createDataFrame(rows, "term string, coefficient double, se double, z double, p double, ratio double, ratio_low double, ratio_high double")
 
 
-def linear(beta: np.ndarray, columns: list[str]) -> Column:
-    out = F.lit(float(beta[0]))
-    for b, c in zip(beta[1:].tolist(), columns):
-        out = out + F.lit(b) * F.col(c).cast("double")
-    return out
+def reduced(data: DataFrame, columns: list[str], others: list[str], step: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """The triangle of all rows of [sqrt(w) X | sqrt(w) z], and sums.
+
+    ``step`` takes X (with ones first) and the other columns of a batch and returns sqrt(w), sqrt(w) z and
+    an array of sums. The order in which triangles meet does not change the result beyond rounding.
+    """
+    k = len(columns) + 2
+    arrow = pa.schema([("part", pa.int32()), ("triangle", pa.list_(pa.float64())), ("sums", pa.list_(pa.float64()))])
+
+    def run(batches):
+        r, sums = np.zeros((k, k)), 0.0
+        for batch in batches:
+            got = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            x = np.column_stack([np.ones(batch.num_rows), *got[: len(columns)]])
+            root, z, more = step(x, *got[len(columns) :])
+            r = np.linalg.qr(np.vstack([r, np.column_stack([root[:, None] * x, z])]), mode="r")
+            sums = sums + more
+        if not np.isscalar(sums):
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([r.ravel()], pa.list_(pa.float64())), pa.array([sums], pa.list_(pa.float64()))], schema=arrow)
+
+    def join(pdf):
+        pdf = pdf.sort_values("part")
+        r = np.linalg.qr(np.vstack([np.reshape(t, (k, k)) for t in pdf["triangle"]]), mode="r")
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "triangle": [r.ravel()], "sums": [np.sum(np.stack(list(pdf["sums"])), axis=0)]})
 
+    rows = data.select(*columns, *others).mapInArrow(run, PARTIAL).groupBy(F.col("part") % TREE).applyInPandas(join, PARTIAL).collect()
+    if not rows:
+        raise ValueError("no rows to fit")
+    rows.sort(key=lambda x: x["part"])
+    r = np.linalg.qr(np.vstack([np.reshape(x["triangle"], (k, k)) for x in rows]), mode="r")
+    return r, np.sum([x["sums"] for x in rows], axis=0)
 
-def moments(rows: DataFrame, columns: list[str], score: Column, weight: Column, *more: Column) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """X'score, X'diag(weight)X and sums of further columns, in one pass."""
-    x = [F.lit(1.0), *(F.col(c).cast("double") for c in columns)]
-    k = len(x)
-    sums = [F.sum(a * score) for a in x] + [F.sum(x[i] * x[j] * weight) for i in range(k) for j in range(i, k)] + [F.sum(m) for m in more]
-    got = [float(v or 0) for v in rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
-    h = np.zeros((k, k))
-    h[np.triu_indices(k)] = got[k : k + k * (k + 1) // 2]
-    return np.array(got[:k]), h + np.triu(h, 1).T, got[k + k * (k + 1) // 2 :]
 
+def solved(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The least-squares solution of a triangle, the inverse of its square part, and how much the solution gains."""
+    square, right = r[:-1, :-1], r[:-1, -1]
+    return np.linalg.solve(square, right), np.linalg.inv(square), float(right @ right)
 
-def logistic(rows: DataFrame, outcome: str, columns: list[str], rounds: int = 50, tol: float = 1e-10) -> Fit:
-    """Newton's method; rows with a null in outcome or covariates are left out."""
-    data = rows.select(F.col(outcome).cast("double").alias("_y"), *columns).na.drop()
+
+def errors_of(inverse: np.ndarray) -> np.ndarray:
+    return np.sqrt((inverse**2).sum(axis=1))
+
+
+def numbers(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Columns as doubles under new names, without rows that lack one, written once."""
+    return staged(rows.select(*[F.col(c).cast("double").alias(n) for n, c in columns.items()]).na.drop(), "design")
+
+
+def logistic(rows: DataFrame, outcome: str, columns: list[str], rounds: int = 50, tol: float = 1e-18) -> Fit:
+    """Newton's method as weighted least squares; rows with a null in outcome or covariates are left out."""
+    names = [f"x{i}" for i in range(len(columns))]
+    data = numbers(rows, {"y": outcome, **dict(zip(names, columns))})
     beta = np.zeros(len(columns) + 1)
-    h, ll = np.eye(len(beta)), 0.0
     for _ in range(rounds):
-        eta = linear(beta, columns)
-        p = 1 / (1 + F.exp(-eta))
-        gradient, h, (ll,) = moments(data, columns, F.col("_y") - p, p * (1 - p), F.col("_y") * eta - F.log1p(F.exp(eta)))
-        step = np.linalg.solve(h, gradient)
-        beta = beta + step
-        if abs(gradient @ step) < tol:
+
+        def step(x, y, beta=beta):
+            eta = x @ beta
+            p = 1 / (1 + np.exp(-eta))
+            root = np.sqrt(np.maximum(p * (1 - p), 1e-30))
+            return root, (y - p) / root, np.array([len(y), y.sum(), (y * eta - np.logaddexp(0, eta)).sum()])
+
+        r, (n, s, ll) = reduced(data, names, ["y"], step)
+        delta, inverse, gain = solved(r)
+        beta = beta + delta
+        if gain < tol * n:
             break
-    n, s = data.agg(F.count("*"), F.sum("_y")).first()
     share = s / n
     null = s * math.log(share) + (n - s) * math.log(1 - share) if 0 < share < 1 else -1e-300
-    return Fit(["const", *columns], beta, np.sqrt(np.diag(np.linalg.inv(h))), ll, null)
-
-
-def lgamma_terms(y: Column, r: float) -> Column:
-    """log G(y+r) - log G(r) for whole y >= 0: a sum over the y steps between them."""
-    return F.aggregate(F.sequence(F.lit(0), F.greatest(y.cast("int") - 1, F.lit(0))), F.lit(0.0), lambda acc, i: acc + F.when(i < y, F.ln(i + F.lit(r))).otherwise(0.0))
-
-
-def digamma_terms(y: Column, r: float, power: int) -> Column:
-    return F.aggregate(F.sequence(F.lit(0), F.greatest(y.cast("int") - 1, F.lit(0))), F.lit(0.0), lambda acc, i: acc + F.when(i < y, 1 / F.pow(i + F.lit(r), power)).otherwise(0.0))
+    return Fit(["const", *columns], beta, errors_of(inverse), ll, null)
 
 
 def negative_binomial(rows: DataFrame, outcome: str, columns: list[str], offset: str, rounds: int = 60, tol: float = 1e-9) -> Fit:
     """NB2 with log link and offset: Fisher scoring for the coefficients, Newton in log r for the dispersion 1/r, in turn.
 
-    The null model, for the pseudo R2, has the intercept, the offset and a dispersion of its own, over the same rows.
+    Sums over the steps from r to y + r, for whole y, are read from a table up to the greatest y. The null model, for the
+    pseudo R2, has the intercept, the offset and a dispersion of its own, over the same rows.
     """
-    data = rows.select(F.col(outcome).cast("double").alias("_y"), F.col(offset).cast("double").alias("_o"), *columns).na.drop()
-    y = F.col("_y")
-    total, exposure = data.agg(F.sum("_y"), F.sum(F.exp("_o"))).first()
-    beta = np.zeros(len(columns) + 1)
+    names = [f"x{i}" for i in range(len(columns))]
+    data = numbers(rows, {"y": outcome, "o": offset, **dict(zip(names, columns))})
+    own = _negative_binomial(data, names, rounds, tol)
+    null = _negative_binomial(data, [], rounds, tol)[2] if columns else own[2]
+    beta, errors, ll, r, curve = own
+    return Fit(["const", *columns], beta, errors, ll, null, alpha=1 / r, alpha_error=(1 / r) / math.sqrt(max(curve, 1e-300)))
+
+
+def _negative_binomial(data: DataFrame, names: list[str], rounds: int, tol: float) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    total, exposure, top = data.agg(F.sum("y"), F.sum(F.exp("o")), F.max("y")).first()
+    beta = np.zeros(len(names) + 1)
     beta[0] = math.log(max(total, 1e-9) / exposure)
-    r, ll, h, curve = 1.0, 0.0, np.eye(len(beta)), 1.0
+    steps = int(top)
+    r, ll, inverse, curve = 1.0, 0.0, np.eye(len(beta)), 1.0
     for _ in range(rounds):
-        mu = F.exp(linear(beta, columns) + F.col("_o"))
-        lr = F.lit(float(r))
-        d1 = digamma_terms(y, r, 1) + F.ln(lr / (lr + mu)) + 1 - (y + lr) / (lr + mu)
-        d2 = -digamma_terms(y, r, 2) + 1 / lr - 2 / (lr + mu) + (y + lr) / F.pow(lr + mu, 2)
-        like = lgamma_terms(y, r) + lr * F.ln(lr / (lr + mu)) + y * F.ln(mu / (lr + mu)) - F.aggregate(
-            F.sequence(F.lit(1), F.greatest(y.cast("int"), F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.ln(i.cast("double"))
-        )
-        gradient, h, (g1, g2, new) = moments(data, columns, (y - mu) * lr / (lr + mu), mu * lr / (lr + mu), d1, d2, like)
-        beta = beta + np.linalg.solve(h, gradient)
+
+        def step(x, y, o, beta=beta, r=r):
+            mu = np.exp(x @ beta + o)
+            i, at = np.arange(steps) + r, y.astype(np.int64)
+            upto = lambda v: np.concatenate([[0.0], np.cumsum(v)])[at]
+            d1 = upto(1 / i) + np.log(r / (r + mu)) + 1 - (y + r) / (r + mu)
+            d2 = -upto(1 / i**2) + 1 / r - 2 / (r + mu) + (y + r) / (r + mu) ** 2
+            like = upto(np.log(i)) + r * np.log(r / (r + mu)) + y * np.log(mu / (r + mu)) - upto(np.log(i - r + 1))
+            root = np.sqrt(mu * r / (r + mu))
+            return root, (y - mu) * r / (r + mu) / root, np.array([d1.sum(), d2.sum(), like.sum()])
+
+        triangle, (g1, g2, new) = reduced(data, names, ["y", "o"], step)
+        delta, inverse, _ = solved(triangle)
+        beta = beta + delta
         # in u = log r: f' = r g1, f'' = r^2 g2 + r g1
         first, second = r * g1, r * r * g2 + r * g1
         curve = -second
         r = r * math.exp(max(-1.0, min(1.0, -first / second if second < 0 else math.copysign(0.5, first))))
-        if abs(new - ll) < tol * (1 + abs(new)) and abs(first) < 1e-5 * (1 + abs(new)):
-            ll = new
-            break
+        settled = abs(new - ll) < tol * (1 + abs(new)) and abs(first) < 1e-5 * (1 + abs(new))
         ll = new
-    null = negative_binomial(data, "_y", [], "_o", rounds, tol).log_likelihood if columns else ll
-    return Fit(["const", *columns], beta, np.sqrt(np.diag(np.linalg.inv(h))), ll, null, alpha=1 / r, alpha_error=(1 / r) / math.sqrt(max(curve, 1e-300)))
+        if settled:
+            break
+    return beta, errors_of(inverse), ll, r, curve
 
 
 def inflation(rows: DataFrame, columns: list[str]) -> DataFrame:

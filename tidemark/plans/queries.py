@@ -116,6 +116,17 @@ def price_ecdf(spark, sf):
     return metrics.ecdf(S.load(spark, sf, "orders"), "o_totalprice")
 
 
+@query(
+    "with c as (select o_totalprice, count(*) as c from orders group by 1), e as (select o_totalprice as x, sum(c) over (order by o_totalprice) / (sum(c) over ())::double as y from c), "
+    "p as (select *, least(floor((x - 20000.0::double) / ((400000.0::double - 20000.0) / 300)), 299)::int as pixel from e where x between 20000 and 400000) "
+    "select distinct pixel, x as o_totalprice, y as share from (select *, row_number() over (partition by pixel order by x) as i, row_number() over (partition by pixel order by x desc) as j from p) where i = 1 or j = 1 "
+    "union all select -1, x, y from e where x = (select max(x) from e where x < 20000)"
+)
+def price_ecdf_frame(spark, sf):
+    """The ECDF of prices as a figure 300 pixels wide needs it (a rising curve has its least first and its greatest last)."""
+    return metrics.pixel_frame(metrics.ecdf(S.load(spark, sf, "orders"), "o_totalprice"), "o_totalprice", "share", 20000.0, 400000.0, 300)
+
+
 @query("with k as (select o_totalprice as x, row_number() over (order by o_totalprice) as i, count(*) over () as n from orders) select 2 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1.0) / max(n) as gini from k")
 def price_gini(spark, sf):
     return metrics.gini(S.load(spark, sf, "orders"), "o_totalprice")
@@ -509,6 +520,45 @@ def negative_binomial_model(spark, sf):
     return models.negative_binomial(model_rows(spark, sf), "urgent", ["bal"], "off").table(spark)
 
 
+NEWTON = f"""with recursive {MODEL}, d as (select (urgent > 2)::int as y, lc, bal from m where lc is not null and bal is not null),
+it(i, b0, b1, b2) as (select 0, 0.0::double, 0.0::double, 0.0::double union all select i + 1,
+  b0 + (g0 * (h11 * h22 - h12 * h12) + g1 * (h02 * h12 - h01 * h22) + g2 * (h01 * h12 - h02 * h11)) / det, b1 + (g0 * (h12 * h02 - h01 * h22) + g1 * (h00 * h22 - h02 * h02) + g2 * (h01 * h02 - h00 * h12)) / det,
+  b2 + (g0 * (h01 * h12 - h11 * h02) + g1 * (h01 * h02 - h00 * h12) + g2 * (h00 * h11 - h01 * h01)) / det from (
+  select *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) as det from (
+  select i, b0, b1, b2, sum(y - p) as g0, sum((y - p) * lc) as g1, sum((y - p) * bal) as g2, sum(w) as h00, sum(w * lc) as h01, sum(w * bal) as h02, sum(w * lc * lc) as h11, sum(w * lc * bal) as h12, sum(w * bal * bal) as h22
+  from (select *, p * (1 - p) as w from (select it.*, d.*, 1 / (1 + exp(-(b0 + b1 * lc + b2 * bal))) as p from it, d where i < 20)) group by i, b0, b1, b2))),
+f as (select b0, b1, b2 from it where i = 20),
+h as (select sum(w) as h00, sum(w * lc) as h01, sum(w * bal) as h02, sum(w * lc * lc) as h11, sum(w * lc * bal) as h12, sum(w * bal * bal) as h22, sum(y * e - ln(1 + exp(e))) as ll, avg(y) as s, count(*) as n
+  from (select *, p * (1 - p) as w from (select y, lc, bal, b0 + b1 * lc + b2 * bal as e, 1 / (1 + exp(-(b0 + b1 * lc + b2 * bal))) as p from f, d))),
+v as (select *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) as det from h),
+t as (select unnest(['const', 'lc', 'bal']) as term, unnest([b0, b1, b2]) as coefficient, unnest([sqrt((h11 * h22 - h12 * h12) / det), sqrt((h00 * h22 - h02 * h02) / det), sqrt((h00 * h11 - h01 * h01) / det)]) as se,
+  1 - ll / (n * (s * ln(s) + (1 - s) * ln(1 - s))) as r2 from f, v)
+select term, round(coefficient, 6) as coefficient, round(se, 6) as se, round(coefficient / se, 4) as z, round(exp(coefficient), 6) as ratio, round(exp(coefficient - 1.96 * se), 6) as ratio_low, round(exp(coefficient + 1.96 * se), 6) as ratio_high, round(r2, 6) as pseudo_r2 from t"""
+
+
+@query(NEWTON)
+def logistic_coefficients(spark, sf):
+    """The fit by triangles beside Newton's method in SQL."""
+    fit = models.logistic(model_rows(spark, sf), "some", ["lc", "bal"])
+    six = ("coefficient", "se", "ratio", "ratio_low", "ratio_high")
+    return fit.table(spark).select("term", *[F.round(c, 6).alias(c) for c in six], F.round("z", 4).alias("z"), F.lit(round(fit.pseudo_r2, 6)).alias("pseudo_r2"))
+
+
+@query(
+    f"with {MODEL}, z as (select unnest(['const', 'bal']) as term, true as at_maximum from (select count(*) as n from m) where n > 0) select * from z"
+)
+def dispersion_gradient(spark, sf):
+    """Is the gradient of the negative binomial likelihood zero at the fit's coefficients? Taken over the rows by SQL, apart from the fit."""
+    rows = staged(model_rows(spark, sf).select("urgent", "bal", "off"), "counts")
+    fit = models.negative_binomial(rows, "urgent", ["bal"], "off")
+    (b0, b1), r = (float(b) for b in fit.coefficients), 1 / fit.alpha
+    rows.createOrReplaceTempView("_counts")
+    return spark.sql(
+        f"with g as (select (urgent - mu) * {r!r} / ({r!r} + mu) as s, bal, urgent from (select *, exp({b0!r} + {b1!r} * bal + off) as mu from _counts)), "
+        "a as (select sum(s) as g0, sum(s * bal) as g1, sum(urgent) as n, sum(urgent * abs(bal)) as m from g) select 'const' as term, abs(g0) < 1e-6 * n as at_maximum from a union all select 'bal', abs(g1) < 1e-6 * m from a"
+    )
+
+
 # ---- coder sheets to scores ------------------------------------------------------
 
 SHEETS = (

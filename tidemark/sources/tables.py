@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -36,6 +36,45 @@ def read_matching(spark: SparkSession, folder: str, pattern: str, table: str) ->
     return spark.read.schema(SCHEMAS[table]).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).parquet(folder)
 
 
+def listed_files(spark: SparkSession, folder: str, keyword: str, ending: str = ".csv", without: tuple[str, ...] = ("v4",)) -> DataFrame:
+    """path, changed, size of the files anywhere below a folder whose names hold the keyword, end so, and hold none of ``without``, in any case. No file is opened."""
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("modificationTime").alias("changed"), F.col("length").alias("size"))
+    return every.where(named_so(F.element_at(F.split("path", "/"), -1), keyword, ending, without))
+
+
+def named_so(name: Column, keyword: str, ending: str, without: tuple[str, ...]) -> Column:
+    low = F.lower(name)
+    fits = low.contains(keyword.lower()) & low.endswith(ending.lower())
+    for word in without:
+        fits = fits & ~low.contains(word.lower())
+    return fits
+
+
+def read_found(spark: SparkSession, folder: str, keyword: str, table: str, ending: str = ".csv", without: tuple[str, ...] = ("v4",), since: str | None = None, newest: bool = False) -> DataFrame:
+    """Rows of all such files (CSV or Parquet, by the ending) under a declared schema; of those changed since a time, or only the newest.
+
+    The names are a condition on Spark's file metadata, so files that do not fit are pruned when the scan
+    is planned. None that fits is an error, as a missing input would be.
+    """
+    found = listed_files(spark, folder, keyword, ending, without)
+    if since:
+        found = found.where(F.col("changed") >= F.to_timestamp(F.lit(since)))
+    last = found.agg(F.count("*"), F.max_by("path", F.struct("changed", "path"))).first()
+    if not last[0]:
+        raise FileNotFoundError(f"no file named *{keyword}*{ending} below {folder}")
+    read = spark.read.schema(SCHEMAS[table]).option("recursiveFileLookup", True)
+    if ending == ".csv":
+        rows = read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").csv(folder)
+    else:
+        rows = read.parquet(folder)
+    rows = rows.where(named_so(F.col("_metadata.file_name"), keyword, ending, without))
+    if since:
+        rows = rows.where(F.col("_metadata.file_modification_time") >= F.to_timestamp(F.lit(since)))
+    if newest:
+        rows = rows.where((F.col("_metadata.file_name") == last[1].rsplit("/", 1)[-1]) & F.col("_metadata.file_path").endswith(last[1].split(":", 1)[-1]))
+    return rows
+
+
 def search_results(pages: DataFrame, json_col: str = "body") -> DataFrame:
     """Landed pages of a repository search to one row a repository, with its position."""
     items = pages.select(*[c for c in pages.columns if c != json_col], F.posexplode(F.from_json(json_col, SEARCH).getField("items")).alias("position", "item"))
