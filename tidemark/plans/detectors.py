@@ -156,7 +156,8 @@ def match(x: str, pattern: str, flags: str = "i") -> str:
     return f"regexp_matches({x}, {quoted(pattern)}, '{flags}')"
 
 
-INDEX = f"""trees as ({TREES}), configs as ({CONFIG_ROWS}), elements as ({ELEMENT_ROWS}), claims as ({CLAIM_ROWS}),
+GIVEN = f"trees as ({TREES}), configs as ({CONFIG_ROWS}), elements as ({ELEMENT_ROWS}), claims as ({CLAIM_ROWS})"
+INDEX = f"""{GIVEN},
 t as (select full_name, {slashed('path')} as p, type from trees),
 keyed as (select full_name, unnest(case when type = 'blob' then ['file:' || p, 'name:' || {base('p')}] || case when p like '%/%' then ['top:' || split_part(p, '/', 1)] else [] end
   else ['dir:' || p, 'dirname:' || {base('p')}, 'top:' || split_part(p, '/', 1)] end) as k from t),

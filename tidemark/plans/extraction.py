@@ -108,7 +108,9 @@ def commands() -> str:
     return values(rows)
 
 
-SQL = f"""with el as ({ELEMENT_ROWS}), cur as (select {NAME} as full_name, (c_custkey % 5 = 0)::int as curated from customer),
+def claims_sql(el: str, cur: str) -> str:
+    """SQL of the claims of elements (the columns of ELEMENTS, elem_no unique in a repository) and curated flags."""
+    return f"""with el as ({el}), cur as ({cur}),
 r as (select el.*, curated, {trimmed('content')} as line, {holds(normal('heading'), R.STRONG_NEGATIVE)} as neg, {holds(normal('heading'), R.SOFT_NEGATIVE)} as soft, {normal('section_class')} in {listed(R.RELEVANT_SECTIONS)} or operational_hint = 1 as rel,
   coalesce(lower(code_lang), '') in {listed(R.SHELL_LANGS)} as sh, {shell('content')} as cmd from el join cur using (full_name) where {trimmed('content')} <> '' and not {holds(normal('content'), R.BADGES)}),
 b as (select *, curated = 1 and regexp_matches(line, '^\\s*[-*+]\\s+') and not cmd as bullet from r),
@@ -151,6 +153,9 @@ c5 as (select *, row_number() over (partition by full_name, part = 1 and akey <>
   case context_type when 'inline_code_artifact' then 4 when 'fenced_code_artifact' then 3 when 'markdown_link' then 2 else 1 end desc, line_no, claim_seq) as best from c4 where again = 1)
 select full_name, line_no, context_type, claim_type, claim_family, artifact_or_path, snippet, evidence_level, claim_seq from c5 where part = 0 or best = 1"""
 
+
+SQL = claims_sql(ELEMENT_ROWS, f"select {NAME} as full_name, (c_custkey % 5 = 0)::int as curated from customer")
+
 # ---- elements of READMEs that are put together from blocks ---------------------
 
 BLOCKS = [
@@ -168,7 +173,9 @@ def readme_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readme.elements(texts).select("full_name", "elem_type", "line_no", "elem_no", "heading", "content", "code_lang", "link_text", "link_target")
 
 
-README_SQL = rf"""with b as ({README_BLOCKS}), r as (select full_name, string_agg(block, chr(10) order by no) as x from b group by 1),
+def parser_sql(texts: str) -> str:
+    """SQL of the elements of texts (full_name, x). A fence that never closes is no element and swallows what follows."""
+    return rf"""with r as ({texts}),
 l as (select full_name, unnest(string_split(x, chr(10))) as line, unnest(range(1, len(string_split(x, chr(10))) + 1)) as n from r),
 f as (select *, regexp_matches(line, '^\s*```') as mark, lead(line) over w as following, max(n) over (partition by full_name) as last_ from l window w as (partition by full_name order by n)),
 g as (select *, count(*) filter (where mark) over (partition by full_name order by n) as marks from f where not (n = last_ and line = '')),
@@ -180,11 +187,14 @@ p as (select * from t where not fenced and not atx and not titled and not under)
 i as (select full_name, n, heading, line, unnest(regexp_extract_all(line, '`([^`\n]+)`', 1)) as c, unnest(range(len(regexp_extract_all(line, '`([^`\n]+)`', 1)))) as q, from p),
 u as (select full_name, n, heading, line, len(regexp_extract_all(line, '`([^`\n]+)`', 1)) as before_, unnest(regexp_extract_all(line, '\[([^\]]+)\]\(([^)]+)\)', 1)) as a, unnest(regexp_extract_all(line, '\[([^\]]+)\]\(([^)]+)\)', 2)) as b,
   unnest(range(len(regexp_extract_all(line, '\[([^\]]+)\]\(([^)]+)\)', 1)))) as q from p),
-c as (select full_name, ((marks + 1) // 2) as fence, min(n) as n, min(heading) as heading, coalesce(string_agg(line, chr(10) order by n) filter (where not mark), '') as content, max(case when mark and marks % 2 = 1 then lower(trim(regexp_extract(line, '^\s*```(.*)$', 1))) end) as lang from t where fenced group by 1, 2)
+c as (select full_name, ((marks + 1) // 2) as fence, min(n) as n, min(heading) as heading, coalesce(string_agg(line, chr(10) order by n) filter (where not mark), '') as content, max(case when mark and marks % 2 = 1 then lower(trim(regexp_extract(line, '^\s*```(.*)$', 1))) end) as lang from t where fenced group by 1, 2 having count(*) filter (where mark) = 2)
 select full_name, 'heading' as elem_type, n as line_no, 0 as elem_no, heading, line as content, null as code_lang, null as link_text, null as link_target from t where atx or titled
 union all select full_name, 'inline_code', n, q, heading, c, null, null, null from i union all select full_name, 'markdown_link', n, before_ + q, heading, trim(line), null, a, b from u
 union all select full_name, 'section_line', n, len(regexp_extract_all(line, '`([^`\n]+)`', 1)) + len(regexp_extract_all(line, '\[([^\]]+)\]\(([^)]+)\)', 1)), heading, line, null, null, null from p
 union all select full_name, 'fenced_code', n, 0, heading, content, lang, null, null from c"""
 
+
+README_SQL = parser_sql(f"select full_name, string_agg(block, chr(10) order by no) as x from ({README_BLOCKS}) group by 1")
+
 QUERIES = {"extraction_rules": extraction_rules, "readme_rules": readme_rules}
 ORACLES = {"extraction_rules": SQL, "readme_rules": README_SQL}

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import artifacts, baseline, claims, headings, history, metrics, models, ordered, readme, sampling, screen, selection, sequence, survival, validation
 from ..sources import workbook
 from ..sources.staged import passing_folder, staged
-from . import detectors, extraction, screening
+from . import chain, detectors, extraction, screening
 from . import synthetic as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -382,14 +382,17 @@ def text_at_commit(spark, sf):
 LINKS = "select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as target from pages union all select page_id, url from pages"
 
 
-@query(
-    f"with l as ({LINKS}), b as (select page_id, target, lower(trim(target)) as t, split_part(split_part(lower(trim(target)), '?', 1), '#', 1) as base from l) "
-    "select page_id, target, case when t = '' then 'unknown' when t like 'http://%' or t like 'https://%' or t like 'www.%' or t like '%://%' then 'external' when t like '#%' then 'anchor' "
+#: What a link leads to: t is the target, trimmed and in lower case, base the same without query and fragment.
+LINK_KIND = (
+    "case when t = '' then 'unknown' when t like 'http://%' or t like 'https://%' or t like 'www.%' or t like '%://%' then 'external' when t like '#%' then 'anchor' "
     "when regexp_matches(base, '\\.(png|jpg|jpeg|gif|svg|webp|bmp)$') then 'image' when regexp_matches(base, '\\.(md|rst|adoc|txt)$') then 'local_doc' "
     "when regexp_matches(base, '\\.(py|js|go|jar|yml|yaml|toml|cfg|ini|json|xml|ipynb)$') then 'local_artifact' when base like '%/' then 'local_dir' "
     "when regexp_extract(base, '[^/]*$') in ('dockerfile', 'makefile', 'pipfile', 'go.mod', 'build.gradle', 'build.gradle.kts') then 'local_artifact' "
-    "when regexp_extract(base, '[^/]*$') in ('docs', 'doc', 'documentation', 'examples', 'example') then 'local_doc' when base like '%/%' then 'local_path_other' else 'local_other' end as kind from b"
+    "when regexp_extract(base, '[^/]*$') in ('docs', 'doc', 'documentation', 'examples', 'example') then 'local_doc' when base like '%/%' then 'local_path_other' else 'local_other' end"
 )
+
+
+@query(f"with l as ({LINKS}), b as (select page_id, target, lower(trim(target)) as t, split_part(split_part(lower(trim(target)), '?', 1), '#', 1) as base from l) select page_id, target, {LINK_KIND} as kind from b")
 def link_types(spark, sf):
     p = S.load(spark, sf, "pages")
     hrefs = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
@@ -680,7 +683,25 @@ def readme_elements(spark, sf):
     return e.groupBy("full_name").agg((count("heading") - 1).alias("headings"), count("fenced_code").alias("fenced"), count("inline_code").alias("inline_code"), count("markdown_link").alias("links"), count("section_line").alias("lines"))
 
 
-@query()
+CHAIN = chain.chain(LINK_KIND)
+
+
+TEXTS = "select 'd' || doc_id as full_name, text as x from documents union all select 'p' || page_id, html from pages"
+
+
+@query(f"select full_name, elem_type, line_no, heading, section_class, operational_hint, md5(content) as content, link_target, link_target_type from ({chain.elements_sql(TEXTS, LINK_KIND)})")
+def parsed_texts(spark, sf):
+    """The README parser over all texts of documents and pages."""
+    e = readme.elements(supplied_texts(spark, sf))
+    return e.select("full_name", "elem_type", "line_no", "heading", "section_class", "operational_hint", F.md5("content").alias("content"), "link_target", "link_target_type")
+
+
+def supplied_texts(spark, sf):
+    d, p = S.load(spark, sf, "documents"), S.load(spark, sf, "pages")
+    return d.selectExpr("concat('d', doc_id) as full_name", "text as readme_text").union(p.selectExpr("concat('p', page_id)", "html"))
+
+
+@query(CHAIN["extracted_claims"])
 def extracted_claims(spark, sf):
     return analysed(spark, sf)[2].select("full_name", "line_no", "context_type", "claim_type", "artifact_or_path", "snippet", "evidence_level", "claim_seq")
 
@@ -694,13 +715,13 @@ def artifact_index(spark, sf):
     return artifacts.artifact_index(t["trees"], t["configs"]).select("full_name", "file_count", "dir_count", "has_requirements_txt", "has_makefile", "has_tests_dir", "has_pyproject_toml", F.array_join("make_targets", ",").alias("targets"))
 
 
-@query()
+@query(CHAIN["baseline_labels"])
 def baseline_labels(spark, sf):
     _, _, found, index, keys = analysed(spark, sf)
     return baseline.baseline(found, index, keys).select("full_name", "claim_seq", "claim_type", "drift_family", "label", "reason")
 
 
-@query()
+@query(CHAIN["final_labels"])
 def final_labels(spark, sf):
     _, elements, found, index, keys = analysed(spark, sf)
     out = sequence.final_labels(staged(baseline.baseline(found, index, keys), "labels"), elements, index, keys)

@@ -111,13 +111,15 @@ for _pattern, _into in ((r"!\[[^\]]*\]\([^)]*\)", " "), (r"<[^>]+>", " "), (r"\[
 PLAIN = f"trim({PLAIN})"
 for _pattern in (r"^(?:step|phase)\s+[ivxlcdm0-9]+\s*[:.)-]\s*", r"^[ivxlcdm]+\s*[:.)-]\s*", r"^\d+\s*[:.)-]\s*"):
     PLAIN = f"regexp_replace({PLAIN}, {quoted(_pattern)}, '')"
-SECTION_SQL = (
-    f"with h as ({HEADINGS}), n as (select p_partkey, trim({PLAIN}) as h from h) select p_partkey, case "
+#: Class and hint of a plain heading h.
+SECTION = (
+    "case "
     + " ".join(f"when {match('h', rf'\b(?:{w})\b')} then '{c}'" for c, w in R.SECTION_WORDS.items())
     + " "
     + " ".join(f"when {match('h', rf'^(?:{w})\b')} then '{c}'" for c, w in R.IMPERATIVES.items())
-    + f" else 'other' end as section, {match('h', rf'\b(?:{R.OPERATIONAL_WORDS})\b')}::int as hint from n"
+    + f" else 'other' end as section, {match('h', rf'\b(?:{R.OPERATIONAL_WORDS})\b')}::int as hint"
 )
+SECTION_SQL = f"with h as ({HEADINGS}), n as (select p_partkey, trim({PLAIN}) as h from h) select p_partkey, {SECTION} from n"
 
 
 def on_grid(name: str, rows: str) -> str:
