@@ -696,6 +696,20 @@ def parsed_texts(spark, sf):
     return e.select("full_name", "elem_type", "line_no", "heading", "section_class", "operational_hint", F.md5("content").alias("content"), "link_target", "link_target_type")
 
 
+#: Supplied texts as instructions: what follows a full stop becomes a command, and what a comma ends names a file.
+INSTRUCTIONS = "concat('## Install', chr(10), replace(replace(regexp_replace(text, '[^\\x00-\\x7F]', 'x'{all}), '. ', concat('.', chr(10), 'make ')), ', ', ' of src/a.py, '))"
+INSTRUCTED = chain.elements_sql(f"select 'd' || doc_id as full_name, {INSTRUCTIONS.format(all=", 'g'")} as x from documents", LINK_KIND)
+
+
+@query(f"select full_name, line_no, context_type, claim_type, artifact_or_path, md5(snippet) as snippet, evidence_level, claim_seq from ({extraction.claims_sql(INSTRUCTED, "select 'd' || doc_id as full_name, 0 as curated from documents")})")
+def instructed_claims(spark, sf):
+    """Claims of all documents, read as instructions."""
+    d = S.load(spark, sf, "documents")
+    texts = d.select(F.concat(F.lit("d"), "doc_id").alias("full_name"), F.expr(INSTRUCTIONS.format(all="").replace("\\", "\\\\")).alias("readme_text"))
+    found = claims.extract(readme.elements(texts), texts.select("full_name", F.lit(False).alias("curated_list_heuristic")))
+    return found.select("full_name", "line_no", "context_type", "claim_type", "artifact_or_path", F.md5("snippet").alias("snippet"), "evidence_level", "claim_seq")
+
+
 def supplied_texts(spark, sf):
     d, p = S.load(spark, sf, "documents"), S.load(spark, sf, "pages")
     return d.selectExpr("concat('d', doc_id) as full_name", "text as readme_text").union(p.selectExpr("concat('p', page_id)", "html"))
