@@ -6,6 +6,9 @@ claims are known. ``claim_seq`` is the order in which a reader meets them.
 
 from __future__ import annotations
 
+import re
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,19 +30,43 @@ def is_local_path(t: Column) -> Column:
     return F.coalesce(~nothing_local(t) & shaped, F.lit(False))
 
 
+def literal_start(pattern: str) -> str:
+    """What every match of a pattern begins with, in lower case: its text up to the first sign that is no plain character."""
+    plain = re.match(r"(?:\\b)?((?:\\\.|[A-Za-z0-9_ /-])*)(.?)", pattern)
+    start = plain[1].replace("\\.", ".")
+    return (start[:-1] if plain[2] in tuple("?*{") else start).lower()
+
+
+def where_it_may(seen: Column, start: str, found: Column, nothing: Column) -> Column:
+    """found, not looked for where the text (its ``low`` form) lacks what all matches begin with. In texts beyond ASCII, whose cases fold otherwise, it always is."""
+    return found if not start else F.when(~seen["ascii"] | F.contains(seen["low"], F.lit(start)), found).otherwise(nothing)
+
+
+def seen_text(text: Column) -> Column:
+    return F.struct(F.lower(text).alias("low"), (F.octet_length(text) == F.length(text)).alias("ascii"))
+
+
 def tagged(kind: str, matches: Column) -> Column:
     return F.transform(matches, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("raw")))
 
 
 def part_commands(part: Column) -> Column:
     """The claims of one command: type and artifact, in order of the patterns; generic_command if none matches."""
-    found = []
-    for kind, pattern, group in R.COMMANDS:
-        if group is None:
-            found.append(F.when(part.rlike("(?iuU)" + pattern), F.array(F.struct(F.lit(kind).alias("kind"), F.lit("").alias("raw")))).otherwise(F.array().cast("array<struct<kind:string,raw:string>>")))
-        else:
-            found.append(tagged(kind, T.all_matches(part, pattern, group)))
-    named = F.transform(F.concat(*found), lambda c: F.struct(c["kind"].alias("claim_type"), T.canonical_path(c["raw"]).alias("artifact")))
+
+
+    none = F.array().cast("array<struct<kind:string,raw:string>>")
+
+    def found(seen: Column) -> Column:
+        hits = []
+        for start, group_of in groupby(R.COMMANDS, lambda c: literal_start(c[1])):
+            each = []
+            for kind, pattern, group in group_of:
+                once = F.when(part.rlike("(?iuU)" + pattern), F.array(F.struct(F.lit(kind).alias("kind"), F.lit("").alias("raw")))).otherwise(none) if group is None else tagged(kind, T.all_matches(part, pattern, group))
+                each.append(once)
+            hits.append(where_it_may(seen, start, F.concat(*each), none))
+        return F.concat(*hits)
+
+    named = F.transform(T.let(seen_text(part), found), lambda c: F.struct(c["kind"].alias("claim_type"), T.canonical_path(c["raw"]).alias("artifact")))
     low = lambda c: F.coalesce(F.lower(c["artifact"]), F.lit("x"))
     kept = F.filter(
         named,
@@ -63,7 +90,8 @@ def shell_claims(text: Column) -> Column:
 
 def text_artifacts(text: Column) -> Column:
     """Local artifacts named in a text, in order of the patterns, each once."""
-    tokens = F.transform(F.concat(*[T.all_matches(text, p, 0) for p in R.ARTIFACTS]), T.canonical_path)
+    none = F.array().cast("array<string>")
+    tokens = F.transform(T.let(seen_text(text), lambda seen: F.concat(*[where_it_may(seen, literal_start(p), T.all_matches(text, p, 0), none) for p in R.ARTIFACTS])), T.canonical_path)
     good = F.filter(tokens, is_local_path)
     keyed = F.transform(good, lambda t: F.struct(F.when(F.contains(t, F.lit("/")), F.lower(t)).otherwise(F.lower(T.basename(t))).alias("key"), t.alias("t")))
     first = T.let(keyed, lambda k: F.filter(k, lambda x, i: F.array_position(F.transform(k, lambda y: y["key"]), x["key"]) == i + 1))
