@@ -213,51 +213,120 @@ def test_toxicity(rude):
     assert kept == {i for i, s in out.items() if s < 0.5}
 
 
+def read(grammar, text):
+    return {k: v for k, v in zip([*toxicity.EVENTS, "clauses"], grammar.read(text).tolist()) if v}
+
+
 def test_clause_contexts():
     g = toxicity.Grammar({"scum": 2.0, "vile": 3.0}, {"the", "of", "a"})
-    read = lambda t: {k: v for k, v in zip([*toxicity.EVENTS, "clauses"], g.read(t).tolist()) if v}
-    assert read("the scum here") == {"framed": 2.0, "clauses": 1.0} and read("vile scum of it") == {"framed": 3.0, "clauses": 1.0}
-    assert read("scum") == read("scum scum vile") == read("vile scum here") == {"clauses": 1.0}
-    assert read("the. scum") == {"clauses": 2.0}
-    assert read("they are not scum")["negated"] == 2.0 and read("not a b c scum")["framed"] == 2.0
-    assert read("He said scum. a scum") == {"reported": 2.0, "framed": 2.0, "clauses": 2.0}
-    assert read("scum you") == read("you scum") == {"aimed": 2.0, "clauses": 1.0} and "aimed" not in read("you. scum")
-    assert read("I kill you")["threat"] == toxicity.MENACE and "threat" not in read("I kill. you") and "threat" not in read("kill the")
+    assert read(g, "the scum here") == {"framed": 2.0, "clauses": 1.0} and read(g, "the vile scum of it") == {"framed": 3.0, "clauses": 1.0}
+    assert read(g, "scum") == read(g, "scum scum vile") == read(g, "vile scum here") == read(g, "scum of the") == {"clauses": 1.0}
+    assert read(g, "the. scum") == read(g, "the, scum") == read(g, "the and scum") == {"clauses": 2.0}
+    assert read(g, "they are not scum")["negated"] == 2.0 and read(g, "not x y z a scum")["framed"] == 2.0
+    assert read(g, "He said the scum. a scum") == {"reported": 2.0, "framed": 2.0, "clauses": 2.0}
+    assert read(g, 'He said: "you are a scum", the vile.')["reported"] == 5.0
+    assert read(g, "scum you") == read(g, "you scum") == {"aimed": 2.0, "clauses": 1.0} and "aimed" not in read(g, "you. scum")
+    assert read(g, "I kill you") == {"threat": toxicity.MENACE, "clauses": 1.0} and "threat" not in read(g, "I kill. you") and "threat" not in read(g, "kill the") and "threat" not in read(g, "you kill")
+    assert "threat" not in read(g, "I will not kill you") and "threat" not in read(g, "he said I kill you")
+
+
+def test_an_insult_without_a_frame_in_a_long_sentence():
+    """The particles and targets of a sentence count where they stand, not for the whole of it."""
+    g = toxicity.Grammar({"scum": 2.0}, {"the", "of", "a"})
+    far = " ".join(["tion", "ble", "ther", "ness", "ment"])
+    assert read(g, f"the {far} scum {far} of a {far} you") == {"clauses": 1.0}
+    assert read(g, f"you {far}, {far} scum {far}") == {"clauses": 2.0}
+    assert read(g, f"the {far} of scum {far}") == {"framed": 2.0, "clauses": 1.0}
+
+
+def test_a_plain_threat_is_enough():
+    rows = [("the word of a text", 0)] * 40 + [("you vexora and the vexora of it", 1)] * 20
+    g = toxicity.Grammar({"vexo": 6.0}, {"the", "of", "a"}).fit(rows)
+    assert g.score("I will kill you") >= 0.5 > g.score("I will never kill you") and g.score("kill") < 0.5
+    w = dict(zip(toxicity.EVENTS, g.weights))
+    assert w["negated"] <= w["framed"] and w["reported"] <= w["framed"]
+    assert g.score("you are not a vexora") <= g.score("you are a vexora") and g.score("he said the vexora") <= g.score("here is the vexora")
 
 
 def plainly(text, insults, particles):
-    """Clause by clause, without transducers: the weights of accepted clauses."""
-    out = dict.fromkeys(toxicity.EVENTS, 0.0)
-    clauses = toxicity.re.split(r"[.!?;:\n]", text)
-    for clause in clauses:
-        words, best = clause.split(), {}
-        is_insult = lambda w: any(w[:n] in insults for n in range(1, len(w) + 1))
-        for i, w in enumerate(words):
-            if is_insult(w):
-                weight = next(insults[w[:n]] for n in range(1, len(w) + 1) if w[:n] in insults)
-                last = max((j for j in range(i) if words[j] in toxicity.NEGATIONS and not is_insult(words[j])), default=-9)
-                said = any(x in toxicity.REPORTS for x in words[:i])
-                kind = 1 if said else 0 if i - last <= toxicity.SCOPE else 2
-                best[kind] = max(best.get(kind, 0), weight)
-        target, particle = any(w in toxicity.TARGETS for w in words), any(w in particles for w in words)
-        if best and (target or particle):
-            kind = max(best)
-            out["negated" if kind == 0 else "reported" if kind == 1 else "aimed" if target else "framed"] += best[kind]
-        elif not best and target and any(w in toxicity.THREATS for w in words):
-            out["threat"] += toxicity.MENACE
-    return [*out.values(), len(clauses)]
+    """Sentence by sentence and clause by clause, without transducers: the weights of accepted clauses."""
+    out, clauses = dict.fromkeys(toxicity.EVENTS, 0.0), 0
+    is_insult = lambda w: any(w[:n] in insults for n in range(1, len(w) + 1))
+    for sentence in toxicity.re.split(r"[.!?;\n]", text):
+        speech = False
+        for part in toxicity.re.split(r"[,:]|\band\b|\bbut\b", sentence):
+            words = part.split()
+            clauses += bool(words)
+            found, best, last_not, pending = set(), {}, -9, None
+            for i, w in enumerate(words):
+                context = 1 if speech else 0 if i - last_not <= toxicity.SCOPE else 2
+                near = words[max(0, i - toxicity.REACH) : i]
+                target = w in toxicity.TARGETS and not is_insult(w)
+                if is_insult(w):
+                    weight = next(insults[w[:n]] for n in range(1, len(w) + 1) if w[:n] in insults)
+                    best[context] = max(best.get(context, 0), weight)
+                    aimed, framed = any(x in toxicity.TARGETS for x in near), any(x in particles for x in near)
+                    if aimed or framed:
+                        found.add(("negated", "reported", "aimed" if aimed else "framed")[context])
+                        if pending and i - pending[0] >= toxicity.REACH:
+                            pending = None
+                    elif not (pending and i - pending[0] <= toxicity.REACH and pending[1] > context):
+                        pending = (i, context)
+                if target and pending and i - pending[0] <= toxicity.REACH:
+                    found.add(("negated", "reported", "aimed")[pending[1]])
+                elif target:
+                    for j in range(max(0, i - toxicity.REACH), i):
+                        if words[j] in toxicity.THREATS and plain[j]:
+                            found.add("threat")
+                plain = [*(plain if i else []), context == 2]
+                if w in toxicity.NEGATIONS:
+                    last_not = i
+                speech = speech or w in toxicity.REPORTS
+            if found:
+                top = max(found, key=lambda e: toxicity.RANKS[toxicity.EVENTS.index(e)])
+                context = toxicity.CONTEXT_OF[toxicity.EVENTS.index(top)]
+                out[top] += toxicity.MENACE if context is None else best[context]
+    return [*out.values(), clauses]
 
 
 def test_grammar_against_a_plain_reading():
     r = random.Random(12)
     insults, small = {"scum": 2.0, "vexo": 3.5}, {"the", "of"}
     g = toxicity.Grammar(insults, small)
-    pool = ["scum", "vexora", "the", "of", "you", "they", "not", "never", "said", "kill", "word", "tion", "more", ".", "!"]
-    for _ in range(800):
+    pool = ["scum", "vexora", "the", "of", "you", "they", "not", "never", "said", "kill", "word", "tion", "more", "and", ",", ".", "!"]
+    for _ in range(3000):
         text = " ".join(r.choice(pool) for _ in range(r.randint(0, 25)))
         assert g.read(text).tolist() == pytest.approx(plainly(text, insults, small)), text
 
 
+def test_each_transducer_changes_verdicts(rude):
+    """Ablation: without one of the transducers some documents are judged otherwise."""
+    docs, labels, _ = rude
+    model = toxicity.grammar(docs, labels, language.fold_of("doc_id", 5) != 0)
+    texts = ["you not vexora", "they said you vexora", "you vexora", "you qqa qqb qqc qqd vexora qqe", "I kill you", "vexora"]
+    base = [model.score(t) >= 0.5 for t in texts]
+    plain = lambda state, symbol: (0, (symbol, False), None)
+    unreported = lambda state, read: (False, (read[0], toxicity.IN_NEGATION if read[1] else toxicity.IN_PLAIN), None)
+    anywhere = lambda state, read: (state, (read[0], read[1] if read[0] == toxicity.INSULT else None, toxicity.FRAMED if read[0] == toxicity.INSULT else None), None)
+    T = toxicity.Transducer
+    start = (0, 0, 0, 0, 0)
+    variants = {
+        "negation": T(0, plain).then(T(False, toxicity.report)).then(T(start, toxicity.frame)).then(T(0, toxicity.clause)),
+        "report": T(0, toxicity.negate).then(T(False, unreported)).then(T(start, toxicity.frame)).then(T(0, toxicity.clause)),
+        "frame": T(0, toxicity.negate).then(T(False, toxicity.report)).then(T(start, anywhere)).then(T(0, toxicity.clause)),
+    }
+    whole = toxicity.TABLE
+    try:
+        for name, machine in variants.items():
+            toxicity.TABLE = toxicity.Table(machine, toxicity.CLASSES)
+            scores = [model.read(t).tolist() for t in texts]
+            toxicity.TABLE = whole
+            assert scores != [model.read(t).tolist() for t in texts], name
+    finally:
+        toxicity.TABLE = whole
+    assert base[2] and base[4] and not base[5] and not base[3]
+
+
 def test_labels_of_one_kind(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -270,14 +339,15 @@ def test_composition_is_what_its_parts_do_in_turn():
     r = random.Random(6)
     for _ in range(200):
         symbols = [r.choice(list(toxicity.CLASSES)) for _ in range(30)]
-        n, said, seen, state = 0, False, (0, -1, False), 0
+        n, said, seen, best, state = 0, False, (0, 0, 0, 0, 0), 0, 0
         for x in symbols:
             n, y, _ = toxicity.negate(n, x)
             said, z, _ = toxicity.report(said, y)
-            seen, written, event = toxicity.match(seen, z)
+            seen, v, _ = toxicity.frame(seen, z)
+            best, written, event = toxicity.clause(best, v)
             at = state * len(toxicity.CLASSES) + x
-            assert (toxicity.SAID[at], toxicity.MATCHED[at]) == (written, event)
-            state = toxicity.NEXT[at]
+            state = toxicity.TABLE.next[at] if toxicity.TABLE.next[at] >= 0 else toxicity.TABLE.fill(at)
+            assert (toxicity.TABLE.said[at], toxicity.TABLE.accepted[at]) == (written, event)
 
 
 def test_classifiers_take_odd_tables(spark):

@@ -1,16 +1,18 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Four transducers are composed. The lexical one reads words and writes classes:
-insults (stems with weights, induced from labelled rows), threats, targets,
-negations, reported-speech verbs, particles (the small words that clauses are
-built with, learned from the same rows), clause ends. The negation one marks what
-stands in a negation's scope, the reporting one what follows a verb of speech in
-its clause, and the clause one accepts a clause at its end if an insult has an
-argument in it (a target, or a particle that frames it) or a threat has a target.
-Words alone match nothing. An accepted clause weighs as much as its heaviest
-insult. Their composition is a table of states and classes. Documents are scored
-by the weights of accepted clauses of each kind and by how many clauses there
-are; these are fitted on the labelled sample too.
+Five transducers are composed. The lexical one reads words and writes classes: insults
+(stems with weights, induced from labelled rows), threats, targets, negations, verbs of speech,
+particles (the small words that clauses are built with, learned from the same rows), and what ends
+a clause (commas, conjunctions) or a sentence. The negation one marks what stands in a negation's
+scope, the reporting one what follows a verb of speech in its sentence. The frame one finds an
+insult's argument in order: a target or particle up to REACH words before it in its clause, or a
+target up to REACH words after it; and a threat's, a target after it. The clause one keeps a
+clause's most telling match and accepts it at the clause's end. Words alone match nothing, nor does
+an insult whose clause has its target or particle elsewhere. An accepted clause weighs as much as
+its heaviest insult in that context. The composed table is made of the states that texts reach.
+Documents are scored by the weights of accepted clauses of each kind and by how many clauses
+there are; these are fitted on the labelled sample too, so that a negated or reported
+insult never counts for more than a plain one.
 
 Insult stems are prefixes that are far more frequent among the words of toxic
 rows: the grammar holds what inflection varies. The sample is bounded
@@ -38,13 +40,17 @@ TARGETS = {"you", "your", "he", "she", "they", "them", "him", "her", "du", "dich
 NEGATIONS = {"not", "no", "never", "isn", "aren", "don", "nicht", "kein", "keine", "nie", "ne", "pas", "jamais", "nunca", "jamás"}
 REPORTS = {"said", "says", "wrote", "claimed", "quoted", "sagte", "schrieb", "behauptete", "dit", "écrit", "dijo", "escribió"}
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, PARTICLE, END = CLASSES = range(8)
-#: Words that a negation reaches.
-SCOPE = 3
+# Words and signs that end a clause, not its sentence.
+CONJUNCTIONS = {"and", "but", "because", "while", "und", "aber", "weil", "denn", "et", "mais", "parce", "car", "y", "pero", "porque"}
+BREAKS = {",", ":", "(", ")", "\"", "–"}
+
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, PARTICLE, BREAK, END = CLASSES = range(9)
+#: Words that a negation reaches; words between an insult and its argument, the argument counted.
+SCOPE, REACH = 3, 3
 #: What an insult may stand in, from the least to the most telling.
 CONTEXTS = IN_NEGATION, IN_REPORT, IN_PLAIN = range(3)
 EVENTS = NEGATED, REPORTED, FRAMED, AIMED, THREATENED = ("negated", "reported", "framed", "aimed", "threat")
-TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
+TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,()\"–\n]")
 #: Lengths of stems that are tried; labelled toxic rows a stem needs; how many times likelier it is among their words.
 STEM, SUPPORT, LIFT = (4, 7), 4, 12.0
 #: What a stem's likelihood ratio statistic must reach: a stem of chance rarely does, however many are tried.
@@ -54,7 +60,7 @@ COMMON = 0.05
 #: Weight of a document's clauses of one kind from which on more of them add nothing.
 MOST = 60.0
 #: Weight of a threat with a target; weights of the events where no row tells.
-MENACE, PRIOR = 6.0, (0.0, 0.0, 5.0, 0.0, 5.0)
+MENACE, PRIOR = 12.0, (0.0, 0.0, 5.0, 0.0, 5.0)
 # Insults the grammar knows from the start.
 INSULTS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "disgusting", "scum", "trash", "clown", "dumb", "jerk", "blödmann", "dummkopf", "trottel", "imbécile", "crétin", "estúpido", "imbécil", "tonto")
 ENDINGS = ("", "e", "en", "es", "n", "s")
@@ -143,50 +149,73 @@ class Transducer:
 
         return Transducer((self.start, other.start), step)
 
-    def table(self, symbols) -> tuple[list[int], list, list]:
-        """Next states, symbols written and what is accepted, for all states that can be reached, at state * symbols + symbol."""
-        places, order = {self.start: 0}, [self.start]
-        nxt, said, events = [], [], []
-        for state in order:  # grows while it is read
-            for symbol in symbols:
-                to, written, found = self.step(state, symbol)
-                if to not in places:
-                    places[to] = len(order)
-                    order.append(to)
-                nxt.append(places[to])
-                said.append(written)
-                events.append(found)
-        return nxt, said, events
+
+class Table:
+    """A transducer's next states, symbols written and what is accepted, at state * symbols + symbol, filled in as states are reached."""
+
+    def __init__(self, machine: Transducer, symbols):
+        self.machine, self.symbols = machine, list(symbols)
+        self.places, self.order = {machine.start: 0}, [machine.start]
+        self.next, self.said, self.accepted = ([x] * len(self.symbols) for x in (-1, None, None))
+
+    def fill(self, at: int) -> int:
+        state, symbol = divmod(at, len(self.symbols))
+        to, self.said[at], self.accepted[at] = self.machine.step(self.order[state], self.symbols[symbol])
+        if to not in self.places:
+            self.places[to] = len(self.order)
+            self.order.append(to)
+            for column, x in ((self.next, -1), (self.said, None), (self.accepted, None)):
+                column.extend([x] * len(self.symbols))
+        self.next[at] = self.places[to]
+        return self.next[at]
 
 
 def negate(left: int, symbol: int):
-    """Counts down a negation's scope; a clause end closes it."""
-    after = SCOPE if symbol == NEGATION else 0 if symbol == END else max(left - 1, 0)
+    """Counts down a negation's scope; a clause's end closes it."""
+    after = SCOPE if symbol == NEGATION else 0 if symbol in (BREAK, END) else max(left - 1, 0)
     return after, (symbol, left > 0), None
 
 
 def report(inside: bool, read: tuple):
-    """After a verb of speech the clause is reported."""
+    """After a verb of speech the rest of the sentence is reported."""
     symbol, negated = read
     return (symbol == REPORT or inside) and symbol != END, (symbol, IN_REPORT if inside else IN_NEGATION if negated else IN_PLAIN), None
 
 
-def match(seen: tuple[int, int, bool], read: tuple):
-    """Holds a clause's best argument (0 none, 1 particle, 2 target), its most telling insult (-1 none) and whether it threatens; accepts at the clause's end. Writes the context of an insult."""
-    (argument, insult, threat), (symbol, context) = seen, read
-    if symbol == END:
-        if insult >= 0 and argument:
-            return (0, -1, False), None, (EVENTS.index((NEGATED, REPORTED, AIMED if argument == 2 else FRAMED)[insult]), insult)
-        return (0, -1, False), None, (EVENTS.index(THREATENED), None) if threat and argument == 2 else None
-    if symbol == INSULT:
-        return (argument, max(insult, context), threat), context, None
-    if symbol in (TARGET, PARTICLE):
-        return (max(argument, 2 if symbol == TARGET else 1), insult, threat), None, None
-    return (argument, insult, threat or symbol == THREAT), None, None
-
-
-CLAUSES = Transducer(0, negate).then(Transducer(False, report)).then(Transducer((0, -1, False), match))
-NEXT, SAID, MATCHED = CLAUSES.table(CLASSES)
+def frame(seen: tuple[int, int, int, int, int], read: tuple):
+    """Holds how far the last target, the last particle, an insult without argument (and its context) and a plain threat still reach; writes the symbol, its context and the event that it completes."""
+    (target, particle, waits, context, threat), (symbol, here) = seen, read
+    if symbol in (BREAK, END):
+        return (0, 0, 0, 0, 0), (symbol, None, None), None
+    event = None
+    if symbol == INSULT and (target or particle):
+        event = (NEGATED, REPORTED, AIMED if target else FRAMED)[here]
+    elif symbol == TARGET and waits:
+        event = (NEGATED, REPORTED, AIMED)[context]
+    elif symbol == TARGET and threat:
+        event = THREATENED
+    less = lambda n: max(n - 1, 0)
+    waits, context = (REACH, here) if symbol == INSULT and event is None and not (waits and context > here) else (less(waits), context if waits > 1 else 0)
+    after = (REACH if symbol == TARGET else less(target), REACH if symbol == PARTICLE else less(particle), waits, context, REACH if symbol == THREAT and here == IN_PLAIN else less(threat))
+    return after, (symbol, here if symbol == INSULT else None, event), None
+
+
+def clause(best: int, read: tuple):
+    """Keeps a clause's most telling event (0 none, else its number and one); accepts it at the clause's end. Writes the context of an insult."""
+    symbol, context, event = read
+    if symbol in (BREAK, END):
+        return 0, None, best - 1 if best else None
+    rank = lambda e: RANKS[e - 1] if e else -1
+    new = EVENTS.index(event) + 1 if event else 0
+    return max(best, new, key=rank), context, None
+
+
+#: How telling the events are, in their order: a threat says more than what is denied or quoted.
+RANKS = (0, 1, 3, 4, 2)
+#: The context of the insult that each event is about.
+CONTEXT_OF = (IN_NEGATION, IN_REPORT, IN_PLAIN, IN_PLAIN, None)
+CLAUSES = Transducer(0, negate).then(Transducer(False, report)).then(Transducer((0, 0, 0, 0, 0), frame)).then(Transducer(0, clause))
+TABLE = Table(CLAUSES, CLASSES)
 
 
 class Grammar:
@@ -199,15 +228,15 @@ class Grammar:
         self.bias, self.weights = -3.0, np.array([*PRIOR, 0.0])
 
     def word(self, w: str) -> tuple[int, float]:
-        """The class of a word and its weight."""
+        """The class of a word or sign and its weight."""
         if len(w) == 1 and not w.isalpha():
-            return END, 0.0
+            return (BREAK if w in BREAKS else END), 0.0
         if (v := self.stems.get(w + ".")) is not None:
             return INSULT, v
         for n in self.lengths:
             if (v := self.stems.get(w[:n])) is not None:
                 return INSULT, v
-        for kind, words in ((THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS), (PARTICLE, self.particles)):
+        for kind, words in ((THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS), (BREAK, CONJUNCTIONS), (PARTICLE, self.particles)):
             if w in words:
                 return kind, 1.0
         return OTHER, 0.0
@@ -216,7 +245,8 @@ class Grammar:
         """The weights of a text's accepted clauses by event, and how many clauses it has."""
         out = [0.0] * (len(EVENTS) + 1)
         known, width, state = self.classes, len(CLASSES), 0
-        heaviest = [0.0] * len(CONTEXTS)
+        following, said, accepted = TABLE.next, TABLE.said, TABLE.accepted
+        heaviest, words = [0.0] * len(CONTEXTS), 0
         if len(known) > 500_000:
             known.clear()
         for w in [*TOKEN.findall(text.lower()), "."]:
@@ -224,14 +254,18 @@ class Grammar:
             if c is None:
                 c = known[w] = self.word(w)
             at = state * width + c[0]
-            state = NEXT[at]
-            if c[0] == INSULT:
-                heaviest[SAID[at]] = max(heaviest[SAID[at]], c[1])
-            elif c[0] == END:
+            state = following[at]
+            if state < 0:
+                state = TABLE.fill(at)
+            if c[0] < BREAK:
+                words += 1
+                if c[0] == INSULT:
+                    heaviest[said[at]] = max(heaviest[said[at]], c[1])
+            elif words:
                 out[-1] += 1
-                if (found := MATCHED[at]) is not None:
-                    out[found[0]] += MENACE if found[1] is None else heaviest[found[1]]
-                heaviest = [0.0] * len(CONTEXTS)
+                if (found := accepted[at]) is not None:
+                    out[found] += MENACE if CONTEXT_OF[found] is None else heaviest[CONTEXT_OF[found]]
+                heaviest, words = [0.0] * len(CONTEXTS), 0
         return np.array(out)
 
     @staticmethod
@@ -242,7 +276,7 @@ class Grammar:
         return np.concatenate((events, np.log1p(read[..., -1:])), axis=-1)
 
     def fit(self, rows: list[tuple[str, int]], rounds: int = 3000, keep: float = 1e-5) -> Grammar:
-        """Weights by logistic regression, events that no row has at PRIOR; no event speaks against toxicity, and no number of clauses for it."""
+        """Weights by logistic regression, events that no row has at PRIOR; no event speaks against toxicity, what is denied or reported for it no more than what is said, and no number of clauses for it."""
         y = np.array([r[1] for r in rows], float)
         x = np.column_stack((self.features(np.stack([self.read(r[0]) for r in rows])), np.ones(len(rows))))
         steepest = np.linalg.eigvalsh(x.T @ x / len(y))[-1] / 4 + keep
@@ -252,7 +286,11 @@ class Grammar:
             d = (1 / (1 + np.exp(-(x @ at))) - y) / len(y)
             before, w = w, at - (x.T @ d + keep * (at - prior)) / steepest
             w = np.concatenate((np.maximum(w[:-2], 0), np.minimum(w[-2:-1], 0), w[-1:]))
+            w[:2] = np.minimum(w[:2], w[EVENTS.index(FRAMED)])
         self.weights, self.bias = w[:-1], float(w[-1])
+        threat = EVENTS.index(THREATENED)
+        if not x[:, threat].any():  # no row tells: one threat, in a text of a clause, is enough
+            self.weights[threat] = max(self.weights[threat], (1 - self.bias - self.weights[-1] * math.log(2)) * 10 / MENACE)
         return self
 
     def score(self, text: str | None) -> float:
