@@ -11,6 +11,10 @@ spans too, wherever they stand in a text that holds e. Different words are count
 once a text that holds e (so copies, exact or near, count once), or among all
 places within CONTEXT of e if that gives more. Document frequencies of such terms are
 counted over all documents.
+
+Values that stand in the same texts have the same counts with every term, so terms are counted
+with groups of such values: a list of a thousand addresses and its copies are one group, and
+a text makes its terms times its groups of rows, not times its values.
 """
 
 from __future__ import annotations
@@ -77,7 +81,7 @@ def beside(c: str = "c") -> str:
 
 def text_terms() -> str:
     """SQL on text: its different terms, each with the least hash of the words beside it."""
-    placed = f"element_at(transform(array({words('text')}), ws -> array_sort(filter(transform(ws, (w, i) -> struct(w as term, {beside()})), x -> length(x.term) > 2))), 1)"
+    placed = f"element_at(transform(array({words('text')}), ws -> array_sort(transform(ws, (w, i) -> struct(w as term, {beside()})))), 1)"
     return f"element_at(transform(array({placed}), xs -> filter(xs, (x, i) -> i = 0 or get(xs, i - 1).term <> x.term)), 1)"
 
 
@@ -94,24 +98,40 @@ def found(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", "key", "base", F.expr(near).alias("near"), F.expr(terms).alias("terms"))
 
 
-def revealing(docs: DataFrame, base: DataFrame, support: int = 3, share: float = 0.5, bits: float = 4.0, few: int = 20_000) -> DataFrame | None:
-    """value, term of terms that reveal a value; None if there are none. base is the stored result of found()."""
+def value_groups(rows: DataFrame) -> DataFrame:
+    """value, group, with_value: values that the same texts hold share a group. rows: key, held. A group is told by how many texts hold it and two 64-bit sums over them."""
+    each = rows.select("key", F.explode("held").alias("value"))
+    two = each.groupBy("value").agg(F.count("*").alias("with_value"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.xxhash64(F.lit(1), "key").cast("decimal(38,0)")).alias("s"))
+    return stored(two.select("value", F.concat_ws(":", F.col("with_value").cast("string"), F.col("x").cast("string"), F.col("s").cast("string")).alias("group"), "with_value"), "values")
+
+
+def revealing(docs: DataFrame, base: DataFrame, support: int = 3, share: float = 0.5, bits: float = 4.0, few: int = 20_000) -> tuple[DataFrame, DataFrame] | None:
+    """(value, group) and (group, term) of terms that reveal the values of a group; None if there are none. base is the stored result of found().
+
+    A term that stands inside a value is none of its terms. Terms of one letter are terms like others.
+    """
     seen = base.where("size(base) > 0").select("key", F.explode("near").alias("n")).select("key", "n.value", "n.context")
     ws = words("context")
     said = seen.select("value", F.explode(F.expr(f"element_at(transform(array({ws}), ws -> transform(ws, (w, i) -> struct(w as term, {beside()}))), 1)")).alias("t")).select("value", "t.*")
-    said = said.where("length(term) > 2 and not contains(value, term)")
-    close = said.groupBy("value", "term").agg(F.count_distinct("c").alias("close")).where(F.col("close") >= support)
+    close = said.where("not contains(value, term)").groupBy("value", "term").agg(F.count_distinct("c").alias("close")).where(F.col("close") >= support)
     rows = base.where("size(base) > 0").select("key", F.expr("array_distinct(near.value)").alias("held"), "terms").dropDuplicates(["key"])
-    values = rows.select(F.explode("held").alias("value")).groupBy("value").agg(F.count("*").alias("with_value"))
+    values = value_groups(rows)
+    close = stored(close.join(values, "value").select("group", "term").distinct().withColumn("close", F.lit(True)), "close")
     # a value in fewer texts than support has as many contexts only by those close to it
-    able = values.where(F.col("with_value") >= support).select("value").union(close.select("value")).distinct()
-    held = rows.select("key", F.explode("held").alias("value")).join(able, "value").groupBy("key").agg(F.collect_list("value").alias("able"))
-    both = rows.join(held, "key").select("terms", F.explode("able").alias("value")).select("value", F.explode("terms").alias("t")).select("value", "t.*").where("not contains(value, term)")
-    pairs = both.groupBy("value", "term").agg(F.count("*").alias("together"), F.count_distinct("c").alias("contexts"))
-    pairs = pairs.join(close, ["value", "term"], "left").where((F.col("contexts") >= support) | F.col("close").isNotNull())
+    able = values.where(F.col("with_value") >= support).select("group").union(close.select("group")).distinct()
+    held = rows.select("key", F.explode("held").alias("value")).join(values.select("value", "group"), "value").select("key", "group").distinct()
+    held = held.join(able, "group").groupBy("key").agg(F.collect_list("group").alias("able"))
+    both = rows.join(held, "key").select("terms", F.explode("able").alias("group")).select("group", F.explode("terms").alias("t")).select("group", "t.*")
+    pairs = both.groupBy("group", "term").agg(F.count("*").alias("together"), F.count_distinct("c").alias("contexts"))
+    pairs = pairs.join(close, ["group", "term"], "left").where((F.col("contexts") >= support) | F.col("close"))
     # a term is in no fewer documents than it is in with values of any kind, so most pairs are decided here
     least = rows.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("at_least"))
-    pairs = stored(pairs.join(least, "term").where(F.col("together") >= share * F.col("at_least")).select("value", "term", "together"), "pairs")
+    pairs = pairs.join(least, "term").where(F.col("together") >= share * F.col("at_least")).select("group", "term", "together", F.coalesce("close", F.lit(False)).alias("close"))
+    # some value of the group must not hold the term: the first and the last tell nearly always
+    ends = values.groupBy("group").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.max("with_value").alias("with_value"))
+    pairs = stored(pairs.join(ends, "group").withColumn("inside", F.expr("not close and contains(low, term) and contains(high, term)")).drop("low", "high"), "pairs")
+    outside = pairs.where("inside").join(values.select("group", "value"), "group").where("not contains(value, term)").select("group", "term").distinct()
+    pairs = pairs.where("not inside").unionByName(pairs.where("inside").join(outside, ["group", "term"], "left_semi")).drop("inside")
     terms = pairs.select("term").distinct()
     n = terms.count()
     if not n:
@@ -122,16 +142,17 @@ def revealing(docs: DataFrame, base: DataFrame, support: int = 3, share: float =
     else:  # words are added up by each task before any are sent, so a common one is a row a task
         counts = told.groupBy("term").agg(F.count("*").alias("with_term")).join(terms, "term", "left_semi")
     total = base.count()
-    gained = pairs.join(counts, "term").join(values, "value").withColumn("p", F.col("together") / F.col("with_term"))
+    gained = pairs.join(counts, "term").withColumn("p", F.col("together") / F.col("with_term"))
     gained = gained.where((F.col("p") >= share) & (F.log2(F.col("p") * total / F.col("with_value")) >= bits))
-    gained = stored(gained.select("value", "term"), "revealing")
-    return None if gained.isEmpty() else gained
+    gained = stored(gained.select("group", "term"), "revealing")
+    return None if gained.isEmpty() else (values.select("value", "group"), gained)
 
 
-def term_spans(docs: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFrame:
+def term_spans(docs: DataFrame, base: DataFrame, values: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, key and more (spans of kind term) for the rows that hold a revealed value: every place of its terms in the text."""
     held = base.where("size(base) > 0").select(whole_id().alias("id"), "key", F.explode("near.value").alias("value")).distinct()
-    wanted = held.join(pairs, "value").groupBy("id", "key").agg(F.collect_set("term").alias("terms"))
+    groups = held.join(values, "value").select("id", "key", "group").distinct()
+    wanted = groups.join(pairs, "group").groupBy("id", "key").agg(F.collect_set("term").alias("terms"))
     texts = docs.select(whole_id().alias("id"), row_key().alias("key"), F.col("text").cast("string").alias("text")).join(wanted, ["id", "key"]).dropDuplicates(["id", "key"])
     letter = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]".replace("\\\\", "\\")
     pattern = f"concat(r'(?i)(?<!{letter})\\Q', t, r'\\E(?!{letter})')"
@@ -150,7 +171,7 @@ def spans(docs: DataFrame, **thresholds) -> DataFrame:
     pairs = revealing(docs, base, **thresholds)
     if pairs is None:
         return base.select("doc_id", "key", "base", F.col("base").alias("spans"))
-    more = term_spans(docs, base, pairs)
+    more = term_spans(docs, base, *pairs)
     return base.withColumn("id", whole_id()).join(more, ["id", "key"], "left").select("doc_id", "key", "base", F.expr(f"array_sort(concat(base, coalesce(more, cast(array() as array<struct<{SPAN}>>))))").alias("spans"))
 
 
