@@ -69,7 +69,7 @@ def lines(c: Column | str) -> Column:
 def prose(c: Column | str) -> Column:
     """Text without code, images, links, URLs and markup signs, white space collapsed: what language tests look at."""
     t = F.coalesce(col(c), F.lit(""))
-    for pattern in (r"```[\s\S]*?```", r"`[^`\n]+`", r"!\[[^\]]*\]\([^\)]+\)", r"\[[^\]]+\]\([^\)]+\)", r"(?U)https?://\S+", r"[#>*_\-~=|]", r"(?U)\s+"):
+    for pattern in R.PROSE_CUTS:
         t = F.regexp_replace(t, pattern, " ")
     return strip(t)
 
@@ -79,7 +79,7 @@ def word_count(c: Column | str) -> Column:
 
 
 def alpha_tokens(prose_text: Column | str) -> Column:
-    return F.transform(F.regexp_extract_all(col(prose_text), F.lit(r"[A-Za-z][A-Za-z\-']+"), F.lit(0)), F.lower)
+    return F.transform(F.regexp_extract_all(col(prose_text), F.lit(R.ALPHA_TOKEN), F.lit(0)), F.lower)
 
 
 def ascii_ratio(c: Column | str) -> Column:
@@ -97,14 +97,14 @@ def alpha_ratio(tokens: Column | str, prose_text: Column | str) -> Column:
 
 def normal_heading(c: Column | str) -> Column:
     t = norm(c)
-    for pattern in (r"!\[[^\]]*\]\([^)]*\)", r"<[^>]+>", r"\[[^\]]+\]\([^)]*\)", r"[`*_:#>|]+"):
+    for pattern in R.HEADING_CUTS:
         t = F.regexp_replace(t, pattern, " ")
     return strip(F.regexp_replace(F.regexp_replace(t, r"(?U)^[\W_]*", ""), r"(?U)\s+", " "))
 
 
 def without_enumerator(c: Column | str) -> Column:
     t = strip(c)
-    for pattern in (r"(?iuU)^(?:step|phase)\s+[ivxlcdm0-9]+\s*[:.)-]\s*", r"(?iuU)^[ivxlcdm]+\s*[:.)-]\s*", r"(?U)^\d+\s*[:.)-]\s*"):
+    for pattern in R.ENUMERATORS:
         t = F.regexp_replace(t, pattern, "")
     return strip(t)
 
@@ -114,11 +114,11 @@ def plain_heading(c: Column | str) -> Column:
 
 
 def is_link_external(c: Column | str) -> Column:
-    return norm(c).rlike(r"^(?:https?://|www\.)|://")
+    return norm(c).rlike(R.LINK_EXTERNAL)
 
 
 def is_external(c: Column | str) -> Column:
-    return norm(c).rlike(r"^(?:https?://|ftp://|www\.|mailto:|[a-z][a-z0-9+.-]*://)")
+    return norm(c).rlike(R.EXTERNAL)
 
 
 def looks_like_domain(c: Column | str) -> Column:
@@ -150,36 +150,32 @@ def is_badge(c: Column | str) -> Column:
 
 def is_link_heavy(c: Column | str) -> Column:
     t = F.coalesce(col(c), F.lit(""))
-    return F.regexp_count(t, F.lit(r"(?i)https?://|www\.")) + F.regexp_count(t, F.lit(r"\[([^\]]+)\]\(([^)]+)\)")) >= 2
+    return sum((F.regexp_count(t, F.lit(p)) for p in R.LINK_SIGNS), F.lit(0)) >= 2
 
 
 def is_bullet(c: Column | str) -> Column:
-    return F.coalesce(col(c), F.lit("")).rlike(r"(?U)^\s*[-*+]\s+")
-
-
-PROMPT = r"(?U)^\s*(?:\$|>|>>|PS [^>]*>)\s*"
-ENVIRONMENT = r"(?U)^(?:[A-Za-z_][A-Za-z0-9_]*=(?:\"[^\"]*\"|'[^']*'|[^\s]+)\s+)+"
+    return F.coalesce(col(c), F.lit("")).rlike(R.BULLET)
 
 
 def clean_command(c: Column | str) -> Column:
     """A command line without its prompt and leading assignments."""
-    return strip(F.regexp_replace(strip(F.regexp_replace(strip(c), PROMPT, "")), ENVIRONMENT, ""))
+    return strip(F.regexp_replace(strip(F.regexp_replace(strip(c), R.PROMPT, "")), R.ENVIRONMENT, ""))
 
 
 def command_parts(c: Column | str) -> Column:
     """The commands of a line joined by &&, || or ;."""
-    return F.filter(F.transform(F.split(strip(c), r"(?U)\s*(?:&&|\|\||;)\s*"), strip), lambda p: p != "")
+    return F.filter(F.transform(F.split(strip(c), R.COMMAND_JOINTS), strip), lambda p: p != "")
 
 
 def is_command_prose(c: Column | str) -> Column:
-    return norm(c).rlike(r"(?U)^make\s+(?:a|an|the|your|this|that|these|those)\b|^run\s+(?:the|this|that|these|those|a|an|your)\b|^go\s+to\b")
+    return norm(c).rlike("(?U)" + R.COMMAND_PROSE)
 
 
 def is_shell_like(c: Column | str) -> Column:
     """Does a line read as a command: short or prompted, its first command starting with a known program, and no sentence?"""
     line = strip(c)
     first = F.get(command_parts(clean_command(line)), 0)
-    short = (F.length(line) <= 250) | line.rlike(PROMPT)
+    short = (F.length(line) <= R.LONGEST_COMMAND) | line.rlike(R.PROMPT)
     starts = first.rlike(rf"(?iuU)^(?:{any_of(R.COMMAND_STARTERS)})\b")
     return F.coalesce((line != "") & short & starts & ~is_command_prose(first), F.lit(False))
 

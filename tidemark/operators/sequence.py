@@ -91,7 +91,7 @@ def with_created(claims: DataFrame, created: DataFrame, keys: dict[str, Column])
     asked = claims.select("full_name", "claim_seq", "claim_order", F.explode(each).alias("p")).select("full_name", "claim_seq", "claim_order", "p.*")
     hit = asked.join(created, ["full_name", "key"]).where("since <= claim_order")
     flags = hit.groupBy("full_name", "claim_seq").agg(*[F.max(F.col("probe") == n).alias(n) for n in keys])
-    compose = created.where(F.col("key").rlike(r"^(docker-)?compose\.ya?ml$")).groupBy("full_name").agg(F.min("since").alias("_compose_since"))
+    compose = created.where(F.col("key").rlike(R.COMPOSE_NAME)).groupBy("full_name").agg(F.min("since").alias("_compose_since"))
     out = claims.join(flags, ["full_name", "claim_seq"], "left").join(compose, "full_name", "left")
     return out.fillna(False, list(keys)).withColumn("_compose_made", F.coalesce(F.col("_compose_since") <= F.col("claim_order"), F.lit(False))).drop("_compose_since")
 
@@ -118,9 +118,9 @@ def final_labels(labels: DataFrame, elements: DataFrame, index: DataFrame, keys:
     )
     extract = lambda pattern: F.get(T.all_matches(snip, pattern), 0)
     # computed once, as columns: the cases below only refer to them
-    claims = ordered(labels, elements).withColumns({"_a": T.strip_lead(art), "_dockerfile": extract(r"(?:-f|--file)[\s=]+([^\s`\"']+)")})
-    editable_of = T.strip_lead(F.btrim(F.regexp_replace(extract(r"pip(?:3)?\s+install\s+(?:-[-a-z]+\s+)*-e\s+([^\s`]+)"), r"\[.*?\]", ""), F.lit("\"'")))
-    test_file_of = F.get(F.regexp_extract_all(snip, F.lit(r"(?U)pytest\s+(?:-[-a-z]+\s+)*([A-Za-z0-9_./-]+\.py)"), F.lit(1)), 0)
+    claims = ordered(labels, elements).withColumns({"_a": T.strip_lead(art), "_dockerfile": extract(R.DOCKERFILE_OF)})
+    editable_of = T.strip_lead(F.btrim(F.regexp_replace(extract(R.EDITABLE_OF), R.EXTRAS, ""), F.lit("\"'")))
+    test_file_of = F.get(F.regexp_extract_all(snip, F.lit(R.TEST_FILE_OF), F.lit(1)), 0)
     claims = claims.withColumns(
         {
             "_base": T.basename(a),
@@ -158,9 +158,10 @@ def final_labels(labels: DataFrame, elements: DataFrame, index: DataFrame, keys:
     is_kind = lambda *names: kind.isin(*names)
     ref = is_kind(*REFS)
     says = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    no_extension = ~F.coalesce(F.element_at(segments, -1), F.lit("")).rlike(r"\.[a-z][a-z0-9]{0,5}$")
+    no_extension = ~F.coalesce(F.element_at(segments, -1), F.lit("")).rlike(R.FILE_ENDING)
     present, packaged = c("_f") | c("_d"), has("has_pyproject_toml", "has_setup_cfg") | c("_setup")
     repo_name = F.lower(F.element_at(F.split("full_name", "/", 2), -1))
+    say = R.FINAL_REASONS
     out_ = lambda test, reason: (test, "excluded", None, None, None, reason)
 
     def either(test, ok, family, good, bad, miss="drifted_high"):
@@ -168,75 +169,75 @@ def final_labels(labels: DataFrame, elements: DataFrame, index: DataFrame, keys:
         return [(test & ok, "kept", "supported", family, "verified", good), (test, "kept", miss, family, "verified", bad)]
 
     cases = [
-        out_(ref & a.rlike(r"^[./]*$"), "H1 empty/punctuation-only artifact"),
-        out_(ref & (url | a.isin(R.TOOL_NAMES) | name.isin(R.TOOL_NAMES)), "H2 URL residue or tool/product name, not a repository artifact"),
-        out_(ref & user_path, "H3 user-filesystem path (outside repository)"),
-        out_(ref & (holder | art.rlike(R.CAPS_PLACEHOLDER)), "H4 placeholder / templated path"),
-        out_(ref & (a.rlike("[: =(]") | a.startswith("_.") | F.contains(a, F.lit("/_."))), "H7 not a path (contains ':' or whitespace: CLI verb, config key, or command)"),
-        out_(ref & T.strip(art).startswith("/") & no_extension & ~present, "H8 root-anchored extensionless token (API route or slash-command), not a repository path"),
+        out_(ref & a.rlike(R.NO_NAME), say["h1_empty_punctuation_only_artifact"]),
+        out_(ref & (url | a.isin(R.TOOL_NAMES) | name.isin(R.TOOL_NAMES)), say["h2_url_residue_or_tool_product"]),
+        out_(ref & user_path, say["h3_user_filesystem_path_outside_repository"]),
+        out_(ref & (holder | art.rlike(R.CAPS_PLACEHOLDER)), say["h4_placeholder_templated_path"]),
+        out_(ref & (a.rlike(R.NO_PATH) | a.startswith("_.") | F.contains(a, F.lit("/_."))), say["h7_not_a_path_contains_or"]),
+        out_(ref & T.strip(art).startswith("/") & no_extension & ~present, say["h8_root_anchored_extensionless_token_api"]),
         out_(
             ref & (F.size(segments) == 2) & no_extension & ~present & ~c("_d0") & ~a.startswith("."),
-            "H9 two-segment extensionless identifier without parent directory (model/namespace id), not verifiable",
+            say["h9_two_segment_extensionless_identifier_without"],
         ),
-        out_(ref & a.rlike(r"^compose\.ya?ml$") & snip.rlike(r"(?i)docker-compose\.ya?ml"), "H5 duplicate token from docker-compose.yml match"),
-        out_((a != "") & ~is_kind("pip_install_pkg", "git_clone", "docker_run", "python_module") & user_path, "H3 user-filesystem path (outside repository)"),
-        out_(is_kind("make_cmd") & snip.rlike(r"(?iU)^\s*make-[a-z]"), "H6 natural-language 'make ...' sentence"),
-        out_(is_kind("make_target") & (a.isin(R.PROSE_MAKE_WORDS) | a.startswith("-")), "H6 natural-language 'make ...' sentence"),
-        out_(is_kind("bash_script", "run_shell_script") & url, "H2 URL residue (piped installer), not a repository artifact"),
-        out_(is_kind("cd_dir") & (user_path | holder | a.rlike("^[a-z]$")), "H3/H4 cd to user-filesystem or placeholder path"),
+        out_(ref & a.rlike(R.COMPOSE_FILE) & snip.rlike(R.DOCKER_COMPOSE), say["h5_duplicate_token_from_docker_compose"]),
+        out_((a != "") & ~is_kind("pip_install_pkg", "git_clone", "docker_run", "python_module") & user_path, say["h3_user_filesystem_path_outside_repository"]),
+        out_(is_kind("make_cmd") & snip.rlike(R.MAKE_DASH), say["h6_natural_language_make_sentence"]),
+        out_(is_kind("make_target") & (a.isin(R.PROSE_MAKE_WORDS) | a.startswith("-")), say["h6_natural_language_make_sentence"]),
+        out_(is_kind("bash_script", "run_shell_script") & url, say["h2_url_residue_piped_installer_not"]),
+        out_(is_kind("cd_dir") & (user_path | holder | a.rlike(R.ONE_LETTER)), say["h3_h4_cd_to_user_filesystem_or"]),
         *either(
-            is_kind("pip_requirements"), has("has_requirements_txt") | (a != "") & c("_f"), "D1", "requirements manifest present",
-            says("requirements file missing: ", F.when(a == "", "requirements.txt").otherwise(a)),
+            is_kind("pip_requirements"), has("has_requirements_txt") | (a != "") & c("_f"), "D1", say["requirements_manifest_present"],
+            says(say["requirements_file_missing"], F.when(a == "", "requirements.txt").otherwise(a)),
         ),
-        *either(is_kind("poetry_install"), has("has_pyproject_toml"), "D1", "pyproject.toml present", "poetry install but no pyproject.toml"),
-        *either(is_kind("conda_env_create"), c("_f") | c("_made"), "D1", says("env file present: ", a), says("env file missing: ", a)),
-        *either(is_kind("docker_build") & dockerfile.isNotNull(), c("_fd"), "D7", "Dockerfile present", says("Dockerfile missing ", T.strip_lead(dockerfile))),
-        *either(is_kind("docker_build"), has("has_dockerfile"), "D7", "Dockerfile present", says("Dockerfile missing ", a)),
-        *either(is_kind("docker_compose_up", "docker_compose_build"), has("has_docker_compose") | c("_compose_made"), "D7", "compose file present", "compose file missing"),
-        *either(is_kind("kubectl_apply"), c("_f") | c("_made"), "D7", says("manifest present: ", a), says("manifest missing: ", a)),
-        (is_kind(*SCRIPTS) & (a == ""), "kept", "supported", "D2", "external", "no local artifact captured"),
-        (is_kind(*SCRIPTS) & holder, "kept", "uncertain", "D2", "uncertain", "placeholder in script path"),
-        (is_kind(*SCRIPTS) & c("_f"), "kept", "supported", "D2", "verified", "script present"),
-        (is_kind(*SCRIPTS) & c("_made_name"), "kept", "supported", "D2", "sequence", "script created by an earlier documented step"),
-        (is_kind(*SCRIPTS), "kept", "drifted_high", "D2", "verified", says("script missing: ", a)),
-        (is_kind("python_module"), "kept", "uncertain", "D2", "uncertain", "module resolution depends on installation state"),
-        (is_kind("cd_dir") & (into.isin("", ".") | into.startswith("..")), "kept", "supported", "D3", "verified", "relative navigation"),
+        *either(is_kind("poetry_install"), has("has_pyproject_toml"), "D1", say["pyproject_toml_present"], say["poetry_install_but_no_pyproject_toml"]),
+        *either(is_kind("conda_env_create"), c("_f") | c("_made"), "D1", says(say["env_file_present"], a), says(say["env_file_missing"], a)),
+        *either(is_kind("docker_build") & dockerfile.isNotNull(), c("_fd"), "D7", say["dockerfile_present"], says(say["dockerfile_missing"], T.strip_lead(dockerfile))),
+        *either(is_kind("docker_build"), has("has_dockerfile"), "D7", say["dockerfile_present"], says(say["dockerfile_missing"], a)),
+        *either(is_kind("docker_compose_up", "docker_compose_build"), has("has_docker_compose") | c("_compose_made"), "D7", say["compose_file_present"], say["compose_file_missing"]),
+        *either(is_kind("kubectl_apply"), c("_f") | c("_made"), "D7", says(say["manifest_present"], a), says(say["manifest_missing"], a)),
+        (is_kind(*SCRIPTS) & (a == ""), "kept", "supported", "D2", "external", say["no_local_artifact_captured"]),
+        (is_kind(*SCRIPTS) & holder, "kept", "uncertain", "D2", "uncertain", say["placeholder_in_script_path"]),
+        (is_kind(*SCRIPTS) & c("_f"), "kept", "supported", "D2", "verified", say["script_present"]),
+        (is_kind(*SCRIPTS) & c("_made_name"), "kept", "supported", "D2", "sequence", say["script_created_by_an_earlier_documented"]),
+        (is_kind(*SCRIPTS), "kept", "drifted_high", "D2", "verified", says(say["script_missing"], a)),
+        (is_kind("python_module"), "kept", "uncertain", "D2", "uncertain", say["module_resolution_depends_on_installation_state"]),
+        (is_kind("cd_dir") & (into.isin("", ".") | into.startswith("..")), "kept", "supported", "D3", "verified", say["relative_navigation"]),
         (
             is_kind("cd_dir") & ((into == repo_name) | into.endswith(F.concat(F.lit("/"), repo_name)) | c("_made_into")),
-            "kept", "supported", "D3", "sequence", "navigation into the freshly cloned repository (clone context)",
+            "kept", "supported", "D3", "sequence", say["navigation_into_the_freshly_cloned_repository"],
         ),
-        (is_kind("cd_dir") & c("_dt"), "kept", "supported", "D3", "verified", "directory present"),
-        (is_kind("cd_dir") & runtime, "kept", "uncertain", "D3", "uncertain", says("directory absent but runtime/generated-style name: ", into)),
-        (is_kind("cd_dir"), "kept", "drifted_high", "D3", "verified", says("directory missing: ", into)),
-        (is_kind("make_target") & ~has("has_makefile"), "kept", "drifted_high", "D4", "verified", "make target used but no Makefile"),
+        (is_kind("cd_dir") & c("_dt"), "kept", "supported", "D3", "verified", say["directory_present"]),
+        (is_kind("cd_dir") & runtime, "kept", "uncertain", "D3", "uncertain", says(say["directory_absent_but_runtime_generated_style"], into)),
+        (is_kind("cd_dir"), "kept", "drifted_high", "D3", "verified", says(say["directory_missing"], into)),
+        (is_kind("make_target") & ~has("has_makefile"), "kept", "drifted_high", "D4", "verified", say["make_target_used_but_no_makefile"]),
         (
             is_kind("make_target") & (F.size("make_targets") > 0) & ~F.array_contains("make_targets", a),
-            "kept", "drifted_medium", "D4", "verified", says("target '", a, "' not in parsed Makefile targets"),
+            "kept", "drifted_medium", "D4", "verified", says(say["target"], a, say["not_in_parsed_makefile_targets"]),
         ),
-        (is_kind("make_target"), "kept", "supported", "D4", "verified", "Makefile and target present"),
-        *either(is_kind("make_cmd"), has("has_makefile") | c("_cmake"), "D4", "Makefile present", "make used but no Makefile"),
+        (is_kind("make_target"), "kept", "supported", "D4", "verified", say["makefile_and_target_present"]),
+        *either(is_kind("make_cmd"), has("has_makefile") | c("_cmake"), "D4", say["makefile_present"], say["make_used_but_no_makefile"]),
         *either(
-            is_kind("pip_install_editable") & F.coalesce(editable, F.lit(".")).isin("", "."), packaged, "D5", "packaging manifest present", "editable install but no pyproject/setup", "drifted_medium"
+            is_kind("pip_install_editable") & F.coalesce(editable, F.lit(".")).isin("", "."), packaged, "D5", say["packaging_manifest_present"], say["editable_install_but_no_pyproject_setup"], "drifted_medium"
         ),
-        *either(is_kind("pip_install_editable"), c("_de") | c("_fe"), "D5", says("editable target present: ", editable), says("editable target missing: ", editable)),
-        *either(is_kind("pip_install_pkg") & a.isin(".", ""), packaged, "D5", "local install target present", "local install target missing", "drifted_medium"),
+        *either(is_kind("pip_install_editable"), c("_de") | c("_fe"), "D5", says(say["editable_target_present"], editable), says(say["editable_target_missing"], editable)),
+        *either(is_kind("pip_install_pkg") & a.isin(".", ""), packaged, "D5", say["local_install_target_present"], say["local_install_target_missing"], "drifted_medium"),
         *either(
-            is_kind("pip_install_pkg") & (a.rlike(r"\.(?:whl|tar\.gz)$") | F.contains(a, F.lit("/")) & ~a.rlike(r"^[a-z][a-z0-9+.-]*://")),
-            present | c("_made"), "D5", "local install target present", "local install target missing", "drifted_medium",
+            is_kind("pip_install_pkg") & (a.rlike(R.PACKAGE_FILE) | F.contains(a, F.lit("/")) & ~a.rlike(R.SCHEME)),
+            present | c("_made"), "D5", say["local_install_target_present"], say["local_install_target_missing"], "drifted_medium",
         ),
-        (is_kind("pip_install_pkg"), "kept", "supported", None, "external", "package registry install (externally grounded)"),
-        (is_kind("pytest_cmd") & c("_ft"), "kept", "supported", "D6", "verified", "named test file present"),
+        (is_kind("pip_install_pkg"), "kept", "supported", None, "external", say["package_registry_install_externally_grounded"]),
+        (is_kind("pytest_cmd") & c("_ft"), "kept", "supported", "D6", "verified", say["named_test_file_present"]),
         *either(
             is_kind("pytest_cmd"), has("has_tests_dir", "has_py_test_files", "has_pyproject_toml", "has_setup_cfg", "has_tox_ini", "has_pytest_ini"),
-            "D6", "test evidence present", "pytest but no test evidence", "drifted_medium",
+            "D6", say["test_evidence_present"], say["pytest_but_no_test_evidence"], "drifted_medium",
         ),
-        *either(is_kind("tox_cmd"), has("has_tox_ini", "has_pyproject_toml"), "D6", "tox config present", "tox but no tox.ini/pyproject", "drifted_medium"),
-        (ref & present, "kept", "supported", "D8", "verified", "artifact present"),
-        (ref & c("_made_name"), "kept", "supported", "D8", "sequence", "artifact created by an earlier documented step"),
-        (ref & F.contains(a, F.lit("*")), "kept", "uncertain", "D8", "uncertain", "glob pattern"),
-        (ref & (runtime | a.rlike(f"(?iu){R.USER_SUPPLIED}")), "kept", "uncertain", "D8", "uncertain", says("absent but runtime-generated or user-supplied style path: ", a)),
-        (ref, "kept", "drifted_high", "D8", "verified", says("local artifact missing: ", a)),
-        (F.lit(True), "kept", "supported", None, "external", "externally grounded command; no repository artifact asserted"),
+        *either(is_kind("tox_cmd"), has("has_tox_ini", "has_pyproject_toml"), "D6", say["tox_config_present"], say["tox_but_no_tox_ini_pyproject"], "drifted_medium"),
+        (ref & present, "kept", "supported", "D8", "verified", say["artifact_present"]),
+        (ref & c("_made_name"), "kept", "supported", "D8", "sequence", say["artifact_created_by_an_earlier_documented"]),
+        (ref & F.contains(a, F.lit("*")), "kept", "uncertain", "D8", "uncertain", say["glob_pattern"]),
+        (ref & (runtime | a.rlike(f"(?iu){R.USER_SUPPLIED}")), "kept", "uncertain", "D8", "uncertain", says(say["absent_but_runtime_generated_or_user"], a)),
+        (ref, "kept", "drifted_high", "D8", "verified", says(say["local_artifact_missing"], a)),
+        (F.lit(True), "kept", "supported", None, "external", say["externally_grounded_command_no_repository_artifact"]),
     ]
     drifted = lambda x: F.coalesce(x.isin("drifted_high", "drifted_medium"), F.lit(False))
     done = data.withColumn("_v", verdict(cases)).select(

@@ -69,7 +69,7 @@ def holds(x: str, words: list[str]) -> str:
     return match(x, T.any_of(words), "c")
 
 
-PROMPT, ENVIRONMENT = (p.replace("(?U)", "") for p in (T.PROMPT, T.ENVIRONMENT))
+PROMPT, ENVIRONMENT = (p.replace("(?U)", "") for p in (R.PROMPT, R.ENVIRONMENT))
 
 
 def parts(x: str) -> str:
@@ -80,12 +80,12 @@ def parts(x: str) -> str:
 def shell(x: str) -> str:
     """Is x read as a command?"""
     first = f"coalesce({parts(x)}[1], '')"
-    prose = match(f"lower({first})", r"^make\s+(?:a|an|the|your|this|that|these|those)\b|^run\s+(?:the|this|that|these|those|a|an|your)\b|^go\s+to\b", "c")
-    return f"({trimmed(x)} <> '' and (length({trimmed(x)}) <= 250 or {match(trimmed(x), PROMPT, 'c')}) and {match(first, rf'^(?:{T.any_of(R.COMMAND_STARTERS)})\b')} and not {prose})"
+    prose = match(f"lower({first})", R.COMMAND_PROSE, "c")
+    return f"({trimmed(x)} <> '' and (length({trimmed(x)}) <= {R.LONGEST_COMMAND} or {match(trimmed(x), PROMPT, 'c')}) and {match(first, rf'^(?:{T.any_of(R.COMMAND_STARTERS)})\b')} and not {prose})"
 
 
 def outside(x: str) -> str:
-    return match(normal(x), r"^(?:https?://|ftp://|www\.|mailto:|[a-z][a-z0-9+.-]*://)", "c")
+    return match(normal(x), R.EXTERNAL, "c")
 
 
 def canonical(x: str) -> str:

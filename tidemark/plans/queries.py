@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import artifacts, baseline, claims, headings, history, metrics, models, ordered, readme, sampling, screen, selection, sequence, survival, validation
+from ..operators import artifacts, baseline, claims, headings, history, metrics, models, ordered, readme, reports, sampling, screen, selection, sequence, survival, validation
 from ..sources import workbook
 from ..sources.staged import passing_folder, staged
 from . import chain, detectors, extraction, screening
@@ -630,6 +630,28 @@ def evaluation_scores(spark, sf):
     return each[0].union(each[1])
 
 
+def kappa(name):
+    return (
+        f"select '{name}' as detector, avg((coalesce({name}, '') = gold)::int) as po, (select sum(x.n * y.n) / (select count(*) from e)::double / (select count(*) from e) from (select coalesce({name}, '') as v, count(*) as n from e group by 1) x "
+        "join (select gold as v, count(*) as n from e group by 1) y on x.v = y.v) as pe from e"
+    )
+
+
+@query(
+    f"{EVALUATION}, t as ({scores('final')} union all {scores('init')}), k as ({kappa('final')} union all {kappa('init')}) select detector, "
+    "printf('[%s] accuracy=%.3f kappa=%.3f drift P=%s (%d/%d) R=%s (%d/%d) F1=%s', detector, po, (po - pe) / (1 - pe), case when tp + fp > 0 then printf('%.3f', tp / (tp + fp)::double) else 'nan' end, tp, tp + fp, "
+    "case when tp + fn > 0 then printf('%.3f', tp / (tp + fn)::double) else 'nan' end, tp, tp + fn, case when 2 * tp + fp + fn > 0 then printf('%.3f', 2 * tp / (2 * tp + fp + fn)::double) else 'nan' end) as line from t join k using (detector)"
+)
+def score_report(spark, sf):
+    """The lines of the scores' report."""
+    e = staged(evaluation(spark, sf).select("gold", "final", "init"), "evaluation").na.fill("", ["final", "init"])
+    each = []
+    for name in ("final", "init"):
+        both = validation.detection(e, "gold", name).select("tp", "fp", "fn").join(validation.agreement(e, name, "gold").select("accuracy", "kappa"), F.lit(True))
+        each.append(both.select(F.lit(name).alias("detector"), reports.score_line(F.lit(name), *[F.col(c) for c in ("accuracy", "kappa", "tp", "fp", "fn")]).alias("line")))
+    return each[0].union(each[1])
+
+
 @query(
     f"with {SHEETS.format(s='varchar')}, o as (select full_name, line_no, claim_type, artifact_or_path, min(label_v4) as label, min(status) as status, max(label_v4) as label_v4 from s group by all) "
     f"select eval_id as validation_id, c as gold, case when o.status = 'excluded' then 'not-a-claim' else {WORD.format(x='o.label_v4')} end as final, {WORD.format(x='o.label')} as init "
