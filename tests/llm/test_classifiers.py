@@ -220,7 +220,8 @@ def read(grammar, text):
 def test_clause_contexts():
     g = toxicity.Grammar({"scum": 2.0, "vile": 3.0}, {"the", "of", "a"})
     assert read(g, "the scum here") == {"framed": 2.0, "clauses": 1.0} and read(g, "the vile scum of it") == {"framed": 3.0, "clauses": 1.0}
-    assert read(g, "scum") == read(g, "scum scum vile") == read(g, "vile scum here") == read(g, "scum of the") == {"clauses": 1.0}
+    assert read(g, "scum") == read(g, "scum scum vile") == read(g, "vile scum here") == read(g, "scum tion ble ther of") == {"clauses": 1.0}
+    assert read(g, "scum of the") == read(g, "scum tion ble of") == {"framed": 2.0, "clauses": 1.0}
     assert read(g, "the. scum") == read(g, "the, scum") == read(g, "the and scum") == {"clauses": 2.0}
     assert read(g, "they are not scum")["negated"] == 2.0 and read(g, "not x y z a scum")["framed"] == 2.0
     assert read(g, "He said the scum. a scum") == {"reported": 2.0, "framed": 2.0, "clauses": 2.0}
@@ -272,8 +273,8 @@ def plainly(text, insults, particles):
                             pending = None
                     elif not (pending and i - pending[0] <= toxicity.REACH and pending[1] > context):
                         pending = (i, context)
-                if target and pending and i - pending[0] <= toxicity.REACH:
-                    found.add(("negated", "reported", "aimed")[pending[1]])
+                if (target or w in particles) and pending and i - pending[0] <= toxicity.REACH:
+                    found.add(("negated", "reported", "aimed" if target else "framed")[pending[1]])
                 elif target:
                     for j in range(max(0, i - toxicity.REACH), i):
                         if words[j] in toxicity.THREATS and plain[j]:

@@ -5,8 +5,8 @@ Five transducers are composed. The lexical one reads words and writes classes: i
 particles (the small words that clauses are built with, learned from the same rows), and what ends
 a clause (commas, conjunctions) or a sentence. The negation one marks what stands in a negation's
 scope, the reporting one what follows a verb of speech in its sentence. The frame one finds an
-insult's argument in order: a target or particle up to REACH words before it in its clause, or a
-target up to REACH words after it; and a threat's, a target after it. The clause one keeps a
+insult's argument: a target or particle up to REACH words before it in its clause, or else up to
+REACH words after it; and a threat's, in order, a target after it. The clause one keeps a
 clause's most telling match and accepts it at the clause's end. Words alone match nothing, nor does
 an insult whose clause has its target or particle elsewhere. An accepted clause weighs as much as
 its heaviest insult in that context. The composed table is made of the states that texts reach.
@@ -190,8 +190,8 @@ def frame(seen: tuple[int, int, int, int, int], read: tuple):
     event = None
     if symbol == INSULT and (target or particle):
         event = (NEGATED, REPORTED, AIMED if target else FRAMED)[here]
-    elif symbol == TARGET and waits:
-        event = (NEGATED, REPORTED, AIMED)[context]
+    elif symbol in (TARGET, PARTICLE) and waits:
+        event = (NEGATED, REPORTED, AIMED if symbol == TARGET else FRAMED)[context]
     elif symbol == TARGET and threat:
         event = THREATENED
     less = lambda n: max(n - 1, 0)
