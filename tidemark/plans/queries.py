@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as T
 from ..operators import artifacts, baseline, claims, headings, history, metrics, models, ordered, readme, reports, sampling, screen, selection, sequence, survival, validation
-from ..sources import workbook
+from ..sources import tables, workbook
 from ..sources.staged import passing_folder, staged
 from . import chain, detectors, extraction, screening
 from . import synthetic as S
@@ -686,6 +687,80 @@ def confirmed_cases(spark, sf):
     return sampling.confirmed(cases, cases.select("case_id", said.alias("confirmed")))
 
 
+# ---- sources over supplied rows ---------------------------------------------------
+
+
+@query("select doc_id, md5(coalesce(text, '')) as digest, length(coalesce(text, '')) as chars from documents")
+def decoded_files(spark, sf):
+    """Documents as bodies in Base64, broken into lines as a server sends them, and read back."""
+    d = S.load(spark, sf, "documents")
+    lines = F.regexp_replace(F.base64(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), "(.{60})", "$1\n")
+    return tables.file_contents(d.select("doc_id", lines.alias("content"))).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"), F.length("text").cast("long").alias("chars"))
+
+
+@query(
+    "with c as (select c_nationkey as query, c_name, c_custkey, c_acctbal, row_number() over (partition by c_nationkey order by c_custkey) - 1 as position from customer) "
+    "select query, position, c_name as full_name, c_custkey % 5000 as stargazers_count, case when c_acctbal > 0 then 'main' end as default_branch from c"
+)
+def search_pages(spark, sf):
+    """Customers of a nation as one landed page of a search, and its items as rows again."""
+    c = S.load(spark, sf, "customer")
+    item = F.struct("c_custkey", F.struct(F.col("c_name").alias("full_name"), (F.col("c_custkey") % 5000).alias("stargazers_count"), F.when(F.col("c_acctbal") > 0, "main").alias("default_branch")).alias("item"))
+    items = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"])
+    pages = c.groupBy(F.col("c_nationkey").alias("query")).agg(F.to_json(F.struct(items.alias("items"))).alias("body"))
+    return tables.search_results(pages).select("query", "position", "full_name", "stargazers_count", "default_branch")
+
+
+TREE = "select o_custkey::varchar as full_name, lower(p_name) || case o_orderkey % 3 when 0 then '.py' when 1 then '/Makefile' else '/.github/workflows/ci.yml' end as path, o_orderkey % 7 as branch, case when l_linenumber = 1 then 'tree' else 'blob' end as type from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey"
+
+
+def tree(spark, sf):
+    o, line, part = (S.load(spark, sf, t) for t in ("orders", "lineitem", "part"))
+    joined = o.join(line, F.expr("l_orderkey = o_orderkey")).join(part, F.expr("p_partkey = l_partkey"))
+    path = "concat(lower(p_name), case o_orderkey % 3 when 0 then '.py' when 1 then '/Makefile' else '/.github/workflows/ci.yml' end)"
+    return joined.selectExpr("cast(o_custkey as string) as full_name", f"{path} as path", "o_orderkey % 7 as branch", "case when l_linenumber = 1 then 'tree' else 'blob' end as type")
+
+
+@query(
+    f"with t as ({TREE}), d as (select * from t where branch = 0), f as (select * from t where branch = 1) select full_name, path, type from d union all select full_name, path, type from f where full_name not in (select full_name from d)"
+)
+def tree_fallback(spark, sf):
+    """Paths of the default branch; of repositories without any, those of the other."""
+    t = tree(spark, sf)
+    return tables.tree_or_fallback(t.where("branch = 0"), t.where("branch = 1")).select("full_name", "path", "type")
+
+
+@query(f"with t as ({TREE}) select full_name, path from t where type = 'blob' and (regexp_extract(lower(path), '[^/]*$') in ({', '.join(repr(n) for n in R.CONFIG_NAMES)}) or lower(path) like '.github/workflows/%')")
+def config_rows(spark, sf):
+    return screen.config_rows(tree(spark, sf)).select("full_name", "path")
+
+
+@query(f"select full_name, skip_reason from ({screening.ORACLES['screened_repositories']}) where skip_reason is not null")
+def skip_log(spark, sf):
+    return screen.skip_log(screening.screened_repositories(spark, sf))
+
+
+@query(f"{ROLLUP}, x as (select (s - d) / n::double as dri from rollup_) select least(floor((dri + 1.0::double) / (2.0::double / 20)), 19)::int as bin, count(*) as n from x group by 1")
+def dri_histogram(spark, sf):
+    return metrics.histogram(metrics.repo_rollup(kept(spark, sf)), "dri", -1.0, 1.0, 20)
+
+
+@query(
+    f"with {STATES}, b as (select *, case state when 'drift' then '..' when 'no_claim' then 'dir' || idx when 'unknown' then '' end as step, case when lag(state) over w is not distinct from state or lag(state) over w in ('drift', 'no_claim') and idx > 0 then 0 else 1 end as fresh from s window w as (partition by full_name order by idx)), "
+    "i as (select *, sum(fresh) over (partition by full_name order by idx) as island from b), c as (select *, case when step in ('', '.', '..') then '' else step end as into_ from i) "
+    "select full_name, idx, island::bigint as island, coalesce(last_value(into_ ignore nulls) over (partition by full_name, island order by idx rows between unbounded preceding and current row), '') as cwd from c"
+)
+def working_directories(spark, sf):
+    """The directory after each step of an island; steps go up, into a directory, back to the start or nowhere."""
+    step = F.when(F.col("state") == "drift", "..").when(F.col("state") == "no_claim", F.concat(F.lit("dir"), F.col("idx").cast("string"))).when(F.col("state") == "unknown", "")
+    by = Window.partitionBy("full_name").orderBy("idx")
+    before = F.lag("state").over(by)
+    new = F.when(before.eqNullSafe(F.col("state")) | (F.coalesce(before.isin("drift", "no_claim"), F.lit(False)) & (F.col("idx") > 0)), 0).otherwise(1)
+    rows = S.states(spark, sf).withColumn("line_no", new).withColumn("line_no", F.sum("line_no").over(by))
+    out = sequence.working_directory(rows.select("full_name", "line_no", F.lit("x").alias("context_type"), F.col("idx").alias("claim_order"), step.alias("into")))
+    return out.select("full_name", F.col("claim_order").alias("idx"), "island", "cwd")
+
+
 # ---- text to labels, over repositories made in the query -----------------------
 
 

@@ -14,6 +14,7 @@ def local_session(cores: int | str = "*", name: str = "tidemark", partitions: in
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # plans of thousands of columns: no call site for each
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import baseline, claims, readme, sequence
+from ..sources.staged import staged
 
 
 def relabel(changed: DataFrame, repos: DataFrame, index: DataFrame, keys: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -17,11 +18,9 @@ def relabel(changed: DataFrame, repos: DataFrame, index: DataFrame, keys: DataFr
 
     def label(batch: DataFrame, number: int) -> None:
         once = batch.groupBy("full_name").agg({"readme_text": "max"}).toDF("full_name", "readme_text")
-        elements = readme.elements(once).persist()
-        found = claims.extract(elements, repos).persist()
+        elements = staged(readme.elements(once), "elements")
+        found = staged(claims.extract(elements, repos), "claims")
         out = sequence.final_labels(baseline.baseline(found, index, keys), elements, index, keys)
         out.write.mode("overwrite").parquet(f"{path}/batch={number}")  # a repeated batch writes the same folder again
-        found.unpersist()
-        elements.unpersist()
 
     return changed.writeStream.foreachBatch(label).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
