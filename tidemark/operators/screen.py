@@ -9,14 +9,17 @@ from ..functions import rules as R
 from ..functions import text as T
 
 
-def search_queries(spark: SparkSession, language: str, today: str) -> DataFrame:
-    """star_low, star_high, query, stratum: each star band with each push window before ``today``. Both lists are fixed and short."""
-    bands = spark.createDataFrame(R.STAR_BANDS, "star_low long, star_high long")
-    windows = spark.createDataFrame(R.PUSH_WINDOWS, "newest int, oldest int")
+def search_queries(languages: DataFrame, today: str) -> DataFrame:
+    """language, star_low, star_high, query, stratum: for each row's language every star band with every push window before ``today``. Both lists are fixed and short, so a row is made into eight, not joined."""
+    language = F.col("language")
     day = lambda n: F.date_format(F.date_sub(F.to_date(F.lit(today)), n), "yyyy-MM-dd")
-    query = F.concat(F.lit(f"language:{language} fork:false archived:false stars:"), "star_low", F.lit(".."), "star_high", F.lit(" pushed:"), day(F.col("oldest")), F.lit(".."), day(F.col("newest")))
-    stratum = F.concat(F.lit(f"{language}|stars:"), "star_low", F.lit("-"), "star_high", F.lit("|pushed:"), "newest", F.lit("-"), "oldest", F.lit("d"))
-    return bands.join(windows, F.lit(True)).select("star_low", "star_high", query.alias("query"), stratum.alias("stratum"))
+    each = []
+    for low, high in R.STAR_BANDS:
+        for newest, oldest in R.PUSH_WINDOWS:
+            query = F.concat(F.lit("language:"), language, F.lit(f" fork:false archived:false stars:{low}..{high} pushed:"), day(oldest), F.lit(".."), day(newest))
+            stratum = F.concat(language, F.lit(f"|stars:{low}-{high}|pushed:{newest}-{oldest}d"))
+            each.append(F.struct(F.lit(low).cast("long").alias("star_low"), F.lit(high).cast("long").alias("star_high"), query.alias("query"), stratum.alias("stratum")))
+    return languages.select("language", F.inline(F.array(*each)))
 
 
 def language_reason(text: Column | str) -> Column:

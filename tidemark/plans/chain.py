@@ -41,8 +41,12 @@ def chain(link_kind: str) -> dict[str, str]:
     claims = extraction.claims_sql(el, CURATED)
     given = f"trees as ({TREES}), configs as ({CONFIGS}), elements as ({el}), claims as ({claims})"
     start = lambda sql: sql.replace(detectors.GIVEN, given, 1)
+    count = lambda kind: f"count(*) filter (where elem_type = '{kind}')"
     family = "nullif(split_part(v, '|', 2), '')"
     return {
+        "readme_elements": f"select full_name, {count('heading')} - 1 as headings, {count('fenced_code')} as fenced, {count('inline_code')} as inline_code, {count('markdown_link')} as links, {count('section_line')} as lines from ({el}) group by 1",
+        "artifact_index": f"with {start(detectors.INDEX)} select full_name, len(list_filter(ks, lambda k: starts_with(k, 'file:')))::int as file_count, len(list_filter(ks, lambda k: starts_with(k, 'dir:')))::int as dir_count, {detectors.has('requirements.txt')}::int as has_requirements_txt, "
+        f"{detectors.has('makefile')}::int as has_makefile, testdirs::int as has_tests_dir, {detectors.configured('pyproject.toml')}::int as has_pyproject_toml, array_to_string(list_sort(ts), ',') as targets from idx",
         "extracted_claims": f"select full_name, line_no, context_type, claim_type, artifact_or_path, snippet, evidence_level, claim_seq from ({claims})",
         "baseline_labels": f"with {start(detectors.LABELLED)} select full_name, claim_seq, claim_type, {family} as drift_family, split_part(v, '|', 1) as label, split_part(v, '|', 3) as reason from labels",
         "final_labels": start(detectors.FINAL_SQL).replace("select full_name, claim_seq, split_part(w, '|', 1) as status", "select full_name, claim_seq, claim_type, split_part(w, '|', 1) as status", 1),

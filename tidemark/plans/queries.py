@@ -764,6 +764,9 @@ def working_directories(spark, sf):
 # ---- text to labels, over repositories made in the query -----------------------
 
 
+CHAIN = chain.chain(LINK_KIND)
+
+
 def analysed(spark, sf):
     """The stages' tables, each written once: later plans start from them."""
     t = S.repositories(spark, sf)
@@ -773,16 +776,13 @@ def analysed(spark, sf):
     return t, elements, found, index, keys
 
 
-@query("select 'owner/repo' || c_custkey as full_name, 2::bigint as headings, 1::bigint as fenced, 1::bigint as inline_code, 2::bigint as links, 3::bigint as lines from customer")
+@query(CHAIN["readme_elements"])
 def readme_elements(spark, sf):
     e = readme.elements(S.repositories(spark, sf)["readmes"])
     count = lambda kind: F.count_if(F.col("elem_type") == kind)
     return e.groupBy("full_name").agg((count("heading") - 1).alias("headings"), count("fenced_code").alias("fenced"), count("inline_code").alias("inline_code"), count("markdown_link").alias("links"), count("section_line").alias("lines"))
 
 
-CHAIN = chain.chain(LINK_KIND)
-
-
 TEXTS = "select 'd' || doc_id as full_name, text as x from documents union all select 'p' || page_id, html from pages"
 
 
@@ -817,10 +817,7 @@ def extracted_claims(spark, sf):
     return analysed(spark, sf)[2].select("full_name", "line_no", "context_type", "claim_type", "artifact_or_path", "snippet", "evidence_level", "claim_seq")
 
 
-@query(
-    "select 'owner/repo' || c_custkey as full_name, 6 as file_count, 1 as dir_count, (c_custkey % 2 = 0)::int as has_requirements_txt, (c_custkey % 4 < 2)::int as has_makefile, (c_custkey % 4 >= 2)::int as has_tests_dir, "
-    "(c_custkey % 2 = 1)::int as has_pyproject_toml, case when c_custkey % 4 >= 2 then '' when c_custkey % 8 = 0 then 'build' else 'all' end as targets from customer"
-)
+@query(CHAIN["artifact_index"])
 def artifact_index(spark, sf):
     t = S.repositories(spark, sf)
     return artifacts.artifact_index(t["trees"], t["configs"]).select("full_name", "file_count", "dir_count", "has_requirements_txt", "has_makefile", "has_tests_dir", "has_pyproject_toml", F.array_join("make_targets", ",").alias("targets"))
@@ -840,14 +837,13 @@ def final_labels(spark, sf):
 
 
 @query(
-    "with b as (select * from (values (10, 99), (100, 499), (500, 1999), (2000, 1000000)) b(l, h)), w as (select * from (values (0, 180), (181, 730)) w(n, o)) select l::bigint as star_low, h::bigint as star_high, "
-    "'language:Python fork:false archived:false stars:' || l || '..' || h || ' pushed:' || strftime(date '2024-06-01' - o::int, '%Y-%m-%d') || '..' || strftime(date '2024-06-01' - n::int, '%Y-%m-%d') as query, "
-    "'Python|stars:' || l || '-' || h || '|pushed:' || n || '-' || o || 'd' as stratum from b, w"
+    f"with l as (select distinct p_brand as language from part), b as (select * from (values {', '.join(map(str, R.STAR_BANDS))}) b(l, h)), w as (select * from (values {', '.join(map(str, R.PUSH_WINDOWS))}) w(n, o)) "
+    "select language, b.l::bigint as star_low, b.h::bigint as star_high, 'language:' || language || ' fork:false archived:false stars:' || b.l || '..' || b.h || ' pushed:' || strftime(date '2024-06-01' - o::int, '%Y-%m-%d') || '..' || strftime(date '2024-06-01' - n::int, '%Y-%m-%d') as query, "
+    "language || '|stars:' || b.l || '-' || b.h || '|pushed:' || n || '-' || o || 'd' as stratum from l, b, w"
 )
 def search_queries(spark, sf):
-    return screen.search_queries(spark, "Python", "2024-06-01")
-
-
+    """The searches of a corpus in each brand as a language."""
+    return screen.search_queries(S.load(spark, sf, "part").select(F.col("p_brand").alias("language")).distinct(), "2024-06-01")
 
 
 for part in (detectors, extraction, screening):
