@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from . import rules as R
 
 BLANK = r"(?U)\s"
+#: The characters of that class.
+BLANKS = "\t\n\u000b\u000c\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
 
@@ -31,7 +33,7 @@ def any_of(words: list[str]) -> str:
 
 def strip(c: Column | str) -> Column:
     """Trims Unicode white space at both ends; null becomes empty."""
-    return F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(col(c), F.lit("")), F.lit(BLANKS))
 
 
 def norm(c: Column | str) -> Column:
