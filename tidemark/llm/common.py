@@ -8,10 +8,8 @@ the same text, and hence the same answer, but for one in 2^64 of those that repe
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from pathlib import Path
 
 import numpy as np
@@ -19,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staged import ship  # noqa: F401
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -45,19 +45,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once a context, unless they find it by PYTHONPATH or in the folder the driver was started in."""
-    root = Path(__file__).resolve().parents[2]
-    if str(root) in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] or spark.conf.get("spark.tidemark.shipped", None):
-        return
-    spark.conf.set("spark.tidemark.shipped", "true")
-    archive = Path(tempfile.mkdtemp()) / "tidemark.zip"  # read by the driver only, which serves it to the executors
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted((root / "tidemark").rglob("*.py")):
-            z.write(f, f.relative_to(root))
-    spark.sparkContext.addPyFile(str(archive))
-
-
 def small_batches(spark: SparkSession) -> None:
     """For operators that run Python on the executors. Texts may be long: bound what one Arrow batch holds by rows and by bytes."""
     ship(spark)
