@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import digests
+from ..sources.staged import staged
+from . import metrics
+
 
 def outcome(label: Column, status: Column | None = None) -> Column:
     """The reader's word for a label: drifted, supported, uncertain or, if excluded, not-a-claim."""
@@ -47,15 +53,45 @@ def adjusted_prevalence(sample: DataFrame, strata: DataFrame) -> DataFrame:
     return shares.join(strata, "stratum").agg((F.sum(F.col("size") * F.col("p")) / F.sum(F.col("size") * F.col("q"))).alias("prevalence"))
 
 
-def adjusted_interval(sample: DataFrame, strata: DataFrame, rounds: int, seed: int = 1) -> DataFrame:
-    """One row: the interval of the adjusted prevalence when claims are drawn again within strata. sample: stratum, eval_id, gold."""
-    sizes = sample.groupBy("stratum").agg(F.count("*").alias("m"))
-    places = sample.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy("eval_id")) - 1)
+#: Rounds that a task draws for a stratum.
+ROUNDS_A_GROUP = 50
+
+
+def drawn_shares(places: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """round, stratum, p, q of places (stratum, place, gold), draws as rows that are joined."""
+    sizes = places.groupBy("stratum").agg(F.count("*").alias("m"))
     slots = places.select("stratum", F.col("place").alias("slot")).join(sizes, "stratum")
     every = slots.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "stratum", F.col("round").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("m")
     drawn = every.select("stratum", "round", pick.alias("place")).join(places, ["stratum", "place"])
-    shares = drawn.groupBy("round", "stratum").agg(F.avg((F.col("gold") == "drifted").cast("int")).alias("p"), F.avg((F.col("gold") != "not-a-claim").cast("int")).alias("q"))
+    return drawn.groupBy("round", "stratum").agg(F.avg((F.col("gold") == "drifted").cast("int")).alias("p"), F.avg((F.col("gold") != "not-a-claim").cast("int")).alias("q"))
+
+
+def counted_shares(places: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """The same; a task holds a stratum's labels as an array of codes and draws some rounds by numpy, so that no draw is shuffled."""
+    gold = F.col("gold")
+    code = F.when(gold.isNull(), 0).otherwise(4 + F.when(gold == "drifted", 1).otherwise(0) + F.when(gold != "not-a-claim", 2).otherwise(0))  # bits: drifted, a claim, known
+
+    def draw(table):
+        (codes,) = metrics.unpacked(table, ["code"])
+        first, stratum = table.column("group")[0].as_py() * ROUNDS_A_GROUP, table.column("stratum")[0].as_py()
+        numbers = range(first, min(first + ROUNDS_A_GROUP, rounds))
+        counts = np.zeros((len(numbers), 8), dtype=np.int64)
+        for i, place in digests.picks([f"{seed}:{stratum}:{b}:".encode() for b in numbers], len(codes), len(codes)):
+            counts[i] += np.bincount(codes[place], minlength=8)
+        with_bit = lambda bit: counts[:, [c for c in range(8) if c & bit]].sum(axis=1)
+        return pa.table({"round": pa.array(numbers, pa.int64()), "stratum": [stratum] * len(numbers), "p": with_bit(1), "q": with_bit(2), "known": with_bit(4)})
+
+    packed = metrics.in_groups(places.select("stratum", "place", code.alias("code")), ["stratum"], ["code"], rounds, ROUNDS_A_GROUP)
+    sums = packed.groupBy("stratum", "group").applyInArrow(draw, "round long, stratum string, p long, q long, known long")
+    return sums.select("round", "stratum", *[F.expr(f"try_divide({c}, known)").alias(c) for c in "pq"])
+
+
+def adjusted_interval(sample: DataFrame, strata: DataFrame, rounds: int, seed: int = 1, most: int = metrics.MOST_PLACES) -> DataFrame:
+    """One row: the interval of the adjusted prevalence when claims are drawn again within strata. sample: stratum, eval_id, gold. Up to ``most`` sampled claims are drawn in arrays."""
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy("eval_id")) - 1
+    places = staged(sample.where("stratum is not null").select("stratum", place.alias("place"), "gold"), "places")
+    shares = (counted_shares if places.count() <= most else drawn_shares)(places, rounds, seed)
     x = shares.join(strata, "stratum").groupBy("round").agg((F.sum(F.col("size") * F.col("p")) / F.sum(F.col("size") * F.col("q"))).alias("x"))
     p = F.percentile("x", F.array(F.lit(0.025), F.lit(0.975)))
     return x.agg(p[0].alias("ci_low"), p[1].alias("ci_high"))
