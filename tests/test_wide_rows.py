@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tidemark.operators import artifacts, baseline
+from tidemark.operators import artifacts, baseline, claims
 from tidemark.plans import detectors, synthetic
 
 
@@ -26,3 +26,16 @@ def test_counts_of_paths_do_not_multiply_rows(spark):
     out = artifacts.tree_side(trees)
     assert {tuple(r) for r in out.select("full_name", "file_count", "dir_count").collect()} == {("r", 1, 1), ("q", 0, 1)}
     assert "Expand" not in out._jdf.queryExecution().toString()
+
+
+def test_claims_are_extracted_once(spark):
+    t = "full_name string, line_no int, heading string, section_class string, context_type string, claim_type string, artifact_or_path string, snippet string, evidence_level string, claim_seq long"
+    rows = [
+        ("r", 1, "h", "usage", "inline_code_artifact", "artifact_ref", "src/A.py", "x", "medium", 1), ("r", 2, "h", "usage", "markdown_link", "local_link_ref", "a.py", "y", "low", 2),
+        ("r", 3, "h", "usage", "fenced_code", "make_cmd", None, "make", "high", 3), ("r", 3, "h", "usage", "fenced_code", "make_cmd", None, "Make ", "high", 4), ("r", 4, "h", "usage", "fenced_code", "make_cmd", None, "make", "high", 5),
+        ("r", 5, "h", "usage", "markdown_link", "local_link_ref", None, "z", "low", 6), ("r", 6, "h", "usage", "markdown_link", "local_link_ref", None, "z", "low", 7),
+    ]
+    out = claims.deduplicated(spark.createDataFrame(rows, t))
+    assert sorted(r["claim_seq"] for r in out.collect()) == [1, 3, 5, 6, 7]
+    assert "Union" not in out._jdf.queryExecution().toString()
+    assert out.columns == [c.split()[0] for c in t.split(", ")]
