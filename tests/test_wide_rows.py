@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tidemark.operators import artifacts, baseline, claims
+from tidemark.operators import artifacts, baseline, claims, history, intervals
 from tidemark.plans import detectors, synthetic
 
 
@@ -39,3 +39,24 @@ def test_claims_are_extracted_once(spark):
     assert sorted(r["claim_seq"] for r in out.collect()) == [1, 3, 5, 6, 7]
     assert "Union" not in out._jdf.queryExecution().toString()
     assert out.columns == [c.split()[0] for c in t.split(", ")]
+
+
+def test_names_nobody_asks_for_make_no_rows(spark):
+    paths = spark.createDataFrame([("r", "./Src/a/b.py", 0, 4), ("r", "src/c.py", 3, 9), ("q", "x/y.py", 0, 2), ("q", None, 0, 2)], "full_name string, path string, begin long, end long")
+    asked = spark.createDataFrame([("r", "src"), ("q", "y.py"), ("q", "none")], "full_name string, name string")
+    assert {tuple(r) for r in intervals.path_names(paths, asked).collect()} == {("r", "src", 0, 9), ("q", "y.py", 0, 2)}
+    rows = spark.createDataFrame([("a",), ("b",)], "name string")
+    assert history.only_asked(rows, rows.where("name = 'a'")).count() == 1 and history.only_asked(rows, rows, most=1).count() == 2
+
+
+def test_commits_meet_intervals_once_and_rows_are_dealt_by_number(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "tasks_of", lambda count: max(1, -(-count // 40)))
+    walk = spark.range(90).selectExpr("cast(id % 9 as string) as full_name", "cast(id as string) as sha", "cast(id div 9 as int) as idx")
+    trees = walk.selectExpr("full_name", "sha", "'src/a.py' as path")
+    files, makes = walk.selectExpr("full_name", "sha", "'README' as path", "'run' as text"), walk.selectExpr("full_name", "sha", "'all: x' as content")
+    cases = walk.where("idx = 0").selectExpr("full_name", "'c' as case_id", "'artifact_ref' as claim_type", "'a.py' as artifact_or_path", "'run' as snippet")
+    out = intervals.walk_states(cases, walk, trees, makes, files)
+    assert out.count() == 90 and {r[0] for r in out.select("state").distinct().collect()} == {"supported"}
+    joins = [x for x in out._jdf.queryExecution().analyzed().toString().splitlines() if "Join" in x and "_block#" in x]
+    assert len(joins) == 1  # of points and intervals
+    assert intervals.changes_of(trees, walk, tasks=7).select("full_name", "path").distinct().count() == 9
