@@ -61,3 +61,14 @@ def test_search_results_and_fallback(spark):
     assert sorted(map(tuple, out.collect())) == [("a", "x"), ("b", "z")]
     blob = spark.createDataFrame([("aGVs\nbG/", )], "content string")
     assert tables.file_contents(blob).first()["text"].startswith("hel")
+
+
+def test_trees_and_makefiles_are_read_once_and_only_for_what_is_asked(spark):
+    trees = spark.createDataFrame([("r", "1", "./src/a.py"), ("r", "1", None), ("r", "2", "b/c.py"), ("q", "1", "")], "full_name string, sha string, path string")
+    makefiles = spark.createDataFrame([("r", "1", "all:\n"), ("q", "1", "x:\n")], "full_name string, sha string, content string")
+    cases = spark.createDataFrame([("r", "1", "p", "artifact_ref", "src"), ("r", "2", "p", "artifact_ref", "src"), ("r", "2", "e", "artifact_ref", ""), ("q", "1", "m", "make_target", "x"), ("q", "2", "m", "make_target", "x")], "full_name string, sha string, case_id string, claim_type string, artifact_or_path string")
+    out = history.supported_at(cases, trees.where("sha <> '9'"), makefiles)
+    got = {(r["full_name"], r["sha"], r["case_id"]): r["supported"] for r in out.collect()}
+    assert got == {("r", "1", "p"): True, ("r", "2", "p"): False, ("r", "2", "e"): False, ("q", "1", "m"): True, ("q", "2", "m"): None}
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("= 9)") == 1  # one pass over the trees
