@@ -1,6 +1,8 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
-from tidemark.operators import artifacts, baseline, claims, history, intervals
+from tidemark.operators import artifacts, baseline, claims, history, intervals, sampling
 from tidemark.plans import detectors, synthetic
 
 
@@ -60,3 +62,17 @@ def test_commits_meet_intervals_once_and_rows_are_dealt_by_number(spark, monkeyp
     joins = [x for x in out._jdf.queryExecution().analyzed().toString().splitlines() if "Join" in x and "_block#" in x]
     assert len(joins) == 1  # of points and intervals
     assert intervals.changes_of(trees, walk, tasks=7).select("full_name", "path").distinct().count() == 9
+
+
+def test_a_sample_ranks_only_the_head_of_a_group(spark):
+    rows = spark.range(30000).selectExpr("id as claim_seq", "case when id % 100 = 0 then null when id % 3 = 0 then 'a' when id < 7 then 'c' else 'b' end as claim_type").repartition(4)
+    local = [tuple(r) for r in rows.collect()]
+    by = lambda seed: lambda r: (hashlib.md5(f"{seed}|{r[0]}".encode()).hexdigest(), r[0])
+    types = {t: [r for r in local if r[1] == t] for t in "abc"}
+    some = [r for of in types.values() for r in sorted(of, key=by(42))[: max(1, round(50 * len(of) / 30000))]]
+    out = sampling.proportional(rows, "claim_type", 50, "claim_seq")
+    assert [tuple(r) for r in out.collect()] == sorted(some, key=by("42/all"))[:50]
+    out = sampling.per_stratum(rows, "claim_type", {"a": 20, "b": 0, "c": 99}, "claim_seq")
+    assert sorted(map(tuple, out.collect())) == sorted(sorted(types["a"], key=by(42))[:20] + types["c"])
+    plan = sampling.per_stratum(rows, "claim_type", {"a": 20}, "claim_seq")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("_upto") and plan.count("Window [row_number") == 1

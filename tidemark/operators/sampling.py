@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staged import staged
 from .metrics import numbered
 from .screen import seeded
 
@@ -24,29 +27,42 @@ def strata_sizes(labels: DataFrame) -> DataFrame:
     return labels.where("status = 'kept'").withColumn("stratum", stratum()).groupBy("stratum").agg(F.count("*").alias("size"))
 
 
-def first_of_group(rows: DataFrame, group: str, order: Column, key: str, quota: str) -> DataFrame:
-    """The first rows of each group by ``order`` (a hexadecimal text) and key, as many as its column ``quota`` says.
+#: Groups whose bounds are sent to all tasks.
+MOST_GROUPS = 20_000
+
+
+def first_of_group(rows: DataFrame, group: str, order: Column, key: str, quota: Callable[[DataFrame], DataFrame], digits: int = 3) -> DataFrame:
+    """The first rows of each group by ``order`` (a hexadecimal text) and key, as many as ``quota`` says: a function of the groups' sizes (group, size) that gives (group, _quota).
 
-    Ranks are taken among those that share two digits of the order first, so a group that holds
-    most rows is cut down in 256 parts before what is left of it meets.
+    Rows are counted by group and the first digits of the order, which tells how far into the
+    order a group's quota reaches; only rows up to there are ranked, which is the quota and about
+    1 / 16^digits of a group. No group is sorted or gathered whole.
     """
-    dealt = rows.withColumns({"_order": order, "_part": F.substring(order, 1, 2)})
-    some = dealt.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_part").orderBy("_order", key))).where(F.col("_k") <= F.col(quota))
-    return some.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy("_order", key))).where(F.col("_k") <= F.col(quota)).drop("_k", "_order", "_part", quota)
+    part = F.substring(order, 1, digits)
+    sizes = staged(rows.groupBy(group, part.alias("_part")).agg(F.count("*").alias("_n")), "sizes")
+    groups = sizes.groupBy(group).agg(F.sum("_n").alias("size"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = sizes.join(quota(groups), group).withColumn("_before", before).where("_before < _quota")
+    bounds = staged(reached.groupBy(group).agg(F.max("_part").alias("_upto"), F.first("_quota").alias("_quota")), "bounds")
+    few = bounds.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
+    some = rows.join(F.broadcast(bounds) if few else bounds, group).where(part <= F.col("_upto")).withColumn("_order", order)
+    return some.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy("_order", key))).where("_k <= _quota").select(*rows.columns)
 
 
 def per_stratum(rows: DataFrame, stratum_col: str, sizes: dict[str, int], key: str, seed: int = 42) -> DataFrame:
     """sizes[s] rows of each stratum s (all, if there are fewer), in a seeded order."""
     quota = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col(stratum_col)), F.lit(0))
-    return first_of_group(rows.where(F.col(stratum_col).isin(*sizes)).withColumn("_quota", quota), stratum_col, seeded(seed, key), key, "_quota")
+    return first_of_group(rows.where(F.col(stratum_col).isin(*sizes)), stratum_col, seeded(seed, key), key, lambda groups: groups.select(stratum_col, quota.alias("_quota")))
 
 
 def proportional(rows: DataFrame, type_col: str, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows: of each type its share of n (at least one), then the first n of all in a seeded order."""
-    counts = rows.groupBy(type_col).agg(F.count("*").alias("_c"))
-    total = counts.agg(F.sum("_c").alias("_all"))
-    quota = counts.join(total, F.lit(True)).select(type_col, F.greatest(F.lit(1), F.bround(n * F.col("_c") / F.col("_all"))).alias("_quota"))
-    some = first_of_group(rows.join(quota, type_col), type_col, seeded(seed, key), key, "_quota")
+
+    def quota(groups: DataFrame) -> DataFrame:
+        total = groups.agg(F.sum("size").alias("_all"))
+        return groups.join(total, F.lit(True)).select(type_col, F.greatest(F.lit(1), F.bround(n * F.col("size") / F.col("_all"))).alias("_quota"))
+
+    some = first_of_group(rows, type_col, seeded(seed, key), key, quota)
     return some.orderBy(seeded(f"{seed}/all", key), key).limit(n)
 
 
