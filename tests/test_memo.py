@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.sources import memo as memos
 from tidemark.sources.memo import Memo
 
 SCHEMA = "full_name string, path string, size long"
@@ -65,3 +66,21 @@ def test_empty_input(spark, memo):
     none = spark.createDataFrame([], SCHEMA)
     out, new = memo.run(none)
     assert out.count() == 0 and new.count() == 0 and out.columns == ["full_name", "total", "n"]
+
+
+def test_contents_are_not_shuffled_to_be_found(spark, memo, monkeypatch):
+    plans = []
+    memo.stage = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        one, two = (spark.createDataFrame(r, SCHEMA) for r in (rows(200), rows(200, changed={7})))
+        memo.run(one)
+        out, new = memo.run(two)
+        assert result(out) == result(stage(two)) and new.count() == 1
+        assert "Join" not in plans[0] and "BroadcastHashJoin" in plans[1] and "hashpartitioning" not in plans[1]
+        monkeypatch.setattr(memos, "MOST_SENT", 0)
+        three = spark.createDataFrame(rows(200, changed={8, 9}), SCHEMA)
+        out, new = memo.run(three)
+        assert result(out) == result(stage(three)) and {r["full_name"] for r in new.collect()} == {"r8", "r9"} and "SortMergeJoin" in plans[2]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -1,8 +1,11 @@
 """Literal cases of the text functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import rules as R
 from tidemark.functions import text as T
 from tidemark.operators import artifacts, claims, headings
 
@@ -92,3 +95,15 @@ def test_npm(spark, given, expected):
 def test_snippet_presence(spark):
     rows = spark.createDataFrame([("A  b\nC", "a b c"), ("x", ""), (None, "a"), ("abc", "z")], "t string, s string")
     assert [r[0] for r in rows.select(T.holds_snippet("t", "s")).collect()] == [True, False, False, False]
+
+
+def test_prose_and_ascii_ratio_equal_plain_passes(spark):
+    r = random.Random(5)
+    some = ["`", "```", "\n", "[a]", "[", "](", "(b)", "![", "](c)", "https", "http://x", "://", ")", " ", "# ", "é", "日", "word", "\u00a0", "-"]
+    texts = [None, "", "é", "plain text"] + ["".join(r.choice(some) for _ in range(r.randint(0, 12))) for _ in range(600)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce("t", F.lit(""))
+    for pattern in R.PROSE_CUTS:
+        plain = F.regexp_replace(plain, pattern, " ")
+    ascii_ = F.length(F.regexp_replace("t", r"[^\x00-\x7F]", "")) / F.greatest(F.lit(1), F.length("t"))
+    assert df.where(~T.prose("t").eqNullSafe(T.strip(plain)) | ~T.ascii_ratio("t").eqNullSafe(ascii_)).count() == 0
